@@ -87,8 +87,22 @@ def raw_path(spark: SparkSession, sf_dir: str) -> str:
     return materialize_once(spark, _key("raw", sf_dir), build)
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _scan(spark: SparkSession, path: str, reader) -> DataFrame:
+    """One scan object per session and path: the folders of a written table
+    never change, so their listing (a Spark job above 32 folders) is done
+    once instead of once per query."""
+    key = (id(spark), path)
+    df = _SCANS.get(key)
+    if df is None:
+        df = _SCANS.setdefault(key, reader(spark, path))
+    return df
+
+
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_raw(spark, raw_path(spark, sf_dir))
+    return _scan(spark, raw_path(spark, sf_dir), read_raw)
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +114,7 @@ def prod_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def prod_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_prod(spark, prod_path(spark, sf_dir))
+    return _scan(spark, prod_path(spark, sf_dir), read_prod)
 
 
 def _json_found_on(df: DataFrame) -> DataFrame:
