@@ -38,6 +38,12 @@ def _timed(fn):
     return time.perf_counter() - t0
 
 
+def _best(fn, runs: int = 2) -> float:
+    """One warm-up run (JIT, codegen caches), then the best of ``runs``."""
+    fn()
+    return min(_timed(fn) for _ in range(runs))
+
+
 def _noop(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -57,19 +63,15 @@ def main() -> None:
                          registry.RUN_INSERTION_TS)
         write_prod(prod, fresh_path(spark, "bench-prod"))
 
-    # warm-up of the JVM code paths on the same job, then the measured runs
-    etl()
-    times["etl_publish"] = min(_timed(etl) for _ in range(2))
+    times["etl_publish"] = _best(etl)
     prod = read_prod(spark, registry.prod_path(spark, sf_dir))
     prod.count()
 
-    times["search_feed_publish"] = min(
-        _timed(lambda: write_search_feed(search_feed(prod, registry.RUN), fresh_path(spark, "bench-search")))
-        for _ in range(2)
+    times["search_feed_publish"] = _best(
+        lambda: write_search_feed(search_feed(prod, registry.RUN), fresh_path(spark, "bench-search"))
     )
-    times["export_tsv_all_wikis"] = min(
-        _timed(lambda: export_tsv(prod, registry.ALL_WIKIS, registry.RUN_MONTH, fresh_path(spark, "bench-tsv")))
-        for _ in range(2)
+    times["export_tsv_all_wikis"] = _best(
+        lambda: export_tsv(prod, registry.ALL_WIKIS, registry.RUN_MONTH, fresh_path(spark, "bench-tsv"))
     )
     q = registry.QUERIES
 
@@ -78,12 +80,12 @@ def main() -> None:
                      "pages_without_image", "row_count"):
             q[name](spark, sf_dir).collect()
 
-    times["daily_new_pages"] = min(_timed(lambda: q["daily_new_pages"](spark, sf_dir).collect()) for _ in range(2))
-    times["profile"] = min(_timed(profile) for _ in range(2))
+    times["daily_new_pages"] = _best(lambda: q["daily_new_pages"](spark, sf_dir).collect())
+    times["profile"] = _best(profile)
 
     for name in ("candidate_transform", "candidate_transform_two_pass", "value_frequencies", "export_all_wikis",
                  "frame_diff", "search_feed"):
-        times[name] = min(_timed(lambda: _noop(q[name](spark, sf_dir))) for _ in range(2))
+        times[name] = _best(lambda: _noop(q[name](spark, sf_dir)))
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {

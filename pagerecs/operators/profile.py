@@ -28,6 +28,11 @@ def partition_counts(prod: DataFrame) -> DataFrame:
     )
 
 
+def schema_text(df: DataFrame) -> str:
+    """The schema tree ``printSchema`` prints, as a string (no job runs)."""
+    return df.schema.treeString()
+
+
 def row_count(df: DataFrame) -> DataFrame:
     """One row, one column ``rows``."""
     return df.select(F.count(F.lit(1)).alias("rows"))

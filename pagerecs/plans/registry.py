@@ -15,6 +15,7 @@ nesting. Array columns are compared as their JSON text.
 from __future__ import annotations
 
 import os
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,17 +88,17 @@ def raw_path(spark: SparkSession, sf_dir: str) -> str:
     return materialize_once(spark, _key("raw", sf_dir), build)
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def _scan(spark: SparkSession, path: str, reader) -> DataFrame:
     """One scan object per session and path: the folders of a written table
     never change, so their listing (a Spark job above 32 folders) is done
     once instead of once per query."""
-    key = (id(spark), path)
-    df = _SCANS.get(key)
+    per_session = _SCANS.setdefault(spark, {})
+    df = per_session.get(path)
     if df is None:
-        df = _SCANS.setdefault(key, reader(spark, path))
+        df = per_session.setdefault(path, reader(spark, path))
     return df
 
 

@@ -60,8 +60,11 @@ def test_value_frequencies(prod, spark):
 def test_value_frequencies_limits_before_shuffle(prod):
     plan = plan_text(value_frequencies(prod))
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
-    # one aggregation for all columns: a single scan
-    assert plan_text(value_frequencies(prod), "simple").count("Scan") == 1
+    # one pass for all columns: a single generator, one aggregation shuffle
+    # and one window shuffle
+    simple = plan_text(value_frequencies(prod), "simple")
+    assert simple.count("Generate inline") == 1
+    assert simple.count("Exchange hashpartitioning") == 2
 
 
 def test_frame_diff_reference_fixture(people, spark):
@@ -130,3 +133,10 @@ def test_run_parameters():
     for bad in ("2021-11", "2021-13-01", "22-11-2021", "", None, "2021-02-30"):
         with pytest.raises(ValueError):
             Snapshot.parse(bad)
+
+
+def test_schema_text(prod):
+    from pagerecs.operators.profile import schema_text
+
+    text = schema_text(prod)
+    assert text.startswith("root\n") and " |-- found_on: array (nullable = true)" in text

@@ -115,3 +115,14 @@ def test_read_raw_enforces_schema(spark, tmp_path):
     raw_dir = str(tmp_path / "raw")
     raw_table(spark, SF_SMALL).write.partitionBy("wiki_db", "snapshot").parquet(raw_dir)
     assert read_raw(spark, raw_dir).schema == RAW_SCHEMA
+
+
+def test_prod_order_puts_null_titles_last(spark, tmp_path):
+    prod = _prod(spark).withColumn(
+        "page_title", F.when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise(F.col("page_title"))
+    )
+    out = str(tmp_path / "prod")
+    write_prod(prod, out)
+    for folder in glob.glob(out + "/wiki=*/snapshot=*"):
+        titles = _titles_in_name_order(folder)
+        assert None in titles and _desc_nulls_last(titles)
