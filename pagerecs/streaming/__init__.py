@@ -1,0 +1,9 @@
+"""Streaming jobs: none.
+
+Every job of the original pipeline is a batch run over a monthly (or daily)
+snapshot -- no streams, watermarks, windows or state exist there -- so this
+package holds nothing by design. The Column functions in
+``pagerecs.functions`` and the stateless steps of
+``pagerecs.operators.candidates`` contain no aggregation, so they also
+apply unchanged to a ``readStream`` DataFrame if a caller needs them there.
+"""

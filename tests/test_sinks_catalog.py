@@ -126,3 +126,23 @@ def test_prod_order_puts_null_titles_last(spark, tmp_path):
     for folder in glob.glob(out + "/wiki=*/snapshot=*"):
         titles = _titles_in_name_order(folder)
         assert None in titles and _desc_nulls_last(titles)
+
+
+def test_hot_partition_is_split_across_tasks(spark, tmp_path):
+    # one wiki holds ~90% of the rows: the range-partitioned sort spreads it
+    # over several tasks (files) instead of funnelling it into one
+    prod = _prod(spark).withColumn(
+        "wiki", F.when(F.col("page_id") % 10 == 0, F.col("wiki")).otherwise(F.lit("hotwiki"))
+    )
+    out = str(tmp_path / "prod")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        write_prod(prod, out)
+    finally:
+        spark.conf.set(conf, old)
+    hot = out + "/wiki=hotwiki/snapshot=2024-02"
+    assert len(glob.glob(hot + "/*.parquet")) > 1
+    assert _desc_nulls_last(_titles_in_name_order(hot))
+    assert read_prod(spark, out).count() == prod.count()
