@@ -30,6 +30,7 @@ from pagerecs.functions.candidates import (
 )
 from pagerecs.operators.candidates import (
     explode_candidates,
+    flatten_candidates,
     pages_without_candidates,
     stamp_run,
     transform_candidates,
@@ -48,12 +49,13 @@ from pagerecs.operators.profile import (
     value_frequencies,
 )
 from pagerecs.operators.search import search_feed
+from pagerecs.plans.monthly import run_monthly
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.catalog import create_external_table
 from pagerecs.sources.derived import WIKIS_BY_CUSTKEY, derive_raw, load_tables
 from pagerecs.sources.parquet import read_prod, read_raw, read_search_feed
 from pagerecs.sources.sinks import prod_order, read_tsv, write_prod, write_search_feed
-from pagerecs.sources.storage import materialize_once
+from pagerecs.sources.storage import fresh_path, materialize_once
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_PARTITION_COLUMNS
 
 # Parameters of the registered run (shared with the oracles).
@@ -145,6 +147,10 @@ def q_explode_candidates(spark, sf_dir):
     return explode_candidates(raw_table(spark, sf_dir))
 
 
+def q_flatten_candidates(spark, sf_dir):
+    return flatten_candidates(raw_table(spark, sf_dir))
+
+
 def q_confidence_rating(spark, sf_dir):
     return explode_candidates(raw_table(spark, sf_dir)).select(
         "page_id", "image_id", "rating", confidence_rating("rating").alias("confidence_rating")
@@ -230,6 +236,42 @@ def q_export_rows_sql(spark, sf_dir):
     return export_rows_sql(spark, table, EXPORT_WIKI, RUN_MONTH)
 
 
+def q_export_rows_sql_android(spark, sf_dir):
+    path = prod_path(spark, sf_dir)
+    name = "imagerec_prod_" + os.path.basename(path).replace("-", "_")
+    table = create_external_table(spark, "prod", path, name=name)
+    return export_rows_sql(spark, table, EXPORT_WIKI, RUN_MONTH, require_image=True)
+
+
+def monthly_run_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Run the whole monthly plan once (raw -> prod -> export, search feed)
+    into fresh folders; return where each output went."""
+
+    def build(root: str) -> None:
+        run_monthly(
+            spark,
+            raw_path(spark, sf_dir),
+            f"{root}/prod",
+            RUN,
+            wikis=ALL_WIKIS,
+            search_path=f"{root}/search",
+            export_path=f"{root}/export",
+            dataset_id=RUN_DATASET_ID,
+            insertion_ts=RUN_INSERTION_TS,
+        )
+
+    root = materialize_once(spark, _key("monthly", sf_dir), build)
+    return {"prod": f"{root}/prod", "search": f"{root}/search", "export": f"{root}/export"}
+
+
+def q_monthly_search_feed(spark, sf_dir):
+    return read_search_feed(spark, monthly_run_paths(spark, sf_dir)["search"])
+
+
+def q_monthly_tsv_export(spark, sf_dir):
+    return read_tsv(spark, monthly_run_paths(spark, sf_dir)["export"])
+
+
 def q_tsv_export(spark, sf_dir):
     def build(path):
         export_tsv(prod_table(spark, sf_dir), ALL_WIKIS, RUN_MONTH, path)
@@ -283,6 +325,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_raw": q_scan_raw,
     "with_candidates": q_with_candidates,
     "explode_candidates": q_explode_candidates,
+    "flatten_candidates": q_flatten_candidates,
     "confidence_rating": q_confidence_rating,
     "candidate_source": q_candidate_source,
     "found_on": q_found_on,
@@ -300,7 +343,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_rows_android": q_export_rows_android,
     "export_all_wikis": q_export_all_wikis,
     "export_rows_sql": q_export_rows_sql,
+    "export_rows_sql_android": q_export_rows_sql_android,
     "tsv_export": q_tsv_export,
+    "monthly_search_feed": q_monthly_search_feed,
+    "monthly_tsv_export": q_monthly_tsv_export,
     "partition_counts": q_partition_counts,
     "value_frequencies": q_value_frequencies,
     "row_count": q_row_count,
@@ -463,6 +509,7 @@ _ORACLE_BODIES = {
     "with_candidates": "SELECT page_id, page_title, wiki_db, snapshot, CAST(n_candidates AS INTEGER) AS n_candidates "
     "FROM raw_pages WHERE n_candidates IS NULL OR n_candidates > 0",
     "explode_candidates": "SELECT wiki, page_id, page_title, image_id, rating, note, instance_of FROM exploded",
+    "flatten_candidates": "SELECT wiki, page_id, page_title, image_id, rating, note, instance_of FROM flat",
     "confidence_rating": "SELECT page_id, image_id, rating, confidence_rating FROM parsed WHERE is_candidate",
     "candidate_source": "SELECT page_id, image_id, note, source FROM parsed WHERE is_candidate",
     "found_on": "SELECT page_id, image_id, note, to_json(found_on_list) AS found_on FROM parsed WHERE is_candidate",
@@ -490,7 +537,9 @@ _ORACLE_BODIES = {
     "export_rows_android": f"SELECT * FROM export_android WHERE wiki = '{EXPORT_WIKI}'",
     "export_all_wikis": f"SELECT * FROM export_all WHERE wiki IN ({_ALL_WIKIS_SQL})",
     "export_rows_sql": f"SELECT * FROM export_all WHERE wiki = '{EXPORT_WIKI}'",
+    "export_rows_sql_android": f"SELECT * FROM export_android WHERE wiki = '{EXPORT_WIKI}'",
     "tsv_export": _tsv_oracle(),
+    "monthly_tsv_export": _tsv_oracle(),
     "partition_counts": "SELECT snapshot, wiki, count(*) AS \"count\" FROM prod GROUP BY snapshot, wiki",
     "value_frequencies": _value_frequencies_oracle(),
     "row_count": "SELECT count(*) AS \"rows\" FROM prod",
@@ -507,6 +556,8 @@ _ORACLE_BODIES = {
     f"EXCEPT SELECT * FROM export_all WHERE wiki IN ({_ALL_WIKIS_SQL}))",
 }
 
+_ORACLE_BODIES["monthly_search_feed"] = _ORACLE_BODIES["search_feed"]
+
 _EVENT_ORACLES = {
     "daily_new_pages": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "
     f"WHERE ts >= TIMESTAMP '{DAILY_DAY}' AND ts < TIMESTAMP '{DAILY_DAY}' + INTERVAL 1 DAY GROUP BY event_type",
