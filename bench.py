@@ -20,13 +20,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pagerecs.operators.candidates import stamp_run, transform_candidates  # noqa: E402
 from pagerecs.operators.export import export_tsv  # noqa: E402
 from pagerecs.operators.search import search_feed  # noqa: E402
 from pagerecs.plans import registry  # noqa: E402
+from pagerecs.plans.jobs import publish_prod  # noqa: E402
 from pagerecs.session import local_session  # noqa: E402
 from pagerecs.sources.parquet import read_prod  # noqa: E402
-from pagerecs.sources.sinks import write_prod, write_search_feed  # noqa: E402
+from pagerecs.sources.sinks import write_search_feed  # noqa: E402
 from pagerecs.sources.storage import fresh_path  # noqa: E402
 
 HEADLINE = ("etl_publish", "search_feed_publish", "export_tsv_all_wikis", "daily_new_pages", "profile")
@@ -59,9 +59,8 @@ def main() -> None:
     raw.count()  # list the raw folders once, as a catalog would
 
     def etl():
-        prod = stamp_run(transform_candidates(raw), registry.RUN_MONTH, registry.RUN_DATASET_ID,
-                         registry.RUN_INSERTION_TS)
-        write_prod(prod, fresh_path(spark, "bench-prod"))
+        publish_prod(raw, fresh_path(spark, "bench-prod"), registry.RUN, registry.RUN_DATASET_ID,
+                     registry.RUN_INSERTION_TS)
 
     times["etl_publish"] = _best(etl)
     prod = read_prod(spark, registry.prod_path(spark, sf_dir))

@@ -104,17 +104,10 @@ def parse_pages(raw: DataFrame) -> DataFrame:
     return parsed.withColumn("is_article_page", is_article_page("instance_of"))
 
 
-def transform_candidates(raw: DataFrame, check_schema: bool = True) -> DataFrame:
-    """Raw pages -> the nine production columns (``TRANSFORM_COLUMNS``).
-
-    Same rows as classifying ``flatten_candidates``: pages with a non-NULL
-    array are parsed, then exploded with ``explode_outer`` (an empty array
-    yields the page's single NULL-candidate row), then each candidate is
-    classified.
-    """
-    if check_schema:
-        require_schema(raw, RAW_SCHEMA)
-    pages = parse_pages(raw.where(F.col("top_candidates").isNotNull()))
+def explode_pages(pages: DataFrame) -> DataFrame:
+    """Parsed pages (``parse_pages`` output, NULL arrays already removed) ->
+    one classified row per candidate; an empty array yields the page's single
+    NULL-candidate row (``explode_outer``)."""
     exploded = pages.select(
         F.col("wiki_db").alias("wiki"),
         "page_id",
@@ -137,6 +130,26 @@ def transform_candidates(raw: DataFrame, check_schema: bool = True) -> DataFrame
     )
 
 
+def candidate_pages(raw: DataFrame, check_schema: bool = True) -> DataFrame:
+    """Pages that produce production rows (non-NULL candidate array), with
+    page-level columns parsed. Still one row per page: the natural unit to
+    shuffle, since nothing is duplicated per candidate yet."""
+    if check_schema:
+        require_schema(raw, RAW_SCHEMA)
+    return parse_pages(raw.where(F.col("top_candidates").isNotNull()))
+
+
+def transform_candidates(raw: DataFrame, check_schema: bool = True) -> DataFrame:
+    """Raw pages -> the nine production columns (``TRANSFORM_COLUMNS``).
+
+    Same rows as classifying ``flatten_candidates``: pages with a non-NULL
+    array are parsed, then exploded with ``explode_outer`` (an empty array
+    yields the page's single NULL-candidate row), then each candidate is
+    classified.
+    """
+    return explode_pages(candidate_pages(raw, check_schema))
+
+
 def pages_without_candidates(raw: DataFrame) -> DataFrame:
     """Pages with an empty candidate array, as production rows with NULL
     image_id, confidence_rating, source and found_on."""

@@ -14,17 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.operators.candidates import stamp_run, transform_candidates
-from pagerecs.operators.export import export_tsv
 from pagerecs.operators.profile import (
     confidence_violations,
     pages_without_image,
     partition_counts,
 )
-from pagerecs.operators.search import search_feed
+from pagerecs.plans.jobs import publish_exports, publish_prod, publish_search_feed
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.parquet import read_prod, read_raw
-from pagerecs.sources.sinks import write_prod, write_search_feed
 
 
 @dataclass
@@ -62,16 +59,15 @@ def run_monthly(
     raw = read_raw(spark, raw_path)
     if source_snapshot is not None:
         raw = raw.where(F.col("snapshot") == F.lit(source_snapshot))
-    prod = stamp_run(transform_candidates(raw), snap.month, dataset_id, insertion_ts)
-    write_prod(prod, prod_path)
+    publish_prod(raw, prod_path, snap, dataset_id, insertion_ts)
 
     published = read_prod(spark, prod_path).where(F.col("snapshot") == F.lit(snap.month))
     result = MonthlyResult(snap, dataset_id, prod_path)
     if export_path is not None and wikis:
-        export_tsv(published, wikis, snap.month, export_path, require_image=android)
+        publish_exports(published, export_path, snap, wikis, android)
         result.export_path = export_path
     if search_path is not None:
-        write_search_feed(search_feed(published, snap), search_path)
+        publish_search_feed(published, search_path, snap)
         result.search_path = search_path
     result.profile = {
         "partition_counts": partition_counts(published),

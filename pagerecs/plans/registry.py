@@ -49,13 +49,14 @@ from pagerecs.operators.profile import (
     value_frequencies,
 )
 from pagerecs.operators.search import search_feed
+from pagerecs.plans.jobs import publish_prod
 from pagerecs.plans.monthly import run_monthly
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.catalog import create_external_table
 from pagerecs.sources.derived import WIKIS_BY_CUSTKEY, derive_raw, load_tables
 from pagerecs.sources.parquet import read_prod, read_raw, read_search_feed
-from pagerecs.sources.sinks import prod_order, read_tsv, write_prod, write_search_feed
-from pagerecs.sources.storage import fresh_path, materialize_once
+from pagerecs.sources.sinks import prod_order, read_tsv, write_search_feed
+from pagerecs.sources.storage import materialize_once
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_PARTITION_COLUMNS
 
 # Parameters of the registered run (shared with the oracles).
@@ -113,7 +114,12 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prod_path(spark: SparkSession, sf_dir: str) -> str:
-    return materialize_once(spark, _key("prod", sf_dir), lambda p: write_prod(stamped(spark, sf_dir), p))
+    """The production table, published by the J1 job from the raw table."""
+
+    def build(path: str) -> None:
+        publish_prod(raw_table(spark, sf_dir), path, RUN, RUN_DATASET_ID, RUN_INSERTION_TS)
+
+    return materialize_once(spark, _key("prod", sf_dir), build)
 
 
 def prod_table(spark: SparkSession, sf_dir: str) -> DataFrame:

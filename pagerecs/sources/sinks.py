@@ -24,6 +24,11 @@ TSV_SEPARATOR = "\t"
 TSV_NULL = "\\N"
 
 
+def partitioned_writer(df: DataFrame, partition_by: Sequence[str], max_records_per_file: int | None = None):
+    """Writer that overwrites only the partitions present in ``df``."""
+    return _writer(df, partition_by, max_records_per_file)
+
+
 def _writer(df: DataFrame, partition_by: Sequence[str], max_records_per_file: int | None):
     w = (
         df.write.mode("overwrite")
@@ -63,7 +68,10 @@ def write_prod(
     max_records_per_file: int | None = None,
 ) -> None:
     """Write production rows partitioned by (wiki, snapshot), data columns in
-    table (DDL) order, each file sorted by page_title descending."""
+    table (DDL) order, each file sorted by page_title descending.
+
+    ``sort=False`` writes rows as they come (a frame already ordered by
+    ``prod_order()`` within its partitions keeps that order)."""
     out = df.select(*[f.name for f in PROD_SCHEMA.fields])
     if files_per_partition:
         out = _salted_repartition(out, PROD_PARTITION_COLUMNS, files_per_partition, ("page_id", "image_id"))
