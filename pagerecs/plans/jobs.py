@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagerecs.operators.candidates import candidate_pages, explode_pages, stamp_run
 from pagerecs.operators.export import export_tsv
 from pagerecs.operators.search import search_feed
-from pagerecs.plans.params import Snapshot
+from pagerecs.plans.params import Snapshot, month_of
 from pagerecs.schemas import PROD_SCHEMA
 from pagerecs.sources.sinks import prod_order, write_prod, write_search_feed
 
@@ -35,7 +35,8 @@ def publish_prod(
     max_records_per_file: int | None = None,
 ) -> None:
     """Transform, stamp and write one monthly snapshot of the production
-    table (partitions wiki / month of ``snapshot``).
+    table (partitions wiki / month of ``snapshot``, given as ``YYYY-MM-DD``
+    or ``YYYY-MM``).
 
     With ``sort`` (the default) each file is ordered by page_title descending
     and a partition's files in name order give the global order, as
@@ -44,24 +45,33 @@ def publish_prod(
     candidate, and the range sampler reads un-exploded rows. Each task then
     explodes and sorts its own contiguous range locally.
     """
-    snap = _snapshot(snapshot)
+    month = month_of(snapshot)
     pages = candidate_pages(raw)
     if not sort:
-        rows = stamp_run(explode_pages(pages), snap.month, dataset_id, insertion_ts)
+        rows = stamp_run(explode_pages(pages), month, dataset_id, insertion_ts)
         write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
         return
     clustered = pages.repartitionByRange(
         F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id")
     )
-    rows = stamp_run(explode_pages(clustered), snap.month, dataset_id, insertion_ts)
+    rows = stamp_run(explode_pages(clustered), month, dataset_id, insertion_ts)
     rows = rows.select(*[f.name for f in PROD_SCHEMA.fields]).sortWithinPartitions(*prod_order())
     write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
 
 
-def publish_search_feed(prod: DataFrame, path: str, snapshot: str | Snapshot, **write_options) -> None:
-    """Search feed of the production rows of ``snapshot``'s month."""
+def publish_search_feed(
+    prod: DataFrame,
+    path: str,
+    snapshot: str | Snapshot,
+    *,
+    all_snapshots: bool = False,
+    **write_options,
+) -> None:
+    """Search feed for the daily ``snapshot``, from the production rows of its
+    month (pruned at the scan). ``all_snapshots=True`` reads every production
+    snapshot instead, as the original job did (it read the table root)."""
     snap = _snapshot(snapshot)
-    current = prod.where(F.col("snapshot") == F.lit(snap.month))
+    current = prod if all_snapshots else prod.where(F.col("snapshot") == F.lit(snap.month))
     write_search_feed(search_feed(current, snap), path, **write_options)
 
 
@@ -73,4 +83,4 @@ def publish_exports(
     android: bool = False,
 ) -> None:
     """One header + rows TSV set per wiki for ``snapshot``'s month."""
-    export_tsv(prod, list(wikis), _snapshot(snapshot).month, path, require_image=android)
+    export_tsv(prod, list(wikis), month_of(snapshot), path, require_image=android)

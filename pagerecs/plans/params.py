@@ -55,3 +55,17 @@ class Snapshot:
 
     def __str__(self) -> str:
         return self.day_string
+
+
+def month_of(snapshot: "str | Snapshot") -> str:
+    """Monthly snapshot ``YYYY-MM`` from a daily snapshot (``YYYY-MM-DD`` or a
+    ``Snapshot``) or a monthly one, validated either way."""
+    if isinstance(snapshot, Snapshot):
+        return snapshot.month
+    if isinstance(snapshot, str) and len(snapshot) == 7:
+        try:
+            dt.datetime.strptime(snapshot, "%Y-%m")
+        except ValueError as err:
+            raise ValueError(f"monthly snapshot must be 'YYYY-MM', got {snapshot!r}") from err
+        return snapshot
+    return Snapshot.parse(snapshot).month
