@@ -69,11 +69,11 @@ SEARCH_SCHEMA = StructType(
 )
 SEARCH_PARTITION_COLUMNS = ("year", "month", "day")
 
-# The JSON shape of the instance_of column (a Wikidata entity
+# The JSON shape of the instance_of column (a knowledge-base entity
 # reference); only `id` is used downstream.
 INSTANCE_OF_DDL = "struct<`entity-type`:string,`numeric-id`:bigint,id:string>"
 
-# Wikidata classes whose instances are not article pages
+# Entity classes whose instances are not article pages
 # (year, year BC, calendar year, recurrent timeframe, century leap year,
 # family name, name, disambiguation page, list, natural number, positive
 # integer, non-negative integer).
