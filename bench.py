@@ -21,6 +21,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagerecs.operators.export import export_tsv  # noqa: E402
+from pagerecs.operators.profile import profile_reports  # noqa: E402
 from pagerecs.operators.search import search_feed  # noqa: E402
 from pagerecs.plans import registry  # noqa: E402
 from pagerecs.plans.jobs import publish_prod  # noqa: E402
@@ -75,9 +76,10 @@ def main() -> None:
     q = registry.QUERIES
 
     def profile():
-        for name in ("partition_counts", "value_frequencies", "confidence_by_source", "confidence_violations",
-                     "pages_without_image", "row_count"):
-            q[name](spark, sf_dir).collect()
+        # the J5 notebook's reports: one-pass counts (checkpointed) + value frequencies
+        for report in profile_reports(prod).values():
+            report.collect()
+        q["value_frequencies"](spark, sf_dir).collect()
 
     times["daily_new_pages"] = _best(lambda: q["daily_new_pages"](spark, sf_dir).collect())
     times["profile"] = _best(profile)

@@ -91,3 +91,45 @@ def pages_without_image(prod: DataFrame) -> DataFrame:
         .groupBy("wiki", "snapshot")
         .agg(F.count(F.lit(1)).alias("pages"))
     )
+
+
+def profile_counts(prod: DataFrame) -> DataFrame:
+    """One pass: rows per (snapshot, wiki, confidence_rating, source,
+    without_image). Every count report below is a sum over this frame, whose
+    size is bounded by partitions x ratings x sources x 2, not by the data."""
+    return prod.groupBy(
+        "snapshot",
+        "wiki",
+        "confidence_rating",
+        "source",
+        F.col("image_id").isNull().alias("without_image"),
+    ).agg(F.count(F.lit(1)).alias("count"))
+
+
+def profile_reports(prod: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
+    """partition_counts, confidence_by_source, confidence_violations,
+    pages_without_image and row_count from ONE scan of ``prod``.
+
+    With ``materialize`` the small ``profile_counts`` frame is checkpointed
+    (reliably, in the session's checkpoint folder) so the five reports read
+    it instead of re-scanning the data.
+    """
+    counts = profile_counts(prod)
+    if materialize:
+        from pagerecs.sources.storage import checkpoint
+
+        counts = checkpoint(counts)
+    total = F.sum("count")
+    by_source = counts.groupBy("confidence_rating", "source").agg(total.alias("count"))
+    ok = F.col("source").eqNullSafe(expected_source("confidence_rating"))
+    return {
+        "partition_counts": counts.groupBy("snapshot", "wiki")
+        .agg(total.alias("count"))
+        .orderBy(F.desc("snapshot"), F.asc("wiki")),
+        "confidence_by_source": by_source,
+        "confidence_violations": by_source.where(~ok),
+        "pages_without_image": counts.where("without_image")
+        .groupBy("wiki", "snapshot")
+        .agg(total.alias("pages")),
+        "row_count": counts.select(F.coalesce(total, F.lit(0)).alias("rows")),
+    }

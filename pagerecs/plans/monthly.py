@@ -14,11 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.operators.profile import (
-    confidence_violations,
-    pages_without_image,
-    partition_counts,
-)
+from pagerecs.operators.profile import profile_reports
 from pagerecs.plans.jobs import publish_exports, publish_prod, publish_search_feed
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.parquet import read_prod, read_raw
@@ -69,9 +65,5 @@ def run_monthly(
     if search_path is not None:
         publish_search_feed(published, search_path, snap)
         result.search_path = search_path
-    result.profile = {
-        "partition_counts": partition_counts(published),
-        "confidence_violations": confidence_violations(published),
-        "pages_without_image": pages_without_image(published),
-    }
+    result.profile = profile_reports(published)
     return result

@@ -45,6 +45,7 @@ from pagerecs.operators.profile import (
     confidence_violations,
     pages_without_image,
     partition_counts,
+    profile_counts,
     row_count,
     value_frequencies,
 )
@@ -309,6 +310,10 @@ def q_pages_without_image(spark, sf_dir):
     return pages_without_image(prod_table(spark, sf_dir))
 
 
+def q_profile_counts(spark, sf_dir):
+    return profile_counts(prod_table(spark, sf_dir))
+
+
 def q_frame_diff(spark, sf_dir):
     prod = prod_table(spark, sf_dir)
     return frame_diff(
@@ -359,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confidence_by_source": q_confidence_by_source,
     "confidence_violations": q_confidence_violations,
     "pages_without_image": q_pages_without_image,
+    "profile_counts": q_profile_counts,
     "frame_diff": q_frame_diff,
     "daily_new_pages": q_daily_new_pages,
     "daily_new_pages_one_database": q_daily_new_pages_one_database,
@@ -556,6 +562,8 @@ _ORACLE_BODIES = {
     "WHEN 'high' THEN 'wikidata' WHEN 'medium' THEN 'wikipedia' WHEN 'low' THEN 'commons' END)",
     "pages_without_image": "SELECT wiki, snapshot, count(*) AS pages FROM prod WHERE image_id IS NULL "
     "GROUP BY wiki, snapshot",
+    "profile_counts": "SELECT snapshot, wiki, confidence_rating, source, image_id IS NULL AS without_image, "
+    "count(*) AS \"count\" FROM prod GROUP BY ALL",
     "frame_diff": f"SELECT *, 'left_only' AS side FROM (SELECT * FROM export_all WHERE wiki IN ({_ALL_WIKIS_SQL}) "
     f"EXCEPT SELECT * FROM export_android WHERE wiki IN ({_ALL_WIKIS_SQL})) "
     f"UNION ALL SELECT *, 'right_only' AS side FROM (SELECT * FROM export_android WHERE wiki IN ({_ALL_WIKIS_SQL}) "

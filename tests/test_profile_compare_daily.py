@@ -140,3 +140,19 @@ def test_schema_text(prod):
 
     text = schema_text(prod)
     assert text.startswith("root\n") and " |-- found_on: array (nullable = true)" in text
+
+
+def test_profile_reports_match_single_reports(prod, spark):
+    from pagerecs.operators.profile import profile_reports
+
+    reports = profile_reports(prod)
+    assert_frames_equal(reports["partition_counts"], partition_counts(prod), multiset=True)
+    assert_frames_equal(reports["confidence_by_source"], confidence_by_source(prod), multiset=True)
+    assert_frames_equal(reports["confidence_violations"], confidence_violations(prod), multiset=True)
+    assert_frames_equal(reports["pages_without_image"], pages_without_image(prod), multiset=True)
+    assert reports["row_count"].collect()[0].rows == 5
+    assert dict(reports["row_count"].dtypes)["rows"] == "bigint"
+    # reports read the checkpointed summary, not the data
+    assert "ExistingRDD" in plan_text(reports["confidence_by_source"], "simple")
+    empty = profile_reports(prod.where("false"), materialize=False)
+    assert empty["row_count"].collect()[0].rows == 0
