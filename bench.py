@@ -39,7 +39,7 @@ def _timed(fn):
     return time.perf_counter() - t0
 
 
-def _best(fn, runs: int = 2) -> float:
+def _best(fn, runs: int = 3) -> float:
     """One warm-up run (JIT, codegen caches), then the best of ``runs``."""
     fn()
     return min(_timed(fn) for _ in range(runs))

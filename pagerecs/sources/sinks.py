@@ -128,10 +128,13 @@ def write_tsv(
     """
     data = rows.select(tsv_line(columns).alias("value"), *partition_by)
     if header_partitions:
-        spark = rows.sparkSession
-        header = TSV_SEPARATOR.join(columns)
-        schema = ", ".join(["value string"] + [f"`{p}` string" for p in partition_by])
-        heads = spark.createDataFrame([(header, *map(str, vals)) for vals in header_partitions], schema)
+        header = F.lit(TSV_SEPARATOR.join(columns)).alias("value")
+        structs = [
+            F.struct(header, *[F.lit(str(v)).alias(p) for p, v in zip(partition_by, vals)])
+            for vals in header_partitions
+        ]
+        # one partition, built in the JVM (no Python rows to ship)
+        heads = rows.sparkSession.range(1).select(F.inline(F.array(*structs)))
         data = heads.unionByName(data.select("value", *[F.col(p).cast("string") for p in partition_by]))
     _writer(data, partition_by, max_records_per_file).text(path)
 
