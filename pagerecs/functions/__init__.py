@@ -9,6 +9,7 @@ from pagerecs.functions.candidates import (
     instance_of_id,
     is_article_page,
     rating_value,
+    source_of,
 )
 
 __all__ = [
@@ -18,4 +19,5 @@ __all__ = [
     "instance_of_id",
     "is_article_page",
     "rating_value",
+    "source_of",
 ]

@@ -61,6 +61,9 @@ def candidate_source(note: Column | str = "note") -> Column:
     return expr
 
 
+source_of = candidate_source
+
+
 def found_on(note: Column | str = "note") -> Column:
     """Wikis listed after ``Wikis:`` in the note, whitespace removed, split
     on commas. A note without the marker gives ``[""]``; NULL gives NULL

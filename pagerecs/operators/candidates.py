@@ -176,13 +176,16 @@ def transform_candidates_two_pass(raw: DataFrame) -> DataFrame:
 
 def stamp_run(
     df: DataFrame,
-    snapshot: str,
     dataset_id: str | None = None,
     insertion_ts: float | None = None,
+    snapshot: str | None = None,
 ) -> DataFrame:
     """Add the run columns: dataset_id (default: a fresh uuid), insertion_ts
-    (epoch seconds, default: now) and snapshot. Defaults are evaluated once,
-    on the driver, so every row of a run carries the same values."""
+    (epoch seconds, default: now) and snapshot (the monthly ``YYYY-MM``,
+    required). Defaults are evaluated once, on the driver, so every row of a
+    run carries the same values."""
+    if snapshot is None:
+        raise ValueError("stamp_run needs the run's snapshot")
     if dataset_id is None:
         dataset_id = str(uuid.uuid4())
     if insertion_ts is None:

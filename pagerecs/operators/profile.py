@@ -47,7 +47,7 @@ def render_value(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None, top: int = 20) -> DataFrame:
+def value_frequencies(df: DataFrame, top: int = 20, columns: Sequence[str] | None = None) -> DataFrame:
     """For each column: its ``top`` most frequent values (NULL is a value),
     as (column, value, count, rank); ties ordered by value.
 

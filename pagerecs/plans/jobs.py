@@ -48,13 +48,13 @@ def publish_prod(
     month = month_of(snapshot)
     pages = candidate_pages(raw)
     if not sort:
-        rows = stamp_run(explode_pages(pages), month, dataset_id, insertion_ts)
+        rows = stamp_run(explode_pages(pages), dataset_id, insertion_ts, month)
         write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
         return
     clustered = pages.repartitionByRange(
         F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id")
     )
-    rows = stamp_run(explode_pages(clustered), month, dataset_id, insertion_ts)
+    rows = stamp_run(explode_pages(clustered), dataset_id, insertion_ts, month)
     rows = rows.select(*[f.name for f in PROD_SCHEMA.fields]).sortWithinPartitions(*prod_order())
     write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
 

@@ -111,7 +111,9 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stamp_run(transform_candidates(raw_table(spark, sf_dir)), RUN_MONTH, RUN_DATASET_ID, RUN_INSERTION_TS)
+    return stamp_run(
+        transform_candidates(raw_table(spark, sf_dir)), RUN_DATASET_ID, RUN_INSERTION_TS, snapshot=RUN_MONTH
+    )
 
 
 def prod_path(spark: SparkSession, sf_dir: str) -> str:

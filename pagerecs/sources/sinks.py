@@ -113,7 +113,7 @@ def tsv_line(columns: Sequence[str]) -> Column:
 def write_tsv(
     rows: DataFrame,
     path: str,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     partition_by: Sequence[str] = PROD_PARTITION_COLUMNS,
     header_partitions: Sequence[Sequence[str]] | None = None,
     max_records_per_file: int | None = None,
@@ -125,7 +125,11 @@ def write_tsv(
     first input partitions of a union with the data, so they land in the
     lowest-numbered file of each folder and come first when its files are
     read in name order; the data is written where it is, with no shuffle.
+    ``columns`` defaults to every column, in frame order (partition columns
+    included, as the original export carried ``wiki`` in its rows).
     """
+    if columns is None:
+        columns = list(rows.columns)
     data = rows.select(tsv_line(columns).alias("value"), *partition_by)
     if header_partitions:
         header = F.lit(TSV_SEPARATOR.join(columns)).alias("value")

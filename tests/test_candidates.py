@@ -95,10 +95,10 @@ def test_schema_contract(raw_data):
 
 
 def test_stamp_run(raw_data):
-    out = stamp_run(transform_candidates(raw_data), "2020-12", "ds-1", 1234.5)
+    out = stamp_run(transform_candidates(raw_data), "ds-1", 1234.5, "2020-12")
     vals = {(r.dataset_id, r.insertion_ts, r.snapshot) for r in out.collect()}
     assert vals == {("ds-1", 1234.5, "2020-12")}
-    auto = stamp_run(transform_candidates(raw_data), "2020-12")
+    auto = stamp_run(transform_candidates(raw_data), snapshot="2020-12")
     vals = {(r.dataset_id, r.insertion_ts) for r in auto.collect()}
     assert len(vals) == 1  # one value per run
     assert dict(auto.dtypes)["insertion_ts"] == "double"
@@ -133,3 +133,17 @@ def test_json_parse_runs_once_per_page_before_explode(raw_data, spark, tmp_path)
     parse = next(i for i, line in enumerate(lines) if "from_json" in line)
     assert parse > gen  # printed below the Generate: evaluated on pages
     assert lines[gen].lstrip(" +-").startswith("*(")  # explode stage is code-generated
+
+
+def test_stamp_run_needs_snapshot(raw_data):
+    with pytest.raises(ValueError):
+        stamp_run(transform_candidates(raw_data), "ds", 1.0)
+
+
+def test_survey_signatures(raw_data, spark):
+    from pagerecs.functions import candidate_source, source_of
+    from pagerecs.operators.profile import value_frequencies
+
+    assert source_of is candidate_source
+    prod = stamp_run(transform_candidates(raw_data), "ds-1", 1.0, "2020-12")
+    assert {r.rank for r in value_frequencies(prod, 1).collect()} == {1}

@@ -17,7 +17,7 @@ def test_publish_prod_equals_transform_and_is_ordered(spark, tmp_path):
     raw = raw_table(spark, SF_SMALL)
     out = str(tmp_path / "prod")
     publish_prod(raw, out, "2024-02-01", "ds", 2.0)
-    expected = stamp_run(transform_candidates(raw), "2024-02", "ds", 2.0)
+    expected = stamp_run(transform_candidates(raw), "ds", 2.0, "2024-02")
     assert_frames_equal(read_prod(spark, out), expected, multiset=True)
     for folder in glob.glob(out + "/wiki=*/snapshot=2024-02"):
         titles = []

@@ -20,7 +20,7 @@ from tests.conftest import SF_SMALL, plan_text
 
 @pytest.fixture(scope="module")
 def prod(raw_data):
-    return stamp_run(transform_candidates(raw_data), "2020-12", "ds-1", 5.0)
+    return stamp_run(transform_candidates(raw_data), "ds-1", 5.0, "2020-12")
 
 
 def test_partition_counts_and_row_count(prod):
@@ -53,7 +53,7 @@ def test_value_frequencies(prod, spark):
     assert rows[("is_article_page", 1)] == ("false", 3)
     assert {c for c, _ in rows} == set(prod.columns)
     assert vf.where("rank > 2").count() == 0
-    only = value_frequencies(prod, ["source"], top=20)
+    only = value_frequencies(prod, 20, ["source"])
     assert only.count() == 4 and {r.column for r in only.collect()} == {"source"}
 
 

@@ -15,7 +15,7 @@ from tests.conftest import plan_text
 @pytest.fixture(scope="module")
 def prod_path(raw_data, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("prod") / "imagerec_prod")
-    write_prod(stamp_run(transform_candidates(raw_data), "2020-12", "ds-1", 1700000000.0), path)
+    write_prod(stamp_run(transform_candidates(raw_data), "ds-1", 1700000000.0, "2020-12"), path)
     return path
 
 
@@ -93,7 +93,7 @@ def test_tsv_export_header_first_no_quoting(spark, raw_data, tmp_path):
         "page_title", F.when(F.col("page_id") == 44444, F.lit('Tab\there "quoted"\nline')).otherwise(F.col("page_title"))
     )
     prod_dir = str(tmp_path / "prod")
-    write_prod(stamp_run(transform_candidates(tricky), "2020-12", "ds-1", 1700000000.0), prod_dir)
+    write_prod(stamp_run(transform_candidates(tricky), "ds-1", 1700000000.0, "2020-12"), prod_dir)
     prod = read_prod(spark, prod_dir)
     out = str(tmp_path / "tsv")
     export_tsv(prod, ["arwiki", "enwiki", "kowiki"], "2020-12", out)

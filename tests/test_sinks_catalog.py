@@ -14,7 +14,7 @@ from tests.conftest import SF_SMALL
 
 
 def _prod(spark, snapshot="2024-02"):
-    return stamp_run(transform_candidates(raw_table(spark, SF_SMALL)), snapshot, "ds", 1.0)
+    return stamp_run(transform_candidates(raw_table(spark, SF_SMALL)), "ds", 1.0, snapshot)
 
 
 def _titles_in_name_order(folder):
