@@ -134,12 +134,20 @@ def write_tsv(
     if header_partitions:
         header = F.lit(TSV_SEPARATOR.join(columns)).alias("value")
         structs = [
-            F.struct(header, *[F.lit(str(v)).alias(p) for p, v in zip(partition_by, vals)])
+            F.struct(header, *[F.lit(str(v)).alias(p) for p, v in zip(partition_by, vals)], F.lit(0).alias("_row"))
             for vals in header_partitions
         ]
         # one partition, built in the JVM (no Python rows to ship)
         heads = rows.sparkSession.range(1).select(F.inline(F.array(*structs)))
-        data = heads.unionByName(data.select("value", *[F.col(p).cast("string") for p in partition_by]))
+        body = data.select("value", *[F.col(p).cast("string") for p in partition_by], F.lit(1).alias("_row"))
+        # The writer sorts each task's rows by the partition columns anyway;
+        # the extra key keeps a header first even if it shares a task with
+        # data (Spark may zip the partitions of same-partitioned union inputs).
+        data = (
+            heads.unionByName(body)
+            .sortWithinPartitions(*partition_by, "_row")
+            .select("value", *partition_by)
+        )
     _writer(data, partition_by, max_records_per_file).text(path)
 
 

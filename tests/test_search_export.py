@@ -123,3 +123,36 @@ def test_tsv_null_is_backslash_n(spark, tmp_path):
     out = str(tmp_path / "t")
     write_tsv(df, out, ("x", "y"))
     assert [r.value for r in read_tsv(spark, out).collect()] == ["a\t\\N"]
+
+
+def test_tsv_header_first_when_sharing_a_task(spark, prod, tmp_path):
+    import glob
+
+    from pagerecs.sources.sinks import write_tsv
+
+    rows = export_rows(prod, "arwiki", "2020-12").withColumn("snapshot", F.lit("2020-12")).coalesce(1)
+    out = str(tmp_path / "one")
+    write_tsv(rows, out, EXPORT_COLUMNS, header_partitions=[("arwiki", "2020-12")])
+    lines = []
+    for f in sorted(glob.glob(out + "/wiki=arwiki/snapshot=2020-12/part-*")):
+        with open(f, encoding="utf-8") as fh:
+            lines += fh.read().splitlines()
+    assert lines[0] == "\t".join(EXPORT_COLUMNS) and len(lines) == 3
+
+
+def test_tsv_write_has_no_shuffle(spark, prod, tmp_path):
+    from pagerecs.sources import sinks
+
+    captured = {}
+    original = sinks._writer
+
+    def capture(df, partition_by, max_records_per_file):
+        captured["df"] = df
+        return original(df, partition_by, max_records_per_file)
+
+    sinks._writer = capture
+    try:
+        export_tsv(prod, ["arwiki"], "2020-12", str(tmp_path / "t"))
+    finally:
+        sinks._writer = original
+    assert "Exchange" not in plan_text(captured["df"], "simple")
