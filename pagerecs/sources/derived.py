@@ -7,8 +7,8 @@ flat tables. Deterministic: no clocks, no order-dependent output (array
 order is irrelevant, every consumer treats the output as a bag).
 
 Plan: ``lineitem`` is hash-aggregated by order key into one candidate array
-per order, then left-joined to ``orders`` on the same key, so the join
-reuses the aggregate's partitioning (one shuffle per side). The array size
+per order, then sort-merge-joined (left) to ``orders`` on the same key, so
+the join reuses the aggregate's partitioning (one shuffle per side). The array size
 per page is bounded by the number of line items per order (at most 7 in
 TPC-H), which is what keeps ``collect_list`` safe here; a production raw
 table arrives already nested.
@@ -104,7 +104,10 @@ def derive_raw(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     top = F.when(F.col("page_id") % NULL_ARRAY_MODULUS == 0, F.lit(None).cast(array_type)).otherwise(
         F.coalesce(F.col("top_candidates"), F.array().cast(array_type))
     )
-    joined = derive_pages(orders).join(arrays, "page_id", "left")
+    # Both sides grow with the data: a merge join, never a broadcast decided
+    # on an estimate. The aggregate is already hash-partitioned on page_id,
+    # so only `orders` is shuffled for it.
+    joined = derive_pages(orders).join(arrays.hint("merge"), "page_id", "left")
     return joined.select(
         "item_id",
         "page_id",
