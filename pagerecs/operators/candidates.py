@@ -1,8 +1,8 @@
 """Nested candidates per page -> one typed row per (page, image).
 
-The whole transform is one narrow stage (scan -> filter -> generate ->
-project): no shuffle, so it scales linearly with executors and needs no
-skew handling. Pages without candidates are produced by the same
+The whole transform is narrow (scan -> filter -> per-page parse ->
+generate -> per-candidate project): no shuffle, so it scales linearly with
+executors and needs no skew handling. Pages without candidates are produced by the same
 ``explode_outer`` pass instead of a second scan plus a union.
 """
 
