@@ -44,6 +44,11 @@ def publish_prod(
     explode: page-level columns travel once per page instead of once per
     candidate, and the range sampler reads un-exploded rows. Each task then
     explodes and sorts its own contiguous range locally.
+
+    Skew: a hot wiki (or many pages sharing a title) is split across tasks by
+    the (page_title, page_id) range bounds. A single page cannot be split,
+    but it is one input row already read whole by one scan task, so the
+    per-task work stays bounded by the largest input row, not by the data.
     """
     month = month_of(snapshot)
     pages = candidate_pages(raw)
