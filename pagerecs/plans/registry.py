@@ -463,11 +463,11 @@ _ALL_WIKIS_SQL = ", ".join(f"'{w}'" for w in ALL_WIKIS)
 
 _PROD_COLUMNS = (
     "page_id, page_title, image_id, confidence_rating, source, instance_of, is_article_page, "
-    "dataset_id, insertion_ts, to_json(found_on) AS found_on, wiki, snapshot"
+    "dataset_id, insertion_ts, CAST(to_json(found_on) AS VARCHAR) AS found_on, wiki, snapshot"
 )
 _TRANSFORM_COLUMNS = (
     "wiki, page_id, page_title, image_id, confidence_rating, source, instance_of, "
-    "to_json(found_on) AS found_on, is_article_page"
+    "CAST(to_json(found_on) AS VARCHAR) AS found_on, is_article_page"
 )
 
 
@@ -526,7 +526,7 @@ _ORACLE_BODIES = {
     "flatten_candidates": "SELECT wiki, page_id, page_title, image_id, rating, note, instance_of FROM flat",
     "confidence_rating": "SELECT page_id, image_id, rating, confidence_rating FROM parsed WHERE is_candidate",
     "candidate_source": "SELECT page_id, image_id, note, source FROM parsed WHERE is_candidate",
-    "found_on": "SELECT page_id, image_id, note, to_json(found_on_list) AS found_on FROM parsed WHERE is_candidate",
+    "found_on": "SELECT page_id, image_id, note, CAST(to_json(found_on_list) AS VARCHAR) AS found_on FROM parsed WHERE is_candidate",
     "instance_of_id": "SELECT page_id, instance_of, CASE WHEN json_valid(instance_of) "
     "THEN json_extract_string(instance_of, '$.id') END AS instance_of_id FROM raw_pages",
     "is_article_page": "SELECT page_id, instance_of_id, coalesce(NOT (instance_of_id IN (__NON_ARTICLE__)), true) "
