@@ -79,4 +79,8 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(sql)
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    rel = duck.sql(sql)
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    names = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    assert {c: names.get(t, t) for c, t in df.dtypes} == duck_types
     assert _bag(df.columns, [tuple(r) for r in df.collect()]) == _bag(ocols, res.fetchall())
