@@ -238,18 +238,20 @@ def q_export_all_wikis(spark, sf_dir):
     return export_rows(prod_table(spark, sf_dir), ALL_WIKIS, RUN_MONTH)
 
 
-def q_export_rows_sql(spark, sf_dir):
+def prod_catalog_table(spark: SparkSession, sf_dir: str) -> str:
+    """The published production folder as an external catalog table (created
+    if missing, partitions repaired); one table name per folder."""
     path = prod_path(spark, sf_dir)
     name = "imagerec_prod_" + os.path.basename(path).replace("-", "_")
-    table = create_external_table(spark, "prod", path, name=name)
-    return export_rows_sql(spark, table, EXPORT_WIKI, RUN_MONTH)
+    return create_external_table(spark, "prod", path, name=name)
+
+
+def q_export_rows_sql(spark, sf_dir):
+    return export_rows_sql(spark, prod_catalog_table(spark, sf_dir), EXPORT_WIKI, RUN_MONTH)
 
 
 def q_export_rows_sql_android(spark, sf_dir):
-    path = prod_path(spark, sf_dir)
-    name = "imagerec_prod_" + os.path.basename(path).replace("-", "_")
-    table = create_external_table(spark, "prod", path, name=name)
-    return export_rows_sql(spark, table, EXPORT_WIKI, RUN_MONTH, require_image=True)
+    return export_rows_sql(spark, prod_catalog_table(spark, sf_dir), EXPORT_WIKI, RUN_MONTH, require_image=True)
 
 
 def monthly_run_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
