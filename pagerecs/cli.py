@@ -28,20 +28,20 @@ def _parser() -> argparse.ArgumentParser:
 
     j1 = sub.add_parser("publish-prod", help="raw table -> production table")
     j1.add_argument("--snapshot", required=True, help="monthly (YYYY-MM) or daily (YYYY-MM-DD) snapshot")
-    j1.add_argument("--source", required=True, help="raw table path")
+    j1.add_argument("--source", required=True, help="raw table path or catalog table name")
     j1.add_argument("--destination", required=True, help="production table path")
     j1.add_argument("--dataset-id", dest="dataset_id", default=None, help="default: a fresh uuid")
     j1.add_argument("--no-sort", dest="sort", action="store_false")
 
     j2 = sub.add_parser("search-feed", help="production table -> search feed")
     j2.add_argument("--snapshot", required=True, help="daily snapshot YYYY-MM-DD")
-    j2.add_argument("--source", required=True, help="production table path")
+    j2.add_argument("--source", required=True, help="production table path or catalog table name")
     j2.add_argument("--destination", required=True, help="search feed path")
     j2.add_argument("--all-snapshots", action="store_true", help="read every production snapshot")
 
     j3 = sub.add_parser("export", help="production table -> TSV per wiki")
     j3.add_argument("--snapshot", required=True, help="monthly or daily snapshot")
-    j3.add_argument("--source", required=True, help="production table path")
+    j3.add_argument("--source", required=True, help="production table path or catalog table name")
     j3.add_argument("--destination", required=True, help="export folder")
     j3.add_argument("--wiki", nargs="+", required=True)
     j3.add_argument("--android", action="store_true", help="rows with an image only")
@@ -87,18 +87,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.getOrCreate()
     from pagerecs.plans import jobs
     from pagerecs.sources import catalog
-    from pagerecs.sources.parquet import read_prod, read_raw
+    from pagerecs.sources.parquet import open_prod, open_raw
 
     if args.command == "publish-prod":
         dataset_id = args.dataset_id or str(uuid.uuid4())
-        jobs.publish_prod(read_raw(spark, args.source), args.destination, args.snapshot, dataset_id,
+        jobs.publish_prod(open_raw(spark, args.source), args.destination, args.snapshot, dataset_id,
                           sort=args.sort)
         print(f"dataset_id={dataset_id}")
     elif args.command == "search-feed":
-        jobs.publish_search_feed(read_prod(spark, args.source), args.destination, args.snapshot,
+        jobs.publish_search_feed(open_prod(spark, args.source), args.destination, args.snapshot,
                                  all_snapshots=args.all_snapshots)
     elif args.command == "export":
-        jobs.publish_exports(read_prod(spark, args.source), args.destination, args.snapshot, args.wiki,
+        jobs.publish_exports(open_prod(spark, args.source), args.destination, args.snapshot, args.wiki,
                              android=args.android)
     elif args.command == "monthly":
         from pagerecs.plans.monthly import run_monthly

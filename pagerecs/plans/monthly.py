@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pagerecs.operators.profile import profile_reports
 from pagerecs.plans.jobs import publish_exports, publish_prod, publish_search_feed
 from pagerecs.plans.params import Snapshot
-from pagerecs.sources.parquet import read_prod, read_raw
+from pagerecs.sources.parquet import open_raw, read_prod
 
 
 @dataclass
@@ -32,7 +32,7 @@ class MonthlyResult:
 
 def run_monthly(
     spark: SparkSession,
-    raw_path: str,
+    raw_source: str,
     prod_path: str,
     snapshot: str | Snapshot,
     *,
@@ -46,13 +46,14 @@ def run_monthly(
 ) -> MonthlyResult:
     """Publish one monthly snapshot.
 
-    ``snapshot`` is the daily run date (validated first, before any Spark
-    work); production partitions are named by its month. ``source_snapshot``
+    ``raw_source`` is a path or a catalog table name. ``snapshot`` is the
+    daily run date (validated first, before any Spark work); production
+    partitions are named by its month. ``source_snapshot``
     restricts the raw input to one raw partition (pruned at the scan); by
     default every raw row is published under this run's snapshot.
     """
     snap = snapshot if isinstance(snapshot, Snapshot) else Snapshot.parse(snapshot)
-    raw = read_raw(spark, raw_path)
+    raw = open_raw(spark, raw_source)
     if source_snapshot is not None:
         raw = raw.where(F.col("snapshot") == F.lit(source_snapshot))
     publish_prod(raw, prod_path, snap, dataset_id, insertion_ts)

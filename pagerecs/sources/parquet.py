@@ -25,3 +25,24 @@ def read_prod(spark: SparkSession, path: str, schema: StructType | None = PROD_S
 
 def read_search_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEARCH_SCHEMA).parquet(path)
+
+
+def is_table_name(source: str) -> bool:
+    """``db.table`` / ``table`` rather than a path (paths contain ``/`` or a
+    scheme such as ``hdfs:``)."""
+    return "/" not in source and ":" not in source
+
+
+def open_raw(spark: SparkSession, source: str) -> DataFrame:
+    """Raw input from a path or a catalog table. A partitioned catalog table
+    keeps its partitions in the catalog, so filters on wiki_db/snapshot are
+    pruned before any folder is listed -- at scale this replaces listing
+    every partition folder of the table on each read."""
+    if is_table_name(source):
+        return require_schema(spark.table(source), RAW_SCHEMA)
+    return read_raw(spark, source)
+
+
+def open_prod(spark: SparkSession, source: str) -> DataFrame:
+    """Production table from a path or a catalog table (see ``open_raw``)."""
+    return spark.table(source) if is_table_name(source) else read_prod(spark, source)

@@ -146,3 +146,23 @@ def test_hot_partition_is_split_across_tasks(spark, tmp_path):
     assert len(glob.glob(hot + "/*.parquet")) > 1
     assert _desc_nulls_last(_titles_in_name_order(hot))
     assert read_prod(spark, out).count() == prod.count()
+
+
+def test_catalog_table_prunes_partitions_before_listing(spark, tmp_path):
+    from pagerecs.sources.parquet import is_table_name, open_raw
+
+    raw_dir = str(tmp_path / "raw")
+    raw = raw_table(spark, SF_SMALL).where("snapshot IN ('1995-01', '1995-02', '1995-03')")
+    raw.write.partitionBy("wiki_db", "snapshot").parquet(raw_dir)
+    table = create_external_table(spark, "raw", raw_dir, database="pagerecs_prune", name="raw_prune")
+    assert is_table_name(table) and not is_table_name(raw_dir) and not is_table_name("hdfs:x")
+    one = open_raw(spark, table).where("snapshot = '1995-02'")
+    from tests.conftest import plan_text
+
+    location = next(line for line in plan_text(one).splitlines() if line.startswith("Location:"))
+    # catalog-tracked partitions: the file index holds only the matching folders
+    assert "snapshot=1995-02" in location and "1995-01" not in location and "1995-03" not in location
+    assert one.count() == raw.where("snapshot = '1995-02'").count()
+    by_path = plan_text(open_raw(spark, raw_dir).where("snapshot = '1995-02'"))
+    path_location = next(line for line in by_path.splitlines() if line.startswith("Location:"))
+    assert "snapshot=" not in path_location  # a path read indexes the whole table root
