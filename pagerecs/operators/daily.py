@@ -49,3 +49,41 @@ def daily_new_pages(
         .groupBy(F.col(database_col).alias("database"))
         .agg(F.count(F.lit(1)).alias("count_of_new_pages"))
     )
+
+
+# The same count as SQL text over a catalog table or view. Names go through
+# IDENTIFIER() and values through named markers: nothing is formatted in.
+DAILY_SQL_PARTITIONED = """
+SELECT IDENTIFIER(:database_col) AS database, count(*) AS count_of_new_pages
+FROM IDENTIFIER(:table)
+WHERE year = :year AND month = :month AND day = :day
+  AND (:database IS NULL OR IDENTIFIER(:database_col) = :database)
+GROUP BY IDENTIFIER(:database_col)
+"""
+
+DAILY_SQL_TIMESTAMP = """
+SELECT IDENTIFIER(:database_col) AS database, count(*) AS count_of_new_pages
+FROM IDENTIFIER(:table)
+WHERE IDENTIFIER(:ts_col) >= CAST(:start AS TIMESTAMP_NTZ) AND IDENTIFIER(:ts_col) < CAST(:end AS TIMESTAMP_NTZ)
+  AND (:database IS NULL OR IDENTIFIER(:database_col) = :database)
+GROUP BY IDENTIFIER(:database_col)
+"""
+
+
+def daily_new_pages_sql(
+    spark,
+    table: str,
+    day,
+    database: str | None = None,
+    *,
+    database_col: str = "database",
+    ts_col: str | None = None,
+) -> DataFrame:
+    """``daily_new_pages`` as parameterised SQL over ``table``."""
+    d = _as_date(day)
+    args = {"table": table, "database_col": database_col, "database": database}
+    if ts_col is None:
+        args.update(year=d.year, month=d.month, day=d.day)
+        return spark.sql(DAILY_SQL_PARTITIONED, args=args)
+    args.update(ts_col=ts_col, start=d.isoformat(), end=(d + dt.timedelta(days=1)).isoformat())
+    return spark.sql(DAILY_SQL_TIMESTAMP, args=args)

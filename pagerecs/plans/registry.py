@@ -14,6 +14,7 @@ nesting. Array columns are compared as their JSON text.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import weakref
 from collections.abc import Callable
@@ -38,7 +39,7 @@ from pagerecs.operators.candidates import (
     with_candidates,
 )
 from pagerecs.operators.compare import frame_diff
-from pagerecs.operators.daily import daily_new_pages
+from pagerecs.operators.daily import daily_new_pages, daily_new_pages_sql
 from pagerecs.operators.export import EXPORT_COLUMNS, export_rows, export_rows_sql, export_tsv
 from pagerecs.operators.profile import (
     confidence_by_source,
@@ -336,6 +337,13 @@ def q_daily_new_pages_one_database(spark, sf_dir):
     return daily_new_pages(events, DAILY_DAY, DAILY_DATABASE, database_col="event_type", ts_col="ts")
 
 
+def q_daily_new_pages_sql(spark, sf_dir):
+    (events,) = load_tables(spark, sf_dir, "events")
+    view = "pagerecs_events_" + hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
+    events.createOrReplaceTempView(view)
+    return daily_new_pages_sql(spark, view, DAILY_DAY, database_col="event_type", ts_col="ts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_raw": q_scan_raw,
     "with_candidates": q_with_candidates,
@@ -372,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frame_diff": q_frame_diff,
     "daily_new_pages": q_daily_new_pages,
     "daily_new_pages_one_database": q_daily_new_pages_one_database,
+    "daily_new_pages_sql": q_daily_new_pages_sql,
 }
 
 
@@ -577,6 +586,8 @@ _ORACLE_BODIES = {
 _ORACLE_BODIES["monthly_search_feed"] = _ORACLE_BODIES["search_feed"]
 
 _EVENT_ORACLES = {
+    "daily_new_pages_sql": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "
+    f"WHERE ts >= TIMESTAMP '{DAILY_DAY}' AND ts < TIMESTAMP '{DAILY_DAY}' + INTERVAL 1 DAY GROUP BY event_type",
     "daily_new_pages": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "
     f"WHERE ts >= TIMESTAMP '{DAILY_DAY}' AND ts < TIMESTAMP '{DAILY_DAY}' + INTERVAL 1 DAY GROUP BY event_type",
     "daily_new_pages_one_database": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "

@@ -156,3 +156,23 @@ def test_profile_reports_match_single_reports(prod, spark):
     assert "ExistingRDD" in plan_text(reports["confidence_by_source"], "simple")
     empty = profile_reports(prod.where("false"), materialize=False)
     assert empty["row_count"].collect()[0].rows == 0
+
+
+def test_daily_new_pages_sql_matches_dataframe(spark):
+    from pagerecs.operators.daily import daily_new_pages_sql
+
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.createOrReplaceTempView("events_sql_test")
+    for db in (None, "signup"):
+        assert_frames_equal(
+            daily_new_pages_sql(spark, "events_sql_test", "2024-01-15", db, database_col="event_type", ts_col="ts"),
+            daily_new_pages(events, "2024-01-15", db, database_col="event_type", ts_col="ts"),
+            multiset=True,
+        )
+    spark.createDataFrame(
+        [("enwiki", 2024, 1, 15), ("enwiki", 2024, 1, 15), ("de'wiki", 2024, 1, 15), ("enwiki", 2024, 1, 14)],
+        "database string, year int, month int, day int",
+    ).createOrReplaceTempView("page_create_sql_test")
+    got = {tuple(r) for r in daily_new_pages_sql(spark, "page_create_sql_test", "2024-01-15").collect()}
+    assert got == {("enwiki", 2), ("de'wiki", 1)}
+    assert daily_new_pages_sql(spark, "page_create_sql_test", "2024-01-15", "x' OR '1'='1").count() == 0
