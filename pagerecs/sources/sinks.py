@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from pagerecs.schemas import PROD_PARTITION_COLUMNS, PROD_SCHEMA, SEARCH_PARTITION_COLUMNS
 
@@ -97,17 +98,25 @@ def write_search_feed(
     _writer(out, SEARCH_PARTITION_COLUMNS, max_records_per_file).parquet(path)
 
 
-def tsv_field(c: Column | str) -> Column:
+def tsv_field(c: Column | str, text_like: bool = True) -> Column:
     """One TSV field as Hive's text format writes it: string form, NULL as
     ``\\N``, no quoting. Tabs and line breaks inside a value would split the
-    row, so they become spaces."""
+    row, so they become spaces (a per-character ``translate``, no regex);
+    ``text_like=False`` skips that for numbers and booleans, which cannot
+    contain them."""
     c = F.col(c) if isinstance(c, str) else c
-    text = F.regexp_replace(c.cast("string"), r"[\t\n\r]", " ")
+    text = c.cast("string")
+    if text_like:
+        text = F.translate(text, "\t\n\r", "   ")
     return F.coalesce(text, F.lit(TSV_NULL))
 
 
-def tsv_line(columns: Sequence[str]) -> Column:
-    return F.concat_ws(TSV_SEPARATOR, *[tsv_field(c) for c in columns])
+def tsv_line(columns: Sequence[str], df: DataFrame | None = None) -> Column:
+    """Fields joined by tabs; with ``df`` the column types decide which
+    fields need the tab/newline replacement."""
+    plain = (NumericType, BooleanType)
+    kinds = {f.name: not isinstance(f.dataType, plain) for f in df.schema.fields} if df is not None else {}
+    return F.concat_ws(TSV_SEPARATOR, *[tsv_field(c, kinds.get(c, True)) for c in columns])
 
 
 def write_tsv(
@@ -130,7 +139,7 @@ def write_tsv(
     """
     if columns is None:
         columns = list(rows.columns)
-    data = rows.select(tsv_line(columns).alias("value"), *partition_by)
+    data = rows.select(tsv_line(columns, rows).alias("value"), *partition_by)
     if header_partitions:
         header = F.lit(TSV_SEPARATOR.join(columns)).alias("value")
         structs = [
