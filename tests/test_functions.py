@@ -51,9 +51,11 @@ def test_found_on_without_marker_is_single_empty_string(spark):
 
 
 def test_instance_of_id(spark):
-    values = [Q577, "{bad", "", "null", "[]", '{"id":5}', '{"id":"Q1","numeric-id":"x"}', None]
+    values = [Q577, "{bad", "", "null", "[]", '{"id":5}', '{"id":"Q1","numeric-id":"x"}', None,
+              '{"id":"A","id":"B"}', '{"x":{"id":"Q2"}}', '{"id":"Q1"']
     got = [r.i for r in _one_col(spark, values).select(instance_of_id("v").alias("i")).collect()]
-    assert got == ["Q577", None, None, None, None, "5", "Q1", None]
+    # duplicate keys: the last one wins, as with the original's from_json
+    assert got == ["Q577", None, None, None, None, "5", "Q1", None, "B", None, None]
 
 
 def test_is_article_page(spark):
