@@ -115,3 +115,81 @@ def test_value_frequencies_matches_brute_force(spark, rows, top):
         ordered = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0] is not None, kv[0] or ""))
         want += [(name, rank, value, n) for rank, (value, n) in enumerate(ordered[:top], start=1)]
     assert got == sorted(want)
+
+
+
+
+def model_instance_id(text):
+    import json
+
+    if text is None:
+        return None
+    try:
+        obj = json.loads(text)
+    except ValueError:
+        return None
+    if not isinstance(obj, dict) or obj.get("id") is None:
+        return None
+    v = obj["id"]
+    return v if isinstance(v, str) else json.dumps(v)
+
+
+def model_transform(pages):
+    """The original's semantics: pages with a non-empty (or NULL) array are
+    exploded (NULL arrays then vanish), pages with an empty array give one
+    NULL row; instance_of is parsed afterwards and drives the article flag."""
+    from pagerecs.schemas import NON_ARTICLE_INSTANCES
+
+    out = []
+    for page_id, cands, inst in pages:
+        entity = model_instance_id(inst)
+        article = entity not in NON_ARTICLE_INSTANCES
+        if cands is None:
+            continue
+        if not cands:
+            out.append((page_id, None, None, None, entity, None, article))
+            continue
+        for c in cands:
+            c = c or {}
+            rating = model_rating(c.get("rating"))
+            conf = {1: "high", 2: "medium", 3: "low"}.get(rating)
+            note = c.get("note")
+            found = model_found_on(note)
+            out.append((page_id, c.get("image"), conf, model_source(note), entity,
+                        None if found is None else tuple(found), article))
+    return out
+
+
+candidate = st.one_of(
+    st.none(),
+    st.fixed_dictionaries(
+        {},
+        optional={
+            "image": st.sampled_from(["a.jpg", "b.jpg", None]),
+            "rating": st.sampled_from(["1", "2.0", "3.0", "4", " 2 ", "x", None]),
+            "note": note_text,
+        },
+    ),
+)
+page = st.tuples(
+    st.one_of(st.none(), st.lists(candidate, max_size=4)),
+    st.sampled_from([None, '{"id":"Q577"}', '{"id":"Q5"}', "{bad", '{"id":"Q4167410","numeric-id":1}', "[]"]),
+)
+
+
+@SETTINGS
+@given(st.lists(page, min_size=1, max_size=25))
+def test_transform_matches_model(spark, generated):
+    from pagerecs.operators.candidates import transform_candidates
+    from pagerecs.schemas import RAW_SCHEMA
+
+    pages = [(i, cands, inst) for i, (cands, inst) in enumerate(generated)]
+    raw = spark.createDataFrame(
+        [(f"Q{i}", i, f"t{i}", cands, inst, "kowiki", "2024-01") for i, cands, inst in pages], RAW_SCHEMA
+    )
+    got = Counter(
+        (r.page_id, r.image_id, r.confidence_rating, r.source, r.instance_of,
+         None if r.found_on is None else tuple(r.found_on), r.is_article_page)
+        for r in transform_candidates(raw).collect()
+    )
+    assert got == Counter(model_transform(pages))
