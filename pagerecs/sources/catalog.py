@@ -70,9 +70,10 @@ def create_external_table(
     return full
 
 
-def repair_partitions(spark: SparkSession, table: str) -> None:
-    """Add partitions present on storage and drop vanished ones."""
-    spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+def repair_partitions(spark: SparkSession, table: str, sync: bool = False) -> None:
+    """Register partitions present on storage but missing from the catalog.
+    ``sync=True`` also drops catalog partitions whose folders are gone."""
+    spark.sql(f"MSCK REPAIR TABLE {table}" + (" SYNC PARTITIONS" if sync else ""))
 
 
 def use_database(spark: SparkSession, database: str) -> None:

@@ -166,3 +166,18 @@ def test_catalog_table_prunes_partitions_before_listing(spark, tmp_path):
     by_path = plan_text(open_raw(spark, raw_dir).where("snapshot = '1995-02'"))
     path_location = next(line for line in by_path.splitlines() if line.startswith("Location:"))
     assert "snapshot=" not in path_location  # a path read indexes the whole table root
+
+
+def test_repair_adds_by_default_and_syncs_on_request(spark, tmp_path):
+    import shutil
+
+    prod_dir = str(tmp_path / "prod")
+    write_prod(_prod(spark, "2024-01"), prod_dir)
+    write_prod(_prod(spark, "2024-02"), prod_dir)
+    table = create_external_table(spark, "prod", prod_dir, database="pagerecs_repair")
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8
+    shutil.rmtree(prod_dir + "/wiki=kowiki/snapshot=2024-01")  # test-owned temp folder
+    repair_partitions(spark, table)
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8  # add-only
+    repair_partitions(spark, table, sync=True)
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 7
