@@ -169,15 +169,15 @@ def test_catalog_table_prunes_partitions_before_listing(spark, tmp_path):
 
 
 def test_repair_adds_by_default_and_syncs_on_request(spark, tmp_path):
-    import shutil
-
     prod_dir = str(tmp_path / "prod")
     write_prod(_prod(spark, "2024-01"), prod_dir)
-    write_prod(_prod(spark, "2024-02"), prod_dir)
     table = create_external_table(spark, "prod", prod_dir, database="pagerecs_repair")
-    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8
-    shutil.rmtree(prod_dir + "/wiki=kowiki/snapshot=2024-01")  # test-owned temp folder
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 4
+    # a catalog partition whose folder does not exist
+    missing = str(tmp_path / "never-written")
+    spark.sql(f"ALTER TABLE {table} ADD PARTITION (wiki='xxwiki', snapshot='2024-01') LOCATION '{missing}'")
+    write_prod(_prod(spark, "2024-02"), prod_dir)
     repair_partitions(spark, table)
-    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8  # add-only
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9  # add-only
     repair_partitions(spark, table, sync=True)
-    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 7
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8
