@@ -6,7 +6,8 @@ and prints ONE JSON line: {"metric", "value", "unit", "queries", "sf"}.
 ``value`` is the wall time of the five published jobs end to end (J1 ETL
 publish, J2 search feed publish, J3 TSV export of all wikis, J4 daily
 count, J5 profile). The one-time derivation of the raw input from the
-TPC-H-style tables (``derive_raw``) and the operator-level timings are
+TPC-H-style tables (``derive_raw``, always a fresh build in a cold JVM)
+and the operator-level timings are
 reported in ``queries`` but not in ``value``.
 """
 
@@ -27,6 +28,7 @@ from pagerecs.plans import registry  # noqa: E402
 from pagerecs.plans.jobs import publish_prod  # noqa: E402
 from pagerecs.session import local_session  # noqa: E402
 from pagerecs.sources.parquet import read_prod  # noqa: E402
+from pagerecs.sources.derived import derive_raw, load_tables  # noqa: E402
 from pagerecs.sources.sinks import write_search_feed  # noqa: E402
 from pagerecs.sources.storage import fresh_path  # noqa: E402
 
@@ -55,7 +57,13 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="pagerecs-bench")
     times: dict[str, float] = {}
 
-    times["derive_raw"] = _timed(lambda: registry.raw_path(spark, sf_dir))
+    def derive():
+        # always a fresh build (the registry may reuse an earlier one)
+        orders, lineitem = load_tables(spark, sf_dir, "orders", "lineitem")
+        derive_raw(orders, lineitem).write.partitionBy("wiki_db", "snapshot").parquet(fresh_path(spark, "bench-raw"))
+
+    times["derive_raw"] = _timed(derive)
+    registry.raw_path(spark, sf_dir)
     raw = registry.raw_table(spark, sf_dir)
     raw.count()  # list the raw folders once, as a catalog would
 

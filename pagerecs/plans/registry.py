@@ -77,8 +77,38 @@ DAILY_DATABASE = "signup"
 # Derived inputs, written once per process and sf directory.
 
 
+def _code_version() -> str:
+    """Hash of the package source: any code change gives new fixtures."""
+    global _CODE_VERSION
+    if _CODE_VERSION is None:
+        h = hashlib.sha1()
+        base = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        for folder, _, files in sorted(os.walk(base)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    with open(os.path.join(folder, name), "rb") as fh:
+                        h.update(name.encode() + fh.read())
+        _CODE_VERSION = h.hexdigest()[:16]
+    return _CODE_VERSION
+
+
+_CODE_VERSION: str | None = None
+
+
+def _inputs_version(sf_dir: str) -> str:
+    """Size and mtime of the input tables when they are local files."""
+    parts = []
+    for name in ("orders", "lineitem"):
+        try:
+            st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            parts.append(f"{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append("?")
+    return ",".join(parts)
+
+
 def _key(kind: str, sf_dir: str) -> str:
-    return f"{kind}|{os.path.abspath(sf_dir)}"
+    return f"{kind}|{os.path.abspath(sf_dir)}|{_code_version()}|{_inputs_version(sf_dir)}"
 
 
 def raw_path(spark: SparkSession, sf_dir: str) -> str:

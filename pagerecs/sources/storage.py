@@ -54,25 +54,52 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _MATERIALIZED: dict[tuple[str, str], str] = {}
 
 
-def materialize_once(spark: SparkSession, key: str, build) -> str:
-    """Path of a table written once per scratch root and ``key``.
+def _read_marker(spark: SparkSession, marker: str) -> str | None:
+    from pyspark.errors import AnalysisException
 
-    ``build(path)`` must write the table to ``path``. Reused by later calls in
-    the same process, so derived inputs are computed once and every query
-    after that reads them like production input.
+    try:
+        rows = spark.read.text(marker).collect()
+    except AnalysisException:
+        return None
+    return rows[0].value if rows else None
+
+
+def _write_marker(spark: SparkSession, marker: str, path: str) -> None:
+    from pyspark.sql import functions as F
+
+    try:
+        spark.range(1).select(F.lit(path).alias("value")).write.mode("overwrite").text(marker)
+    except Exception:  # another process is writing the same marker; its build is as good
+        pass
+
+
+def materialize_once(spark: SparkSession, key: str, build, fingerprint: str = "") -> str:
+    """Path of a table built by ``build(path)``, reused while ``key`` and
+    ``fingerprint`` are unchanged.
+
+    Every build goes to a fresh folder; only after it completes is a small
+    marker written next to it naming that folder. Later calls -- in this
+    process or another one sharing the scratch root -- read the marker and
+    reuse the table. A crashed or concurrent build never leaves a marker to a
+    half-written folder. ``fingerprint`` should change whenever the built
+    content would (code version, input files).
     """
     root = scratch_root(spark)
-    cache_key = (root, key)
+    cache_key = (root, key + "|" + fingerprint)
     with _LOCK:
         path = _MATERIALIZED.get(cache_key)
+    if path is not None:
+        return path
+    digest = hashlib.sha1(cache_key[1].encode()).hexdigest()
+    marker = f"{root}/pagerecs/ready-{digest}"
+    path = _read_marker(spark, marker)
     if path is None:
-        digest = hashlib.sha1(key.encode()).hexdigest()[:10]
-        path = fresh_path(spark, f"derived-{digest}")
+        path = fresh_path(spark, f"derived-{digest[:10]}")
         build(path)
-        with _LOCK:
-            _MATERIALIZED.setdefault(cache_key, path)
-            path = _MATERIALIZED[cache_key]
-    return path
+        _write_marker(spark, marker, path)
+    with _LOCK:
+        _MATERIALIZED.setdefault(cache_key, path)
+        return _MATERIALIZED[cache_key]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -181,3 +181,35 @@ def test_repair_adds_by_default_and_syncs_on_request(spark, tmp_path):
     assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9  # new folders added, nothing dropped
     repair_partitions(spark, table, sync=True)  # drops only partitions whose folder is gone
     assert len(spark.sql(f"SHOW PARTITIONS {table}").collect()) == 9
+
+
+def test_materialize_once_reuses_complete_builds_only(spark, tmp_path):
+    import uuid
+
+    from pagerecs.sources import storage
+
+    calls = []
+
+    def build(path):
+        calls.append(path)
+        spark.range(3).write.parquet(path)
+
+    key = f"test-{uuid.uuid4().hex}"
+    p1 = storage.materialize_once(spark, key, build, "v1")
+    assert storage.materialize_once(spark, key, build, "v1") == p1 and len(calls) == 1
+    storage._MATERIALIZED.clear()  # as a new process would start
+    assert storage.materialize_once(spark, key, build, "v1") == p1 and len(calls) == 1
+    p2 = storage.materialize_once(spark, key, build, "v2")  # new fingerprint -> new build
+    assert p2 != p1 and len(calls) == 2
+
+    def failing(path):
+        raise RuntimeError("build failed")
+
+    import pytest
+
+    key2 = f"test-{uuid.uuid4().hex}"
+    with pytest.raises(RuntimeError):
+        storage.materialize_once(spark, key2, failing, "v1")
+    storage._MATERIALIZED.clear()
+    assert storage.materialize_once(spark, key2, build, "v1") not in (p1, p2)  # no marker was left
+    assert spark.read.parquet(p1).count() == 3
