@@ -50,18 +50,28 @@ def publish_prod(
     but it is one input row already read whole by one scan task, so the
     per-task work stays bounded by the largest input row, not by the data.
     """
+    rows = prod_rows_for_write(raw, snapshot, dataset_id, insertion_ts, sort=sort)
+    write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
+
+
+def prod_rows_for_write(
+    raw: DataFrame,
+    snapshot: str | Snapshot,
+    dataset_id: str | None = None,
+    insertion_ts: float | None = None,
+    *,
+    sort: bool = True,
+) -> DataFrame:
+    """The rows ``publish_prod`` writes, in table column order; with ``sort``
+    range-clustered by page and ordered by ``prod_order()`` within each
+    partition (see ``publish_prod``)."""
     month = month_of(snapshot)
     pages = candidate_pages(raw)
-    if not sort:
-        rows = stamp_run(explode_pages(pages), dataset_id, insertion_ts, month)
-        write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
-        return
-    clustered = pages.repartitionByRange(
-        F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id")
-    )
-    rows = stamp_run(explode_pages(clustered), dataset_id, insertion_ts, month)
-    rows = rows.select(*[f.name for f in PROD_SCHEMA.fields]).sortWithinPartitions(*prod_order())
-    write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
+    if sort:
+        pages = pages.repartitionByRange(F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id"))
+    rows = stamp_run(explode_pages(pages), dataset_id, insertion_ts, month)
+    rows = rows.select(*[f.name for f in PROD_SCHEMA.fields])
+    return rows.sortWithinPartitions(*prod_order()) if sort else rows
 
 
 def publish_search_feed(

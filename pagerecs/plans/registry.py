@@ -51,13 +51,13 @@ from pagerecs.operators.profile import (
     value_frequencies,
 )
 from pagerecs.operators.search import search_feed
-from pagerecs.plans.jobs import publish_prod
+from pagerecs.plans.jobs import prod_rows_for_write, publish_prod
 from pagerecs.plans.monthly import run_monthly
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.catalog import create_external_table
 from pagerecs.sources.derived import WIKIS_BY_CUSTKEY, derive_raw, load_tables
 from pagerecs.sources.parquet import read_prod, read_raw, read_search_feed
-from pagerecs.sources.sinks import prod_order, read_tsv, write_search_feed
+from pagerecs.sources.sinks import read_tsv, write_search_feed
 from pagerecs.sources.storage import materialize_once
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_PARTITION_COLUMNS
 
@@ -239,7 +239,10 @@ def q_stamped_prod(spark, sf_dir):
 
 
 def q_sorted_prod(spark, sf_dir):
-    return _json_found_on(stamped(spark, sf_dir).sort(*prod_order()))
+    """The frame the J1 job hands to the writer (pages range-shuffled, then
+    exploded and sorted per task)."""
+    rows = prod_rows_for_write(raw_table(spark, sf_dir), RUN, RUN_DATASET_ID, RUN_INSERTION_TS)
+    return _json_found_on(rows)
 
 
 def q_prod_roundtrip(spark, sf_dir):
