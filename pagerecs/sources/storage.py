@@ -2,8 +2,9 @@
 
 Intermediate tables are written as Parquet under the folder the cluster
 names in ``spark.checkpoint.dir`` (shared storage, survives executor loss,
-cuts lineage). Only when that is unset -- local runs and tests -- a private
-temporary folder is created and registered as the checkpoint directory.
+cuts lineage). Only when that is unset in local mode (local runs, tests) is
+a private temporary folder created and registered as the checkpoint
+directory; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ def scratch_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current.rstrip("/")
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: point it at a shared folder (HDFS, object store) "
+            "for intermediate tables; a machine-local folder is only used in local mode"
+        )
     with _LOCK:
         app = sc.applicationId if sc is not None else "connect"
         if app not in _OWN_ROOTS:

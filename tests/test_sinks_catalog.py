@@ -213,3 +213,23 @@ def test_materialize_once_reuses_complete_builds_only(spark, tmp_path):
     storage._MATERIALIZED.clear()
     assert storage.materialize_once(spark, key2, build, "v1") not in (p1, p2)  # no marker was left
     assert spark.read.parquet(p1).count() == 3
+
+
+def test_scratch_root_refuses_local_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from pagerecs.sources import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+        @property
+        def sparkContext(self):
+            raise RuntimeError("no context")
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_root(Session())
