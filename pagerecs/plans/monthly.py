@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.operators.profile import profile_reports
+from pagerecs.operators.profile import profile_reports, value_frequencies
 from pagerecs.plans.jobs import publish_exports, publish_prod, publish_search_feed
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.parquet import open_raw, read_prod
@@ -67,4 +67,5 @@ def run_monthly(
         publish_search_feed(published, search_path, snap)
         result.search_path = search_path
     result.profile = profile_reports(published)
+    result.profile["value_frequencies"] = value_frequencies(published)  # lazy: runs when shown
     return result

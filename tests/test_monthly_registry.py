@@ -37,6 +37,8 @@ def test_run_monthly_golden(spark, raw_data, tmp_path):
     assert glob.glob(res.export_path + "/wiki=enwiki/snapshot=2020-12/part-*")
     assert res.profile["confidence_violations"].count() == 0
     assert [tuple(r) for r in res.profile["pages_without_image"].collect()] == [("arwiki", "2020-12", 1)]
+    top_wiki = res.profile["value_frequencies"].where("column = 'wiki' AND rank = 1").collect()
+    assert [(r.value, r["count"]) for r in top_wiki] == [("enwiki", 3)]
 
 
 def test_run_monthly_validates_first(spark, tmp_path):
