@@ -426,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NON_ARTICLE_SQL = ", ".join(f"'{q}'" for q in NON_ARTICLE_INSTANCES)
 
 _PRELUDE = r"""
-WITH pages AS (
+WITH page_rows AS (
   SELECT concat('Q', CAST(o_orderkey AS VARCHAR)) AS item_id,
          o_orderkey AS page_id,
          concat('Page ', CAST(o_orderkey AS VARCHAR)) AS page_title,
@@ -456,7 +456,7 @@ WITH pages AS (
 ), raw_pages AS (
   SELECT p.item_id, p.page_id, p.page_title, p.instance_of, p.wiki_db, p.snapshot,
          CASE WHEN p.null_array THEN NULL ELSE coalesce(n.n, 0) END AS n_candidates
-  FROM pages p LEFT JOIN ncand n ON n.page_id = p.page_id
+  FROM page_rows p LEFT JOIN ncand n ON n.page_id = p.page_id
 ), exploded AS (
   SELECT p.wiki_db AS wiki, p.page_id, p.page_title, c.image AS image_id, c.rating, c.note, p.instance_of
   FROM raw_pages p JOIN cands c ON c.page_id = p.page_id
