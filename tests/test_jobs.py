@@ -68,3 +68,24 @@ def test_publish_search_feed_and_exports(spark, tmp_path):
     assert lines.where("wiki = 'plwiki'").count() == 1  # header only: no March rows
     n = march.where("is_article_page AND image_id IS NOT NULL").count()
     assert lines.where("wiki = 'kowiki'").count() == n + 1
+
+
+def test_publish_prod_splits_a_hot_wiki(spark, tmp_path):
+    raw = raw_table(spark, SF_SMALL).withColumn(
+        "wiki_db", F.when(F.col("page_id") % 10 == 0, F.col("wiki_db")).otherwise(F.lit("hotwiki"))
+    )
+    out = str(tmp_path / "prod")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        publish_prod(raw, out, "2024-02-01", "ds", 2.0)
+    finally:
+        spark.conf.set(conf, old)
+    hot = out + "/wiki=hotwiki/snapshot=2024-02"
+    files = sorted(glob.glob(hot + "/*.parquet"))
+    assert len(files) > 1  # the hot wiki is spread over several tasks
+    titles = []
+    for f in files:
+        titles += pq.read_table(f, columns=["page_title"]).column("page_title").to_pylist()
+    assert titles == sorted(titles, reverse=True)

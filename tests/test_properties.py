@@ -193,3 +193,16 @@ def test_transform_matches_model(spark, generated):
         for r in transform_candidates(raw).collect()
     )
     assert got == Counter(model_transform(pages))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["kowiki", "plwiki"]), st.integers(1, 6),
+                          st.sampled_from(["a.jpg", None]), st.sampled_from([True, False, None])),
+                min_size=1, max_size=40))
+def test_search_feed_matches_model(spark, rows):
+    from pagerecs.operators.search import search_feed
+
+    prod = spark.createDataFrame(rows, "wiki string, page_id bigint, image_id string, is_article_page boolean")
+    got = sorted(tuple(r) for r in search_feed(prod, "2024-02-03").collect())
+    want = sorted({(w, p, 0, "image", 2024, 2, 3) for w, p, img, art in rows if img is not None and art is True})
+    assert got == want
