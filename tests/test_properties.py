@@ -6,6 +6,7 @@ from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagerecs.functions import candidate_source, found_on, rating_value
 from pagerecs.functions.candidates import SOURCE_PREFIXES
@@ -206,3 +207,28 @@ def test_search_feed_matches_model(spark, rows):
     got = sorted(tuple(r) for r in search_feed(prod, "2024-02-03").collect())
     want = sorted({(w, p, 0, "image", 2024, 2, 3) for w, p, img, art in rows if img is not None and art is True})
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["kowiki", "plwiki", "enwiki"]), st.sampled_from(["2024-01", "2024-02"]),
+                          st.integers(1, 5), st.sampled_from(["a.jpg", None]), st.sampled_from(["high", None]),
+                          st.sampled_from([["x", "y"], [""], None]), st.sampled_from([True, False, None])),
+                min_size=1, max_size=30),
+       st.booleans())
+def test_export_rows_matches_model(spark, rows, android):
+    from pagerecs.operators.export import export_rows
+
+    schema = ("wiki string, snapshot string, page_id bigint, image_id string, confidence_rating string, "
+              "found_on array<string>, is_article_page boolean")
+    prod = (spark.createDataFrame(rows, schema)
+            .withColumn("page_title", F.concat(F.lit("t"), F.col("page_id").cast("string")))
+            .withColumn("source", F.col("confidence_rating"))
+            .withColumn("dataset_id", F.lit("d"))
+            .withColumn("insertion_ts", F.lit(1.0)))
+    got = Counter(tuple(r) for r in export_rows(prod, ["kowiki", "enwiki"], "2024-02", android).collect())
+    want = Counter(
+        (p, f"t{p}", img or "", conf or "", conf or "", "d", 1.0, w, ",".join(found or []))
+        for w, snap, p, img, conf, found, art in rows
+        if w in ("kowiki", "enwiki") and snap == "2024-02" and art is True and (img is not None or not android)
+    )
+    assert got == want
