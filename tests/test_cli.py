@@ -48,3 +48,19 @@ def test_cli_validates_before_spark():
         main(["search-feed", "--snapshot", "2020-12", "--source", "x", "--destination", "y"], spark=object())
     with pytest.raises(SystemExit):
         main(["publish-prod", "--snapshot", "2020-12"], spark=object())
+
+
+def test_cli_monthly_from_catalog_table(spark, raw_data, tmp_path, capsys):
+    from pagerecs.sources.catalog import create_external_table
+
+    raw = str(tmp_path / "raw")
+    raw_data.write.partitionBy("wiki_db", "snapshot").parquet(raw)
+    table = create_external_table(spark, "raw", raw, database="pagerecs_cli_monthly")
+    prod, search, export = (str(tmp_path / n) for n in ("prod", "search", "export"))
+    main(["monthly", "--snapshot", "2020-12-15", "--source", table, "--prod", prod, "--search", search,
+          "--export", export, "--wiki", "arwiki", "--dataset-id", "m1"], spark)
+    assert read_prod(spark, prod).count() == 5
+    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [44444]
+    assert read_tsv(spark, export).count() == 3  # header + 2 arwiki rows
+    out = capsys.readouterr().out
+    assert "2020-12" in out and "arwiki" in out  # partition counts shown
