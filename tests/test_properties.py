@@ -1,6 +1,7 @@
 """Property tests: many generated cases per Spark job, checked against a
 plain-Python model of the intended semantics."""
 
+import datetime as dt
 import re
 from collections import Counter
 
@@ -232,3 +233,42 @@ def test_export_rows_matches_model(spark, rows, android):
         if w in ("kowiki", "enwiki") and snap == "2024-02" and art is True and (img is not None or not android)
     )
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]),
+                          st.datetimes(min_value=dt.datetime(2024, 1, 14), max_value=dt.datetime(2024, 1, 17))),
+                min_size=1, max_size=40),
+       st.sampled_from([None, "a"]))
+def test_daily_count_matches_model(spark, events, database):
+    from pagerecs.operators.daily import daily_new_pages
+
+    df = spark.createDataFrame(events, "db string, ts timestamp_ntz")
+    got = {r.database: r.count_of_new_pages
+           for r in daily_new_pages(df, "2024-01-15", database, database_col="db", ts_col="ts").collect()}
+    start, end = dt.datetime(2024, 1, 15), dt.datetime(2024, 1, 16)
+    want = Counter(db for db, ts in events if start <= ts < end and (database is None or db == database))
+    assert got == dict(want)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["kowiki", "plwiki"]), st.sampled_from(["2024-01", "2024-02"]),
+                          st.sampled_from(["high", "low", None]), st.sampled_from(["wikidata", "commons", None]),
+                          st.sampled_from(["a.jpg", None])),
+                max_size=40))
+def test_profile_reports_match_model(spark, rows):
+    from pagerecs.operators.profile import profile_reports
+
+    prod = spark.createDataFrame(rows, "wiki string, snapshot string, confidence_rating string, source string, "
+                                       "image_id string")
+    reports = profile_reports(prod, materialize=False)
+    assert {(r.snapshot, r.wiki): r["count"] for r in reports["partition_counts"].collect()} == dict(
+        Counter((s, w) for w, s, _, _, _ in rows))
+    assert {(r.confidence_rating, r.source): r["count"] for r in reports["confidence_by_source"].collect()} == dict(
+        Counter((c, src) for _, _, c, src, _ in rows))
+    expected = {"high": "wikidata", "low": "commons"}
+    assert {(r.confidence_rating, r.source): r["count"] for r in reports["confidence_violations"].collect()} == {
+        k: v for k, v in Counter((c, src) for _, _, c, src, _ in rows).items() if expected.get(k[0]) != k[1]}
+    assert {(r.wiki, r.snapshot): r.pages for r in reports["pages_without_image"].collect()} == dict(
+        Counter((w, s) for w, s, _, _, img in rows if img is None))
+    assert reports["row_count"].collect()[0].rows == len(rows)
