@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their DuckDB oracles.
 
 Inputs follow the production data flow. The raw candidate table is derived
-from ``orders`` + ``lineitem`` by Spark and written once per process as a
-partitioned Parquet table in the shared scratch folder; the production
+from ``orders`` + ``lineitem`` by Spark and written once (per code version
+and input) as a partitioned Parquet table in the shared scratch folder; the production
 table is then published from it with ``write_prod`` under fixed run
 parameters. Every query reads those tables (whole, no sampling) the way the
 published jobs read theirs.
@@ -74,7 +74,8 @@ DAILY_DATABASE = "signup"
 
 
 # --------------------------------------------------------------------------
-# Derived inputs, written once per process and sf directory.
+# Derived inputs, written once per scratch folder, sf directory, code
+# version and input files (see ``materialize_once``).
 
 
 def _code_version() -> str:
