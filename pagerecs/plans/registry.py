@@ -2,10 +2,10 @@
 
 Inputs follow the production data flow. The raw candidate table is derived
 from ``orders`` + ``lineitem`` by Spark and written once (per code version
-and input) as a partitioned Parquet table in the shared scratch folder; the production
-table is then published from it with ``write_prod`` under fixed run
-parameters. Every query reads those tables (whole, no sampling) the way the
-published jobs read theirs.
+and input) as a partitioned Parquet table in the shared scratch folder; the
+production table is then published from it by the J1 job (``publish_prod``)
+under fixed run parameters. Every query reads those tables (whole, no
+sampling) the way the published jobs read theirs.
 
 Each oracle restates the same result in DuckDB from the *flat* tables (a
 left join of orders and line items, no arrays), so it is independent of the
