@@ -272,3 +272,26 @@ def test_profile_reports_match_model(spark, rows):
     assert {(r.wiki, r.snapshot): r.pages for r in reports["pages_without_image"].collect()} == dict(
         Counter((w, s) for w, s, _, _, img in rows if img is None))
     assert reports["row_count"].collect()[0].rows == len(rows)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet='ab\t\n\r"\\, ', max_size=6)),
+                          st.one_of(st.none(), st.integers(-5, 5)),
+                          st.one_of(st.none(), st.booleans())),
+                min_size=1, max_size=30))
+def test_tsv_line_matches_model(spark, rows):
+    from pagerecs.sources.sinks import tsv_line
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, n int, b boolean")
+    got = {r.i: r.line for r in df.select("i", tsv_line(["s", "n", "b"], df).alias("line")).collect()}
+
+    def field(v):
+        if v is None:
+            return "\\N"
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        return str(v).replace("\t", " ").replace("\n", " ").replace("\r", " ")
+
+    want = {i: "\t".join(field(v) for v in r) for i, r in enumerate(rows)}
+    assert got == want
+    assert all(line.count("\t") == 2 and "\n" not in line for line in got.values())
