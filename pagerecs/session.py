@@ -4,6 +4,8 @@ session; it takes the caller's."""
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +26,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_PREPARED: dict[str, str] = {}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Readies a session for the registered queries, once per application.
+
+    Ships this package to the executors. Where the session names no
+    ``spark.checkpoint.dir`` (local runs and tests), a temporary folder
+    becomes its checkpoint folder; a cluster must name a shared one.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _PREPARED:
+        home = tempfile.mkdtemp(prefix="pagerecs-")
+        package = os.path.dirname(os.path.abspath(__file__))
+        context.addPyFile(shutil.make_archive(f"{home}/pagerecs", "zip", os.path.dirname(package), "pagerecs"))
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+            context.setCheckpointDir(f"file://{home}/checkpoints")
+        _PREPARED[context.applicationId] = home
+    return spark
