@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.llm import flat, packing, seekable
-from pagerecs.llm.common import keep, table
+from pagerecs.llm import bitslice, chat, flat, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm.common import held_out, keep, table
 from pagerecs.sources.storage import fresh_path
 
 
@@ -32,10 +32,52 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 0))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 0))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return quality.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+#: The fixed conversation that op7 formats beside the table's: its texts hold the template's own marks.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], given.schema)
+    return chat.read_back(chat.format_conversations(given.unionByName(odd)))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 1))
+    return suffix_tree.score(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_chat_format": op7_chat_format,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 ORACLES: dict[str, str] = {}
