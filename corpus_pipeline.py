@@ -1,20 +1,62 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``. None is
+expressible in SQL as a whole (trained models, an iterated graph, a
+tokenizer), so there is no oracle; the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagerecs.llm import packing
-from pagerecs.llm.common import keep, table
+from pagerecs.llm import decontaminate, jaccard, langid, packing, quality
+from pagerecs.llm.common import held_out, keep, table
 from pagerecs.session import prepare
 
+#: Share of the predicted language from which on a text counts as in a language.
+LEAST_LANGUAGE = 0.4
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what attention-based multiple-instance learning rejects (operator 5)."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    training = docs.where(~held_out(F.col("doc_id"), 0)).join(labels, "doc_id")
+    return quality.score(docs, quality.fit(training)).where("predicted = 1").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter or without a clear language (operator 3)."""
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"), 0)))
+    kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)
+    return langid.identify(docs, model).where(kept).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of the n-gram Jaccard join (operator 6)."""
+    return jaccard.one_of_each(docs)
+
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of what is left (operator 1)."""
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a near duplicate of a benchmark item (operator 9)."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences (operator 1)."""
     return packing.pack(docs).placement.drop("row_id")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +65,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
-
-
-#: No stage but the last is expressible in SQL, nor is the packing.
-ORACLE_SQL = None

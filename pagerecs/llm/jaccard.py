@@ -168,7 +168,8 @@ def _links(pairs: DataFrame, percent: int) -> Column:
 
 
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row; see the module."""
+    """(doc_id, n_shingles, component_id, text_hash, stays) for every row; see
+    the module. One row of each component ``stays``, and every empty set."""
     rows = sketches(docs).withColumn("row_id", F.monotonically_increasing_id())
     rows = keep(rows, "sketches")
     classes = rows.where("n > 0").groupBy("n", "key1", "key2").agg(
@@ -257,7 +258,30 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = components(links.select("a", "b").unionByName(more))
 
     named = labelled(reps.select("node", "doc_id", "n", "key1", "key2"), "node", "label")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = keep(named.join(least, "label").select("n", "key1", "key2", "component_id"), "classes")
-    found = rows.select("doc_id", "n", "key1", "key2").join(named, ["n", "key1", "key2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first_of = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), first_of.alias("first"))
+    named = keep(named.join(least, "label").select("n", "key1", "key2", "component_id", "first"), "classes")
+    found = rows.select("doc_id", "text_hash", "row_id", "n", "key1", "key2").join(named, ["n", "key1", "key2"], "left")
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_hash",
+        ((F.col("n") == 0) | (F.col("row_id") == F.col("first"))).alias("stays"),
+    )
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with the first document of each component (least doc_id, null
+    last), and every text without words."""
+    found = keep(join(docs, percent), "components").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    rows = found.groupBy("d", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    rows = keep(rows, "rows-that-stay")
+    same = docs["doc_id"].eqNullSafe(F.col("d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("h"))
+    gone = rows.where(~F.col("stays")).select("d", "h")
+    left = docs.join(small(gone, gone.count()), same, "left_anti")
+    repeated = rows.where("stays and rows > 1 and n > 0").select("d", "h")
+    if not (n := repeated.count()):
+        return left
+    once = left.join(small(repeated, n), same, "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
+    return left.join(small(repeated, n), same, "left_anti").unionByName(once.select(*docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.llm import bitslice, chat, flat, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm import bitslice, chat, decontaminate, flat, jaccard, langid, packing, quality, seekable, suffix_tree
 from pagerecs.llm.common import held_out, keep, table
 from pagerecs.sources.storage import fresh_path
 
@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("text_hash", "stays")
 
 
 #: The fixed conversation that op7 formats beside the table's: its texts hold the template's own marks.
@@ -63,6 +63,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 1))
     return suffix_tree.score(docs)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_format": op7_chat_format,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_decontamination": op9_decontamination,
     "op10_suffix_tree": op10_suffix_tree,
 }
 
