@@ -40,7 +40,7 @@ END, OTHER = 0, SYMBOLS - 1
 DENSE, DEPTH = 3, 7
 LEAST_SHARE, LEAST_GAIN, SMOOTHING = 2e-6, 10.0, 5.0
 COMMON_WORDS = 1 << 16
-_RUN = 2 << 20
+_RUN = 1 << 20
 _TABLE = bytes(LOWERED)
 
 
@@ -48,8 +48,8 @@ _TABLE = bytes(LOWERED)
 class Tree:
     """``level[d]``: codes of the contexts of depth d (most recent symbol in
     the highest digit), sorted; ``child[d]``: place in level d + 1 by place in
-    level d and older symbol, or -1; ``chance[d]``: log10 next-symbol
-    distribution by place in level d."""
+    level d and older symbol, the level's size if there is none; ``chance[d]``:
+    log10 next-symbol distribution by place in level d."""
 
     symbol: np.ndarray  # of each byte
     escape: np.ndarray  # log10 share of each byte among the escaped
@@ -57,33 +57,38 @@ class Tree:
     child: dict[int, np.ndarray] = field(default_factory=dict)
     chance: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def walk(self, stream: np.ndarray, at: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(depth, which of ``at``, their place in that level) from DENSE on, as deep as contexts exist."""
-        place = np.zeros(len(at), np.int64)
+    def walk(self, stream: np.ndarray, live: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(depth, places) from DENSE on, as deep as contexts exist: for every
+        symbol from DEPTH on its context's place in that level times SYMBOLS
+        plus the symbol. A level's last place stands for no context, as for
+        the symbols that aren't ``live``."""
+        s = stream.astype(np.int32)
+        back = [s[DEPTH - k : len(s) - k] for k in range(depth + 1)]
+        place = np.zeros(len(live), np.int32)
         for k in range(1, DENSE + 1):
-            place = place * SYMBOLS + stream[at - k]
-        which = np.arange(len(at))
-        yield DENSE, which, place
+            place = place * SYMBOLS + back[k]
+        place[~live] = SYMBOLS**DENSE
+        yield DENSE, place * SYMBOLS + back[0]
         for d in range(DENSE, depth):
-            place = self.child[d].reshape(-1)[place * SYMBOLS + stream[at - (d + 1)]]
-            deeper = place >= 0
-            which, place, at = which[deeper], place[deeper].astype(np.int64), at[deeper]
-            yield d + 1, which, place
-
-    def log10(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at))
-        for d, which, place in self.walk(stream, at, max(self.level)):
-            out[which] = self.chance[d].reshape(-1)[place * SYMBOLS + stream[at[which]]]
+            place = self.child[d].reshape(-1)[place * SYMBOLS + back[d + 1]]
+            yield d + 1, place * SYMBOLS + back[0]
+
+    def log10(self, stream: np.ndarray, live: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(live), np.float32)
+        for d, cell in self.walk(stream, live, max(self.level)):
+            out = np.where(cell < SYMBOLS * len(self.level[d]), self.chance[d].reshape(-1)[cell], out)
         return out
 
 
 def stream_of(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, bytes, places to predict, row of each) of texts, each after DEPTH end marks."""
-    plain = [b" ".join(t.translate(_TABLE).split()) + b"\n" for t in texts]
+    """Symbols of texts, each after DEPTH end marks; and of every symbol from
+    DEPTH on: its byte, whether it is to be predicted, and its text."""
+    plain = [b"\n" * DEPTH + b" ".join(t.translate(_TABLE).split()) + b"\n" for t in texts]
     size = np.array([len(t) for t in plain], np.int64)
-    raw = np.frombuffer(b"".join(b"\n" * DEPTH + t for t in plain), np.uint8)
-    row = np.repeat(np.arange(len(plain)), size)
-    return symbol[raw], raw, np.arange(len(row)) + DEPTH * (row + 1), row
+    raw = np.frombuffer(b"".join(plain), np.uint8)
+    live = np.ones(len(raw), bool)
+    live[(np.cumsum(size) - size)[:, None] + np.arange(DEPTH)] = False
+    return symbol[raw], raw[DEPTH:], live[DEPTH:], np.repeat(np.arange(len(plain)), size)[DEPTH:]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
@@ -95,8 +100,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray
 def _counted(found: DataFrame) -> dict[str, np.ndarray]:
     """Sums of n by key, of a bounded number of keys, on the driver."""
     table = found.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(keys := table["key"].to_numpy(), kind="stable")
-    return {"key": keys[order], "n": table["n"].to_numpy()[order]}
+    return {"key": table["key"].to_numpy(), "n": table["n"].to_numpy()}
 
 
 def _sparse(counts: np.ndarray) -> pa.RecordBatch:
@@ -104,20 +108,30 @@ def _sparse(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts[keys], pa.int64())], ["key", "n"])
 
 
-def count_bytes(training: DataFrame) -> np.ndarray:
-    """How often each byte occurs in the words of the training texts."""
+def count_words(training: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(key, n), how often each word, by its hash, occurs in the training
+    texts; and how often each byte does."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for batch in batches:
-            for _, _, data, _ in byte_runs(batch.column(0), _RUN):
+            for _, _, data, offsets in byte_runs(batch.column(0), _RUN):
                 total += np.bincount(LOWERED[data], minlength=256)
-        yield _sparse(total)
+                keys, n = np.unique(words(data, offsets)[1].view(np.int64), return_counts=True)
+                yield _keyed(True, keys, n)
+        yield _keyed(False, np.arange(256), total)
 
-    found = _counted(training.select("text").mapInArrow(count, "key bigint, n bigint"))
+    found = training.select("text").mapInArrow(count, "is_word boolean, key bigint, n bigint")
+    found = keep(found.groupBy("is_word", "key").agg(F.sum("n").alias("n")), "word-counts")
     total = np.zeros(256, np.int64)
-    total[found["key"]] = found["n"]
-    return total
+    for row in found.where("not is_word").collect():  # 256 at most
+        total[row.key] = row.n
+    return found.where("is_word").select("key", "n"), total
+
+
+def _keyed(is_word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(keys), is_word)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["is_word", "key", "n"])
 
 
 def alphabet(total: np.ndarray) -> Tree:
@@ -135,16 +149,16 @@ def alphabet(total: np.ndarray) -> Tree:
 
 def count_level(training: DataFrame, tree: Tree, depth: int) -> np.ndarray:
     """Next-symbol counts of every context of the level, over all training texts."""
-    cells = SYMBOLS * (SYMBOLS**DENSE if depth == DENSE else len(tree.level[depth]))
+    cells = SYMBOLS * len(tree.level[depth])
     sent = training.sparkSession.sparkContext.broadcast(tree)  # bounded, see the module
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, np.zeros(cells, np.int64)
         for batch in batches:
             for _, _, texts, _, _ in _texts(batch.column(0)):
-                stream, _, at, _ = stream_of(texts, own.symbol)
-                *_, (_, which, place) = own.walk(stream, at, depth)
-                total += np.bincount(place * SYMBOLS + stream[at[which]], minlength=cells)
+                stream, _, live, _ = stream_of(texts, own.symbol)
+                *_, (_, cell) = own.walk(stream, live, depth)
+                total += np.bincount(cell[cell < cells], minlength=cells)
         yield _sparse(total)
 
     found = _counted(training.select("text").mapInArrow(count, "key bigint, n bigint"))
@@ -161,9 +175,10 @@ def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return np.where(gain >= LEAST_GAIN, chance, parent)
 
 
-def fit(training: DataFrame) -> Tree:
-    """Learns a tree from all texts of ``training``."""
-    tree = alphabet(count_bytes(training))
+def fit(training: DataFrame, total: np.ndarray) -> Tree:
+    """Learns a tree from all texts of ``training``; ``total``: its bytes' counts."""
+    tree = alphabet(total)
+    tree.level[DENSE] = np.arange(SYMBOLS**DENSE)
     counts = count_level(training, tree, DENSE)
     least = max(2.0, LEAST_SHARE * counts.sum())
     chance = np.full((1, SYMBOLS), 1 / SYMBOLS)
@@ -172,7 +187,6 @@ def fit(training: DataFrame) -> Tree:
         own = counts.reshape(SYMBOLS**d, -1, SYMBOLS).sum(axis=1)
         chance = _smoothed(own, np.repeat(chance, SYMBOLS if d else 1, axis=0))
     chances = {DENSE: chance}
-    tree.level[DENSE] = np.arange(SYMBOLS**DENSE)
     for d in range(DENSE, DEPTH):
         # a context and its next symbol, often enough together, are a context of the next level
         place, symbol = np.nonzero(counts >= least)
@@ -183,34 +197,22 @@ def fit(training: DataFrame) -> Tree:
         if not len(codes):
             break
         tree.level[d + 1] = codes
-        tree.child[d] = np.full((len(tree.level[d]), SYMBOLS), -1, np.int32)
+        tree.child[d] = np.full((len(tree.level[d]) + 1, SYMBOLS), len(codes), np.int32)
         tree.child[d][up, codes % SYMBOLS] = np.arange(len(codes))
         counts = count_level(training, tree, d + 1)
         chances[d + 1] = _smoothed(counts, chances[d][up])
-    tree.chance = {d: np.log10(c).astype(np.float32) for d, c in chances.items()}
+    none = np.ones((1, SYMBOLS))
+    tree.chance = {d: np.log10(np.concatenate([c, none])).astype(np.float32) for d, c in chances.items()}
     return tree
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """(key, n): how often each word, by its hash, occurs in the training texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in byte_runs(batch.column(0), 8 << 20):
-                keys, n = np.unique(words(data, offsets)[1].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["key", "n"])
-
-    found = training.select("text").mapInArrow(count, "key bigint, n bigint")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """``doc_id``, ``held_out``, n_tokens, n_known, train_tokens, base_score and
     score of every text, learned from the rows that aren't held out."""
     docs = docs.select("doc_id", "text", held_out)
     training = docs.where(~F.col(held_out))
-    tree = fit(training)
-    counts = keep(count_words(training), "word-counts")
+    counts, total = count_words(training)
+    tree = fit(training, total)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("distinct")).first()
     ends = training.count()
     n, distinct = totals.n + ends, totals.distinct + (ends > 0)
@@ -224,8 +226,8 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
         for batch in batches:
             for first, end, texts, data, offsets in _texts(batch.column(1)):
                 rows = end - first
-                stream, raw, at, row = stream_of(texts, own.symbol)
-                value = np.bincount(row, own.log10(stream, at) + own.escape[raw[at]], rows)
+                stream, raw, live, row = stream_of(texts, own.symbol)
+                value = np.bincount(row, np.where(live, own.log10(stream, live) + own.escape[raw], 0), rows)
                 of, hashes = words(data, offsets)
                 hashes = hashes.view(np.int64)
                 k = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))

@@ -30,7 +30,7 @@ def powers(n: int) -> np.ndarray:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     global _powers
     if _powers.shape[1] < n:
-        each = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64).repeat(2 * n, 1)
+        each = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64).repeat(n + n // 4 + 8, 1)
         each[:, 0] = 1
         _powers = np.cumprod(each, axis=1, dtype=np.uint64)
     return _powers
