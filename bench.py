@@ -26,7 +26,7 @@ from pagerecs.operators.profile import profile_reports  # noqa: E402
 from pagerecs.operators.search import search_feed  # noqa: E402
 from pagerecs.plans import registry  # noqa: E402
 from pagerecs.plans.jobs import publish_prod  # noqa: E402
-from pagerecs.session import local_session  # noqa: E402
+from pagerecs.session import local_session, prepare  # noqa: E402
 from pagerecs.sources.parquet import read_prod  # noqa: E402
 from pagerecs.sources.sinks import write_search_feed  # noqa: E402
 from pagerecs.sources.storage import fresh_path  # noqa: E402
@@ -54,6 +54,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="pagerecs-bench")
+    prepare(spark)
     times: dict[str, float] = {}
 
     # always a fresh build (the registry may reuse an earlier one)

@@ -9,7 +9,7 @@ Subpackages
                the driver's TPC-H-style tables.
 ``plans``      Run parameters, the publishing jobs, the monthly run and the
                query registry used by ``__spark_entry__``.
-``streaming``  Intentionally empty: every job here is batch (see README).
+
 
 The most used entry points are re-exported here.
 """

@@ -3,12 +3,12 @@
 settings come from the submit command, not from here.
 
   publish-prod   --snapshot --source --destination [--dataset-id]
-  search-feed    --snapshot --source --destination [--all-snapshots]
+  search-feed    --snapshot --source --destination [--this-month-only]
   export         --snapshot --source --destination --wiki ... [--android]
-  monthly        --snapshot --source --prod --search --export --wiki ...
+  monthly        --snapshot --source --prod --search --export --wiki ... [--reports]
   create-tables  [--database] [--raw] [--prod] [--search]
   repair         --table
-  daily-count    [--date] [--database] --table [--database-col] [--ts-col]
+  daily-count    [--date] [--database] --table [--database-col] [--ts-col] [--destination]
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import sys
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     j2.add_argument("--snapshot", required=True, help="daily snapshot YYYY-MM-DD")
     j2.add_argument("--source", required=True, help="production table path or catalog table name")
     j2.add_argument("--destination", required=True, help="search feed path")
-    j2.add_argument("--all-snapshots", action="store_true", help="read every production snapshot")
+    j2.add_argument("--this-month-only", action="store_true", help="only the snapshot's month of the source")
 
     j3 = sub.add_parser("export", help="production table -> TSV per wiki")
     j3.add_argument("--snapshot", required=True, help="monthly or daily snapshot")
@@ -54,6 +54,10 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--export", default=None)
     m.add_argument("--wiki", nargs="*", default=[])
     m.add_argument("--dataset-id", dest="dataset_id", default=None)
+    m.add_argument("--android", action="store_true", help="export rows with an image only")
+    m.add_argument("--source-snapshot", default=None, help="one raw snapshot (default: all)")
+    m.add_argument("--insertion-ts", type=float, default=None)
+    m.add_argument("--reports", default=None, help="folder for the profile reports, one Parquet table each")
 
     c = sub.add_parser("create-tables", help="external tables over the data folders")
     c.add_argument("--database", default=None)
@@ -70,9 +74,17 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--table", required=True, help="event table name")
     d.add_argument("--database-col", default="database")
     d.add_argument("--ts-col", default=None, help="timestamp column (default: year/month/day columns)")
+    d.add_argument("--destination", default=None, help="Parquet folder for the counts (default: print them all)")
     return p
 
 
+def _print_all(df: DataFrame) -> None:
+    """Every row, tab-separated, a partition at a time."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     # validate run parameters before starting any Spark work
@@ -96,7 +108,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(f"dataset_id={dataset_id}")
     elif args.command == "search-feed":
         jobs.publish_search_feed(open_prod(spark, args.source), args.destination, args.snapshot,
-                                 all_snapshots=args.all_snapshots)
+                                 this_month_only=args.this_month_only)
     elif args.command == "export":
         jobs.publish_exports(open_prod(spark, args.source), args.destination, args.snapshot, args.wiki,
                              android=args.android)
@@ -105,9 +117,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
         res = run_monthly(spark, args.source, args.prod, args.snapshot, wikis=args.wiki,
                           search_path=args.search, export_path=args.export,
-                          dataset_id=args.dataset_id or str(uuid.uuid4()))
-        res.profile["partition_counts"].show(truncate=False)
-        res.profile["confidence_violations"].show(truncate=False)
+                          dataset_id=args.dataset_id or str(uuid.uuid4()), android=args.android,
+                          source_snapshot=args.source_snapshot, insertion_ts=args.insertion_ts)
+        if args.reports:
+            for name, report in res.profile.items():
+                report.write.mode("overwrite").parquet(f"{args.reports.rstrip('/')}/{name}")
+        for name in ("partition_counts", "confidence_violations"):
+            print(name)
+            _print_all(res.profile[name])
     elif args.command == "create-tables":
         for kind in ("raw", "prod", "search"):
             location = getattr(args, kind)
@@ -121,7 +138,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         the_day = day or running_date()
         counts = daily_new_pages(spark.table(args.table), the_day, args.database,
                                  database_col=args.database_col, ts_col=args.ts_col)
-        counts.show(truncate=False)
+        if args.destination:
+            counts.write.mode("overwrite").parquet(args.destination)
+        else:
+            _print_all(counts)
     return 0
 
 

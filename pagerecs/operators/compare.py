@@ -8,6 +8,9 @@ row repeated millions of times costs one shuffled record per task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ LEFT_ONLY = "left_only"
 RIGHT_ONLY = "right_only"
 
 
+def _names(stem: str) -> Iterator[str]:
+    return (f"_copies_{stem}{'_' * n}" for n in count())
+
+
 def frame_diff(left: DataFrame, right: DataFrame, multiset: bool = False) -> DataFrame:
     """Rows that are in one frame and not the other, with a ``side`` column.
 
@@ -28,16 +35,18 @@ def frame_diff(left: DataFrame, right: DataFrame, multiset: bool = False) -> Dat
     if missing:
         raise ValueError(f"columns missing on the right: {missing}")
     cols = left.columns
-    tagged = left.select(*cols, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select(*cols, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    taken = {c.lower() for c in cols}
+    in_left, in_right = (next(n for n in _names(stem) if n not in taken) for stem in ("left", "right"))
+    tagged = left.select(*cols, F.lit(1).alias(in_left), F.lit(0).alias(in_right)).unionByName(
+        right.select(*cols, F.lit(0).alias(in_left), F.lit(1).alias(in_right))
     )
-    counts = tagged.groupBy(*cols).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    counts = tagged.groupBy(*cols).agg(F.sum(in_left).alias(in_left), F.sum(in_right).alias(in_right))
     if multiset:
-        delta = F.col("_nl") - F.col("_nr")
+        delta = F.col(in_left) - F.col(in_right)
         side = F.when(delta > 0, F.lit(LEFT_ONLY)).when(delta < 0, F.lit(RIGHT_ONLY))
         return counts.where(delta != 0).select(*cols, side.alias("side"), F.abs(delta).alias("copies"))
-    side = F.when(F.col("_nr") == 0, F.lit(LEFT_ONLY)).when(F.col("_nl") == 0, F.lit(RIGHT_ONLY))
-    return counts.where((F.col("_nl") == 0) | (F.col("_nr") == 0)).select(*cols, side.alias("side"))
+    side = F.when(F.col(in_right) == 0, F.lit(LEFT_ONLY)).when(F.col(in_left) == 0, F.lit(RIGHT_ONLY))
+    return counts.where((F.col(in_left) == 0) | (F.col(in_right) == 0)).select(*cols, side.alias("side"))
 
 
 def frames_equal(left: DataFrame, right: DataFrame, multiset: bool = False) -> bool:

@@ -47,18 +47,22 @@ def render_value(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
-def value_frequencies(df: DataFrame, top: int = 20, columns: Sequence[str] | None = None) -> DataFrame:
-    """For each column: its ``top`` most frequent values (NULL is a value),
-    as (column, value, count, rank); ties ordered by value.
-
-    One pass over the data for all columns: each row becomes one
-    (column, value) pair per column, counted by a single aggregation.
+def value_frequencies(df: DataFrame, top: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """For each column: every value (NULL is a value) and its ``count``,
+    most frequent first, as (column, value, count).
+
+    With ``top``, only that many values per column, with their ``rank``;
+    ties ordered by value. One pass over the data for all columns: each row
+    becomes one (column, value) pair per column, counted by a single
+    aggregation.
     """
     names = list(columns) if columns is not None else list(df.columns)
     pairs = F.array(
         *[F.struct(F.lit(n).alias("column"), render_value(df, n).alias("value")) for n in names]
     )
     counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    if top is None:
+        return counts.orderBy("column", F.desc("count"), F.asc_nulls_first("value"))
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_first("value"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
@@ -85,12 +89,10 @@ def confidence_violations(prod: DataFrame) -> DataFrame:
 
 
 def pages_without_image(prod: DataFrame) -> DataFrame:
-    """Pages published without any recommended image, per (wiki, snapshot)."""
-    return (
-        prod.where(F.col("image_id").isNull())
-        .groupBy("wiki", "snapshot")
-        .agg(F.count(F.lit(1)).alias("pages"))
-    )
+    """Pages published without any recommended image, per (wiki, snapshot):
+    pages (not rows) none of whose rows has one."""
+    pages = prod.groupBy("wiki", "snapshot", "page_id").agg(F.count("image_id").alias("images"))
+    return pages.where("images = 0").groupBy("wiki", "snapshot").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def profile_counts(prod: DataFrame) -> DataFrame:
@@ -107,11 +109,12 @@ def profile_counts(prod: DataFrame) -> DataFrame:
 
 
 def profile_reports(prod: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
-    """partition_counts, confidence_by_source, confidence_violations,
-    pages_without_image and row_count from ONE scan of ``prod``.
+    """partition_counts, confidence_by_source, confidence_violations and
+    row_count from ONE scan of ``prod``; pages_without_image, which counts
+    pages, aggregates ``prod`` itself.
 
     With ``materialize`` the small ``profile_counts`` frame is checkpointed
-    (reliably, in the session's checkpoint folder) so the five reports read
+    (reliably, in the session's checkpoint folder) so the other reports read
     it instead of re-scanning the data.
     """
     counts = profile_counts(prod)
@@ -128,8 +131,6 @@ def profile_reports(prod: DataFrame, materialize: bool = True) -> dict[str, Data
         .orderBy(F.desc("snapshot"), F.asc("wiki")),
         "confidence_by_source": by_source,
         "confidence_violations": by_source.where(~ok),
-        "pages_without_image": counts.where("without_image")
-        .groupBy("wiki", "snapshot")
-        .agg(total.alias("pages")),
+        "pages_without_image": pages_without_image(prod),
         "row_count": counts.select(F.coalesce(total, F.lit(0)).alias("rows")),
     }

@@ -32,25 +32,26 @@ def publish_prod(
     insertion_ts: float | None = None,
     *,
     sort: bool = True,
+    global_order: bool = False,
     max_records_per_file: int | None = None,
 ) -> None:
     """Transform, stamp and write one monthly snapshot of the production
     table (partitions wiki / month of ``snapshot``, given as ``YYYY-MM-DD``
     or ``YYYY-MM``).
 
-    With ``sort`` (the default) each file is ordered by page_title descending
-    and a partition's files in name order give the global order, as
-    ``write_prod`` does -- but the range shuffle moves *pages*, before the
-    explode: page-level columns travel once per page instead of once per
-    candidate, and the range sampler reads un-exploded rows. Each task then
-    explodes and sorts its own contiguous range locally.
-
-    Skew: a hot wiki (or many pages sharing a title) is split across tasks by
-    the (page_title, page_id) range bounds. A single page cannot be split,
-    but it is one input row already read whole by one scan task, so the
-    per-task work stays bounded by the largest input row, not by the data.
+    With ``sort`` (the default) each file is ordered by page_title descending.
+    The raw rows are read once: *pages*, before the explode, are rebalanced on
+    the wiki, so page-level columns travel once per page instead of once per
+    candidate, and each task explodes and sorts its own share. With
+    ``global_order`` a range shuffle makes a partition's files in name order
+    give the order of the whole; its sampling reads the input a second time.
+
+    Skew: the rebalance splits a hot wiki over tasks (as the range bounds on
+    title and page do). A single page cannot be split, but it is one input
+    row already read whole by one scan task, so the per-task work stays
+    bounded by the largest input row, not by the data.
     """
-    rows = prod_rows_for_write(raw, snapshot, dataset_id, insertion_ts, sort=sort)
+    rows = prod_rows_for_write(raw, snapshot, dataset_id, insertion_ts, sort=sort, global_order=global_order)
     write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
 
 
@@ -61,13 +62,16 @@ def prod_rows_for_write(
     insertion_ts: float | None = None,
     *,
     sort: bool = True,
+    global_order: bool = False,
 ) -> DataFrame:
     """The rows ``publish_prod`` writes, in table column order; with ``sort``
-    range-clustered by page and ordered by ``prod_order()`` within each
-    partition (see ``publish_prod``)."""
+    clustered by wiki and ordered by ``prod_order()`` within each partition
+    (see ``publish_prod``)."""
     month = month_of(snapshot)
     pages = candidate_pages(raw)
-    if sort:
+    if sort and not global_order:
+        pages = pages.hint("rebalance", "wiki_db")
+    elif sort:
         pages = pages.repartitionByRange(F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id"))
     rows = stamp_run(explode_pages(pages), dataset_id, insertion_ts, month)
     rows = rows.select(*[f.name for f in PROD_SCHEMA.fields])
@@ -79,14 +83,14 @@ def publish_search_feed(
     path: str,
     snapshot: str | Snapshot,
     *,
-    all_snapshots: bool = False,
+    this_month_only: bool = False,
     **write_options,
 ) -> None:
-    """Search feed for the daily ``snapshot``, from the production rows of its
-    month (pruned at the scan). ``all_snapshots=True`` reads every production
-    snapshot instead, as the original job did (it read the table root)."""
+    """Search feed for the daily ``snapshot``, from every row of ``prod``.
+    ``this_month_only`` takes the production rows of its month alone (pruned
+    at the scan)."""
     snap = _snapshot(snapshot)
-    current = prod if all_snapshots else prod.where(F.col("snapshot") == F.lit(snap.month))
+    current = prod.where(F.col("snapshot") == F.lit(snap.month)) if this_month_only else prod
     write_search_feed(search_feed(current, snap), path, **write_options)
 
 

@@ -43,6 +43,7 @@ def run_monthly(
     insertion_ts: float | None = None,
     source_snapshot: str | None = None,
     android: bool = False,
+    search_this_month_only: bool = False,
 ) -> MonthlyResult:
     """Publish one monthly snapshot.
 
@@ -53,18 +54,21 @@ def run_monthly(
     default every raw row is published under this run's snapshot.
     """
     snap = snapshot if isinstance(snapshot, Snapshot) else Snapshot.parse(snapshot)
+    if export_path is not None and not wikis:
+        raise ValueError("an export path needs the wikis to export")
     raw = open_raw(spark, raw_source)
     if source_snapshot is not None:
         raw = raw.where(F.col("snapshot") == F.lit(source_snapshot))
     publish_prod(raw, prod_path, snap, dataset_id, insertion_ts)
 
-    published = read_prod(spark, prod_path).where(F.col("snapshot") == F.lit(snap.month))
+    table = read_prod(spark, prod_path)
+    published = table.where(F.col("snapshot") == F.lit(snap.month))
     result = MonthlyResult(snap, dataset_id, prod_path)
-    if export_path is not None and wikis:
+    if export_path is not None:
         publish_exports(published, export_path, snap, wikis, android)
         result.export_path = export_path
     if search_path is not None:
-        publish_search_feed(published, search_path, snap)
+        publish_search_feed(table, search_path, snap, this_month_only=search_this_month_only)
         result.search_path = search_path
     result.profile = profile_reports(published)
     result.profile["value_frequencies"] = value_frequencies(published)  # lazy: runs when shown

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,20 +95,17 @@ def _code_version() -> str:
 _CODE_VERSION: str | None = None
 
 
-def _inputs_version(sf_dir: str) -> str:
-    """Size and mtime of the input tables when they are local files."""
-    parts = []
-    for name in ("orders", "lineitem"):
-        try:
-            st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
-            parts.append(f"{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append("?")
-    return ",".join(parts)
+def _inputs_version(spark: SparkSession, sf_dir: str) -> str:
+    """Name, length and modification time of the input tables' files, as
+    Spark lists them (their contents are not read)."""
+    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("orders", "lineitem")]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    found = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return f"{found[0]}:{found[1]}"
 
 
-def _key(kind: str, sf_dir: str) -> str:
-    return f"{kind}|{os.path.abspath(sf_dir)}|{_code_version()}|{_inputs_version(sf_dir)}"
+def _key(spark: SparkSession, kind: str, sf_dir: str) -> str:
+    return f"{kind}|{sf_dir.rstrip('/')}|{_code_version()}|{_inputs_version(spark, sf_dir)}"
 
 
 def write_derived_raw(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -124,25 +120,11 @@ def write_derived_raw(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 def raw_path(spark: SparkSession, sf_dir: str) -> str:
-    return materialize_once(spark, _key("raw", sf_dir), lambda path: write_derived_raw(spark, sf_dir, path))
-
-
-_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
-
-
-def _scan(spark: SparkSession, path: str, reader) -> DataFrame:
-    """One scan object per session and path: the folders of a written table
-    never change, so their listing (a Spark job above 32 folders) is done
-    once instead of once per query."""
-    per_session = _SCANS.setdefault(spark, {})
-    df = per_session.get(path)
-    if df is None:
-        df = per_session.setdefault(path, reader(spark, path))
-    return df
+    return materialize_once(spark, _key(spark, "raw", sf_dir), lambda path: write_derived_raw(spark, sf_dir, path))
 
 
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, raw_path(spark, sf_dir), read_raw)
+    return read_raw(spark, raw_path(spark, sf_dir))
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +139,11 @@ def prod_path(spark: SparkSession, sf_dir: str) -> str:
     def build(path: str) -> None:
         publish_prod(raw_table(spark, sf_dir), path, RUN, RUN_DATASET_ID, RUN_INSERTION_TS)
 
-    return materialize_once(spark, _key("prod", sf_dir), build)
+    return materialize_once(spark, _key(spark, "prod", sf_dir), build)
 
 
 def prod_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, prod_path(spark, sf_dir), read_prod)
+    return read_prod(spark, prod_path(spark, sf_dir))
 
 
 def _json_found_on(df: DataFrame) -> DataFrame:
@@ -261,7 +243,7 @@ def q_search_roundtrip(spark, sf_dir):
     def build(path):
         write_search_feed(search_feed(prod_table(spark, sf_dir), RUN), path)
 
-    return read_search_feed(spark, materialize_once(spark, _key("search", sf_dir), build))
+    return read_search_feed(spark, materialize_once(spark, _key(spark, "search", sf_dir), build))
 
 
 def q_export_rows(spark, sf_dir):
@@ -309,7 +291,7 @@ def monthly_run_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
             insertion_ts=RUN_INSERTION_TS,
         )
 
-    root = materialize_once(spark, _key("monthly", sf_dir), build)
+    root = materialize_once(spark, _key(spark, "monthly", sf_dir), build)
     return {"prod": f"{root}/prod", "search": f"{root}/search", "export": f"{root}/export"}
 
 
@@ -325,7 +307,7 @@ def q_tsv_export(spark, sf_dir):
     def build(path):
         export_tsv(prod_table(spark, sf_dir), ALL_WIKIS, RUN_MONTH, path)
 
-    return read_tsv(spark, materialize_once(spark, _key("tsv", sf_dir), build))
+    return read_tsv(spark, materialize_once(spark, _key(spark, "tsv", sf_dir), build))
 
 
 def q_partition_counts(spark, sf_dir):
@@ -333,9 +315,18 @@ def q_partition_counts(spark, sf_dir):
 
 
 def q_value_frequencies(spark, sf_dir):
+    return value_frequencies(prod_table(spark, sf_dir), top=20).withColumnRenamed("column", "column_name")
+
+
+def q_value_frequencies_all(spark, sf_dir):
     return value_frequencies(prod_table(spark, sf_dir)).withColumnRenamed("column", "column_name")
 
 
+def q_scan_prod(spark, sf_dir):
+    """The production table by plain partition discovery, no declared schema."""
+    return _json_found_on(read_prod(spark, prod_path(spark, sf_dir), schema=None))
+
+
 def q_row_count(spark, sf_dir):
     return row_count(prod_table(spark, sf_dir))
 
@@ -381,6 +372,20 @@ def q_daily_new_pages_sql(spark, sf_dir):
     return daily_new_pages_sql(spark, view, DAILY_DAY, database_col="event_type", ts_col="ts")
 
 
+def q_daily_new_pages_partitioned(spark, sf_dir):
+    """The count over events written by year/month/day: only the day's folder is read."""
+
+    def build(path):
+        (events,) = load_tables(spark, sf_dir, "events")
+        parts = [f(F.col("ts")).alias(n) for n, f in (("year", F.year), ("month", F.month), ("day", F.dayofmonth))]
+        days = events.select("event_type", *parts).repartition("year", "month", "day", F.pmod(F.xxhash64("event_type"), F.lit(8)))
+        days.write.partitionBy("year", "month", "day").parquet(path)
+
+    path = materialize_once(spark, _key(spark, "events", sf_dir), build)
+    events = spark.read.schema("event_type string, year int, month int, day int").parquet(path)
+    return daily_new_pages(events, DAILY_DAY, database_col="event_type")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_raw": q_scan_raw,
     "with_candidates": q_with_candidates,
@@ -409,6 +414,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_tsv_export": q_monthly_tsv_export,
     "partition_counts": q_partition_counts,
     "value_frequencies": q_value_frequencies,
+    "value_frequencies_all": q_value_frequencies_all,
+    "scan_prod": q_scan_prod,
+    "daily_new_pages_partitioned": q_daily_new_pages_partitioned,
     "row_count": q_row_count,
     "confidence_by_source": q_confidence_by_source,
     "confidence_violations": q_confidence_violations,
@@ -538,7 +546,7 @@ def _tsv_oracle() -> str:
     )
 
 
-def _value_frequencies_oracle() -> str:
+def _value_frequencies_oracle(top: int | None = 20) -> str:
     renders = {
         "page_id": "CAST(page_id AS VARCHAR)",
         "page_title": "page_title",
@@ -558,10 +566,12 @@ def _value_frequencies_oracle() -> str:
         f"SELECT '{name}' AS column_name, {expr} AS value, count(*) AS \"count\" FROM prod GROUP BY 2"
         for name, expr in renders.items()
     ]
+    if top is None:
+        return " UNION ALL ".join(parts)
     return (
         "SELECT column_name, value, \"count\", CAST(\"rank\" AS INTEGER) AS \"rank\" FROM ("
         "SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY \"count\" DESC, value ASC NULLS FIRST) AS \"rank\" "
-        f"FROM ({' UNION ALL '.join(parts)})) WHERE \"rank\" <= 20"
+        f"FROM ({' UNION ALL '.join(parts)})) WHERE \"rank\" <= {top}"
     )
 
 
@@ -604,14 +614,16 @@ _ORACLE_BODIES = {
     "monthly_tsv_export": _tsv_oracle(),
     "partition_counts": "SELECT snapshot, wiki, count(*) AS \"count\" FROM prod GROUP BY snapshot, wiki",
     "value_frequencies": _value_frequencies_oracle(),
+    "value_frequencies_all": _value_frequencies_oracle(None),
+    "scan_prod": f"SELECT {_PROD_COLUMNS} FROM prod",
     "row_count": "SELECT count(*) AS \"rows\" FROM prod",
     "confidence_by_source": "SELECT confidence_rating, source, count(*) AS \"count\" FROM prod "
     "GROUP BY confidence_rating, source",
     "confidence_violations": "SELECT confidence_rating, source, count(*) AS \"count\" FROM prod "
     "GROUP BY confidence_rating, source HAVING source IS DISTINCT FROM (CASE confidence_rating "
     "WHEN 'high' THEN 'wikidata' WHEN 'medium' THEN 'wikipedia' WHEN 'low' THEN 'commons' END)",
-    "pages_without_image": "SELECT wiki, snapshot, count(*) AS pages FROM prod WHERE image_id IS NULL "
-    "GROUP BY wiki, snapshot",
+    "pages_without_image": "SELECT wiki, snapshot, count(*) AS pages FROM (SELECT wiki, snapshot, page_id FROM prod "
+    "GROUP BY ALL HAVING count(image_id) = 0) GROUP BY wiki, snapshot",
     "profile_counts": "SELECT snapshot, wiki, confidence_rating, source, image_id IS NULL AS without_image, "
     "count(*) AS \"count\" FROM prod GROUP BY ALL",
     "frame_diff": f"SELECT *, 'left_only' AS side FROM (SELECT * FROM export_all WHERE wiki IN ({_ALL_WIKIS_SQL}) "
@@ -623,6 +635,8 @@ _ORACLE_BODIES = {
 _ORACLE_BODIES["monthly_search_feed"] = _ORACLE_BODIES["search_feed"]
 
 _EVENT_ORACLES = {
+    "daily_new_pages_partitioned": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "
+    "WHERE year(ts) = 2024 AND month(ts) = 1 AND day(ts) = 15 GROUP BY event_type",
     "daily_new_pages_sql": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "
     f"WHERE ts >= TIMESTAMP '{DAILY_DAY}' AND ts < TIMESTAMP '{DAILY_DAY}' + INTERVAL 1 DAY GROUP BY event_type",
     "daily_new_pages": "SELECT event_type AS database, count(*) AS count_of_new_pages FROM events "

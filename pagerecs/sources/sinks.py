@@ -37,14 +37,6 @@ def _writer(df: DataFrame, partition_by: Sequence[str], max_records_per_file: in
     return w
 
 
-def _salted_repartition(df: DataFrame, keys: Sequence[str], files: int, tiebreak: Sequence[str]) -> DataFrame:
-    cols = [F.col(k) for k in keys]
-    if files > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in tiebreak]), F.lit(files))
-        cols.append(salt)
-    return df.repartition(*cols)
-
-
 def prod_order(columns: Sequence[str] = PROD_PARTITION_COLUMNS) -> list[Column]:
     """Write order of the production table: partition, then page_title
     descending (NULLs last), then page and image so that equal titles are
@@ -61,21 +53,18 @@ def write_prod(
     path: str,
     *,
     sort: bool = True,
-    files_per_partition: int | None = None,
     max_records_per_file: int | None = None,
 ) -> None:
     """Write production rows partitioned by (wiki, snapshot), data columns in
     table (DDL) order, each file sorted by page_title descending.
 
-    ``sort=False`` writes rows as they come (a frame already ordered by
-    ``prod_order()`` within its partitions keeps that order)."""
+    The rows are rebalanced on the partition columns, so a table partition
+    has few files and a large one is split over tasks. ``sort=False`` writes
+    rows as they come (a frame already ordered by ``prod_order()`` within its
+    partitions keeps that order)."""
     out = df.select(*[f.name for f in PROD_SCHEMA.fields])
-    if files_per_partition:
-        out = _salted_repartition(out, PROD_PARTITION_COLUMNS, files_per_partition, ("page_id", "image_id"))
-        if sort:
-            out = out.sortWithinPartitions(*prod_order())
-    elif sort:
-        out = out.sort(*prod_order())
+    if sort:
+        out = out.hint("rebalance", *PROD_PARTITION_COLUMNS).sortWithinPartitions(*prod_order())
     _writer(out, PROD_PARTITION_COLUMNS, max_records_per_file).parquet(path)
 
 
@@ -83,15 +72,11 @@ def write_search_feed(
     df: DataFrame,
     path: str,
     *,
-    files_per_partition: int | None = None,
     max_records_per_file: int | None = None,
 ) -> None:
     """Write the feed partitioned by year/month/day (int directory values,
     matching the table DDL)."""
-    out = df
-    if files_per_partition:
-        out = _salted_repartition(out, SEARCH_PARTITION_COLUMNS, files_per_partition, ("wikiid", "page_id"))
-    _writer(out, SEARCH_PARTITION_COLUMNS, max_records_per_file).parquet(path)
+    _writer(df, SEARCH_PARTITION_COLUMNS, max_records_per_file).parquet(path)
 
 
 def tsv_field(c: Column | str, text_like: bool = True) -> Column:
@@ -143,7 +128,7 @@ def write_tsv(
             for vals in header_partitions
         ]
         # one partition, built in the JVM (no Python rows to ship)
-        heads = rows.sparkSession.range(1).select(F.inline(F.array(*structs)))
+        heads = rows.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
         body = data.select("value", *[F.col(p).cast("string") for p in partition_by], F.lit(1).alias("_row"))
         # The writer sorts each task's rows by the partition columns anyway;
         # the extra key keeps a header first even if it shares a task with

@@ -2,55 +2,30 @@
 
 Intermediate tables are written as Parquet under the folder the cluster
 names in ``spark.checkpoint.dir`` (shared storage, survives executor loss,
-cuts lineage). Only when that is unset in local mode (local runs, tests) is
-a private temporary folder created and registered as the checkpoint
-directory; on a cluster an unset folder is an error.
+cuts lineage). An unset folder is an error; local runs and tests set their own.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
-_OWN_ROOTS: dict[str, str] = {}
-
-
-def _context(spark: SparkSession):
-    try:
-        return spark.sparkContext
-    except Exception:  # Spark Connect: no SparkContext on the client
-        return None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session (set one if unset)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = _context(spark)
-    if sc is not None:
-        current = sc.getCheckpointDir()
-        if current:
-            return current.rstrip("/")
-    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    """The shared folder that the session names; an error if it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
         raise RuntimeError(
-            "spark.checkpoint.dir is not set: point it at a shared folder (HDFS, object store) "
-            "for intermediate tables; a machine-local folder is only used in local mode"
+            "spark.checkpoint.dir is not set: point it at a shared folder (HDFS, object store) for intermediate tables"
         )
-    with _LOCK:
-        app = sc.applicationId if sc is not None else "connect"
-        if app not in _OWN_ROOTS:
-            root = tempfile.mkdtemp(prefix="pagerecs-")
-            if sc is not None:
-                sc.setCheckpointDir(root)
-            _OWN_ROOTS[app] = root
-        return _OWN_ROOTS[app]
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -72,12 +47,14 @@ def _read_marker(spark: SparkSession, marker: str) -> str | None:
 
 
 def _write_marker(spark: SparkSession, marker: str, path: str) -> None:
+    from pyspark.errors import AnalysisException
     from pyspark.sql import functions as F
 
     try:
-        spark.range(1).select(F.lit(path).alias("value")).write.mode("overwrite").text(marker)
-    except Exception:  # another process is writing the same marker; its build is as good
-        pass
+        spark.range(0, 1, 1, 1).select(F.lit(path).alias("value")).write.mode("errorifexists").text(marker)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_ALREADY_EXISTS":  # else another process wrote it; its build is as good
+            raise
 
 
 def materialize_once(spark: SparkSession, key: str, build, fingerprint: str = "") -> str:

@@ -28,11 +28,11 @@ def test_golden_transform(raw_data):
     got = {(r.wiki, r.page_id, r.image_id): r for r in out.collect()}
     assert len(got) == 5 and out.count() == 5
     expected = {
-        ("arwiki", 44444, "image1.jpg"): ("medium", "wikipedia", None, ["ruwiki"], True),
-        ("arwiki", 55555, None): (None, None, None, None, True),
-        ("enwiki", 523523, "image2.jpg"): ("medium", "wikipedia", "Q577", ["ruwiki", "arwiki", "enwiki"], False),
-        ("enwiki", 523523, "image3.jpg"): ("high", "wikidata", "Q577", [""], False),
-        ("enwiki", 523523, "image4.jpg"): ("low", "commons", "Q577", [""], False),
+        ("arwiki", 7001, "tower.jpg"): ("medium", "wikipedia", None, ["huwiki"], True),
+        ("arwiki", 7002, None): (None, None, None, None, True),
+        ("enwiki", 9400, "quay.jpg"): ("medium", "wikipedia", "Q577", ["huwiki", "eowiki", "dawiki"], False),
+        ("enwiki", 9400, "crane.jpg"): ("high", "wikidata", "Q577", [""], False),
+        ("enwiki", 9400, "boats.jpg"): ("low", "commons", "Q577", [""], False),
     }
     for key, (conf, source, inst, found, article) in expected.items():
         r = got[key]
@@ -41,7 +41,7 @@ def test_golden_transform(raw_data):
     # one confidence per source, as the reference test checks
     pairs = {(r.source, r.confidence_rating) for r in got.values() if r.source}
     assert pairs == {("wikipedia", "medium"), ("wikidata", "high"), ("commons", "low")}
-    assert got[("arwiki", 44444, "image1.jpg")].page_title == "Some page with suggestions"
+    assert got[("arwiki", 7001, "tower.jpg")].page_title == "Northern lighthouse"
 
 
 def test_null_array_page_vanishes_and_edge_candidates(spark):
@@ -81,7 +81,7 @@ def test_steps(raw_data):
     assert explode_candidates(raw_data).count() == 4
     assert flatten_candidates(raw_data).count() == 5
     empty = pages_without_candidates(raw_data).collect()
-    assert [(r.page_id, r.image_id, r.found_on, r.is_article_page) for r in empty] == [(55555, None, None, True)]
+    assert [(r.page_id, r.image_id, r.found_on, r.is_article_page) for r in empty] == [(7002, None, None, True)]
 
 
 def test_schema_contract(raw_data):
@@ -95,10 +95,10 @@ def test_schema_contract(raw_data):
 
 
 def test_stamp_run(raw_data):
-    out = stamp_run(transform_candidates(raw_data), "ds-1", 1234.5, "2020-12")
+    out = stamp_run(transform_candidates(raw_data), "ds-1", 1234.5, "2021-05")
     vals = {(r.dataset_id, r.insertion_ts, r.snapshot) for r in out.collect()}
-    assert vals == {("ds-1", 1234.5, "2020-12")}
-    auto = stamp_run(transform_candidates(raw_data), snapshot="2020-12")
+    assert vals == {("ds-1", 1234.5, "2021-05")}
+    auto = stamp_run(transform_candidates(raw_data), snapshot="2021-05")
     vals = {(r.dataset_id, r.insertion_ts) for r in auto.collect()}
     assert len(vals) == 1  # one value per run
     assert dict(auto.dtypes)["insertion_ts"] == "double"
@@ -145,5 +145,5 @@ def test_survey_signatures(raw_data, spark):
     from pagerecs.operators.profile import value_frequencies
 
     assert source_of is candidate_source
-    prod = stamp_run(transform_candidates(raw_data), "ds-1", 1.0, "2020-12")
-    assert {r.rank for r in value_frequencies(prod, 1).collect()} == {1}
+    prod = stamp_run(transform_candidates(raw_data), "ds-1", 1.0, "2021-05")
+    assert {r.rank for r in value_frequencies(prod, top=1).collect()} == {1}

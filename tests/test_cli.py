@@ -17,13 +17,13 @@ def test_cli_jobs_end_to_end(spark, raw_data, tmp_path, capsys):
     raw = str(tmp_path / "raw")
     raw_data.write.partitionBy("wiki_db", "snapshot").parquet(raw)
     prod, search, export = (str(tmp_path / n) for n in ("prod", "search", "export"))
-    assert main(["publish-prod", "--snapshot", "2020-12", "--source", raw, "--destination", prod,
+    assert main(["publish-prod", "--snapshot", "2021-05", "--source", raw, "--destination", prod,
                  "--dataset-id", "cli-run"], spark) == 0
     rows = read_prod(spark, prod).collect()
-    assert len(rows) == 5 and {(r.dataset_id, r.snapshot) for r in rows} == {("cli-run", "2020-12")}
-    main(["search-feed", "--snapshot", "2020-12-15", "--source", prod, "--destination", search], spark)
-    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [44444]
-    main(["export", "--snapshot", "2020-12", "--source", prod, "--destination", export,
+    assert len(rows) == 5 and {(r.dataset_id, r.snapshot) for r in rows} == {("cli-run", "2021-05")}
+    main(["search-feed", "--snapshot", "2021-05-15", "--source", prod, "--destination", search], spark)
+    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [7001]
+    main(["export", "--snapshot", "2021-05", "--source", prod, "--destination", export,
           "--wiki", "arwiki", "enwiki"], spark)
     assert read_tsv(spark, export).count() == 2 + 2  # two headers, two arwiki rows
     main(["create-tables", "--database", "pagerecs_cli", "--prod", prod], spark)
@@ -39,15 +39,25 @@ def test_cli_daily_count(spark, capsys):
     main(["daily-count", "--date", "2024-01-15", "--table", "page_create_events", "--database", "enwiki"], spark)
     out = capsys.readouterr().out
     lines = [line for line in out.splitlines() if "enwiki" in line]
-    assert len(lines) == 1 and lines[0].split("|")[2].strip() == "2"
+    assert len(lines) == 1 and lines[0].split("\t")[1] == "2"
     assert "dewiki" not in out
 
 
+def test_cli_daily_count_shows_and_writes_every_database(spark, tmp_path, capsys):
+    rows = [(f"db{i:02}", 2024, 1, 15) for i in range(30)]
+    spark.createDataFrame(rows, "database string, year int, month int, day int").createOrReplaceTempView("many_databases")
+    call = ["daily-count", "--date", "2024-01-15", "--table", "many_databases"]
+    main(call, spark)
+    assert sum(line.startswith("db") for line in capsys.readouterr().out.splitlines()) == 30
+    main([*call, "--destination", str(tmp_path / "counts")], spark)
+    assert spark.read.parquet(str(tmp_path / "counts")).count() == 30
+
+
 def test_cli_validates_before_spark():
     with pytest.raises(ValueError):
-        main(["search-feed", "--snapshot", "2020-12", "--source", "x", "--destination", "y"], spark=object())
+        main(["search-feed", "--snapshot", "2021-05", "--source", "x", "--destination", "y"], spark=object())
     with pytest.raises(SystemExit):
-        main(["publish-prod", "--snapshot", "2020-12"], spark=object())
+        main(["publish-prod", "--snapshot", "2021-05"], spark=object())
 
 
 def test_cli_monthly_from_catalog_table(spark, raw_data, tmp_path, capsys):
@@ -57,10 +67,10 @@ def test_cli_monthly_from_catalog_table(spark, raw_data, tmp_path, capsys):
     raw_data.write.partitionBy("wiki_db", "snapshot").parquet(raw)
     table = create_external_table(spark, "raw", raw, database="pagerecs_cli_monthly")
     prod, search, export = (str(tmp_path / n) for n in ("prod", "search", "export"))
-    main(["monthly", "--snapshot", "2020-12-15", "--source", table, "--prod", prod, "--search", search,
+    main(["monthly", "--snapshot", "2021-05-15", "--source", table, "--prod", prod, "--search", search,
           "--export", export, "--wiki", "arwiki", "--dataset-id", "m1"], spark)
     assert read_prod(spark, prod).count() == 5
-    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [44444]
+    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [7001]
     assert read_tsv(spark, export).count() == 3  # header + 2 arwiki rows
     out = capsys.readouterr().out
-    assert "2020-12" in out and "arwiki" in out  # partition counts shown
+    assert "2021-05" in out and "arwiki" in out  # partition counts shown

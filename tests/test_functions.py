@@ -42,7 +42,7 @@ def test_candidate_source(spark):
 
 def test_found_on_reference_fixture(notes):
     got = [r.f for r in notes.select(found_on("note").alias("f")).collect()]
-    assert got == [["ruwiki", "itwiki", "enwiki"], [""], None]
+    assert got == [["huwiki", "dawiki", "skwiki"], [""], None]
 
 
 def test_found_on_without_marker_is_single_empty_string(spark):

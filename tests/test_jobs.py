@@ -43,9 +43,9 @@ def test_publish_prod_shuffles_pages_not_candidates(spark):
         jobs.write_prod = original
     simple = plan_text(captured["df"], "simple")
     lines = simple.splitlines()
-    exchange = next(i for i, line in enumerate(lines) if "Exchange rangepartitioning" in line)
+    exchange = next(i for i, line in enumerate(lines) if "REBALANCE_PARTITIONS" in line)
     generate = next(i for i, line in enumerate(lines) if "Generate explode" in line)
-    assert generate < exchange  # explode runs above (after) the range shuffle
+    assert generate < exchange  # explode runs above (after) the shuffle
     assert "Exchange" not in "".join(lines[:exchange])  # exactly one shuffle
     assert simple.count("Exchange") == 1
 
@@ -57,11 +57,14 @@ def test_publish_search_feed_and_exports(spark, tmp_path):
     publish_prod(raw.where(F.col("wiki_db") == "kowiki"), prod_dir, "2024-03-01", "ds", 3.0)
     prod = read_prod(spark, prod_dir)
     search_dir = str(tmp_path / "search")
-    publish_search_feed(prod, search_dir, "2024-03-01")
+    publish_search_feed(prod, search_dir, "2024-03-01", this_month_only=True)
     got = read_search_feed(spark, search_dir)
     march = prod.where("snapshot = '2024-03'")
     assert_frames_equal(got, search_feed(march, "2024-03-01"))
     assert {r.wikiid for r in got.select("wikiid").distinct().collect()} == {"kowiki"}
+    every_dir = str(tmp_path / "search-all")
+    publish_search_feed(prod, every_dir, "2024-03-01")
+    assert_frames_equal(read_search_feed(spark, every_dir), search_feed(prod, "2024-03-01"))
     export_dir = str(tmp_path / "export")
     publish_exports(prod, export_dir, "2024-03-01", ["kowiki", "plwiki"], android=True)
     lines = read_tsv(spark, export_dir)
@@ -75,9 +78,9 @@ def test_publish_prod_splits_a_hot_wiki(spark, tmp_path):
         "wiki_db", F.when(F.col("page_id") % 10 == 0, F.col("wiki_db")).otherwise(F.lit("hotwiki"))
     )
     out = str(tmp_path / "prod")
-    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(conf)
-    spark.conf.set(conf, "false")
+    spark.conf.set(conf, "4k")
     try:
         publish_prod(raw, out, "2024-02-01", "ds", 2.0)
     finally:
@@ -85,7 +88,6 @@ def test_publish_prod_splits_a_hot_wiki(spark, tmp_path):
     hot = out + "/wiki=hotwiki/snapshot=2024-02"
     files = sorted(glob.glob(hot + "/*.parquet"))
     assert len(files) > 1  # the hot wiki is spread over several tasks
-    titles = []
     for f in files:
-        titles += pq.read_table(f, columns=["page_title"]).column("page_title").to_pylist()
-    assert titles == sorted(titles, reverse=True)
+        titles = pq.read_table(f, columns=["page_title"]).column("page_title").to_pylist()
+        assert titles == sorted(titles, reverse=True)

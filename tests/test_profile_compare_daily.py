@@ -20,11 +20,11 @@ from tests.conftest import SF_SMALL, plan_text
 
 @pytest.fixture(scope="module")
 def prod(raw_data):
-    return stamp_run(transform_candidates(raw_data), "ds-1", 5.0, "2020-12")
+    return stamp_run(transform_candidates(raw_data), "ds-1", 5.0, "2021-05")
 
 
 def test_partition_counts_and_row_count(prod):
-    assert [tuple(r) for r in partition_counts(prod).collect()] == [("2020-12", "arwiki", 2), ("2020-12", "enwiki", 3)]
+    assert [tuple(r) for r in partition_counts(prod).collect()] == [("2021-05", "arwiki", 2), ("2021-05", "enwiki", 3)]
     assert row_count(prod).collect()[0].rows == 5
 
 
@@ -32,15 +32,15 @@ def test_confidence_checks(prod, spark):
     got = {(r.confidence_rating, r.source): r["count"] for r in confidence_by_source(prod).collect()}
     assert got == {("medium", "wikipedia"): 2, ("high", "wikidata"): 1, ("low", "commons"): 1, (None, None): 1}
     assert confidence_violations(prod).count() == 0
-    bad = prod.withColumn("source", F.when(F.col("image_id") == "image3.jpg", "commons").otherwise(F.col("source")))
+    bad = prod.withColumn("source", F.when(F.col("image_id") == "crane.jpg", "commons").otherwise(F.col("source")))
     assert [tuple(r) for r in confidence_violations(bad).collect()] == [("high", "commons", 1)]
     # a rated candidate without a known source is a violation too
-    orphan = prod.withColumn("source", F.when(F.col("image_id") == "image4.jpg", None).otherwise(F.col("source")))
+    orphan = prod.withColumn("source", F.when(F.col("image_id") == "boats.jpg", None).otherwise(F.col("source")))
     assert [tuple(r) for r in confidence_violations(orphan).collect()] == [("low", None, 1)]
 
 
 def test_pages_without_image(prod):
-    assert [tuple(r) for r in pages_without_image(prod).collect()] == [("arwiki", "2020-12", 1)]
+    assert [tuple(r) for r in pages_without_image(prod).collect()] == [("arwiki", "2021-05", 1)]
 
 
 def test_value_frequencies(prod, spark):
@@ -58,24 +58,24 @@ def test_value_frequencies(prod, spark):
 
 
 def test_value_frequencies_limits_before_shuffle(prod):
-    plan = plan_text(value_frequencies(prod))
+    plan = plan_text(value_frequencies(prod, top=20))
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
     # one pass for all columns: a single generator, one aggregation shuffle
     # and one window shuffle
-    simple = plan_text(value_frequencies(prod), "simple")
+    simple = plan_text(value_frequencies(prod, top=20), "simple")
     assert simple.count("Generate inline") == 1
     assert simple.count("Exchange hashpartitioning") == 2
 
 
 def test_frame_diff_reference_fixture(people, spark):
-    same = spark.createDataFrame([("Alice", 1), ("Bob", 2), ("Eve", 3)], ["name", "age"])
+    same = spark.createDataFrame([("Oak", 11), ("Pine", 12), ("Rowan", 13)], ["name", "rings"])
     assert frames_equal(people, same)
-    assert_frames_equal(people, same.select("age", "name"))  # by name, not position
-    other = spark.createDataFrame([("Alice", 1), ("Bob", 5), ("Bob", 5), ("Zed", None)], ["name", "age"])
+    assert_frames_equal(people, same.select("rings", "name"))  # by name, not position
+    other = spark.createDataFrame([("Oak", 11), ("Pine", 5), ("Pine", 5), ("Yew", None)], ["name", "rings"])
     got = sorted(tuple(r) for r in frame_diff(people, other).collect())
-    assert got == [("Bob", 2, LEFT_ONLY), ("Bob", 5, RIGHT_ONLY), ("Eve", 3, LEFT_ONLY), ("Zed", None, RIGHT_ONLY)]
+    assert got == [("Pine", 5, RIGHT_ONLY), ("Pine", 12, LEFT_ONLY), ("Rowan", 13, LEFT_ONLY), ("Yew", None, RIGHT_ONLY)]
     multi = sorted(tuple(r) for r in frame_diff(people, other, multiset=True).collect())
-    assert ("Bob", 5, RIGHT_ONLY, 2) in multi
+    assert ("Pine", 5, RIGHT_ONLY, 2) in multi
     assert frames_equal(people.unionByName(people), people)  # set semantics
     assert not frames_equal(people.unionByName(people), people, multiset=True)
     with pytest.raises(ValueError):
@@ -84,6 +84,18 @@ def test_frame_diff_reference_fixture(people, spark):
     assert frames_equal(people, same.withColumn("extra", F.lit(1)))
 
 
+def test_frame_diff_takes_columns_of_any_name(spark):
+    a = spark.createDataFrame([(1, 2, 3)], ["_l", "_copies_left", "_copies_right"])
+    b = spark.createDataFrame([(1, 2, 4)], ["_l", "_copies_left", "_copies_right"])
+    assert frame_diff(a, b).count() == 2 and frames_equal(a, a)
+
+
+def test_pages_without_image_counts_pages(spark):
+    rows = [("w", "s", 1, None), ("w", "s", 1, None), ("w", "s", 2, None), ("w", "s", 2, "a.jpg"), ("w", "s", 3, "b.jpg")]
+    prod = spark.createDataFrame(rows, "wiki string, snapshot string, page_id int, image_id string")
+    assert [r.pages for r in pages_without_image(prod).collect()] == [1]
+
+
 def test_frame_diff_nulls_and_arrays(spark):
     a = spark.createDataFrame([(None, ["x"]), ("k", None)], "k string, v array<string>")
     b = spark.createDataFrame([(None, ["x"]), ("k", [])], "k string, v array<string>")

@@ -254,23 +254,24 @@ def test_daily_count_matches_model(spark, events, database):
 @SETTINGS
 @given(st.lists(st.tuples(st.sampled_from(["kowiki", "plwiki"]), st.sampled_from(["2024-01", "2024-02"]),
                           st.sampled_from(["high", "low", None]), st.sampled_from(["wikidata", "commons", None]),
-                          st.sampled_from(["a.jpg", None])),
+                          st.sampled_from(["a.jpg", None]), st.integers(1, 4)),
                 max_size=40))
 def test_profile_reports_match_model(spark, rows):
     from pagerecs.operators.profile import profile_reports
 
     prod = spark.createDataFrame(rows, "wiki string, snapshot string, confidence_rating string, source string, "
-                                       "image_id string")
+                                       "image_id string, page_id int")
     reports = profile_reports(prod, materialize=False)
     assert {(r.snapshot, r.wiki): r["count"] for r in reports["partition_counts"].collect()} == dict(
-        Counter((s, w) for w, s, _, _, _ in rows))
+        Counter((s, w) for w, s, *_ in rows))
     assert {(r.confidence_rating, r.source): r["count"] for r in reports["confidence_by_source"].collect()} == dict(
-        Counter((c, src) for _, _, c, src, _ in rows))
+        Counter((c, src) for _, _, c, src, *_ in rows))
     expected = {"high": "wikidata", "low": "commons"}
     assert {(r.confidence_rating, r.source): r["count"] for r in reports["confidence_violations"].collect()} == {
-        k: v for k, v in Counter((c, src) for _, _, c, src, _ in rows).items() if expected.get(k[0]) != k[1]}
+        k: v for k, v in Counter((c, src) for _, _, c, src, *_ in rows).items() if expected.get(k[0]) != k[1]}
     assert {(r.wiki, r.snapshot): r.pages for r in reports["pages_without_image"].collect()} == dict(
-        Counter((w, s) for w, s, _, _, img in rows if img is None))
+        Counter((w, s) for w, s, page in {(w, s, p) for w, s, _, _, _, p in rows}
+                if all(r[4] is None for r in rows if (r[0], r[1], r[5]) == (w, s, page))))
     assert reports["row_count"].collect()[0].rows == len(rows)
 
 

@@ -15,7 +15,7 @@ from tests.conftest import plan_text
 @pytest.fixture(scope="module")
 def prod_path(raw_data, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("prod") / "imagerec_prod")
-    write_prod(stamp_run(transform_candidates(raw_data), "ds-1", 1700000000.0, "2020-12"), path)
+    write_prod(stamp_run(transform_candidates(raw_data), "ds-1", 1700000000.0, "2021-05"), path)
     return path
 
 
@@ -25,17 +25,17 @@ def prod(spark, prod_path):
 
 
 def test_search_feed_golden(prod):
-    rows = search_feed(prod, "2020-12-15").collect()
-    assert [tuple(r) for r in rows] == [("arwiki", 44444, 0, "image", 2020, 12, 15)]
-    assert search_feed(prod, "2020-12-15").dtypes == [
+    rows = search_feed(prod, "2021-05-15").collect()
+    assert [tuple(r) for r in rows] == [("arwiki", 7001, 0, "image", 2021, 5, 15)]
+    assert search_feed(prod, "2021-05-15").dtypes == [
         ("wikiid", "string"), ("page_id", "int"), ("page_namespace", "int"),
         ("recommendation_type", "string"), ("year", "int"), ("month", "int"), ("day", "int")]
 
 
 def test_search_feed_is_distinct_and_pushes_filters(spark, prod):
     doubled = prod.unionByName(prod)
-    assert search_feed(doubled, "2020-12-15").count() == 1
-    plan = plan_text(search_feed(prod, "2020-12-15"))
+    assert search_feed(doubled, "2021-05-15").count() == 1
+    plan = plan_text(search_feed(prod, "2021-05-15"))
     pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
     for f in ("IsNotNull(image_id)", "EqualTo(is_article_page,true)"):
         assert f in pushed
@@ -46,33 +46,33 @@ def test_search_feed_is_distinct_and_pushes_filters(spark, prod):
 
 def test_search_feed_rejects_bad_date(prod):
     with pytest.raises(ValueError):
-        search_feed(prod, "2020-12")
+        search_feed(prod, "2021-05")
 
 
 def test_search_feed_page_id_overflow_raises(spark, prod):
     big = prod.withColumn("page_id", F.lit(2**31).cast("bigint"))
     with pytest.raises(ArithmeticException):
-        search_feed(big, "2020-12-15").collect()
+        search_feed(big, "2021-05-15").collect()
 
 
 def test_export_golden(prod):
-    rows = export_rows(prod, "arwiki", "2020-12").collect()
-    assert tuple(export_rows(prod, "arwiki", "2020-12").columns) == EXPORT_COLUMNS
+    rows = export_rows(prod, "arwiki", "2021-05").collect()
+    assert tuple(export_rows(prod, "arwiki", "2021-05").columns) == EXPORT_COLUMNS
     got = {r.page_id: r for r in rows}
-    assert set(got) == {44444, 55555}
-    assert (got[55555].image_id, got[55555].confidence_rating, got[55555].source, got[55555].found_on) == ("", "", "", "")
-    assert got[44444].found_on == "ruwiki" and got[44444].image_id == "image1.jpg"
-    android = export_rows(prod, "arwiki", "2020-12", require_image=True).collect()
-    assert [r.page_id for r in android] == [44444]
-    assert export_rows(prod, "enwiki", "2020-12").count() == 0  # Q577 is not an article
-    assert export_rows(prod, ["arwiki", "enwiki"], "2020-12").count() == 2
+    assert set(got) == {7001, 7002}
+    assert (got[7002].image_id, got[7002].confidence_rating, got[7002].source, got[7002].found_on) == ("", "", "", "")
+    assert got[7001].found_on == "huwiki" and got[7001].image_id == "tower.jpg"
+    android = export_rows(prod, "arwiki", "2021-05", require_image=True).collect()
+    assert [r.page_id for r in android] == [7001]
+    assert export_rows(prod, "enwiki", "2021-05").count() == 0  # Q577 is not an article
+    assert export_rows(prod, ["arwiki", "enwiki"], "2021-05").count() == 2
     assert export_rows(prod, "arwiki", "2021-01").count() == 0
 
 
 def test_export_prunes_partitions(prod):
-    plan = plan_text(export_rows(prod, ["arwiki"], "2020-12"))
+    plan = plan_text(export_rows(prod, ["arwiki"], "2021-05"))
     parts = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
-    assert "= arwiki)" in parts and "= 2020-12)" in parts
+    assert "= arwiki)" in parts and "= 2021-05)" in parts
     assert "EqualTo(is_article_page,true)" in plan
 
 
@@ -80,27 +80,27 @@ def test_export_sql_matches_dataframe(spark, prod, prod_path):
     table = create_external_table(spark, "prod", prod_path, name="imagerec_prod_export_test")
     for android in (False, True):
         assert_frames_equal(
-            export_rows_sql(spark, table, "arwiki", "2020-12", android),
-            export_rows(prod, "arwiki", "2020-12", android),
+            export_rows_sql(spark, table, "arwiki", "2021-05", android),
+            export_rows(prod, "arwiki", "2021-05", android),
             multiset=True,
         )
     # a value with a quote cannot inject SQL: it is a bound parameter
-    assert export_rows_sql(spark, table, "arwiki' OR '1'='1", "2020-12").count() == 0
+    assert export_rows_sql(spark, table, "arwiki' OR '1'='1", "2021-05").count() == 0
 
 
 def test_tsv_export_header_first_no_quoting(spark, raw_data, tmp_path):
     tricky = raw_data.withColumn(
-        "page_title", F.when(F.col("page_id") == 44444, F.lit('Tab\there "quoted"\nline')).otherwise(F.col("page_title"))
+        "page_title", F.when(F.col("page_id") == 7001, F.lit('Tab\there "quoted"\nline')).otherwise(F.col("page_title"))
     )
     prod_dir = str(tmp_path / "prod")
-    write_prod(stamp_run(transform_candidates(tricky), "ds-1", 1700000000.0, "2020-12"), prod_dir)
+    write_prod(stamp_run(transform_candidates(tricky), "ds-1", 1700000000.0, "2021-05"), prod_dir)
     prod = read_prod(spark, prod_dir)
     out = str(tmp_path / "tsv")
-    export_tsv(prod, ["arwiki", "enwiki", "kowiki"], "2020-12", out)
+    export_tsv(prod, ["arwiki", "enwiki", "kowiki"], "2021-05", out)
     import glob
 
     for wiki, n_rows in (("arwiki", 2), ("enwiki", 0), ("kowiki", 0)):
-        files = sorted(glob.glob(f"{out}/wiki={wiki}/snapshot=2020-12/part-*"))
+        files = sorted(glob.glob(f"{out}/wiki={wiki}/snapshot=2021-05/part-*"))
         lines = []
         for f in files:
             with open(f, encoding="utf-8") as fh:
@@ -112,8 +112,8 @@ def test_tsv_export_header_first_no_quoting(spark, raw_data, tmp_path):
             assert len(fields) == len(EXPORT_COLUMNS)
             assert fields[6] == "1.7E9"
     text = {r.value for r in read_tsv(spark, out).collect()}
-    assert '44444\tTab here "quoted" line\timage1.jpg\tmedium\twikipedia\tds-1\t1.7E9\tarwiki\truwiki' in text
-    assert "55555\tSome page with no suggestion\t\t\t\tds-1\t1.7E9\tarwiki\t" in text
+    assert '7001\tTab here "quoted" line\ttower.jpg\tmedium\twikipedia\tds-1\t1.7E9\tarwiki\thuwiki' in text
+    assert "7002\tQuiet meadow\t\t\t\tds-1\t1.7E9\tarwiki\t" in text
 
 
 def test_tsv_null_is_backslash_n(spark, tmp_path):
@@ -130,11 +130,11 @@ def test_tsv_header_first_when_sharing_a_task(spark, prod, tmp_path):
 
     from pagerecs.sources.sinks import write_tsv
 
-    rows = export_rows(prod, "arwiki", "2020-12").withColumn("snapshot", F.lit("2020-12")).coalesce(1)
+    rows = export_rows(prod, "arwiki", "2021-05").withColumn("snapshot", F.lit("2021-05")).coalesce(1)
     out = str(tmp_path / "one")
-    write_tsv(rows, out, EXPORT_COLUMNS, header_partitions=[("arwiki", "2020-12")])
+    write_tsv(rows, out, EXPORT_COLUMNS, header_partitions=[("arwiki", "2021-05")])
     lines = []
-    for f in sorted(glob.glob(out + "/wiki=arwiki/snapshot=2020-12/part-*")):
+    for f in sorted(glob.glob(out + "/wiki=arwiki/snapshot=2021-05/part-*")):
         with open(f, encoding="utf-8") as fh:
             lines += fh.read().splitlines()
     assert lines[0] == "\t".join(EXPORT_COLUMNS) and len(lines) == 3
@@ -152,7 +152,7 @@ def test_tsv_write_has_no_shuffle(spark, prod, tmp_path):
 
     sinks._writer = capture
     try:
-        export_tsv(prod, ["arwiki"], "2020-12", str(tmp_path / "t"))
+        export_tsv(prod, ["arwiki"], "2021-05", str(tmp_path / "t"))
     finally:
         sinks._writer = original
     assert "Exchange" not in plan_text(captured["df"], "simple")
