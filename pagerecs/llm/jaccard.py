@@ -58,6 +58,8 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingles) of every text with words, in order."""
     for first, _, data, offsets in byte_runs(column, 1 << 20):
         rows, values = shingles(*words(data, offsets))
+        if not len(rows):
+            continue
         values = (values >> np.uint64(1)).view(np.int64)
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
         for a, b in zip(heads, np.r_[heads[1:], len(rows)], strict=True):

@@ -29,7 +29,8 @@ from pagerecs.llm.common import byte_runs
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 8, 8
 #: Labelled rows in the training sample, at most about this many in all.
 TRAIN_ROWS = 6000
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Passes over the sample, and steps at least, so that a small sample is learned too.
+EPOCHS, STEPS, BATCH, RATE = 8, 500, 64, 0.01
 PAD = 256
 UNDETERMINED = "und"
 
@@ -93,7 +94,7 @@ def train(windows: np.ndarray, classes: np.ndarray, labels: list[str], seed: int
     values = [model.embed, *model.filters, model.bias, model.dense, model.dense_bias]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(windows)))):
         order = random.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             x, y = windows[order[at : at + BATCH]], classes[order[at : at + BATCH]]

@@ -30,7 +30,8 @@ PASSAGE, CODE, ATTENTION = 512, 16, 8
 #: Labelled documents in the training sample, at most about this many, and
 #: the passages (evenly spaced) that training takes of each.
 TRAIN_ROWS, TRAIN_PASSAGES = 6000, 32
-EPOCHS, BATCH, RATE = 30, 64, 0.01
+#: Passes over the sample, and steps at least, so that a small sample is learned too.
+EPOCHS, STEPS, BATCH, RATE = 30, 1000, 64, 0.01
 #: A score from here on predicts label 1.
 THRESHOLD = 0.3
 
@@ -118,7 +119,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     values = [model.encode, model.value, model.gate, model.weigh, model.out]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(bags)))):
         order = random.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]

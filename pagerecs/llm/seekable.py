@@ -53,7 +53,8 @@ def in_id_order(docs: DataFrame) -> DataFrame:
         splits = [-float("inf"), *sorted(set(map(float, cuts))), float("inf")]
         docs = docs.withColumn("at", F.col("doc_id").cast("double"))
         docs = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep").transform(docs)
-        docs = docs.repartitionById(len(splits), F.col("range").cast("int")).drop("at", "range")
+        part = F.coalesce(F.col("range").cast("int"), F.lit(len(splits) - 1))  # null ids last
+        docs = docs.repartitionById(len(splits), part).drop("at", "range")
     else:
         docs = docs.repartition(1)
     return docs.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")

@@ -1,0 +1,291 @@
+"""The training-data operators against brute force, on small and odd inputs."""
+
+import hashlib
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm.tokens import encoder, vocabulary
+from pagerecs.sources.storage import fresh_path
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i % 977}" for i in range(6000))
+ODD = [
+    (1, None, "en", "s", 0, 1.0),
+    (2, "", None, "s", 0, 1.0),
+    (3, " \n\t ", "en", None, 0, 1.0),
+    (4, "one two three", "en", "s", 0, None),
+    (5, "One two\tthree", "en", "s", 0, 1.0),
+    (6, LONG, "en", "s", 0, 1.0),
+    (6, LONG, "en", "s", 0, 1.0),
+    (None, "a null id  with\n\nspaces and é ü", "de", "s", 0, 1.0),
+    (8, LONG + " and a tail", "en", "s", 0, 1.0),
+    (9, "12 34 !!", "en", "s", 0, 1.0),
+    (-5, "x <|endoftext|> y", "en", "s", 0, 1.0),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words_of(text):
+    lowered = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+def set_of(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def ids_of(text, name):
+    return encoder(vocabulary(name)).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cached_ids_equal_the_librarys(name):
+    texts = ["", " a", "a ", "  x  y ", "a \n b", "don't  it's", "é ́x", "İ ΑΣ ß", "foo.\nBar, baz!!", "x\x1cy \x85 z", LONG]
+    assert encoder(vocabulary(name)).encode([*texts, None]) == [array("I", ids_of(t, name)).tobytes() for t in [*texts, None]]
+
+
+def test_packing_is_gapless_and_whole(odd, empty):
+    done = packing.pack(odd)
+    rows = done.placement.collect()
+    want = Counter()
+    for doc_id, text, *_ in ODD:
+        ids = [*ids_of(text, "byte_bpe_50k.json"), 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        parts.sort()
+        ends = [a + n for a, n in parts]
+        assert [a for a, _ in parts] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert {r.sequence_id: len(r.ids) // 4 for r in done.sequences().collect()} == {
+        s: sum(n for _, n in parts) for s, parts in by_sequence.items()
+    }
+    assert packing.pack(empty).placement.count() == 0
+
+
+def test_configuration_program_is_near_the_bound():
+    random = np.random.default_rng(3)
+    lengths = Counter(int(x) for x in np.clip(random.lognormal(5.5, 1, 20_000), 1, 2048))
+    used = packing.solve(lengths, 2048)
+    covered = Counter()
+    for filling, times in used.items():
+        assert sum(filling) <= 2048
+        for n in filling:
+            covered[n] += times
+    assert covered == lengths
+    assert sum(used.values()) <= 1.002 * sum(n * c for n, c in lengths.items()) / 2048 + 1
+
+
+def test_token_files_round_trip(spark, odd, empty):
+    path = fresh_path(spark, "token-files")
+    seekable.write_token_files(odd, path)
+    rows = seekable.with_start(seekable.read_token_files(spark, path)).orderBy("start").collect()
+    order = sorted(ODD, key=lambda d: (d[0] is None, d[0] or 0, d[1] is not None, d[1] or ""))
+    at = 0
+    for (doc_id, text, *_), r in zip(order, rows, strict=True):
+        ids = np.array([*ids_of(text, "word_bpe_49k.json"), 1], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (doc_id, at, len(ids) // 4, zlib.crc32(ids), ids)
+        at += len(ids) // 4
+    assert {r.doc_id for r in seekable.read_token_files(spark, path, doc_ids=[4, 8]).collect()} == {4, 8}
+    nothing = fresh_path(spark, "token-files")
+    seekable.write_token_files(empty, nothing)
+    assert seekable.read_token_files(spark, nothing).count() == 0
+
+
+def test_token_files_notice_damage(spark, odd):
+    path = fresh_path(spark, "token-files")
+    seekable.write_token_files(odd, path)
+    content = max((bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()), key=len)
+    (_, rows) = seekable._documents(content, None)
+    assert list(rows)
+    damaged = content[:12] + bytes([content[12] ^ 255]) + content[13:]
+    with pytest.raises(Exception):
+        list(seekable._documents(damaged, None)[1])
+
+
+def test_flat_scan_stitches_blocks(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(flat, "BLOCK_IDS", 7)
+    path = fresh_path(spark, "flat")
+    flat.write_flat(odd, path)
+    found = flat.scan_flat(spark, path, head_ids=flat.HEAD_IDS)
+    rows = found.select(flat.head_doc_id(F.col("head")).alias("doc_id"), "n_tokens").collect()
+    assert Counter((r.doc_id, r.n_tokens - flat.HEAD_IDS) for r in rows) == Counter(
+        (d, len(ids_of(t, "word_bpe_49k.json"))) for d, t, *_ in ODD
+    )
+    nothing = fresh_path(spark, "flat")
+    flat.write_flat(empty, nothing)
+    assert flat.scan_flat(spark, nothing).count() == 0
+
+
+def test_language_and_quality_learn(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 5 != 0"))
+    found = langid.identify(docs.where("doc_id % 5 = 0"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.9
+    rows = {r.doc_id: r for r in langid.identify(odd.drop("score"), model).collect()}
+    assert {rows[i].lang_pred for i in (1, 2, 3, 9)} == {"und"} and rows[6].lang_pred != "und"
+    assert langid.identify(empty, model).count() == 0 and langid.fit(empty) is None
+    assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
+
+    labelled = docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    scorer = quality.fit(labelled.where("doc_id % 5 != 0"))
+    found = quality.score(labelled.where("doc_id % 5 = 0"), scorer).collect()
+    assert np.mean([r.quality == r.predicted for r in found]) > 0.85
+    assert all(0 <= r.score <= 1 for r in quality.score(odd, scorer).collect())
+    assert quality.score(empty, scorer).count() == 0 and quality.fit(labelled.limit(0)) is None
+
+
+def brute_components(texts):
+    sets = {d: set_of(t) for d, t in texts.items()}
+    label = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and label[a] != label[b]:
+                    shared = len(sets[a] & sets[b])
+                    if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+                        label[a] = label[b] = min(label[a], label[b])
+                        changed = True
+    return {d: (len(sets[d]), label[d]) for d in sets}
+
+
+def test_jaccard_components(spark, odd, empty):
+    random = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {}
+    for i in range(120):
+        base = [f"b{i % 9}x{k}" for k in range(60)]
+        if i % 3 == 0:
+            base[int(random.integers(60))] = f"e{i}"
+        texts[i] = " ".join(base if i % 4 else passage + base[: 8 + i % 30])
+    rows = [(d, t, "en", "s", 0, 1.0) for d, t in texts.items()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_components(texts)
+
+    rows = jaccard.join(odd).collect()
+    assert sorted((r.component_id or 0, r.n_shingles > 0) for r in rows if r.doc_id in (1, 2, 3, 4, 5)) == [
+        (1, False), (2, False), (3, False), (4, True), (4, True)]
+    assert {r.component_id for r in rows if r.doc_id in (6, 8)} == {6}
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, None, 9, -5])
+    assert jaccard.join(empty).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a bigint, b bigint")
+    assert {r.node: r.label for r in graph.components(edges).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
+
+
+def test_chat_round_trip(spark):
+    bad = r"\### Assistant: </turn> ok"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes </turn>\n### user: x"), (1, 1, "assistant", bad), (2, 0, None, None),
+            (None, 0, "a: b", "\\"), (3, 2, "assistant", ""), (3, None, "user", "first")]
+    conversations = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(conversations)).collect()}
+    for conv in (1, 2, 3, None):
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        digest = hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in turns).encode()).hexdigest()
+        loss = "".join(t or "" for _, _, r, t in turns if r == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars) == (len(turns), digest, len(loss))
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.read_back(chat.format_conversations(conversations.limit(0))).count() == 0
+
+
+def test_exact_top_k(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 60)
+    random = np.random.default_rng(1)
+    rows = [(i, random.normal(0, 0.1, 8).tolist()) for i in range(300)] + [(i, rows) for i, rows in ((300, None), (301, [0.1] * 7 + [None]), (302, [float("nan")] * 8), (303, [0.5] * 3))]
+    rows += [(400 + i, [0.25] * 8) for i in range(15)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in bitslice.top_k(vectors, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    usable = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows if v and None not in v and len(v) == 8 and np.isfinite(v).all()}
+    for q in (i for i in usable if i % 50 == 0):
+        best = sorted(((-int(v @ usable[q]), i) for i, v in usable.items() if i != q))[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert set(got) == {i for i in usable if i % 50 == 0}
+    assert bitslice.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_decontamination(spark, odd, empty):
+    item = [f"q{i}" for i in range(45)]
+    edited = [*item[:20], "edit", *item[21:]]
+    words = lambda n, tag: [f"{tag}{i}" for i in range(n)]
+    docs = [
+        (1, " ".join(words(50, "a") + item + words(9, "b"))),
+        (2, " ".join([w.upper() for w in edited])),
+        (3, " ".join(words(80, "c"))),
+        (4, " ".join(words(5, "d") + item[:20])),
+        (None, " ".join(item)),
+        (6, "tiny item"),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1.0) for d, t in docs], DOCS)
+    benchmark = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "Tiny item")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {(1, 10): 1.0, (2, 10): pytest.approx(36 / 46), (None, 10): 1.0, (6, 13): 1.0}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, benchmark).collect()) == [3, 4]
+    assert decontaminate.clean(odd, benchmark).count() == len(ODD)
+    assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
+
+
+def test_suffix_tree_scores(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(odd.select("doc_id", "text")).withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False)))
+    rows = docs.collect()
+    counts = Counter()
+    for r in rows:
+        if not r.held_out:
+            counts.update([*words_of(r.text), None])
+    n, scale = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    want = Counter()
+    for r in rows:
+        tokens = [*words_of(r.text), None]
+        base = sum(np.log10((counts[t] + 0.5) / scale) for t in tokens)
+        want[r.doc_id, r.held_out, len(tokens), sum(counts[t] > 0 for t in tokens), n, round(base, 5)] += 1
+    found = suffix_tree.score(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == want
+    uniform = sum(len(" ".join(words_of(r.text)).encode()) + 1 for r in rows) * np.log10(1 / 256)
+    assert all(np.isfinite(r.score) and r.score < 0 for r in found) and sum(r.score for r in found) > 0.6 * uniform
+    assert suffix_tree.score(empty.select("doc_id", "text").withColumn("held_out", F.lit(False))).count() == 0
+
+
+def test_pipeline_stages(spark, empty):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality_classifier", "language_id", "near_duplicates", "decontamination", "best_fit_packing"]
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.keep(stage(spark, kept, SF), "test-stage")
+        assert left.columns == docs.columns
+        assert {r.doc_id for r in left.select("doc_id").collect()} <= {r.doc_id for r in kept.select("doc_id").collect()}
+        kept = left
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in kept.collect()}
+    assert corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
