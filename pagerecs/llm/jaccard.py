@@ -13,7 +13,9 @@ sets that have it among their smallest, with position and size:
   consist of such shingles to a good part can link by them alone; each of
   those meets first the list's leading set.
 * Set-relation skipping: each set's most alike candidate is verified first,
-  and a set joins the family of that candidate. Entries of one component
+  and a set joins the family of that candidate; in long lists, the sets
+  outside the largest component do so again with other sets of it. Entries
+  of one component
   then skip one another, and in long lists only the entries outside the
   list's largest component go on to meet the others. What is left is
   resolved between families: from the overlap of the two leading sets and
@@ -48,6 +50,8 @@ from pagerecs.llm.words import shingles, words
 #: in them, are indexed; entries that make a list long; words (64 bits) of
 #: the parity sketch.
 LISTED, SHORT_DEPTH, LONG_DEPTH, LONG, PARITY = 64, 32, 24, 16, 8
+#: Times that sets outside a long list's largest component are compared to one more set of it.
+LEADERS = 3
 #: A set meets others in long lists if less than this part of it lies outside them.
 OUTSIDE = 0.65
 #: Least share of the sampled shingles that linked sets have in common.
@@ -199,24 +203,45 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = met.select(F.col("node").alias("a"), "b").unionByName(led.select(F.col("b").alias("a"), F.col("node").alias("b"))).distinct()
     pairs = keep(_alike(pairs, reps, percent), "candidates")
 
-    # each set's most alike candidate first: families and components
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "alike"))
-    first = both.groupBy("a").agg(F.max_by(F.struct("b", "n", "m"), F.struct("alike", -F.col("b"))).alias("x")).select("a", "x.*")
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
     names = reps.select("node", "doc_id", "text_hash")
 
     def sets_of(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
         return _full_sets(docs, names.join(ends, "node"))
 
-    first = _overlaps(first, sets_of(first))
-    links = keep(first.where(_links(first, percent)), "links")
-    labels = components(links.select("a", "b"))
+    def best_links(found: DataFrame) -> DataFrame:
+        """The links among each set's most alike candidates."""
+        other = [F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "alike"]
+        best = F.max_by(F.struct("b", "n", "m"), F.struct("alike", -F.col("b"))).alias("x")
+        best = found.unionByName(found.select(*other)).groupBy("a").agg(best).select("a", "x.*")
+        ordered = F.col("a") < F.col("b")
+        sizes = [F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("n", "m", "n"), ("m", "n", "m"))]
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *sizes).distinct()
+        best = _overlaps(best, sets_of(best))
+        return best.where(_links(best, percent))
 
     def labelled(found: DataFrame, node: str, label: str) -> DataFrame:
         named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
         return found.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
+    # each set's most alike candidate first: families and components
+    links = keep(best_links(pairs), "links")
+    labels = components(links.select("a", "b"))
+    for turn in range(LEADERS):
+        # in long lists, sets outside the largest component meet one more set of that component
+        lists = labelled(long, "node", "la")
+        count = lists.groupBy("shingle", "la").agg(F.count("*").alias("c")).groupBy("shingle")
+        largest = count.agg(F.max_by("la", F.struct("c", -F.col("la"))).alias("largest"), F.count("*").alias("labels"))
+        mixed = keep(lists.join(largest.where("labels > 1"), "shingle"), "mixed-lists")
+        if mixed.isEmpty():
+            break
+        lead = mixed.where("la = largest").groupBy("shingle").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b"))
+        outer = mixed.where("la != largest").join(lead, "shingle")
+        outer = outer.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        more = best_links(keep(_alike(outer, reps, percent), "candidates-outside"))
+        links = keep(links.unionByName(more), "links")
+        labels = components(links.select("a", "b"))
+
     # what is left between components: short lists' pairs, and in long lists all but the largest component against the rest
     rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la != lb").select("a", "b")
     long = keep(labelled(long, "node", "la").join(reps.select("node", "parity"), "node"), "long-lists-labelled")
