@@ -14,9 +14,8 @@ import os
 import re
 from array import array
 
-#: Chunks of a generation. A worker remembers two, and forgets what the newer
-#: one's texts did not use, so its memory stays the same however much it reads.
-CACHE_CHUNKS = 100_000
+#: Chunks a worker remembers; beyond that it forgets all and starts anew.
+CACHE_CHUNKS = 600_000
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, then marks (no apostrophe: it may open a contraction), by line.
@@ -48,7 +47,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.after_space: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
         before, normal = parts["pre_tokenizer"] or {}, json.dumps(parts["normalizer"])
@@ -85,14 +83,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
         if len(self.after_space) > CACHE_CHUNKS:
-            self.older, self.after_space = self.after_space, {}
+            self.after_space.clear()
             self.pieces.clear()
         cut = [(_SAFE.split(t) if _ADJACENT.search(t) else t.split(" ")) if t else [] for t in texts]
         known = self.after_space
         new = {c for parts in cut for c in parts[1:] if c not in known}
-        for chunk in new & self.older.keys():
-            known[chunk] = self.older[chunk]
-        if new := new - known.keys():
+        if new:
             self._learn(new)
         heads = iter(self.tokenizer.encode_batch_fast([p[0] for p in cut if p], add_special_tokens=False))
         return [
