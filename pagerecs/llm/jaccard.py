@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs, keep, small
+from pagerecs.llm.common import byte_runs, give_back, keep, small
 from pagerecs.llm.graph import components
 from pagerecs.llm.words import shingles, words
 
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "text_hash", "n", "key1", "key2", "low", "parity"],
             )
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         sketch,
@@ -156,6 +157,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ],
                 ["node", "shingles"],
             )
+        give_back()
 
     found = texts.mapInArrow(sets, "node bigint, shingles array<bigint>")
     return keep(found.dropDuplicates(["node"]), "sets")

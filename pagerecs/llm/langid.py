@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs
+from pagerecs.llm.common import byte_runs, give_back
 
 #: Bytes of a window; filter widths, filters of each width, embedding size.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 8, 8
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 scores.append(np.where(found, np.clip(total.max(axis=1), 0, 1), 0.0))
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+        give_back()
 
     return docs.select(*names).mapInArrow(predict, schema)
 

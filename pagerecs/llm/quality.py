@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs
+from pagerecs.llm.common import byte_runs, give_back
 from pagerecs.llm.words import words
 
 #: Bytes of a passage, sizes of its code and of the attention's layer.
@@ -168,6 +168,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
                     even = np.linspace(0, len(bag) - 1, min(len(bag), TRAIN_PASSAGES)).astype(int)
                     out.append(bag[even].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["bag", "quality"])
+        give_back()
 
     sample = sorted((bytes(r.bag), r.quality) for r in chosen.mapInArrow(bags, "bag binary, quality int").collect())
     if not sample:
@@ -190,5 +191,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             found = np.concatenate(found)
             columns = [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
+        give_back()
 
     return docs.select(*names).mapInArrow(scored, schema)
