@@ -2,15 +2,21 @@
 
 A text is its lower-cased words with one space between and an end mark. The
 tree's symbols are that mark, the most common bytes, and one escape for all
-others (an escaped byte is then drawn by its frequency). The contexts are
-counted level by level over the whole training corpus: a context is counted
-only if it makes up ``LEAST_SHARE`` of all symbols, which bounds each level
-to 1 / LEAST_SHARE contexts whatever the corpus, and so the model that is
-sent to the executors. A context is retained if its next-symbol distribution
-diverges from its parent's (the context without its oldest symbol) by
-``LEAST_GAIN`` nats over its occurrences; distributions are smoothed towards
-the parent's. Each symbol is scored in the longest retained suffix of what
-precedes it, and nothing precedes a text but end marks.
+others (an escaped byte is then drawn by its frequency). Every context of up
+to ``DEPTH`` symbols is counted over the whole training corpus, however rare
+its share of it. A context is retained if it occurs ``LEAST`` times and its
+next-symbol distribution diverges from its parent's (the context without its
+oldest symbol) by ``LEAST_GAIN`` nats over its occurrences; distributions are
+smoothed towards the parent's. Each symbol is scored in the longest retained
+suffix of what precedes it, and nothing precedes a text but end marks.
+
+The contexts of up to ``DENSE`` symbols are bounded by the alphabet and stand
+in one array. All deeper ones grow with the corpus and stay distributed: each
+text's runs of DEPTH + 1 symbols (a context and its next symbol) are summed
+before they are dealt out by their ``GROUP`` latest context symbols, a group
+holds at most SYMBOLS ** (DEPTH - GROUP + 1) of them, and the chance of each
+is a row of a table. Only the ``COMMON_RUNS`` most frequent go to the
+executors, all other runs of a text meet their chances in a join.
 
 Beside it stands a unigram score over words. Word counts grow with the
 corpus and stay distributed: only the ``COMMON_WORDS`` most frequent go to
@@ -24,21 +30,27 @@ without training texts the tree is uniform; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs, keep
+from pagerecs.llm.common import byte_runs, give_back, keep
 from pagerecs.llm.words import LOWERED, words
 
 SYMBOLS = 32
 END, OTHER = 0, SYMBOLS - 1
 #: Contexts of up to DENSE symbols have a table of their own; DEPTH at most.
-DENSE, DEPTH = 3, 7
-LEAST_SHARE, LEAST_GAIN, SMOOTHING = 2e-6, 10.0, 5.0
+#: Deeper ones are dealt out by their GROUP latest symbols.
+DENSE, GROUP, DEPTH = 3, 4, 7
+BITS = 5
+LEAST, LEAST_GAIN, SMOOTHING = 2, 10.0, 5.0
+#: Most runs that go to the executors, runs a task sums at once, and rows of a group's chunk.
+COMMON_RUNS, SUM_RUNS, CHUNK = 1 << 22, 1 << 25, 1 << 19
+#: Bits of a digit of a run's counts; three digits hold SUM_RUNS.
+DIGIT, DIGITS = 10, (1 << 10) - 1
 COMMON_WORDS = 1 << 16
 _RUN = 1 << 20
 _TABLE = bytes(LOWERED)
@@ -46,38 +58,12 @@ _TABLE = bytes(LOWERED)
 
 @dataclass
 class Tree:
-    """``level[d]``: codes of the contexts of depth d (most recent symbol in
-    the highest digit), sorted; ``child[d]``: place in level d + 1 by place in
-    level d and older symbol, the level's size if there is none; ``chance[d]``:
-    log10 next-symbol distribution by place in level d."""
+    """The symbols, and the next-symbol distribution after every context of
+    DENSE symbols (most recent symbol in the highest digit)."""
 
     symbol: np.ndarray  # of each byte
     escape: np.ndarray  # log10 share of each byte among the escaped
-    level: dict[int, np.ndarray] = field(default_factory=dict)
-    child: dict[int, np.ndarray] = field(default_factory=dict)
-    chance: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def walk(self, stream: np.ndarray, live: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(depth, places) from DENSE on, as deep as contexts exist: for every
-        symbol from DEPTH on its context's place in that level times SYMBOLS
-        plus the symbol. A level's last place stands for no context, as for
-        the symbols that aren't ``live``."""
-        s = stream.astype(np.int32)
-        back = [s[DEPTH - k : len(s) - k] for k in range(depth + 1)]
-        place = np.zeros(len(live), np.int32)
-        for k in range(1, DENSE + 1):
-            place = place * SYMBOLS + back[k]
-        place[~live] = SYMBOLS**DENSE
-        yield DENSE, place * SYMBOLS + back[0]
-        for d in range(DENSE, depth):
-            place = self.child[d].reshape(-1)[place * SYMBOLS + back[d + 1]]
-            yield d + 1, place * SYMBOLS + back[0]
-
-    def log10(self, stream: np.ndarray, live: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(live), np.float32)
-        for d, cell in self.walk(stream, live, max(self.level)):
-            out = np.where(cell < SYMBOLS * len(self.level[d]), self.chance[d].reshape(-1)[cell], out)
-        return out
+    chance: np.ndarray | None = None
 
 
 def stream_of(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +77,17 @@ def stream_of(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.nd
     return symbol[raw], raw[DEPTH:], live[DEPTH:], np.repeat(np.arange(len(plain)), size)[DEPTH:]
 
 
+def runs_of(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For every symbol from DEPTH on, the code of the ``depth`` symbols before
+    it, the most recent in the highest digit, then the symbol itself."""
+    s = stream.astype(np.int64)
+    code = np.zeros(len(s) - DEPTH, np.int64)
+    for k in [*range(1, depth + 1), 0]:
+        code <<= BITS
+        code |= s[DEPTH - k : len(s) - k]
+    return code
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
     for first, end, data, offsets in byte_runs(column, _RUN):
         raw = data.tobytes()
@@ -147,18 +144,17 @@ def alphabet(total: np.ndarray) -> Tree:
     return Tree(symbol, np.log10(np.where(symbol == OTHER, escaped / max(escaped.sum(), 1e-9), 1)))
 
 
-def count_level(training: DataFrame, tree: Tree, depth: int) -> np.ndarray:
-    """Next-symbol counts of every context of the level, over all training texts."""
-    cells = SYMBOLS * len(tree.level[depth])
-    sent = training.sparkSession.sparkContext.broadcast(tree)  # bounded, see the module
+def count_dense(training: DataFrame, tree: Tree) -> np.ndarray:
+    """Next-symbol counts of every context of DENSE symbols, over all training texts."""
+    cells = SYMBOLS ** (DENSE + 1)
+    symbol = tree.symbol
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = sent.value, np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
             for _, _, texts, _, _ in _texts(batch.column(0)):
-                stream, _, live, _ = stream_of(texts, own.symbol)
-                *_, (_, cell) = own.walk(stream, live, depth)
-                total += np.bincount(cell[cell < cells], minlength=cells)
+                stream, _, live, _ = stream_of(texts, symbol)
+                total += np.bincount(runs_of(stream, DENSE)[live], minlength=cells)
         yield _sparse(total)
 
     found = _counted(training.select("text").mapInArrow(count, "key bigint, n bigint"))
@@ -176,36 +172,149 @@ def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
 
 
 def fit(training: DataFrame, total: np.ndarray) -> Tree:
-    """Learns a tree from all texts of ``training``; ``total``: its bytes' counts."""
+    """Learns the contexts of up to DENSE symbols from all texts of
+    ``training``; ``total``: its bytes' counts."""
     tree = alphabet(total)
-    tree.level[DENSE] = np.arange(SYMBOLS**DENSE)
-    counts = count_level(training, tree, DENSE)
-    least = max(2.0, LEAST_SHARE * counts.sum())
+    counts = count_dense(training, tree)
     chance = np.full((1, SYMBOLS), 1 / SYMBOLS)
     for d in range(DENSE + 1):
         # contexts of the d most recent symbols: sum over the older ones
         own = counts.reshape(SYMBOLS**d, -1, SYMBOLS).sum(axis=1)
         chance = _smoothed(own, np.repeat(chance, SYMBOLS if d else 1, axis=0))
-    chances = {DENSE: chance}
-    for d in range(DENSE, DEPTH):
-        # a context and its next symbol, often enough together, are a context of the next level
-        place, symbol = np.nonzero(counts >= least)
-        codes = np.sort(symbol * SYMBOLS**d + tree.level[d][place])
-        up = np.searchsorted(tree.level[d], codes // SYMBOLS)
-        known = tree.level[d][np.minimum(up, len(tree.level[d]) - 1)] == codes // SYMBOLS
-        codes, up = codes[known], up[known]
-        if not len(codes):
-            break
-        tree.level[d + 1] = codes
-        tree.child[d] = np.full((len(tree.level[d]) + 1, SYMBOLS), len(codes), np.int32)
-        tree.child[d][up, codes % SYMBOLS] = np.arange(len(codes))
-        counts = count_level(training, tree, d + 1)
-        chances[d + 1] = _smoothed(counts, chances[d][up])
-    none = np.ones((1, SYMBOLS))
-    tree.chance = {d: np.log10(np.concatenate([c, none])).astype(np.float32) for d, c in chances.items()}
+    tree.chance = chance
     return tree
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+
+
+def _count_runs(docs: DataFrame, tree: Tree, held_out: str) -> DataFrame:
+    """Partial counts of all texts' runs, one number each: the run, which digit
+    of its counts, this digit in the training texts and in the others."""
+    symbol = tree.symbol
+
+    def summed(codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes.sort()
+        at = 0
+        while at < len(codes):
+            last = codes[min(at + _RUN, len(codes)) - 1]
+            end = int(np.searchsorted(codes, (last >> 1) + 1 << 1))
+            keys, training = codes[at:end] >> 1, codes[at:end] & 1
+            head = _heads(keys)
+            times, n = np.diff(np.r_[head, len(keys)]), np.add.reduceat(training, head)
+            keys, times = keys[head], times - n
+            for e in range(3):
+                found = ((n >> DIGIT * e & DIGITS) << DIGIT) + (times >> DIGIT * e & DIGITS)
+                some = np.flatnonzero(found)
+                packed = (keys[some] << 2 | e) << 2 * DIGIT | found[some]
+                yield pa.RecordBatch.from_arrays([pa.array(packed)], ["packed"])
+            at = end
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, used = np.empty(SUM_RUNS, np.int64), 0
+        for batch in batches:
+            training = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, end, texts, _, _ in _texts(batch.column(0)):
+                stream, _, live, row = stream_of(texts, symbol)
+                codes = (runs_of(stream) << 1 | training[first:end][row])[live]
+                while len(codes):
+                    part, codes = codes[: SUM_RUNS - used], codes[SUM_RUNS - used :]
+                    space[used : used + len(part)] = part
+                    used += len(part)
+                    if used == SUM_RUNS:
+                        yield from summed(space)
+                        used = 0
+        yield from summed(space[:used])
+        give_back()
+
+    return docs.select("text", held_out).mapInArrow(count, "packed bigint")
+
+
+def _chances(keys: np.ndarray, n: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The chance of each run's last symbol in the longest retained suffix of
+    its context, from the sorted ``keys`` of whole groups and how often each
+    run occurs in the training texts."""
+    symbol = keys & (SYMBOLS - 1)
+    chance = dense.reshape(-1)[(keys >> BITS * (DEPTH + 1 - DENSE)) * SYMBOLS + symbol]
+    for d in range(GROUP, DEPTH + 1):
+        cell, of = np.unique((keys >> BITS * (DEPTH + 1 - d)) * SYMBOLS + symbol, return_inverse=True)
+        count = np.bincount(of, n)
+        parent = np.empty(len(cell))
+        parent[of] = chance
+        head = _heads(cell // SYMBOLS)
+        whole = np.add.reduceat(count, head)
+        size = np.diff(np.r_[head, len(cell)])
+        total = np.repeat(whole, size)
+        own = (count + SMOOTHING * parent) / (total + SMOOTHING)
+        seen = count > 0
+        gain = np.add.reduceat(np.where(seen, total * own * np.log(own / parent), 0), head)
+        # all symbols that never follow have the same ratio to the parent's chance
+        ratio = SMOOTHING / (whole + SMOOTHING)
+        gain += whole * ratio * np.log(ratio) * (1 - np.add.reduceat(np.where(seen, parent, 0), head))
+        retained = np.repeat((gain >= LEAST_GAIN) & (whole >= LEAST), size)
+        chance = np.where(retained, own, parent)[of]
+    return chance
+
+
+def run_chances(docs: DataFrame, tree: Tree, held_out: str = "held_out") -> DataFrame:
+    """(key, times, value): every run of the texts, how often they have it, and
+    the log10 chance of its last symbol by all rows that aren't held out."""
+    sent = docs.sparkSession.sparkContext.broadcast(tree.chance)  # bounded by the alphabet
+    shift = BITS * (DEPTH + 1 - GROUP)
+
+    def unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
+        by = DIGIT * (packed >> 2 * DIGIT & 3)
+        n = (packed >> DIGIT & DIGITS) << by
+        return summed(packed >> 2 * DIGIT + 2, n + ((packed & DIGITS) << by), n)
+
+    def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        head = _heads(keys)
+        return keys[head], *(np.add.reduceat(c, head) for c in counts)
+
+    def valued(keys: np.ndarray, times: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            value = np.log10(_chances(keys, n, sent.value)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times), pa.array(value)], ["key", "times", "value"])
+
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts.append(unpacked(batch.column(0).to_numpy()))
+            rows += len(parts[-1][0])
+            if rows >= CHUNK:
+                whole = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                cut = int(np.searchsorted(whole[0], whole[0][-1] >> shift << shift))  # the last group may go on
+                yield from valued(*(c[:cut] for c in whole))
+                parts, rows = [tuple(c[cut:] for c in whole)], 0
+        if parts:
+            yield from valued(*summed(*(np.concatenate(c) for c in zip(*parts, strict=True))))
+        give_back()
+
+    counted = _count_runs(docs, tree, held_out)
+    dealt = counted.repartition(F.shiftright("packed", shift + 2 + 2 * DIGIT)).sortWithinPartitions("packed")
+    return keep(dealt.mapInArrow(chances, "key bigint, times bigint, value float"), "run-chances")
+
+
+def _most_common(chances: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, values) of the most frequent runs, at most ``most``."""
+    step = F.floor(F.log2("times") * 8)
+    least = None
+    for row in sorted(chances.groupBy(step.alias("step")).count().collect(), reverse=True):  # some 500 at most
+        most -= row["count"]
+        if most < 0:
+            break
+        least = row.step
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    found = chances.where(step >= least).select("key", "value").toArrow()
+    order = np.argsort(keys := found["key"].to_numpy())
+    return keys[order], found["value"].to_numpy()[order]
+
+
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """``doc_id``, ``held_out``, n_tokens, n_known, train_tokens, base_score and
     score of every text, learned from the rows that aren't held out."""
@@ -218,16 +327,34 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     n, distinct = totals.n + ends, totals.distinct + (ends > 0)
     common = counts.orderBy(F.col("n").desc(), "key").limit(COMMON_WORDS).toArrow()
     order = np.argsort(keys := common["key"].to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast((tree, keys[order], common["n"].to_numpy()[order]))
+    chances = run_chances(docs, tree, held_out)
+    symbol, escape = tree.symbol, tree.escape
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (keys[order], common["n"].to_numpy()[order], *_most_common(chances, COMMON_RUNS))
+    )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys, often = sent.value
+        keys, often, runs, values = sent.value
         chance = np.log10(often + 0.5)
         for batch in batches:
             for first, end, texts, data, offsets in _texts(batch.column(1)):
                 rows = end - first
-                stream, raw, live, row = stream_of(texts, own.symbol)
-                value = np.bincount(row, np.where(live, own.log10(stream, live) + own.escape[raw], 0), rows)
+                stream, raw, live, row = stream_of(texts, symbol)
+                value = np.bincount(row, np.where(live, escape[raw], 0), rows)
+                # (run, row) pairs, each once with its number; a run of symbols leaves 23 bits for the row
+                pair = (runs_of(stream) << 63 - BITS * (DEPTH + 1) | row)[live]
+                pair.sort()
+                head = _heads(pair)
+                run_times = np.diff(np.r_[head, len(pair)])
+                run, run_of = pair[head] >> 63 - BITS * (DEPTH + 1), pair[head] & (1 << 63 - BITS * (DEPTH + 1)) - 1
+                k = np.minimum(np.searchsorted(runs, run), max(len(runs) - 1, 0))
+                is_common = runs[k] == run if len(runs) else np.zeros(len(run), bool)
+                if len(runs):
+                    value += np.bincount(run_of[is_common], values[k[is_common]] * run_times[is_common], rows)
+                pair = np.flatnonzero(~is_common)
+                pair = pair[np.argsort(run_of[pair], kind="stable")]
+                run, run_of, run_times = run[pair], run_of[pair], run_times[pair]
+                run_cuts = pa.array(np.searchsorted(run_of, np.arange(rows + 1)), pa.int32())
                 of, hashes = words(data, offsets)
                 hashes = hashes.view(np.int64)
                 k = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
@@ -249,14 +376,16 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
                         pa.array(value, pa.float64()),
                         pa.ListArray.from_arrays(cuts, pa.array(rest[head], pa.int64())),
                         pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+                        pa.ListArray.from_arrays(run_cuts, pa.array(run, pa.int64())),
+                        pa.ListArray.from_arrays(run_cuts, pa.array(run_times, pa.int64())),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "common_known", "common_log", "score", "rest", "times"],
+                    ["doc_id", "held_out", "n_tokens", "common_known", "common_log", "common_score", "rest", "times", "runs", "run_times"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens bigint, common_known bigint, common_log double, "
-        "score double, rest array<bigint>, times array<bigint>"
+        "common_score double, rest array<bigint>, times array<bigint>, runs array<bigint>, run_times array<bigint>"
     )
     rows = keep(docs.mapInArrow(scored, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored-texts")
     pairs = rows.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("w"))
@@ -270,15 +399,18 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rest_known"),
         )
     )
+    scores = rows.select("row_id", F.explode(F.arrays_zip("runs", "run_times")).alias("r"))
+    scores = scores.select("row_id", F.col("r.runs").alias("key"), F.col("r.run_times").alias("times"))
+    scores = scores.join(chances.select("key", "value"), "key").groupBy("row_id").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
     end_log = F.log10(F.lit(ends + 0.5))
     scale = F.log10(F.lit(n + 0.5 * (distinct + 1)))
     whole = F.col("common_log") + F.coalesce("rest_log", F.lit(0.0)) + end_log
-    return rows.join(rest, "row_id", "left").select(
+    return rows.join(rest, "row_id", "left").join(scores, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("common_known") + F.coalesce("rest_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (whole - F.col("n_tokens") * scale).alias("base_score"),
-        "score",
+        (F.col("common_score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )

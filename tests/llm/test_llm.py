@@ -275,6 +275,53 @@ def test_suffix_tree_scores(spark, odd, empty):
     assert suffix_tree.score(empty.select("doc_id", "text").withColumn("held_out", F.lit(False))).count() == 0
 
 
+def tree_scores(texts, times, scored):
+    """log10 chances by a suffix tree that holds every context, by plain dictionaries."""
+    depth, symbols = suffix_tree.DEPTH, suffix_tree.SYMBOLS
+    total = Counter()
+    for text, n in zip(texts, times, strict=True):
+        for b in (" ".join(words_of(text)) + "\n").encode():
+            total[b] += n
+    tree = suffix_tree.alphabet(np.array([total[b] for b in range(256)]))
+    read = lambda text: [0] * depth + [int(tree.symbol[b]) for b in (" ".join(words_of(text)) + "\n").encode()]
+    counts = {}
+    for text, n in zip(texts, times, strict=True):
+        s = read(text)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts.setdefault(tuple(s[i - d : i]), np.zeros(symbols))[s[i]] += n
+    known = {}
+
+    def chance(context):
+        if context not in known:
+            parent = chance(context[1:]) if context else np.full(symbols, 1 / symbols)
+            own = counts.get(context, np.zeros(symbols))
+            mixed = (own + 5 * parent) / (own.sum() + 5)
+            known[context] = mixed if own.sum() >= 2 and (own.sum() * mixed * np.log(mixed / parent)).sum() >= 10 else parent
+        return known[context]
+
+    out = []
+    for text in scored:
+        s, raw = read(text), (" ".join(words_of(text)) + "\n").encode()
+        out.append(sum(np.log10(chance(tuple(s[i - depth : i]))[s[i]]) + tree.escape[raw[i - depth]] for i in range(depth, len(s))))
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 300, 1 << 22])
+def test_suffix_tree_keeps_contexts_that_are_rare_in_a_large_corpus(spark, monkeypatch, common):
+    monkeypatch.setattr(suffix_tree, "COMMON_RUNS", common, raising=False)
+    monkeypatch.setattr(suffix_tree, "CHUNK", 64, raising=False)
+    filler = " ".join(["some filler"] * 900 + ["that", "repeats"] * 300)
+    rare = ["the quick zebra jumps", "a lazy vixen é dozes", "the quick vixen dozes"]
+    texts, times = [filler, *rare], [800, 9, 7, 5]  # a context of a rare text is under 2e-6 of all symbols
+    scored = [*rare, filler, "quick dozes zebra", ""]
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, times))], "doc_id bigint, text string, n int")
+    docs = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", "text", F.lit(False).alias("held_out"))
+    held = spark.createDataFrame([(100 + i, t, True) for i, t in enumerate(scored)], "doc_id bigint, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs.unionByName(held)).where("held_out").collect()}
+    assert [got[100 + i] for i in range(len(scored))] == pytest.approx(tree_scores(texts, times, scored), rel=1e-4)
+
+
 def test_pipeline_stages(spark, empty):
     import corpus_pipeline
 
