@@ -8,13 +8,17 @@ benchmark has similarity 0 to all of it, so only the windows of an item's
 size around such a shingle are fingerprinted: every start that takes it in.
 
 A fingerprint has 60 bits: bit j is the majority of bit j of the window's
-shingle hashes. It is cut into ten blocks of six bits, and the index lists
-an item under every block value within one bit of its own. Two fingerprints
-that differ in at most ``RADIUS`` = 19 bits differ in at most one bit in some
-block, so their meeting there is certain. Of the pairs met, those within the
-radius are verified exactly: the weighted Jaccard similarity of the two
-shingle multisets, a shingle's weight being how often it occurs, must be at
-least 0.75.
+features, a feature being a shingle and its running number among equal ones
+in the window, so that a repeated shingle counts as so many different ones.
+It is cut into ten blocks of six bits, and the index lists an item under
+every block value within two bits of its own. Two fingerprints that differ in
+at most ``RADIUS`` = 29 bits differ in at most two bits in some block, so
+their meeting there is certain. Of the pairs met, those within the radius are
+verified exactly: the weighted Jaccard similarity of the two shingle
+multisets, a shingle's weight being how often it occurs, must be at least
+0.75. At 0.75 two windows of one size share 6/7 of their features, a bit
+differs with chance arccos(6/7) / pi = 0.172 for many features, and more than
+29 of 60 do with a chance of some 6e-9 (binomial); such a pair is lost.
 
 Results for odd input: null or empty texts and items match nothing; a text
 shorter than an item is one window; repeated rows give one result per
@@ -31,9 +35,11 @@ from pyspark.sql import functions as F
 
 from pagerecs.llm.common import LOWER, UPPER, keep, small
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.75, 19
+WIDTH, SIMILARITY, RADIUS = 5, 0.75, 29
 #: Lanes of a long that count bits, their bits, and the fingerprint's blocks.
 LANES, LANE_BITS, BLOCKS, BLOCK_BITS = 4, 15, 10, 6
+#: What a block may differ by.
+NEAR = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= 2]
 #: Most start places that go to every executor with the documents they are in.
 BROADCAST_PLACES = 4_000_000
 
@@ -50,6 +56,18 @@ def _shingles(words: Column, width: Column) -> Column:
     return F.when(F.size(words) >= width, found).otherwise(F.array().cast("array<bigint>"))
 
 
+def _features(shingles: Column) -> Column:
+    """The shingles, each but the first of equal ones hashed with its running number."""
+    ordered = F.array_sort(shingles)
+
+    def feature(x: Column, i: Column) -> Column:
+        number = i + 1 - F.array_position(ordered, x)
+        return F.when(number == 0, x).otherwise(F.xxhash64(x, number.cast("bigint")))
+
+    distinct = F.size(F.array_distinct(shingles)) == F.size(shingles)
+    return F.when(distinct, shingles).otherwise(F.transform(ordered, feature))
+
+
 def fingerprint(hashes: Column, n: Column) -> Column:
     """SimHash of an array of ``n`` (at most 16,383) hashes. Four counters of
     15 bits share a long; adding the complement of the majority lifts a
@@ -75,7 +93,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     items = items.withColumn("item_shingles", _shingles(F.col("words"), F.col("width"))).drop("words")
     items = items.withColumn("n", F.size("item_shingles"))
-    return items.withColumn("item_print", fingerprint(F.col("item_shingles"), F.col("n")))
+    return items.withColumn("item_print", fingerprint(_features(F.col("item_shingles")), F.col("n")))
 
 
 def _overlap(one: Column, two: Column) -> Column:
@@ -121,19 +139,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .dropDuplicates(["doc_id", "text_hash", "width", "n"])
         .select("doc_id", "text_hash", "width", "n", "shingles", F.explode(F.array_distinct(F.flatten(starts))).alias("start"))
         .select("doc_id", "text_hash", "width", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("n")).alias("window"))
-        .withColumn("print", fingerprint(F.col("window"), F.size("window")))
+        .withColumn("features", _features(F.col("window")))
+        .withColumn("print", fingerprint(F.col("features"), F.size("window")))
+        .drop("features")
     )
     windows = keep(windows, "windows")
 
     # meetings in a block, within the radius, verified
-    near = F.array(F.lit(0), *(F.lit(1 << j) for j in range(BLOCK_BITS)))
+    near = F.array(*map(F.lit, NEAR))
     of_item = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("item_print"), k).alias("value")) for k in range(BLOCKS)))
     index = items.select("item_id", "width", "n", "item_shingles", "item_print", F.inline(of_item))
     index = index.select("*", F.explode(near).alias("off")).withColumn("value", F.col("value").bitwiseXOR(F.col("off"))).drop("off")
     of_window = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("print"), k).alias("value")) for k in range(BLOCKS)))
-    met = windows.select("*", F.inline(of_window)).join(small(index, items.count() * BLOCKS * (BLOCK_BITS + 1)), ["width", "n", "block", "value"])
+    met = windows.select("*", F.inline(of_window)).join(small(index, items.count() * BLOCKS * len(NEAR)), ["width", "n", "block", "value"])
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
-    first = F.coalesce(*(F.when(F.bit_count(_block(apart, k)) <= 1, F.lit(k)) for k in range(BLOCKS)))
+    first = F.coalesce(*(F.when(F.bit_count(_block(apart, k)) <= 2, F.lit(k)) for k in range(BLOCKS)))
     met = met.where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first))  # each pair once
     shared = _overlap(F.col("window"), F.col("item_shingles"))
     met = met.withColumn("shared", shared)

@@ -275,6 +275,15 @@ def test_suffix_tree_scores(spark, odd, empty):
     assert suffix_tree.score(empty.select("doc_id", "text").withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_decontamination_finds_copies_with_a_repeated_word(spark):
+    # 60 shingles in common; one of weight 6 and four beside it replaced by others: 60 / 80
+    text = lambda i, word: " ".join([f"r{i}x{k}" for k in range(64)] + [word] * 10)
+    docs = spark.createDataFrame([(i, text(i, f"y{i}")) for i in range(30)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(100 + i, text(i, f"z{i}")) for i in range(30)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {(i, 100 + i): 0.75 for i in range(30)}
+
+
 def tree_scores(texts, times, scored):
     """log10 chances by a suffix tree that holds every context, by plain dictionaries."""
     depth, symbols = suffix_tree.DEPTH, suffix_tree.SYMBOLS
