@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.llm import bitslice, chat, decontaminate, flat, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm import (
+    bitslice,
+    chat,
+    decontaminate,
+    divergence,
+    flat,
+    jaccard,
+    langid,
+    packing,
+    quality,
+    runs,
+    seekable,
+    suffix_tree,
+    toxicity,
+)
 from pagerecs.llm.common import held_out, keep, table
 from pagerecs.sources.storage import fresh_path
 
@@ -72,6 +86,21 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), altered=runs.periodic_copy)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 0))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
@@ -83,6 +112,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {}
+#: The values of all pairs and the greatest terms, straight from the definition.
+DIVERGENCE_SQL = """
+WITH given AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(text, '') AS text
+  FROM documents
+), occurrences AS (
+  SELECT row_id, lang, source,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM given
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n
+  FROM occurrences GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), counted AS (
+  SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n
+  FROM occurrences o JOIN kept k ON o.lang = k.lang AND o.term = k.term GROUP BY o.lang, o.source, o.term
+), groups AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM given) g
+  LEFT JOIN counted c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+         1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN langs l ON g.lang = l.lang JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), values_found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(v.value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+  ) v ON v.lang = g.lang AND v.source = g.source AND v.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM values_found
+)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}

@@ -7,10 +7,13 @@ lower-cased; a word or shingle is known by a 64-bit hash.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWERED = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+#: Bytes of a term: letters (after lower-casing) and every byte of a character beyond ASCII.
+IS_LETTER = (_BYTES >= 128) | ((_BYTES >= 97) & (_BYTES <= 122))
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = np.ones((2, 1), np.uint64)
 
@@ -56,6 +59,35 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(offsets, starts, side="right") - 1, hashes
 
 
+class Terms:
+    """The terms of a run of rows: runs of letters, A-Z lower-cased."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low = LOWERED[data]
+        inside = np.r_[False, IS_LETTER[self.low], False]
+        edge = np.zeros(len(data) + 1, bool)  # a row begins here
+        edge[offsets] = True
+        self.starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+        self.ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+        self.rows = np.searchsorted(offsets, self.starts, side="right") - 1
+        power, self._inverse = powers(len(data))
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUES[self.low] * power[: len(data)], out=self._total[1:])
+
+    def hashes(self, chosen: np.ndarray, ends: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
+        """Of the chosen terms' bytes before ``ends``."""
+        starts = self.starts[chosen]
+        value = (self._total[ends] - self._total[starts]) * self._inverse[starts]
+        return mixed(value + np.asarray(seed, np.uint64))
+
+    def texts(self, chosen: np.ndarray) -> pa.Array:
+        size = self.ends[chosen] - self.starts[chosen]
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
+        data = self.low[np.repeat(self.starts[chosen] - offsets[:-1], size) + np.arange(offsets[-1])]
+        array = pa.LargeStringArray.from_buffers(len(chosen), pa.py_buffer(offsets), pa.py_buffer(data))
+        return array.cast(pa.string())
+
+
 def shingles(rows: np.ndarray, hashes: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of ``width`` words of a row; a row with fewer
     words (but one at least) has its whole sequence as one."""
