@@ -47,7 +47,7 @@ LEAST_DOCUMENTS, TOP = 10, 10
 #: Bytes of the first level's prefixes; each later level has twice as many.
 FIRST_LEVEL = 6
 #: Bits of the map of surviving prefixes, and (term, source) cells of a block.
-BITS, BLOCK_CELLS = 1 << 24, 1 << 21
+BITS, BLOCK_CELLS = 1 << 24, 1 << 18
 #: Share by which shares of counts are multiplied before they are cut to integers.
 SCALE_STEPS, SCALE_STEP = 3, 1000
 
@@ -190,9 +190,10 @@ def _compare(key: tuple, cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFr
     sources, total = groups["source"].to_numpy(), groups["group_n"].to_numpy()
     n_terms = int(groups["kept"].iloc[0])
     out = []
-    terms, of_term = np.unique(cells["term"].to_numpy(str) if len(cells) else np.zeros(0, str), return_inverse=True)
+    of_term, terms = pd.factorize(cells["term"].to_numpy(object), sort=True)
+    of_source = pd.Categorical(cells["source"].to_numpy(object), categories=sources).codes
     count = np.zeros((len(terms), len(sources)), np.int64)
-    count[of_term, np.searchsorted(sources.astype(str), cells["source"].to_numpy(str))] = cells["n"].to_numpy()
+    count[of_term, of_source] = cells["n"].to_numpy()
     share = scaled_share(count + 2, np.maximum(total + 2 * n_terms, 1)[None, :])
     for s, source in enumerate(sources):
         others = np.flatnonzero(np.arange(len(sources)) != s)
@@ -209,6 +210,7 @@ def _compare(key: tuple, cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFr
             out.append(pd.DataFrame({"source": source, "part": "term", "item": terms[some[best]], "value": value[best]}))
     found = pd.concat(out)
     found.insert(0, "lang", groups["lang"].iloc[0])
+    give_back()
     return found
 
 
