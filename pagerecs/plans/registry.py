@@ -54,7 +54,16 @@ from pagerecs.plans.jobs import prod_rows_for_write, publish_prod
 from pagerecs.plans.monthly import run_monthly
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.catalog import create_external_table
-from pagerecs.sources.derived import WIKIS_BY_CUSTKEY, derive_raw, load_tables
+from pagerecs.sources.derived import (
+    ENTITIES,
+    IMAGE_MODULUS,
+    LISTED_WIKIS,
+    NOTES,
+    RATINGS,
+    WIKIS_BY_CUSTKEY,
+    derive_raw,
+    load_tables,
+)
 from pagerecs.sources.parquet import read_prod, read_raw, read_search_feed
 from pagerecs.sources.sinks import read_tsv, write_search_feed
 from pagerecs.sources.storage import materialize_once
@@ -439,11 +448,7 @@ WITH page_rows AS (
   SELECT concat('Q', CAST(o_orderkey AS VARCHAR)) AS item_id,
          o_orderkey AS page_id,
          concat('Page ', CAST(o_orderkey AS VARCHAR)) AS page_title,
-         CASE o_orderkey % 7 WHEN 0 THEN NULL
-           WHEN 1 THEN '{"entity-type":"item","numeric-id":577,"id":"Q577"}'
-           WHEN 2 THEN '{"entity-type":"item","numeric-id":4167410,"id":"Q4167410"}'
-           WHEN 3 THEN '{bad'
-           ELSE '{"entity-type":"item","numeric-id":5,"id":"Q5"}' END AS instance_of,
+         list_extract([__ENTITIES__], CAST(o_orderkey % __N_ENTITIES__ AS INTEGER) + 1) AS instance_of,
          CASE o_custkey % 4 WHEN 0 THEN 'kowiki' WHEN 1 THEN 'plwiki'
            WHEN 2 THEN 'enwiki' ELSE 'arwiki' END AS wiki_db,
          strftime(o_orderdate, '%Y-%m') AS snapshot,
@@ -451,14 +456,12 @@ WITH page_rows AS (
   FROM orders
 ), cands AS (
   SELECT l_orderkey AS page_id,
-         concat('img_', CAST(l_partkey AS VARCHAR), '.jpg') AS image,
-         CASE l_linenumber % 4 WHEN 1 THEN '1' WHEN 2 THEN '2.0' WHEN 3 THEN '3.0' ELSE '4' END AS rating,
-         CASE l_linenumber % 4
-           WHEN 1 THEN 'image was in the Wikidata item'
-           WHEN 2 THEN concat('image was found in the following Wikis: ',
-                CASE l_partkey % 3 WHEN 0 THEN 'ruwiki' WHEN 1 THEN 'ruwiki, itwiki,enwiki' ELSE '' END)
-           WHEN 3 THEN 'image was found in the Commons category linked in the Wikidata item'
-           ELSE CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE 'image came from elsewhere' END END AS note
+         CASE WHEN l_partkey % __IMAGE_MODULUS__ <> 0 THEN concat('img_', CAST(l_partkey AS VARCHAR), '.jpg') END AS image,
+         list_extract([__RATINGS__],
+           CAST((l_linenumber + CASE WHEN l_partkey % 5 = 4 THEN 1 ELSE 0 END) % __N_RATINGS__ AS INTEGER) + 1) AS rating,
+         list_extract([__NOTES__], CAST(l_linenumber % 5 AS INTEGER) + 1)
+           || CASE WHEN l_linenumber % 5 = 2
+              THEN list_extract([__LISTED_WIKIS__], CAST(l_partkey % 3 AS INTEGER) + 1) ELSE '' END AS note
   FROM lineitem
 ), ncand AS (
   SELECT page_id, count(*) AS n FROM cands GROUP BY page_id
@@ -508,8 +511,20 @@ WITH page_rows AS (
 )
 """
 
+
+def _sql_list(values) -> str:
+    return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+
+
 _PRELUDE = (
     _PRELUDE.replace("__NON_ARTICLE__", _NON_ARTICLE_SQL)
+    .replace("__ENTITIES__", _sql_list(ENTITIES))
+    .replace("__N_ENTITIES__", str(len(ENTITIES)))
+    .replace("__RATINGS__", _sql_list(RATINGS))
+    .replace("__N_RATINGS__", str(len(RATINGS)))
+    .replace("__NOTES__", _sql_list(NOTES))
+    .replace("__LISTED_WIKIS__", _sql_list(LISTED_WIKIS))
+    .replace("__IMAGE_MODULUS__", str(IMAGE_MODULUS))
     .replace("__DATASET_ID__", RUN_DATASET_ID)
     .replace("__INSERTION_TS__", repr(RUN_INSERTION_TS))
     .replace("__RUN_MONTH__", RUN_MONTH)

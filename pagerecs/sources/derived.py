@@ -1,96 +1,75 @@
 """Raw-shaped candidate table derived from the driver's TPC-H-style tables.
 
-The reference ships no candidate data, so pages come from ``orders`` and
-candidates from ``lineitem`` (one candidate per line item). The rules are
-plain modular arithmetic so the DuckDB oracle can restate them over the
-flat tables. Deterministic: no clocks, no order-dependent output (array
-order is irrelevant, every consumer treats the output as a bag).
+Pages come from ``orders`` and candidates from ``lineitem`` (one candidate per
+line item), by rules of modular arithmetic that the DuckDB oracles restate over
+the flat tables. Ratings, notes and images follow different columns, so a
+candidate can miss a key, carry a rating that is no number or contradict its
+note. Deterministic: no clocks, no order-dependent output (array order is
+irrelevant, every consumer treats the output as a bag).
 
 Plan: ``lineitem`` is hash-aggregated by order key into one candidate array
 per order, then sort-merge-joined (left) to ``orders`` on the same key, so
-the join reuses the aggregate's partitioning (one shuffle per side). The array size
-per page is bounded by the number of line items per order (at most 7 in
-TPC-H), which is what keeps ``collect_list`` safe here; a production raw
-table arrives already nested.
+the join reuses the aggregate's partitioning (one shuffle per side). An array
+holds an order's line items (17 at most at sf0.1); a production raw table
+arrives already nested.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.schemas import RAW_SCHEMA
+from pagerecs.functions.candidates import SOURCE_PREFIXES
+from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_SCHEMA
 
-# Derivation rules, shared verbatim with the DuckDB oracle.
 NULL_ARRAY_MODULUS = 97  # o_orderkey % 97 = 0 -> NULL candidate array
 WIKIS_BY_CUSTKEY = ("kowiki", "plwiki", "enwiki", "arwiki")  # o_custkey % 4
-RATING_BY_LINENUMBER = ("4", "1", "2.0", "3.0")  # l_linenumber % 4
-INSTANCE_OF_BY_ORDERKEY = (  # o_orderkey % 7; 4, 5, 6 -> Q5
+#: (l_linenumber + l_partkey % 5 / 4) % 8; None leaves the key out
+RATINGS = ("abc", "1", "2.0", "3", "1.9", "2", " 3 ", None)
+#: l_linenumber % 5, then text of our own behind the fixed prefixes; None leaves the key out
+(_WIKIDATA, _), (_WIKIS, _), (_COMMONS, _) = SOURCE_PREFIXES
+NOTES = (None, f"{_WIKIDATA} of this page", f"{_WIKIS} ", f"{_COMMONS} that bears its name", "seen on a postcard")
+LISTED_WIKIS = ("svwiki", "huwiki,nowiki,  cswiki", "")  # l_partkey % 3, behind the note of wikis
+IMAGE_MODULUS = 23  # l_partkey % 23 = 0 -> no image key
+#: o_orderkey % 18: the twelve classes, then other texts
+ENTITIES = (
+    *(f'{{"id":"{entity}","entity-type":"item"}}' for entity in NON_ARTICLE_INSTANCES),
     None,
-    '{"entity-type":"item","numeric-id":577,"id":"Q577"}',
-    '{"entity-type":"item","numeric-id":4167410,"id":"Q4167410"}',
-    "{bad",
-    '{"entity-type":"item","numeric-id":5,"id":"Q5"}',
+    '{"id":"Q42", "numeric-id":42}',
+    '{"id":7}',
+    "{broken",
+    "",
+    "[1]",
 )
-WIKIS_NOTE = "image was found in the following Wikis: "
-WIKIS_LIST_BY_PARTKEY = ("ruwiki", "ruwiki, itwiki,enwiki", "")  # l_partkey % 3
-
-
-def _case(key, values, default=None):
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(key == i, F.lit(v)) if expr is None else expr.when(key == i, F.lit(v))
-    return expr.otherwise(F.lit(default)) if default is not None else expr
-
-
-def _instance_of(orderkey):
-    k = orderkey % 7
-    return (
-        F.when(k == 0, F.lit(None).cast("string"))
-        .when(k == 1, F.lit(INSTANCE_OF_BY_ORDERKEY[1]))
-        .when(k == 2, F.lit(INSTANCE_OF_BY_ORDERKEY[2]))
-        .when(k == 3, F.lit(INSTANCE_OF_BY_ORDERKEY[3]))
-        .otherwise(F.lit(INSTANCE_OF_BY_ORDERKEY[4]))
-    )
 
 
-def _note(linenumber, partkey):
-    k = linenumber % 4
-    return (
-        F.when(k == 1, F.lit("image was in the Wikidata item"))
-        .when(k == 2, F.concat(F.lit(WIKIS_NOTE), _case(partkey % 3, WIKIS_LIST_BY_PARTKEY)))
-        .when(k == 3, F.lit("image was found in the Commons category linked in the Wikidata item"))
-        .otherwise(
-            F.when(partkey % 2 == 0, F.lit(None).cast("string")).otherwise(
-                F.lit("image came from elsewhere")
-            )
-        )
-    )
+def _pick(key: Column, values: Sequence[str | None]) -> Column:
+    """The value at place ``key``, as a string."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), key.cast("int") + 1)
 
 
 def derive_candidates(lineitem: DataFrame) -> DataFrame:
-    """(page_id, candidate map) per line item."""
-    li = F.col("l_linenumber")
-    pk = F.col("l_partkey")
-    candidate = F.create_map(
-        F.lit("image"),
-        F.concat(F.lit("img_"), pk.cast("string"), F.lit(".jpg")),
-        F.lit("rating"),
-        _case(li % 4, RATING_BY_LINENUMBER),
-        F.lit("note"),
-        _note(li, pk),
-    )
+    """(page_id, candidate map) per line item; keys without a value are left out."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    rating = _pick((line + F.floor(part % 5 / 4)) % len(RATINGS), RATINGS)
+    note = _pick(line % len(NOTES), NOTES)
+    note = F.when(line % len(NOTES) == 2, F.concat(note, _pick(part % 3, LISTED_WIKIS))).otherwise(note)
+    image = F.when(part % IMAGE_MODULUS != 0, F.concat(F.lit("img_"), part.cast("string"), F.lit(".jpg")))
+    every = F.create_map(F.lit("image"), image, F.lit("rating"), rating, F.lit("note"), note)
+    candidate = F.map_filter(every, lambda _, value: value.isNotNull())
     return lineitem.select(F.col("l_orderkey").alias("page_id"), candidate.alias("candidate"))
 
 
 def derive_pages(orders: DataFrame) -> DataFrame:
-    ok = F.col("o_orderkey")
+    key = F.col("o_orderkey")
     return orders.select(
-        F.concat(F.lit("Q"), ok.cast("string")).alias("item_id"),
-        ok.alias("page_id"),
-        F.concat(F.lit("Page "), ok.cast("string")).alias("page_title"),
-        _instance_of(ok).alias("instance_of"),
-        _case(F.col("o_custkey") % 4, WIKIS_BY_CUSTKEY).alias("wiki_db"),
+        F.concat(F.lit("Q"), key.cast("string")).alias("item_id"),
+        key.alias("page_id"),
+        F.concat(F.lit("Page "), key.cast("string")).alias("page_title"),
+        _pick(key % len(ENTITIES), ENTITIES).alias("instance_of"),
+        _pick(F.col("o_custkey") % 4, WIKIS_BY_CUSTKEY).alias("wiki_db"),
         F.date_format("o_orderdate", "yyyy-MM").alias("snapshot"),
     )
 
