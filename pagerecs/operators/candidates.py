@@ -153,7 +153,7 @@ def transform_candidates(raw: DataFrame, check_schema: bool = True) -> DataFrame
 def pages_without_candidates(raw: DataFrame) -> DataFrame:
     """Pages with an empty candidate array, as production rows with NULL
     image_id, confidence_rating, source and found_on."""
-    empty = raw.where(F.size("top_candidates") == 0)
+    empty = parse_pages(raw.where(F.size("top_candidates") == 0))
     return empty.select(
         F.col("wiki_db").alias("wiki"),
         "page_id",
@@ -161,9 +161,9 @@ def pages_without_candidates(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("image_id"),
         F.lit(None).cast("string").alias("confidence_rating"),
         F.lit(None).cast("string").alias("source"),
-        instance_of_id("instance_of").alias("instance_of"),
+        "instance_of",
         F.lit(None).cast("array<string>").alias("found_on"),
-        is_article_page(instance_of_id("instance_of")).alias("is_article_page"),
+        "is_article_page",
     )
 
 

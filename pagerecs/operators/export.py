@@ -22,6 +22,7 @@ EXPORT_COLUMNS = (
     "wiki",
     "found_on",
 )
+RECOMMENDATION_COLUMNS = ("image_id", "confidence_rating", "source")
 MISSING_VALUE = ""
 FOUND_ON_SEPARATOR = ","
 
@@ -51,34 +52,30 @@ def export_rows(
         cond = cond & F.col("image_id").isNotNull()
     missing = F.lit(MISSING_VALUE)
     return prod.where(cond).select(
-        "page_id",
-        "page_title",
-        F.coalesce("image_id", missing).alias("image_id"),
-        F.coalesce("confidence_rating", missing).alias("confidence_rating"),
-        F.coalesce("source", missing).alias("source"),
-        "dataset_id",
-        "insertion_ts",
-        "wiki",
-        F.concat_ws(FOUND_ON_SEPARATOR, "found_on").alias("found_on"),
+        *[
+            F.concat_ws(FOUND_ON_SEPARATOR, c).alias(c)
+            if c == "found_on"
+            else F.coalesce(c, missing).alias(c)
+            if c in RECOMMENDATION_COLUMNS
+            else c
+            for c in EXPORT_COLUMNS
+        ]
     )
 
 
-# The same export as SQL text over a catalog table, run parameters bound as
-# named markers (never formatted into the text).
-EXPORT_SQL = """
-SELECT page_id,
-       page_title,
-       coalesce(image_id, :missing) AS image_id,
-       coalesce(confidence_rating, :missing) AS confidence_rating,
-       coalesce(source, :missing) AS source,
-       dataset_id,
-       insertion_ts,
-       wiki,
-       concat_ws(:separator, found_on) AS found_on
-FROM IDENTIFIER(:table)
-WHERE wiki = :wiki AND snapshot = :snapshot AND is_article_page = true
-  AND (NOT :require_image OR image_id IS NOT NULL)
-"""
+def _export_field(column: str) -> str:
+    """One exported field as SQL over a catalog table."""
+    if column == "found_on":
+        return "concat_ws(:separator, found_on) AS found_on"
+    return f"coalesce({column}, :missing) AS {column}" if column in RECOMMENDATION_COLUMNS else column
+
+
+#: The same export as SQL text, run parameters bound as named markers (never formatted into the text).
+EXPORT_SQL = (
+    f"SELECT {', '.join(map(_export_field, EXPORT_COLUMNS))} FROM IDENTIFIER(:table) "
+    "WHERE snapshot = :snapshot AND wiki = :wiki AND is_article_page "
+    "AND (image_id IS NOT NULL OR NOT :require_image)"
+)
 
 
 def export_rows_sql(
@@ -104,9 +101,9 @@ def export_tsv(
     path: str,
     require_image: bool = False,
 ) -> None:
-    """Write one header + rows text set per requested wiki under
-    ``path/wiki=<wiki>/snapshot=<snapshot>/``, as one Spark job. Every listed
-    wiki gets its header, even with no rows."""
+    """Write a text set per requested wiki under
+    ``path/wiki=<wiki>/snapshot=<snapshot>/``, as one Spark job. Every file has
+    its header; a listed wiki without rows gets a file with nothing else."""
     wiki_list = _wiki_list(wikis)
     rows = export_rows(prod, wiki_list, snapshot, require_image).withColumn("snapshot", F.lit(snapshot))
     write_tsv(

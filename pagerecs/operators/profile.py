@@ -1,23 +1,29 @@
 """Dataset profile and regression checks.
 
 All of them are aggregations with partial (map-side) combine. The top-k of
-``value_frequencies`` is a ``row_number() <= k`` filter, which Spark plans
-as a partial WindowGroupLimit before the shuffle: each task forwards at
-most k values per column, so even a near-unique column never lands whole
-in one task.
+``value_frequencies`` is exact and ranked in two levels, so no task receives a
+whole column: tasks keep k values of a column, groups of tasks (about the
+square root of their number) rank those, and the last task of a column gets k
+values per group. ``ProfileWrite`` collects the count reports while the
+production table is written, without reading it again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 # The expected source of each confidence rating.
 EXPECTED_SOURCE = (("high", "wikidata"), ("medium", "wikipedia"), ("low", "commons"))
 
+#: Stands for a rating or source that the table does not know.
+OTHER = "other"
+
 
 def partition_counts(prod: DataFrame) -> DataFrame:
     """Rows per (snapshot, wiki), newest snapshot first."""
@@ -63,8 +69,13 @@ def value_frequencies(df: DataFrame, top: int | None = None, columns: Sequence[s
     counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     if top is None:
         return counts.orderBy("column", F.desc("count"), F.asc_nulls_first("value"))
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_first("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("count"), F.asc_nulls_first("value"))
+    salts = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    salted = counts.withColumn("salt", F.spark_partition_id() % salts)  # any dealing gives the same result
+    first = F.row_number().over(Window.partitionBy("column", "salt").orderBy(*order))
+    last = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    ranked = salted.withColumn("rank", first).where(F.col("rank") <= top).drop("salt")
+    return ranked.withColumn("rank", last).where(F.col("rank") <= top)
 
 
 def confidence_by_source(prod: DataFrame) -> DataFrame:
@@ -108,6 +119,53 @@ def profile_counts(prod: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
+class ProfileWrite:
+    """Counts the rows that a write passes on: in all, per wiki, and per
+    confidence rating and source, as metrics of the write's own tasks.
+
+    ``wikis`` are those that the rows can have (the input's partitions); rows
+    of others make ``reports`` fail rather than miss them.
+    """
+
+    def __init__(self, snapshot: str, wikis: Sequence[str | None]):
+        self.snapshot, self.wikis = snapshot, sorted(set(wikis), key=lambda w: (w is not None, w or ""))
+        self.observation = Observation()
+        ratings, sources = zip(*EXPECTED_SOURCE)
+        self.pairs = list(product((*ratings, None, OTHER), (*sources, None, OTHER)))
+
+    def observe(self, prod: DataFrame) -> DataFrame:
+        def kind(column: str, known: Sequence[str]) -> Column:
+            c = F.col(column)
+            return F.when(c.isNull() | c.isin(*known), c).otherwise(F.lit(OTHER))
+
+        ratings, sources = zip(*EXPECTED_SOURCE)
+        rating, source = kind("confidence_rating", ratings), kind("source", sources)
+        pair = [
+            F.count_if(rating.eqNullSafe(F.lit(r)) & source.eqNullSafe(F.lit(s))).alias(f"pair{i}")
+            for i, (r, s) in enumerate(self.pairs)
+        ]
+        wiki = [F.count_if(F.col("wiki").eqNullSafe(F.lit(w))).alias(f"wiki{i}") for i, w in enumerate(self.wikis)]
+        return prod.observe(self.observation, F.count(F.lit(1)).alias("rows"), *pair, *wiki)
+
+    def reports(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """partition_counts, confidence_by_source, confidence_violations and
+        row_count of what was written; waits for the write."""
+        found = self.observation.get
+        per_wiki = [(self.snapshot, w, n) for i, w in enumerate(self.wikis) if (n := found[f"wiki{i}"])]
+        per_pair = [(r, s, n) for i, (r, s) in enumerate(self.pairs) if (n := found[f"pair{i}"])]
+        if sum(n for *_, n in per_wiki) != found["rows"]:
+            raise ValueError("rows of wikis that were not named")
+        by_source = spark.createDataFrame(per_pair, "confidence_rating string, source string, count long")
+        counts = spark.createDataFrame(per_wiki, "snapshot string, wiki string, count long")
+        ok = F.col("source").eqNullSafe(expected_source("confidence_rating"))
+        return {
+            "partition_counts": counts.orderBy(F.desc("snapshot"), F.asc("wiki")),
+            "confidence_by_source": by_source,
+            "confidence_violations": by_source.where(~ok),
+            "row_count": spark.createDataFrame([(found["rows"],)], "rows long"),
+        }
+
+
 def profile_reports(prod: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
     """partition_counts, confidence_by_source, confidence_violations and
     row_count from ONE scan of ``prod``; pages_without_image, which counts

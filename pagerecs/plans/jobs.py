@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagerecs.operators.candidates import candidate_pages, explode_pages, stamp_run
 from pagerecs.operators.export import export_tsv
+from pagerecs.operators.profile import ProfileWrite
 from pagerecs.operators.search import search_feed
 from pagerecs.plans.params import Snapshot, month_of
 from pagerecs.schemas import PROD_SCHEMA
@@ -34,7 +35,8 @@ def publish_prod(
     sort: bool = True,
     global_order: bool = False,
     max_records_per_file: int | None = None,
-) -> None:
+    profile: bool = False,
+) -> ProfileWrite | None:
     """Transform, stamp and write one monthly snapshot of the production
     table (partitions wiki / month of ``snapshot``, given as ``YYYY-MM-DD``
     or ``YYYY-MM``).
@@ -50,9 +52,18 @@ def publish_prod(
     title and page do). A single page cannot be split, but it is one input
     row already read whole by one scan task, so the per-task work stays
     bounded by the largest input row, not by the data.
+
+    With ``profile`` the write's own tasks count its rows; the result gives the
+    count reports (``ProfileWrite.reports``) without reading the table.
     """
     rows = prod_rows_for_write(raw, snapshot, dataset_id, insertion_ts, sort=sort, global_order=global_order)
+    counts = None
+    if profile:  # the wikis are partition values of a production raw table
+        wikis = [r.wiki_db for r in raw.select("wiki_db").distinct().collect()]
+        counts = ProfileWrite(month_of(snapshot), wikis)
+        rows = counts.observe(rows)
     write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
+    return counts
 
 
 def prod_rows_for_write(

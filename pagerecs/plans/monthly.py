@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerecs.operators.profile import profile_reports, value_frequencies
+from pagerecs.operators.profile import pages_without_image, value_frequencies
 from pagerecs.plans.jobs import publish_exports, publish_prod, publish_search_feed
 from pagerecs.plans.params import Snapshot
-from pagerecs.sources.parquet import open_raw, read_prod
+from pagerecs.sources.catalog import create_external_table, repair_partitions
+from pagerecs.sources.parquet import is_table_name, open_raw, read_prod
+from pagerecs.sources.snapshots import publish_partitions, publish_search_partitions
 
 
 @dataclass
@@ -27,6 +29,8 @@ class MonthlyResult:
     prod_path: str
     search_path: str | None = None
     export_path: str | None = None
+    prod_table: str | None = None
+    search_table: str | None = None
     profile: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -44,6 +48,7 @@ def run_monthly(
     source_snapshot: str | None = None,
     android: bool = False,
     search_this_month_only: bool = False,
+    database: str | None = None,
 ) -> MonthlyResult:
     """Publish one monthly snapshot.
 
@@ -52,24 +57,54 @@ def run_monthly(
     partitions are named by its month. ``source_snapshot``
     restricts the raw input to one raw partition (pruned at the scan); by
     default every raw row is published under this run's snapshot.
+
+    With ``database`` the run goes through the catalog: the raw table is created
+    over its path if need be and its partitions repaired before the transform;
+    production and search tables are created over their paths and get the run's
+    partitions only once they are whole (``sources.snapshots``); every later
+    step reads the production table through its catalog partitions, so no other
+    month's folders are listed.
+
+    The count reports of ``profile`` are collected by the write itself;
+    ``pages_without_image`` and ``value_frequencies`` read the table when shown.
     """
     snap = snapshot if isinstance(snapshot, Snapshot) else Snapshot.parse(snapshot)
     if export_path is not None and not wikis:
         raise ValueError("an export path needs the wikis to export")
+    if database is not None:
+        if not is_table_name(raw_source):
+            raw_source = create_external_table(spark, "raw", raw_source, database, repair=False)
+        repair_partitions(spark, raw_source)
     raw = open_raw(spark, raw_source)
     if source_snapshot is not None:
         raw = raw.where(F.col("snapshot") == F.lit(source_snapshot))
-    publish_prod(raw, prod_path, snap, dataset_id, insertion_ts)
+    result = MonthlyResult(snap, dataset_id, prod_path)
+
+    def write(path: str) -> None:
+        result.profile = publish_prod(raw, path, snap, dataset_id, insertion_ts, profile=True).reports(spark)
 
-    table = read_prod(spark, prod_path)
+    if database is None:
+        write(prod_path)
+        table = read_prod(spark, prod_path)
+    else:
+        result.prod_table = create_external_table(spark, "prod", prod_path, database, repair=False)
+        publish_partitions(spark, result.prod_table, write)
+        table = spark.table(result.prod_table)
     published = table.where(F.col("snapshot") == F.lit(snap.month))
-    result = MonthlyResult(snap, dataset_id, prod_path)
     if export_path is not None:
         publish_exports(published, export_path, snap, wikis, android)
         result.export_path = export_path
     if search_path is not None:
-        publish_search_feed(table, search_path, snap, this_month_only=search_this_month_only)
+
+        def write_feed(path: str) -> None:
+            publish_search_feed(table, path, snap, this_month_only=search_this_month_only)
+
+        if database is None:
+            write_feed(search_path)
+        else:
+            result.search_table = create_external_table(spark, "search", search_path, database, repair=False)
+            publish_search_partitions(spark, result.search_table, write_feed)
         result.search_path = search_path
-    result.profile = profile_reports(published)
-    result.profile["value_frequencies"] = value_frequencies(published)  # lazy: runs when shown
+    result.profile["pages_without_image"] = pages_without_image(published)
+    result.profile["value_frequencies"] = value_frequencies(published)
     return result

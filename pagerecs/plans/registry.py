@@ -37,7 +37,7 @@ from pagerecs.operators.candidates import (
     transform_candidates_two_pass,
     with_candidates,
 )
-from pagerecs.operators.compare import frame_diff
+from pagerecs.operators.compare import bucketed_frame_diff, frame_diff
 from pagerecs.operators.daily import daily_new_pages, daily_new_pages_sql
 from pagerecs.operators.export import EXPORT_COLUMNS, export_rows, export_rows_sql, export_tsv
 from pagerecs.operators.profile import (
@@ -65,8 +65,9 @@ from pagerecs.sources.derived import (
     load_tables,
 )
 from pagerecs.sources.parquet import read_prod, read_raw, read_search_feed
-from pagerecs.sources.sinks import read_tsv, write_search_feed
-from pagerecs.sources.storage import materialize_once
+from pagerecs.sources.sinks import TSV_SEPARATOR, file_order, read_tsv, read_tsv_rows, tsv_headers, write_search_feed
+from pagerecs.sources.snapshots import publish_partitions
+from pagerecs.sources.storage import fresh_path, materialize_once
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_PARTITION_COLUMNS
 
 # Parameters of the registered run (shared with the oracles).
@@ -77,6 +78,8 @@ RUN_INSERTION_TS = 1706745600.0
 RUN_INSERTION_TS_TEXT = "1.7067456E9"  # Spark's (and Hive's) text form of it
 EXPORT_WIKI = "kowiki"
 ALL_WIKIS = WIKIS_BY_CUSTKEY
+EARLIER_MONTH = "2024-01"
+EARLIER_DATASET_ID = "run-2024-01-late"
 DAILY_DAY = "2024-01-15"
 DAILY_DATABASE = "signup"
 
@@ -93,6 +96,8 @@ def _code_version() -> str:
         h = hashlib.sha1()
         base = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         for folder, _, files in sorted(os.walk(base)):
+            if os.path.relpath(folder, base).split(os.sep)[0] == "llm":
+                continue  # makes none of these tables
             for name in sorted(files):
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name), "rb") as fh:
@@ -234,8 +239,8 @@ def q_stamped_prod(spark, sf_dir):
 
 
 def q_sorted_prod(spark, sf_dir):
-    """The frame the J1 job hands to the writer (pages range-shuffled, then
-    exploded and sorted per task)."""
+    """The frame the J1 job hands to the writer (pages rebalanced on their
+    wiki, then exploded and sorted per task)."""
     rows = prod_rows_for_write(raw_table(spark, sf_dir), RUN, RUN_DATASET_ID, RUN_INSERTION_TS)
     return _json_found_on(rows)
 
@@ -309,14 +314,37 @@ def q_monthly_search_feed(spark, sf_dir):
 
 
 def q_monthly_tsv_export(spark, sf_dir):
-    return read_tsv(spark, monthly_run_paths(spark, sf_dir)["export"])
+    return one_header(read_tsv(spark, monthly_run_paths(spark, sf_dir)["export"]))
 
 
 def q_tsv_export(spark, sf_dir):
+    return one_header(read_tsv(spark, tsv_path(spark, sf_dir)))
+
+
+def tsv_path(spark, sf_dir):
     def build(path):
         export_tsv(prod_table(spark, sf_dir), ALL_WIKIS, RUN_MONTH, path)
 
-    return read_tsv(spark, materialize_once(spark, _key(spark, "tsv", sf_dir), build))
+    return materialize_once(spark, _key(spark, "tsv", sf_dir), build)
+
+
+def one_header(lines: DataFrame) -> DataFrame:
+    """An export's lines with one header per partition, however many files it has."""
+    is_header = F.col("value") == F.lit(TSV_SEPARATOR.join(EXPORT_COLUMNS))
+    return lines.where(~is_header).unionByName(lines.where(is_header).distinct())
+
+
+def q_tsv_rows(spark, sf_dir):
+    """Every file of the export parsed by itself, back into fields."""
+    return read_tsv_rows(spark, tsv_path(spark, sf_dir), EXPORT_COLUMNS)
+
+
+def q_tsv_headers(spark, sf_dir):
+    return tsv_headers(spark, tsv_path(spark, sf_dir), EXPORT_COLUMNS).drop("files")
+
+
+def q_prod_file_order(spark, sf_dir):
+    return file_order(prod_table(spark, sf_dir))
 
 
 def q_partition_counts(spark, sf_dir):
@@ -364,6 +392,101 @@ def q_frame_diff(spark, sf_dir):
     )
 
 
+def q_frame_diff_multiset(spark, sf_dir):
+    """Copies count: every tenth page is twice on the left, the wiki's other
+    pages have a changed title on the right."""
+    rows = export_rows(prod_table(spark, sf_dir), ALL_WIKIS, RUN_MONTH)
+    left = rows.unionByName(rows.where("page_id % 10 = 0"))
+    retitled = rows.where("page_id % 7 = 0").withColumn("page_title", F.concat("page_title", F.lit(" (new)")))
+    right = rows.where("page_id % 7 <> 0").unionByName(retitled).unionByName(retitled.where("page_id % 2 = 0"))
+    return bucketed_frame_diff(left, right, multiset=True)
+
+
+def q_frame_diff_bucketed(spark, sf_dir):
+    prod = prod_table(spark, sf_dir)
+    rows = export_rows(prod, ALL_WIKIS, RUN_MONTH)
+    return bucketed_frame_diff(rows, export_rows(prod, ALL_WIKIS, RUN_MONTH, require_image=True))
+
+
+def monthly_catalog(spark: SparkSession, sf_dir: str):
+    """The monthly run through catalog tables, once per application (the
+    default catalog lives no longer than that)."""
+    key = _key(spark, f"monthly-catalog-{spark.sparkContext.applicationId}", sf_dir)
+    database = "pagerecs_" + hashlib.sha1(key.encode()).hexdigest()[:12]
+
+    def build(root: str) -> None:
+        run_monthly(
+            spark,
+            raw_path(spark, sf_dir),
+            f"{root}/prod",
+            RUN,
+            search_path=f"{root}/search",
+            dataset_id=RUN_DATASET_ID,
+            insertion_ts=RUN_INSERTION_TS,
+            database=database,
+        )
+
+    materialize_once(spark, key, build)
+    return database
+
+
+def q_monthly_catalog_scan(spark, sf_dir):
+    return _json_found_on(spark.table(f"{monthly_catalog(spark, sf_dir)}.imagerec_prod"))
+
+
+def q_monthly_catalog_search(spark, sf_dir):
+    return spark.table(f"{monthly_catalog(spark, sf_dir)}.search_imagerec")
+
+
+def two_snapshots(spark: SparkSession, sf_dir: str) -> str:
+    """A catalog table of two months, the earlier one published, then the
+    later one, then the earlier one again from other rows."""
+    key = _key(spark, f"two-snapshots-{spark.sparkContext.applicationId}", sf_dir)
+    name = "prod_" + hashlib.sha1(key.encode()).hexdigest()[:12]
+
+    def build(root: str) -> None:
+        raw = raw_table(spark, sf_dir)
+        table = create_external_table(spark, "prod", root, name=name, repair=False)
+        for month, rows, dataset in (
+            (EARLIER_MONTH, raw.where("page_id % 2 = 0"), "first"),
+            (RUN_MONTH, raw.where("page_id % 5 <> 0"), RUN_DATASET_ID),
+            (EARLIER_MONTH, raw.where("page_id % 3 = 0"), EARLIER_DATASET_ID),
+        ):
+            publish_partitions(
+                spark, table, lambda path: publish_prod(rows, path, month, dataset, RUN_INSERTION_TS)
+            )
+
+    materialize_once(spark, key, build)
+    return name
+
+
+def q_republished_snapshot(spark, sf_dir):
+    return _json_found_on(spark.table(two_snapshots(spark, sf_dir)))
+
+
+def q_search_feed_all_snapshots(spark, sf_dir):
+    return search_feed(spark.table(two_snapshots(spark, sf_dir)), RUN)
+
+
+def q_partition_counts_all_snapshots(spark, sf_dir):
+    return partition_counts(spark.table(two_snapshots(spark, sf_dir)))
+
+
+def written_reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The count reports that a publishing write collects about its own rows."""
+    path = fresh_path(spark, "profiled-prod")
+    counts = publish_prod(raw_table(spark, sf_dir), path, RUN, RUN_DATASET_ID, RUN_INSERTION_TS, profile=True)
+    return counts.reports(spark)
+
+
+def q_written_partition_counts(spark, sf_dir):
+    return written_reports(spark, sf_dir)["partition_counts"]
+
+
+def q_written_confidence(spark, sf_dir):
+    return written_reports(spark, sf_dir)["confidence_by_source"]
+
+
 def q_daily_new_pages(spark, sf_dir):
     (events,) = load_tables(spark, sf_dir, "events")
     return daily_new_pages(events, DAILY_DAY, database_col="event_type", ts_col="ts")
@@ -432,6 +555,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_without_image": q_pages_without_image,
     "profile_counts": q_profile_counts,
     "frame_diff": q_frame_diff,
+    "frame_diff_bucketed": q_frame_diff_bucketed,
+    "frame_diff_multiset": q_frame_diff_multiset,
+    "prod_file_order": q_prod_file_order,
+    "tsv_rows": q_tsv_rows,
+    "tsv_headers": q_tsv_headers,
+    "monthly_catalog_scan": q_monthly_catalog_scan,
+    "monthly_catalog_search": q_monthly_catalog_search,
+    "republished_snapshot": q_republished_snapshot,
+    "search_feed_all_snapshots": q_search_feed_all_snapshots,
+    "partition_counts_all_snapshots": q_partition_counts_all_snapshots,
+    "written_partition_counts": q_written_partition_counts,
+    "written_confidence": q_written_confidence,
     "daily_new_pages": q_daily_new_pages,
     "daily_new_pages_one_database": q_daily_new_pages_one_database,
     "daily_new_pages_sql": q_daily_new_pages_sql,
@@ -647,6 +782,46 @@ _ORACLE_BODIES = {
     f"EXCEPT SELECT * FROM export_all WHERE wiki IN ({_ALL_WIKIS_SQL}))",
 }
 
+_TWO_SNAPSHOTS = (
+    f"(SELECT * FROM prod WHERE page_id % 5 <> 0 UNION ALL SELECT * REPLACE ('{EARLIER_DATASET_ID}' AS dataset_id, '{EARLIER_MONTH}' AS snapshot) "
+    "FROM prod WHERE page_id % 3 = 0)"
+)
+_BAG_COLUMNS = ", ".join(EXPORT_COLUMNS)
+
+
+def _bag_difference_oracle() -> str:
+    """Copies of each row on both sides, counted apart and compared."""
+    new = "SELECT * REPLACE (page_title || ' (new)' AS page_title) FROM export_all WHERE page_id % 7 = 0"
+    left = "SELECT * FROM export_all UNION ALL SELECT * FROM export_all WHERE page_id % 10 = 0"
+    right = f"SELECT * FROM export_all WHERE page_id % 7 <> 0 UNION ALL {new} UNION ALL {new} AND page_id % 2 = 0"
+    return (
+        f"SELECT {_BAG_COLUMNS}, CASE WHEN sum(n) > 0 THEN 'left_only' ELSE 'right_only' END AS side, "
+        f"CAST(abs(sum(n)) AS BIGINT) AS copies FROM (SELECT *, 1 AS n FROM ({left}) UNION ALL "
+        f"SELECT *, -1 AS n FROM ({right})) GROUP BY {_BAG_COLUMNS} HAVING sum(n) <> 0"
+    )
+
+
+_ORACLE_BODIES |= {
+    "frame_diff_bucketed": _ORACLE_BODIES["frame_diff"],
+    "frame_diff_multiset": _bag_difference_oracle(),
+    "prod_file_order": "SELECT wiki, snapshot, count(*) AS \"rows\", CAST(0 AS BIGINT) AS inversions FROM prod "
+    "GROUP BY wiki, snapshot",
+    "tsv_rows": "SELECT "
+    + ", ".join(
+        f"'{RUN_INSERTION_TS_TEXT}' AS insertion_ts" if c == "insertion_ts" else f"CAST({c} AS VARCHAR) AS {c}"
+        for c in EXPORT_COLUMNS
+    )
+    + f", '{RUN_MONTH}' AS snapshot FROM export_all",
+    "tsv_headers": f"SELECT wiki, '{RUN_MONTH}' AS snapshot, count(*) AS \"rows\", "
+    "CAST(0 AS BIGINT) AS files_without_header FROM export_all GROUP BY wiki",
+    "monthly_catalog_scan": f"SELECT {_PROD_COLUMNS} FROM prod",
+    "monthly_catalog_search": _ORACLE_BODIES["search_feed"],
+    "republished_snapshot": f"SELECT {_PROD_COLUMNS} FROM {_TWO_SNAPSHOTS}",
+    "search_feed_all_snapshots": _ORACLE_BODIES["search_feed"].replace("FROM prod", f"FROM {_TWO_SNAPSHOTS}"),
+    "partition_counts_all_snapshots": _ORACLE_BODIES["partition_counts"].replace("FROM prod", f"FROM {_TWO_SNAPSHOTS}"),
+    "written_partition_counts": _ORACLE_BODIES["partition_counts"],
+    "written_confidence": _ORACLE_BODIES["confidence_by_source"],
+}
 _ORACLE_BODIES["monthly_search_feed"] = _ORACLE_BODIES["search_feed"]
 
 _EVENT_ORACLES = {

@@ -15,6 +15,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+# The three schemas (names, types and order of the published tables).
+#
 # Raw algorithm output, one row per page, candidates nested.
 # Partition columns (wiki_db, snapshot) come last, as partition discovery
 # appends them there.

@@ -34,16 +34,18 @@ _PREPARED: dict[str, str] = {}
 def prepare(spark: SparkSession) -> SparkSession:
     """Readies a session for the registered queries, once per application.
 
-    Ships this package to the executors. Where the session names no
-    ``spark.checkpoint.dir`` (local runs and tests), a temporary folder
-    becomes its checkpoint folder; a cluster must name a shared one.
+    Ships this package to the executors. A session in one process that names
+    no ``spark.checkpoint.dir`` (local runs and tests) gets a temporary folder
+    as its checkpoint folder; a cluster must name a shared one, else the first
+    intermediate table is an error.
     """
     context = spark.sparkContext
     if context.applicationId not in _PREPARED:
         home = tempfile.mkdtemp(prefix="pagerecs-")
         package = os.path.dirname(os.path.abspath(__file__))
         context.addPyFile(shutil.make_archive(f"{home}/pagerecs", "zip", os.path.dirname(package), "pagerecs"))
-        if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        one_process = context.master == "local" or context.master.startswith("local[")
+        if one_process and not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
             context.setCheckpointDir(f"file://{home}/checkpoints")
         _PREPARED[context.applicationId] = home
     return spark

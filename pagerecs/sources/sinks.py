@@ -2,19 +2,18 @@
 tab-separated export (K5).
 
 Every sink overwrites only the partitions present in the written frame
-(dynamic partition overwrite, set per write) and none funnels the whole
-output through one task: ordering comes from a range-partitioned sort, so a
-hot partition is split across many tasks and files. Each file is sorted and
-files are ordered by name, so reading a partition's files in name order
-yields the global order. Pass ``files_per_partition=1`` for exactly one file
-per partition; that routes each partition through one task.
+(dynamic partition overwrite, set per write) and none funnels the whole output
+through one task: rows are rebalanced on the table's partition columns, which
+splits a hot partition over tasks, and each file is sorted
+(``file_order`` checks that). Every file of the tab-separated export carries
+its own header.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -100,6 +99,10 @@ def tsv_line(columns: Sequence[str], df: DataFrame | None = None) -> Column:
     return F.concat_ws(TSV_SEPARATOR, *[tsv_field(c, kinds.get(c, True)) for c in columns])
 
 
+#: Stands between the fields of the one-column text sink; replaced in values.
+_NO_SEPARATOR = "\x01"
+
+
 def write_tsv(
     rows: DataFrame,
     path: str,
@@ -110,37 +113,96 @@ def write_tsv(
 ) -> None:
     """Tab-separated text files, one folder per ``partition_by`` value.
 
-    ``header_partitions`` lists the partition values that get a header line
-    (for example every requested wiki, rows or not). Header rows form the
-    first input partitions of a union with the data, so they land in the
-    lowest-numbered file of each folder and come first when its files are
-    read in name order; the data is written where it is, with no shuffle.
-    ``columns`` defaults to every column, in frame order (partition columns
-    included, as the original export carried ``wiki`` in its rows).
+    Every file begins with the header, so each stands for itself; the data is
+    written where it is, with no shuffle. A row is one text column whose *name*
+    is the header line: the sink that writes a column's name at the top of
+    every file then writes headers, and there is nothing for it to quote or
+    separate. ``header_partitions`` lists partition values that get a file even
+    if no row has them (for example every requested wiki). ``columns`` defaults
+    to every column, in frame order (partition columns included, as the
+    original export carried ``wiki`` in its rows).
     """
     if columns is None:
         columns = list(rows.columns)
-    data = rows.select(tsv_line(columns, rows).alias("value"), *partition_by)
+    header = TSV_SEPARATOR.join(columns)
+    line = F.translate(tsv_line(columns, rows), _NO_SEPARATOR, " ")
+    _text_with_header(_writer(rows.select(line.alias(header), *partition_by), partition_by, max_records_per_file), path)
     if header_partitions:
-        header = F.lit(TSV_SEPARATOR.join(columns)).alias("value")
-        structs = [
-            F.struct(header, *[F.lit(str(v)).alias(p) for p, v in zip(partition_by, vals)], F.lit(0).alias("_row"))
-            for vals in header_partitions
-        ]
-        # one partition, built in the JVM (no Python rows to ship)
-        heads = rows.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
-        body = data.select("value", *[F.col(p).cast("string") for p in partition_by], F.lit(1).alias("_row"))
-        # The writer sorts each task's rows by the partition columns anyway;
-        # the extra key keeps a header first even if it shares a task with
-        # data (Spark may zip the partitions of same-partitioned union inputs).
-        data = (
-            heads.unionByName(body)
-            .sortWithinPartitions(*partition_by, "_row")
-            .select("value", *partition_by)
-        )
-    _writer(data, partition_by, max_records_per_file).text(path)
+        # the folders that now have files, by their names alone
+        found = read_tsv(rows.sparkSession, path, partition_by).select(*partition_by).distinct().collect()
+        filled = {tuple(r) for r in found}
+        empty = [v for v in ([str(x) for x in values] for values in header_partitions) if tuple(v) not in filled]
+        if empty:
+            schema = ", ".join(["value string"] + [f"`{p}` string" for p in partition_by])
+            heads = rows.sparkSession.createDataFrame([(header, *v) for v in empty], schema)
+            _writer(heads, partition_by, None).text(path)
+
+
+def _text_with_header(writer, path: str) -> None:
+    options = {
+        "header": True,
+        "sep": _NO_SEPARATOR,
+        "quote": "",
+        "escapeQuotes": False,
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    writer.options(**options).csv(path)
 
 
 def read_tsv(spark, path: str, partition_by: Sequence[str] = PROD_PARTITION_COLUMNS) -> DataFrame:
+    """The export's lines as they stand, every file's header among them."""
     schema = ", ".join(["value string"] + [f"`{p}` string" for p in partition_by])
     return spark.read.schema(schema).text(path)
+
+
+def read_tsv_rows(
+    spark, path: str, columns: Sequence[str], partition_by: Sequence[str] = PROD_PARTITION_COLUMNS
+) -> DataFrame:
+    """The export's rows, each file parsed by itself: its first line must be the
+    header, every other is split at tabs; a line of another number of fields fails."""
+    lines = read_tsv(spark, path, partition_by)
+    header = F.lit(TSV_SEPARATOR.join(columns))
+    fields = F.split("value", TSV_SEPARATOR, -1)
+    whole = F.when(F.size(fields) == len(columns), fields).otherwise(F.raise_error(F.lit("a line of other fields")))
+    rest = [p for p in partition_by if p not in columns]
+    return lines.where(F.col("value") != header).select(
+        *[F.nullif(whole[i], F.lit(TSV_NULL)).alias(c) for i, c in enumerate(columns)], *rest
+    )
+
+
+def tsv_headers(spark, path: str, columns: Sequence[str], partition_by: Sequence[str] = PROD_PARTITION_COLUMNS) -> DataFrame:
+    """Per partition: its files, its rows, and the files without exactly one header."""
+    header = F.lit(TSV_SEPARATOR.join(columns))
+    lines = read_tsv(spark, path, partition_by).select("*", F.col("_metadata.file_name").alias("file"))
+    files = lines.groupBy(*partition_by, "file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value") == header).alias("headers")
+    )
+    return files.groupBy(*partition_by).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum(F.col("lines") - F.col("headers")).alias("rows"),
+        F.count_if(F.col("headers") != 1).alias("files_without_header"),
+    )
+
+
+def file_order(prod: DataFrame) -> DataFrame:
+    """Per (wiki, snapshot): rows, and inversions, which are rows of a Parquet
+    file whose page_title is greater than that of the row before them, where
+    titles must descend and NULLs come last (K1). ``prod`` is a scan of the
+    table; rows are compared within their file, by their place in it."""
+    placed = prod.select(
+        "wiki",
+        "snapshot",
+        "page_title",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("place"),
+    )
+    title, before = F.col("page_title"), F.lag("page_title").over(Window.partitionBy("file").orderBy("place"))
+    first = F.col("place") == 0
+    rises = ~first & F.coalesce(F.when(title.isNull(), F.lit(False)).otherwise(before.isNull() | (title > before)), F.lit(False))
+    return (
+        placed.withColumn("rises", rises)
+        .groupBy("wiki", "snapshot")
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if("rises").alias("inversions"))
+    )

@@ -10,10 +10,34 @@ from pagerecs.session import local_session, prepare  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-WIKIS_NOTE = "image was found in the following Wikis: "
-WIKIDATA_NOTE = "image was in the Wikidata item"
-COMMONS_NOTE = "image was found in the Commons category linked in the Wikidata item"
-Q577 = '{"entity-type":"item","numeric-id":577,"id":"Q577"}'
+WIKIS_NOTE = "image was found in the following Wikis:"
+WIKIDATA_NOTE = "image was in the Wikidata item, as its main picture"
+COMMONS_NOTE = "image was found in the Commons category of the place"
+
+MONTH, DAY = "2023-09", "2023-09-12"
+
+
+def entity(name):
+    return f'{{"id":"{name}"}}'
+
+
+def candidate(image, rating=None, note=None):
+    """A candidate map; what is None has no key."""
+    given = {"image": image, "rating": rating, "note": note}
+    return {k: v for k, v in given.items() if v is not None}
+
+
+#: (page_id, title, candidates, instance_of, wiki): articles with and without
+#: images, a surname (no article), a page never computed and a broken entity
+PAGES = [
+    (21, "Granite quarry", [candidate("pit.png", "3.0", COMMONS_NOTE), candidate("slab.png", "1", WIKIDATA_NOTE)],
+     entity("Q820477"), "svwiki"),
+    (22, "Ferry timetable", [], None, "svwiki"),
+    (35, "Alder (surname)", [candidate("alder.svg", "2", WIKIS_NOTE + " nowiki, dawiki")], entity("Q101352"), "cswiki"),
+    (36, "Tram depot", None, None, "cswiki"),
+    (37, "Salt mill", [candidate("mill.tif", "4"), candidate("wheel.tif", "2.7", WIKIS_NOTE + " plwiki")],
+     "{oops", "cswiki"),
+]
 
 
 @pytest.fixture(scope="session")
@@ -23,47 +47,15 @@ def spark():
 
 @pytest.fixture(scope="session")
 def raw_data(spark):
-    """Three pages: one candidate, none (empty array), three candidates."""
-    return spark.createDataFrame(
-        [
-            (
-                "Q8101",
-                7001,
-                "Northern lighthouse",
-                [{"image": "tower.jpg", "rating": "2.0", "note": WIKIS_NOTE + "huwiki"}],
-                None,
-                "arwiki",
-                "2021-05",
-            ),
-            ("Q8102", 7002, "Quiet meadow", [], None, "arwiki", "2021-05"),
-            (
-                "Q8103",
-                9400,
-                "Old harbour",
-                [
-                    {"image": "quay.jpg", "rating": "2.0", "note": WIKIS_NOTE + "huwiki,eowiki,dawiki"},
-                    {"image": "crane.jpg", "rating": "1", "note": WIKIDATA_NOTE},
-                    {"image": "boats.jpg", "rating": "3.0", "note": COMMONS_NOTE},
-                ],
-                Q577,
-                "enwiki",
-                "2021-05",
-            ),
-        ],
-        RAW_SCHEMA,
-    ).cache()
-
-
-@pytest.fixture(scope="session")
-def notes(spark):
-    return spark.createDataFrame(
-        [[WIKIS_NOTE + "huwiki,  dawiki,skwiki"], [WIKIS_NOTE], [None]], "note string"
-    ).cache()
+    rows = [(f"item-{page}", page, title, given, of, wiki, MONTH) for page, title, given, of, wiki in PAGES]
+    return spark.createDataFrame(rows, RAW_SCHEMA).cache()
 
 
 @pytest.fixture(scope="session")
-def people(spark):
-    return spark.createDataFrame([("Oak", 11), ("Pine", 12), ("Rowan", 13)], ["name", "rings"]).cache()
+def lakes(spark):
+    """A bag with a repeated row and a NULL."""
+    rows = [("Mere", 3.5), ("Tarn", None), ("Tarn", None), ("Loch", 9.0)]
+    return spark.createDataFrame(rows, "name string, depth double").cache()
 
 
 def plan_text(df, mode="formatted"):

@@ -4,6 +4,7 @@ from pagerecs.cli import main
 from pagerecs.plans.params import month_of
 from pagerecs.sources.parquet import read_prod, read_search_feed
 from pagerecs.sources.sinks import read_tsv
+from tests.conftest import DAY, MONTH
 
 
 def test_month_of():
@@ -17,17 +18,18 @@ def test_cli_jobs_end_to_end(spark, raw_data, tmp_path, capsys):
     raw = str(tmp_path / "raw")
     raw_data.write.partitionBy("wiki_db", "snapshot").parquet(raw)
     prod, search, export = (str(tmp_path / n) for n in ("prod", "search", "export"))
-    assert main(["publish-prod", "--snapshot", "2021-05", "--source", raw, "--destination", prod,
+    assert main(["publish-prod", "--snapshot", MONTH, "--source", raw, "--destination", prod,
                  "--dataset-id", "cli-run"], spark) == 0
     rows = read_prod(spark, prod).collect()
-    assert len(rows) == 5 and {(r.dataset_id, r.snapshot) for r in rows} == {("cli-run", "2021-05")}
-    main(["search-feed", "--snapshot", "2021-05-15", "--source", prod, "--destination", search], spark)
-    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [7001]
-    main(["export", "--snapshot", "2021-05", "--source", prod, "--destination", export,
-          "--wiki", "arwiki", "enwiki"], spark)
-    assert read_tsv(spark, export).count() == 2 + 2  # two headers, two arwiki rows
+    assert len(rows) == 6 and {(r.dataset_id, r.snapshot) for r in rows} == {("cli-run", MONTH)}
+    main(["search-feed", "--snapshot", DAY, "--source", prod, "--destination", search], spark)
+    assert {r.page_id for r in read_search_feed(spark, search).collect()} == {21, 37}
+    main(["export", "--snapshot", MONTH, "--source", prod, "--destination", export,
+          "--wiki", "svwiki", "cswiki"], spark)
+    lines = [r.value for r in read_tsv(spark, export).collect()]
+    assert sum(not v.startswith("page_id") for v in lines) == 5
     main(["create-tables", "--database", "pagerecs_cli", "--prod", prod], spark)
-    assert spark.table("pagerecs_cli.imagerec_prod").count() == 5
+    assert spark.table("pagerecs_cli.imagerec_prod").count() == 6
     main(["repair", "--table", "pagerecs_cli.imagerec_prod"], spark)
 
 
@@ -55,9 +57,9 @@ def test_cli_daily_count_shows_and_writes_every_database(spark, tmp_path, capsys
 
 def test_cli_validates_before_spark():
     with pytest.raises(ValueError):
-        main(["search-feed", "--snapshot", "2021-05", "--source", "x", "--destination", "y"], spark=object())
+        main(["search-feed", "--snapshot", MONTH, "--source", "x", "--destination", "y"], spark=object())
     with pytest.raises(SystemExit):
-        main(["publish-prod", "--snapshot", "2021-05"], spark=object())
+        main(["publish-prod", "--snapshot", MONTH], spark=object())
 
 
 def test_cli_monthly_from_catalog_table(spark, raw_data, tmp_path, capsys):
@@ -67,10 +69,10 @@ def test_cli_monthly_from_catalog_table(spark, raw_data, tmp_path, capsys):
     raw_data.write.partitionBy("wiki_db", "snapshot").parquet(raw)
     table = create_external_table(spark, "raw", raw, database="pagerecs_cli_monthly")
     prod, search, export = (str(tmp_path / n) for n in ("prod", "search", "export"))
-    main(["monthly", "--snapshot", "2021-05-15", "--source", table, "--prod", prod, "--search", search,
-          "--export", export, "--wiki", "arwiki", "--dataset-id", "m1"], spark)
-    assert read_prod(spark, prod).count() == 5
-    assert [r.page_id for r in read_search_feed(spark, search).collect()] == [7001]
-    assert read_tsv(spark, export).count() == 3  # header + 2 arwiki rows
+    main(["monthly", "--snapshot", DAY, "--source", table, "--prod", prod, "--search", search,
+          "--export", export, "--wiki", "svwiki", "--dataset-id", "m1"], spark)
+    assert read_prod(spark, prod).count() == 6
+    assert {r.page_id for r in read_search_feed(spark, search).collect()} == {21, 37}
+    assert sum(not r.value.startswith("page_id") for r in read_tsv(spark, export).collect()) == 3
     out = capsys.readouterr().out
-    assert "2021-05" in out and "arwiki" in out  # partition counts shown
+    assert MONTH in out and "svwiki" in out  # partition counts shown

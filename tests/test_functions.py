@@ -6,7 +6,7 @@ from pagerecs.functions import (
     is_article_page,
     rating_value,
 )
-from tests.conftest import COMMONS_NOTE, Q577, WIKIDATA_NOTE, WIKIS_NOTE, plan_text
+from tests.conftest import COMMONS_NOTE, WIKIDATA_NOTE, WIKIS_NOTE, entity, plan_text
 
 
 def _one_col(spark, values, ddl="v string"):
@@ -40,9 +40,11 @@ def test_candidate_source(spark):
     assert got == ["wikidata", "wikipedia", "commons", None, None, None, None]
 
 
-def test_found_on_reference_fixture(notes):
-    got = [r.f for r in notes.select(found_on("note").alias("f")).collect()]
-    assert got == [["huwiki", "dawiki", "skwiki"], [""], None]
+def test_found_on_takes_what_follows_the_marker(spark):
+    notes = [WIKIS_NOTE + " nowiki ,dawiki,  sk wiki", WIKIS_NOTE + "cswiki", WIKIS_NOTE, WIKIS_NOTE + " ,", None]
+    got = [r.f for r in _one_col(spark, notes).select(found_on("v").alias("f")).collect()]
+    # the marker needs whitespace after it; a lone comma lists two empty names
+    assert got == [["nowiki", "dawiki", "skwiki"], [""], [""], ["", ""], None]
 
 
 def test_found_on_without_marker_is_single_empty_string(spark):
@@ -51,15 +53,15 @@ def test_found_on_without_marker_is_single_empty_string(spark):
 
 
 def test_instance_of_id(spark):
-    values = [Q577, "{bad", "", "null", "[]", '{"id":5}', '{"id":"Q1","numeric-id":"x"}', None,
+    values = [entity("Q82799"), "{bad", "", "null", "[]", '{"id":5}', '{"id":"Q1","numeric-id":"x"}', None,
               '{"id":"A","id":"B"}', '{"x":{"id":"Q2"}}', '{"id":"Q1"']
     got = [r.i for r in _one_col(spark, values).select(instance_of_id("v").alias("i")).collect()]
     # duplicate keys: the last one wins, as with the original's from_json
-    assert got == ["Q577", None, None, None, None, "5", "Q1", None, "B", None, None]
+    assert got == ["Q82799", None, None, None, None, "5", "Q1", None, "B", None, None]
 
 
 def test_is_article_page(spark):
-    df = _one_col(spark, ["Q577", "Q4167410", "Q28920052", "Q5", None])
+    df = _one_col(spark, ["Q82799", "Q4167410", "Q28920052", "Q5", None])
     got = [r.a for r in df.select(is_article_page("v").alias("a")).collect()]
     assert got == [False, False, False, True, True]
 

@@ -10,7 +10,7 @@ from pagerecs.plans.monthly import run_monthly
 from pagerecs.plans.params import Snapshot
 from pagerecs.sources.parquet import read_prod, read_search_feed
 from pagerecs.sources.sinks import read_tsv
-from tests.conftest import SF_SMALL
+from tests.conftest import DAY, MONTH, SF_SMALL
 
 
 def test_run_monthly_golden(spark, raw_data, tmp_path):
@@ -20,31 +20,30 @@ def test_run_monthly_golden(spark, raw_data, tmp_path):
         spark,
         raw_dir,
         str(tmp_path / "prod"),
-        "2021-05-15",
-        wikis=["arwiki", "enwiki"],
+        DAY,
+        wikis=["svwiki", "kowiki"],
         search_path=str(tmp_path / "search"),
         export_path=str(tmp_path / "export"),
         dataset_id="ds-9",
         insertion_ts=10.0,
     )
-    assert res.snapshot == Snapshot.parse("2021-05-15")
+    assert res.snapshot == Snapshot.parse(DAY)
     prod = read_prod(spark, res.prod_path)
-    assert prod.count() == 5 and {r.snapshot for r in prod.collect()} == {"2021-05"}
-    assert [tuple(r) for r in read_search_feed(spark, res.search_path).collect()] == [
-        ("arwiki", 7001, 0, "image", 2021, 5, 15)]
-    lines = read_tsv(spark, res.export_path).collect()
-    assert sum(r.value == "\t".join(EXPORT_COLUMNS) for r in lines) == 2  # one header per wiki
-    assert len(lines) == 4
-    assert glob.glob(res.export_path + "/wiki=enwiki/snapshot=2021-05/part-*")
+    assert prod.count() == 6 and {r.snapshot for r in prod.collect()} == {MONTH}
+    assert {tuple(r) for r in read_search_feed(spark, res.search_path).collect()} == {
+        ("svwiki", 21, 0, "image", 2023, 9, 12), ("cswiki", 37, 0, "image", 2023, 9, 12)}
+    lines = [r.value for r in read_tsv(spark, res.export_path).collect()]
+    assert sum(v != "\t".join(EXPORT_COLUMNS) for v in lines) == 3
+    assert glob.glob(res.export_path + f"/wiki=kowiki/snapshot={MONTH}/part-*")  # a header, though no rows
     assert res.profile["confidence_violations"].count() == 0
-    assert [tuple(r) for r in res.profile["pages_without_image"].collect()] == [("arwiki", "2021-05", 1)]
+    assert [tuple(r) for r in res.profile["pages_without_image"].collect()] == [("svwiki", MONTH, 1)]
     top_wiki = res.profile["value_frequencies"].where("column = 'wiki'").collect()
-    assert [(r.value, r["count"]) for r in top_wiki] == [("enwiki", 3), ("arwiki", 2)]
+    assert {(r.value, r["count"]) for r in top_wiki} == {("cswiki", 3), ("svwiki", 3)}
 
 
 def test_run_monthly_validates_first(spark, tmp_path):
     with pytest.raises(ValueError):
-        run_monthly(spark, str(tmp_path / "missing"), str(tmp_path / "prod"), "2021-05")
+        run_monthly(spark, str(tmp_path / "missing"), str(tmp_path / "prod"), MONTH)
 
 
 def test_entry_smoke(spark):

@@ -15,42 +15,43 @@ from pagerecs.operators.profile import (
     value_frequencies,
 )
 from pagerecs.plans.params import Snapshot, running_date
-from tests.conftest import SF_SMALL, plan_text
+from tests.conftest import MONTH, SF_SMALL, plan_text
 
 
 @pytest.fixture(scope="module")
 def prod(raw_data):
-    return stamp_run(transform_candidates(raw_data), "ds-1", 5.0, "2021-05")
+    return stamp_run(transform_candidates(raw_data), "ds-1", 5.0, MONTH)
 
 
 def test_partition_counts_and_row_count(prod):
-    assert [tuple(r) for r in partition_counts(prod).collect()] == [("2021-05", "arwiki", 2), ("2021-05", "enwiki", 3)]
-    assert row_count(prod).collect()[0].rows == 5
+    older = prod.where("wiki = 'cswiki'").withColumn("snapshot", F.lit("2023-08"))
+    counts = partition_counts(prod.unionByName(older)).collect()
+    assert [tuple(r) for r in counts] == [(MONTH, "cswiki", 3), (MONTH, "svwiki", 3), ("2023-08", "cswiki", 3)]
+    assert row_count(prod).collect()[0].rows == 6
 
 
 def test_confidence_checks(prod, spark):
     got = {(r.confidence_rating, r.source): r["count"] for r in confidence_by_source(prod).collect()}
-    assert got == {("medium", "wikipedia"): 2, ("high", "wikidata"): 1, ("low", "commons"): 1, (None, None): 1}
+    assert got == {("medium", "wikipedia"): 2, ("high", "wikidata"): 1, ("low", "commons"): 1, (None, None): 2}
     assert confidence_violations(prod).count() == 0
-    bad = prod.withColumn("source", F.when(F.col("image_id") == "crane.jpg", "commons").otherwise(F.col("source")))
+    bad = prod.withColumn("source", F.when(F.col("image_id") == "slab.png", "commons").otherwise(F.col("source")))
     assert [tuple(r) for r in confidence_violations(bad).collect()] == [("high", "commons", 1)]
     # a rated candidate without a known source is a violation too
-    orphan = prod.withColumn("source", F.when(F.col("image_id") == "boats.jpg", None).otherwise(F.col("source")))
+    orphan = prod.withColumn("source", F.when(F.col("image_id") == "pit.png", None).otherwise(F.col("source")))
     assert [tuple(r) for r in confidence_violations(orphan).collect()] == [("low", None, 1)]
 
 
 def test_pages_without_image(prod):
-    assert [tuple(r) for r in pages_without_image(prod).collect()] == [("arwiki", "2021-05", 1)]
+    assert [tuple(r) for r in pages_without_image(prod).collect()] == [("svwiki", MONTH, 1)]
 
 
 def test_value_frequencies(prod, spark):
     vf = value_frequencies(prod, top=2)
     rows = {(r.column, r.rank): (r.value, r["count"]) for r in vf.collect()}
-    assert rows[("wiki", 1)] == ("enwiki", 3) and rows[("wiki", 2)] == ("arwiki", 2)
-    assert rows[("instance_of", 1)] == ("Q577", 3)  # ties broken by value, NULL first
-    assert rows[("instance_of", 2)] == (None, 2)
-    assert rows[("found_on", 1)] == ('[""]', 2)
-    assert rows[("is_article_page", 1)] == ("false", 3)
+    assert rows[("wiki", 1)] == ("cswiki", 3) and rows[("wiki", 2)] == ("svwiki", 3)  # ties broken by value
+    assert rows[("instance_of", 1)] == (None, 3) and rows[("instance_of", 2)] == ("Q820477", 2)
+    assert rows[("found_on", 1)] == (None, 2) and rows[("found_on", 2)] == ('[""]', 2)  # NULL first
+    assert rows[("is_article_page", 1)] == ("true", 5)
     assert {c for c, _ in rows} == set(prod.columns)
     assert vf.where("rank > 2").count() == 0
     only = value_frequencies(prod, 20, ["source"])
@@ -61,27 +62,25 @@ def test_value_frequencies_limits_before_shuffle(prod):
     plan = plan_text(value_frequencies(prod, top=20))
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
     # one pass for all columns: a single generator, one aggregation shuffle
-    # and one window shuffle
+    # and two ranking shuffles, by groups of tasks and then by column
     simple = plan_text(value_frequencies(prod, top=20), "simple")
     assert simple.count("Generate inline") == 1
-    assert simple.count("Exchange hashpartitioning") == 2
-
-
-def test_frame_diff_reference_fixture(people, spark):
-    same = spark.createDataFrame([("Oak", 11), ("Pine", 12), ("Rowan", 13)], ["name", "rings"])
-    assert frames_equal(people, same)
-    assert_frames_equal(people, same.select("rings", "name"))  # by name, not position
-    other = spark.createDataFrame([("Oak", 11), ("Pine", 5), ("Pine", 5), ("Yew", None)], ["name", "rings"])
-    got = sorted(tuple(r) for r in frame_diff(people, other).collect())
-    assert got == [("Pine", 5, RIGHT_ONLY), ("Pine", 12, LEFT_ONLY), ("Rowan", 13, LEFT_ONLY), ("Yew", None, RIGHT_ONLY)]
-    multi = sorted(tuple(r) for r in frame_diff(people, other, multiset=True).collect())
-    assert ("Pine", 5, RIGHT_ONLY, 2) in multi
-    assert frames_equal(people.unionByName(people), people)  # set semantics
-    assert not frames_equal(people.unionByName(people), people, multiset=True)
+    assert simple.count("Exchange hashpartitioning") == 3
+
+
+def test_frame_diff_of_bags(lakes, spark):
+    same = lakes.orderBy("depth")
+    assert frames_equal(lakes, same, multiset=True)
+    assert_frames_equal(lakes, same.select("depth", "name"), multiset=True)  # by name, not position
+    other = spark.createDataFrame([("Tarn", None), ("Mere", 3.5), ("Loch", 8.0), ("Loch", 8.0)], lakes.schema)
+    got = sorted((tuple(r) for r in frame_diff(lakes, other).collect()), key=repr)
+    assert got == [("Loch", 8.0, RIGHT_ONLY), ("Loch", 9.0, LEFT_ONLY)]
+    multi = {tuple(r) for r in frame_diff(lakes, other, multiset=True).collect()}
+    assert multi == {("Loch", 8.0, RIGHT_ONLY, 2), ("Loch", 9.0, LEFT_ONLY, 1), ("Tarn", None, LEFT_ONLY, 1)}
+    assert frames_equal(lakes, lakes.distinct()) and not frames_equal(lakes, lakes.distinct(), multiset=True)
     with pytest.raises(ValueError):
-        frame_diff(people.withColumn("extra", F.lit(1)), people)
-    # extra right-hand columns are ignored
-    assert frames_equal(people, same.withColumn("extra", F.lit(1)))
+        frame_diff(lakes.withColumn("extra", F.lit(1)), lakes)
+    assert frames_equal(lakes, same.withColumn("extra", F.lit(1)))  # extra right-hand columns are ignored
 
 
 def test_frame_diff_takes_columns_of_any_name(spark):
@@ -103,8 +102,8 @@ def test_frame_diff_nulls_and_arrays(spark):
     assert got == sorted([("k", None, LEFT_ONLY), ("k", [], RIGHT_ONLY)], key=repr)
 
 
-def test_frame_diff_is_one_aggregation(people):
-    plan = plan_text(frame_diff(people, people), "simple")
+def test_frame_diff_is_one_aggregation(lakes):
+    plan = plan_text(frame_diff(lakes, lakes), "simple")
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan
 
@@ -162,7 +161,7 @@ def test_profile_reports_match_single_reports(prod, spark):
     assert_frames_equal(reports["confidence_by_source"], confidence_by_source(prod), multiset=True)
     assert_frames_equal(reports["confidence_violations"], confidence_violations(prod), multiset=True)
     assert_frames_equal(reports["pages_without_image"], pages_without_image(prod), multiset=True)
-    assert reports["row_count"].collect()[0].rows == 5
+    assert reports["row_count"].collect()[0].rows == 6
     assert dict(reports["row_count"].dtypes)["rows"] == "bigint"
     # reports read the checkpointed summary, not the data
     assert "ExistingRDD" in plan_text(reports["confidence_by_source"], "simple")

@@ -1,3 +1,5 @@
+import glob
+
 import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
@@ -8,14 +10,14 @@ from pagerecs.operators.compare import assert_frames_equal
 from pagerecs.operators.search import search_feed
 from pagerecs.sources.catalog import create_external_table
 from pagerecs.sources.parquet import read_prod
-from pagerecs.sources.sinks import read_tsv, write_prod
-from tests.conftest import plan_text
+from pagerecs.sources.sinks import read_tsv, read_tsv_rows, tsv_headers, write_prod
+from tests.conftest import DAY, MONTH, plan_text
 
 
 @pytest.fixture(scope="module")
 def prod_path(raw_data, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("prod") / "imagerec_prod")
-    write_prod(stamp_run(transform_candidates(raw_data), "ds-1", 1700000000.0, "2021-05"), path)
+    write_prod(stamp_run(transform_candidates(raw_data), "ds-1", 1700000000.0, MONTH), path)
     return path
 
 
@@ -25,17 +27,18 @@ def prod(spark, prod_path):
 
 
 def test_search_feed_golden(prod):
-    rows = search_feed(prod, "2021-05-15").collect()
-    assert [tuple(r) for r in rows] == [("arwiki", 7001, 0, "image", 2021, 5, 15)]
-    assert search_feed(prod, "2021-05-15").dtypes == [
+    rows = search_feed(prod, DAY).collect()
+    assert {tuple(r) for r in rows} == {("svwiki", 21, 0, "image", 2023, 9, 12), ("cswiki", 37, 0, "image", 2023, 9, 12)}
+    assert len(rows) == 2  # 35 is a surname, 22 has no image
+    assert search_feed(prod, DAY).dtypes == [
         ("wikiid", "string"), ("page_id", "int"), ("page_namespace", "int"),
         ("recommendation_type", "string"), ("year", "int"), ("month", "int"), ("day", "int")]
 
 
 def test_search_feed_is_distinct_and_pushes_filters(spark, prod):
     doubled = prod.unionByName(prod)
-    assert search_feed(doubled, "2021-05-15").count() == 1
-    plan = plan_text(search_feed(prod, "2021-05-15"))
+    assert search_feed(doubled, DAY).count() == 2
+    plan = plan_text(search_feed(prod, DAY))
     pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
     for f in ("IsNotNull(image_id)", "EqualTo(is_article_page,true)"):
         assert f in pushed
@@ -46,33 +49,31 @@ def test_search_feed_is_distinct_and_pushes_filters(spark, prod):
 
 def test_search_feed_rejects_bad_date(prod):
     with pytest.raises(ValueError):
-        search_feed(prod, "2021-05")
+        search_feed(prod, MONTH)
 
 
 def test_search_feed_page_id_overflow_raises(spark, prod):
     big = prod.withColumn("page_id", F.lit(2**31).cast("bigint"))
     with pytest.raises(ArithmeticException):
-        search_feed(big, "2021-05-15").collect()
+        search_feed(big, DAY).collect()
 
 
 def test_export_golden(prod):
-    rows = export_rows(prod, "arwiki", "2021-05").collect()
-    assert tuple(export_rows(prod, "arwiki", "2021-05").columns) == EXPORT_COLUMNS
-    got = {r.page_id: r for r in rows}
-    assert set(got) == {7001, 7002}
-    assert (got[7002].image_id, got[7002].confidence_rating, got[7002].source, got[7002].found_on) == ("", "", "", "")
-    assert got[7001].found_on == "huwiki" and got[7001].image_id == "tower.jpg"
-    android = export_rows(prod, "arwiki", "2021-05", require_image=True).collect()
-    assert [r.page_id for r in android] == [7001]
-    assert export_rows(prod, "enwiki", "2021-05").count() == 0  # Q577 is not an article
-    assert export_rows(prod, ["arwiki", "enwiki"], "2021-05").count() == 2
-    assert export_rows(prod, "arwiki", "2021-01").count() == 0
+    rows = export_rows(prod, "svwiki", MONTH)
+    assert tuple(rows.columns) == EXPORT_COLUMNS
+    got = {(r.page_id, r.image_id, r.confidence_rating, r.source, r.found_on) for r in rows.collect()}
+    assert got == {(21, "pit.png", "low", "commons", ""), (21, "slab.png", "high", "wikidata", ""), (22, "", "", "", "")}
+    android = export_rows(prod, "svwiki", MONTH, require_image=True).collect()
+    assert sorted(r.image_id for r in android) == ["pit.png", "slab.png"]
+    assert {(r.page_id, r.found_on) for r in export_rows(prod, "cswiki", MONTH).collect()} == {(37, ""), (37, "plwiki")}
+    assert export_rows(prod, ["svwiki", "cswiki"], MONTH).count() == 5
+    assert export_rows(prod, "svwiki", "2023-08").count() == 0
 
 
 def test_export_prunes_partitions(prod):
-    plan = plan_text(export_rows(prod, ["arwiki"], "2021-05"))
+    plan = plan_text(export_rows(prod, ["svwiki"], MONTH))
     parts = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
-    assert "= arwiki)" in parts and "= 2021-05)" in parts
+    assert "= svwiki)" in parts and f"= {MONTH})" in parts
     assert "EqualTo(is_article_page,true)" in plan
 
 
@@ -80,40 +81,55 @@ def test_export_sql_matches_dataframe(spark, prod, prod_path):
     table = create_external_table(spark, "prod", prod_path, name="imagerec_prod_export_test")
     for android in (False, True):
         assert_frames_equal(
-            export_rows_sql(spark, table, "arwiki", "2021-05", android),
-            export_rows(prod, "arwiki", "2021-05", android),
+            export_rows_sql(spark, table, "svwiki", MONTH, android),
+            export_rows(prod, "svwiki", MONTH, android),
             multiset=True,
         )
     # a value with a quote cannot inject SQL: it is a bound parameter
-    assert export_rows_sql(spark, table, "arwiki' OR '1'='1", "2021-05").count() == 0
+    assert export_rows_sql(spark, table, "svwiki' OR '1'='1", MONTH).count() == 0
+
+
+def lines_by_file(folder):
+    return [open(f, encoding="utf-8").read().splitlines() for f in sorted(glob.glob(f"{folder}/part-*"))]
 
 
-def test_tsv_export_header_first_no_quoting(spark, raw_data, tmp_path):
+def test_every_tsv_file_has_its_header_and_nothing_is_quoted(spark, raw_data, tmp_path):
+    odd_title = 'Tab\there "quoted" \x01\nline \\x # '
     tricky = raw_data.withColumn(
-        "page_title", F.when(F.col("page_id") == 7001, F.lit('Tab\there "quoted"\nline')).otherwise(F.col("page_title"))
+        "page_title", F.when(F.col("page_id") == 21, F.lit(odd_title)).otherwise(F.col("page_title"))
     )
-    prod_dir = str(tmp_path / "prod")
-    write_prod(stamp_run(transform_candidates(tricky), "ds-1", 1700000000.0, "2021-05"), prod_dir)
+    prod_dir, out = str(tmp_path / "prod"), str(tmp_path / "tsv")
+    rows = stamp_run(transform_candidates(tricky), "ds-1", 1700000000.0, MONTH)
+    write_prod(rows.repartition(3, "image_id"), prod_dir, sort=False)
     prod = read_prod(spark, prod_dir)
-    out = str(tmp_path / "tsv")
-    export_tsv(prod, ["arwiki", "enwiki", "kowiki"], "2021-05", out)
-    import glob
-
-    for wiki, n_rows in (("arwiki", 2), ("enwiki", 0), ("kowiki", 0)):
-        files = sorted(glob.glob(f"{out}/wiki={wiki}/snapshot=2021-05/part-*"))
-        lines = []
-        for f in files:
-            with open(f, encoding="utf-8") as fh:
-                lines += fh.read().splitlines()
-        assert lines[0] == "\t".join(EXPORT_COLUMNS), wiki
-        assert len(lines) == 1 + n_rows
-        for line in lines[1:]:
-            fields = line.split("\t")
-            assert len(fields) == len(EXPORT_COLUMNS)
-            assert fields[6] == "1.7E9"
+    export_tsv(prod, ["svwiki", "cswiki", "kowiki"], MONTH, out)
+    for wiki, n_rows in (("svwiki", 3), ("cswiki", 2), ("kowiki", 0)):
+        files = lines_by_file(f"{out}/wiki={wiki}/snapshot={MONTH}")
+        assert files and all(lines[0] == "\t".join(EXPORT_COLUMNS) for lines in files)
+        found = [line.split("\t") for lines in files for line in lines[1:]]
+        assert len(found) == n_rows and all(len(f) == len(EXPORT_COLUMNS) and f[6] == "1.7E9" for f in found)
     text = {r.value for r in read_tsv(spark, out).collect()}
-    assert '7001\tTab here "quoted" line\ttower.jpg\tmedium\twikipedia\tds-1\t1.7E9\tarwiki\thuwiki' in text
-    assert "7002\tQuiet meadow\t\t\t\tds-1\t1.7E9\tarwiki\t" in text
+    shown = 'Tab here "quoted"   line \\x # '
+    assert f"21\t{shown}\tslab.png\thigh\twikidata\tds-1\t1.7E9\tsvwiki\t" in text
+    assert "22\tFerry timetable\t\t\t\tds-1\t1.7E9\tsvwiki\t" in text
+    headers = {r.wiki: r for r in tsv_headers(spark, out, EXPORT_COLUMNS).collect()}
+    assert {w: (r.rows, r.files_without_header) for w, r in headers.items()} == {
+        "svwiki": (3, 0), "cswiki": (2, 0), "kowiki": (0, 0)}
+    parsed = read_tsv_rows(spark, out, EXPORT_COLUMNS)
+    assert {(r.page_id, r.page_title, r.wiki, r.snapshot) for r in parsed.collect()} == {
+        ("21", shown, "svwiki", MONTH), ("22", "Ferry timetable", "svwiki", MONTH), ("37", "Salt mill", "cswiki", MONTH)}
+
+
+def test_a_tsv_file_without_header_is_found(spark, tmp_path):
+    path = tmp_path / "wiki=w" / "snapshot=s"
+    path.mkdir(parents=True)
+    (path / "part-0").write_text("a\tb\n1\t2\n")
+    (path / "part-1").write_text("3\t4\n")
+    (path / "part-2").write_text("a\tb\na\tb\n")
+    found = tsv_headers(spark, str(tmp_path), ["a", "b"]).collect()
+    assert [tuple(r) for r in found] == [("w", "s", 3, 2, 2)]
+    with pytest.raises(Exception, match="other fields"):
+        read_tsv_rows(spark, str(tmp_path), ["a"]).collect()
 
 
 def test_tsv_null_is_backslash_n(spark, tmp_path):
@@ -122,22 +138,11 @@ def test_tsv_null_is_backslash_n(spark, tmp_path):
     df = spark.createDataFrame([("a", None, "w", "s")], "x string, y string, wiki string, snapshot string")
     out = str(tmp_path / "t")
     write_tsv(df, out, ("x", "y"))
-    assert [r.value for r in read_tsv(spark, out).collect()] == ["a\t\\N"]
+    assert [r.value for r in read_tsv(spark, out).collect()] == ["x\ty", "a\t\\N"]
+    assert [(r.x, r.y) for r in read_tsv_rows(spark, out, ("x", "y")).collect()] == [("a", None)]
 
 
-def test_tsv_header_first_when_sharing_a_task(spark, prod, tmp_path):
-    import glob
-
-    from pagerecs.sources.sinks import write_tsv
 
-    rows = export_rows(prod, "arwiki", "2021-05").withColumn("snapshot", F.lit("2021-05")).coalesce(1)
-    out = str(tmp_path / "one")
-    write_tsv(rows, out, EXPORT_COLUMNS, header_partitions=[("arwiki", "2021-05")])
-    lines = []
-    for f in sorted(glob.glob(out + "/wiki=arwiki/snapshot=2021-05/part-*")):
-        with open(f, encoding="utf-8") as fh:
-            lines += fh.read().splitlines()
-    assert lines[0] == "\t".join(EXPORT_COLUMNS) and len(lines) == 3
 
 
 def test_tsv_write_has_no_shuffle(spark, prod, tmp_path):
@@ -152,7 +157,7 @@ def test_tsv_write_has_no_shuffle(spark, prod, tmp_path):
 
     sinks._writer = capture
     try:
-        export_tsv(prod, ["arwiki"], "2021-05", str(tmp_path / "t"))
+        export_tsv(prod, ["svwiki"], MONTH, str(tmp_path / "t"))
     finally:
         sinks._writer = original
     assert "Exchange" not in plan_text(captured["df"], "simple")
