@@ -8,13 +8,17 @@ one of the next) leave the score of every row of the block as slices. The
 top rows are chosen from the most significant slice downward; rows that tie
 at the boundary are resolved by their vec_id. Every step is exact.
 
-Blocks and batches of queries meet by block number, so no task holds more
-than a block, and a query keeps k rows per block until the last ranking.
+Batches of queries go to every block by its number, and the pairs of a block
+and a batch are dealt out again, so no task holds more than a block at a time
+and a query keeps k rows per block until the last ranking.
 
 Results for odd input: a vector that is null or has a null, NaN or infinite
-component takes no part; of rows with one vec_id the least vector counts; a
-null vec_id takes no part; vectors of different lengths never meet; an empty
-table gives no rows; other columns are ignored.
+component takes no part; rows with the same vec_id are rows of their own: each
+is a candidate of the other, and each one's answers are ranked by themselves; a
+null vec_id is never a query, and as a candidate comes last among ties; vectors
+of different lengths never meet; a component or a score that no long holds (of
+components from about 1e8 on) is an error that says so; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +38,15 @@ BLOCK_ROWS, BATCH_QUERIES = 32_768, 128
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): floor(scale * component) of every usable vector."""
+    """(row_id, vec_id, v): floor(scale * component) of every usable vector."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     usable = F.col("embedding").isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     )
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("bigint"))
-    rows = vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # one that exceeds a long is the greatest long here, which no score holds either
+    v = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * scale), F.lit(2.0**62)), F.lit(-(2.0**62))).cast("bigint"))
+    rows = vectors.where(usable).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
+    return rows.withColumn("row_id", F.monotonically_increasing_id())
 
 
 def build(rows: DataFrame) -> DataFrame:
@@ -49,19 +54,22 @@ def build(rows: DataFrame) -> DataFrame:
     and their slices (attribute by attribute, low bit first)."""
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
-    dealt = rows.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    dealt = rows.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("block"), "row_id")
 
     def slices(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+        group = group.sort_values("row_id")
         values = np.array(group["v"].tolist(), np.int64).reshape(len(group), -1)
-        low = values.min(axis=0, initial=0) if values.size == 0 else values.min(axis=0)
+        if np.abs(values).max(initial=0) >> 60:
+            raise OverflowError("a component's score exceeds a long")
+        low = values.min(axis=0)
         above = values - low
         bits = [int(a).bit_length() for a in above.max(axis=0)] if values.size else []
         planes = [np.packbits((above[:, d] >> b) & 1, bitorder="little") for d, width in enumerate(bits) for b in range(width)]
         out = {
             "dims": group["dims"].iloc[0],
             "block": group["block"].iloc[0],
-            "ids": [group["vec_id"].tolist()],
+            "ids": [[None if pd.isna(i) else int(i) for i in group["vec_id"]]],
+            "row_ids": [group["row_id"].tolist()],
             "low": [low.tolist()],
             "bits": [bits],
             "planes": [np.array(planes, np.uint8).tobytes()],
@@ -69,7 +77,7 @@ def build(rows: DataFrame) -> DataFrame:
         return pd.DataFrame(out)
 
     return dealt.groupBy("dims", "block").applyInPandas(
-        slices, "dims int, block bigint, ids array<bigint>, low array<bigint>, bits array<int>, planes binary"
+        slices, "dims int, block bigint, ids array<bigint>, row_ids array<bigint>, low array<bigint>, bits array<int>, planes binary"
     )
 
 
@@ -141,24 +149,28 @@ def _values(slices: list[np.ndarray | None], rows: np.ndarray) -> list[int]:
 
 
 def search(rows: DataFrame, index: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row (vec_id, v) that
+    """(query_id, rank, vec_id, score): for each row (row_id, vec_id, v) that
     ``is_query``, the k other indexed rows with the highest inner product."""
     queries = rows.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.size("v").alias("dims")
+        F.col("row_id").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.size("v").alias("dims")
     )
     batches = max(1, -(-queries.count() // BATCH_QUERIES))
-    queries = queries.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)))
-    queries = queries.groupBy("dims", "batch").agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    met = index.join(queries, "dims").select("ids", "low", "bits", "planes", "queries")
+    queries = queries.withColumn("batch", F.pmod(F.xxhash64("query_row"), F.lit(batches)))
+    queries = queries.groupBy("dims", "batch").agg(F.collect_list(F.struct("query_row", "query_id", "query")).alias("queries"))
+    blocks = index.agg(F.max("block")).first()[0] or 0
+    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks)).cast("array<bigint>")))
+    met = index.join(sent, ["dims", "block"]).repartition("block", "batch")
+    met = met.select("ids", "row_ids", "low", "bits", "planes", "queries")
 
     def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(len(part)):
-                ids, low, bits, planes, queries = (part.column(c)[i].as_py() for c in range(5))
-                ids, low = np.array(ids, np.int64), np.array(low, np.int64)
+                ids, row_ids, low, bits, planes, queries = (part.column(c)[i].as_py() for c in range(6))
+                row_ids = np.array(row_ids, np.int64)
                 words_ = -(-len(ids) // 64)
                 packed = np.zeros((sum(bits), 8 * words_), np.uint8)
-                packed[:, : -(-len(ids) // 8)] = np.frombuffer(planes, np.uint8).reshape(sum(bits), -1)
+                if planes:
+                    packed[:, : -(-len(ids) // 8)] = np.frombuffer(planes, np.uint8).reshape(sum(bits), -1)
                 packed = packed.view(np.uint64)
                 every = np.zeros(8 * words_, np.uint8)
                 every[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
@@ -167,19 +179,23 @@ def search(rows: DataFrame, index: DataFrame, is_query: Column, k: int = 10) ->
                 for q in queries:
                     query = np.array(q["query"], np.int64)
                     among = every.copy()
-                    own = np.searchsorted(ids, q["query_id"])
-                    if own < len(ids) and ids[own] == q["query_id"]:
+                    own = np.searchsorted(row_ids, q["query_row"])
+                    if own < len(ids) and row_ids[own] == q["query_row"]:
                         among[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
                     slices, shift = score_slices(query, packed, bits)
                     found = top_rows(slices, among, k)
-                    base = sum(a * b for a, b in zip(q["query"], low.tolist(), strict=True)) - shift
-                    hits = sorted(zip((base + s for s in _values(slices, found)), ids[found].tolist(), strict=True), key=lambda h: (-h[0], h[1]))
-                    out += [(q["query_id"], vec_id, s) for s, vec_id in hits[:k]]
-                columns = list(zip(*out, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(best, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                    base = sum(a * b for a, b in zip(q["query"], low, strict=True)) - shift
+                    hits = [(base + s, ids[at]) for s, at in zip(_values(slices, found), found.tolist(), strict=True)]
+                    if any(abs(s) >> 63 for s, _ in hits):
+                        raise OverflowError("a score exceeds a long")
+                    hits.sort(key=lambda h: (-h[0], h[1] is None, h[1] or 0))
+                    out += [(q["query_row"], q["query_id"], vec_id, s) for s, vec_id in hits[:k]]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                names = ["query_row", "query_id", "vec_id", "score"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    found = met.mapInArrow(best, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def set_apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the ``needed`` under names that no operator
+    uses, and what gives a frame of these columns its names back."""
+    names = df.columns
+    apart = [n if n in needed else f"given_{i}_column" for i, n in enumerate(names)]
+    return df.toDF(*apart), lambda out: out.select(*apart).toDF(*names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,8 +60,20 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def give_back() -> None:
-    """Returns what this worker has freed to the system: workers are kept for later stages."""
+_DROPPED: list[Callable[[], object]] = []
+
+
+def on_give_back(drop: Callable[[], object]) -> None:
+    """``drop`` empties a cache that a worker keeps between tasks."""
+    _DROPPED.append(drop)
+
+
+def give_back(keep_caches: bool = False) -> None:
+    """Returns what this worker has freed to the system, as workers are kept
+    for later stages; first it drops the caches that earlier stages left."""
+    if not keep_caches:
+        for drop in _DROPPED:
+            drop()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
     if trim:

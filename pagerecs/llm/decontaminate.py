@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import LOWER, UPPER, keep, small
+from pagerecs.llm.common import LOWER, UPPER, keep, set_apart, small
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.75, 29
 #: Lanes of a long that count bits, their bits, and the fingerprint's blocks.
@@ -172,7 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a near duplicate of an item."""
+    docs, named = set_apart(docs, "doc_id", "text")
     found = keep(leaks(docs, benchmark).select(F.col("doc_id").alias("d"), "text_hash").distinct(), "leaks")
     found = small(found.withColumnRenamed("text_hash", "h"), found.count())
     same = docs["doc_id"].eqNullSafe(found["d"]) & F.xxhash64(docs["text"]).eqNullSafe(found["h"])
-    return docs.join(found, same, "left_anti")
+    return named(docs.join(found, same, "left_anti"))

@@ -41,7 +41,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         raise ValueError("the separator must be no 15-bit id and fit in 16 bits")
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer or vocabulary("word_bpe_49k.json")).encode
+        encode = encoder(tokenizer or vocabulary("word_bpe_49k.json"), plain=True).encode
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs, give_back, keep, small
+from pagerecs.llm.common import byte_runs, give_back, keep, set_apart, small
 from pagerecs.llm.graph import components
 from pagerecs.llm.words import shingles, words
 
@@ -303,6 +303,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with the first document of each component (least doc_id, null
     last), and every text without words."""
+    docs, named = set_apart(docs, "doc_id", "text")
     found = keep(join(docs, percent), "components").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     rows = found.groupBy("d", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
     rows = keep(rows, "rows-that-stay")
@@ -311,6 +312,6 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     left = docs.join(small(gone, gone.count()), same, "left_anti")
     repeated = rows.where("stays and rows > 1 and n > 0").select("d", "h")
     if not (n := repeated.count()):
-        return left
+        return named(left)
     once = left.join(small(repeated, n), same, "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-    return left.join(small(repeated, n), same, "left_anti").unionByName(once.select(*docs.columns))
+    return named(left.join(small(repeated, n), same, "left_anti").unionByName(once.select(*docs.columns)))

@@ -4,7 +4,8 @@ A text's UTF-8 bytes are cut into windows of a fixed length. The network
 embeds bytes, applies filters of several widths at every place, keeps each
 filter's maximum over the window and classifies by softmax; a text's
 distribution is the mean of its windows', weighted by their bytes. It is
-trained in numpy on the driver from a bounded sample of labelled windows.
+trained in numpy on the driver from all windows of a bounded sample of
+labelled texts.
 A filter's response is a sum of one table entry per byte it covers, so
 prediction is gathers and additions over whole batches of windows.
 
@@ -27,10 +28,10 @@ from pagerecs.llm.common import byte_runs, give_back
 
 #: Bytes of a window; filter widths, filters of each width, embedding size.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 8, 8
-#: Labelled rows in the training sample, at most about this many in all.
+#: Labelled rows in the training sample, at most; all windows of each are learned.
 TRAIN_ROWS = 6000
 #: Passes over the sample, and steps at least, so that a small sample is learned too.
-EPOCHS, STEPS, BATCH, RATE = 8, 500, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 1, 750, 64, 0.01
 PAD = 256
 UNDETERMINED = "und"
 
@@ -124,19 +125,18 @@ def train(windows: np.ndarray, classes: np.ndarray, labels: list[str], seed: int
 
 
 def training_sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
-    """About ``rows`` / languages labelled excerpts of each language, chosen by
-    a hash of their text: one window from the middle of each text."""
-    labelled = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
+    """(lang, whole text) of at most ``rows`` rows, about as many of each
+    language, chosen by a hash of id and text."""
+    labelled = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(1e9 * min(1, rows / len(counts) / n))).otherwise(share)
-    middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2) - WINDOW // 2).cast("int")
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000_000)) < share)
-    excerpts = chosen.select("lang", F.substring(F.col("text"), middle, F.lit(WINDOW)).cast("binary").alias("text"))
-    return sorted((r.lang, bytes(r.text)[:WINDOW]) for r in excerpts.collect())
+    chosen = labelled.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)))
+    chosen = chosen.where(F.col("place") < share).orderBy("place").limit(rows)
+    return sorted((r.lang, bytes(r.text)) for r in chosen.select("lang", F.col("text").cast("binary").alias("text")).collect())
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -145,10 +145,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     if not sample:
         return None
     labels = sorted({lang for lang, _ in sample})
-    windows = np.full((len(sample), WINDOW), PAD, np.int16)
-    for k, (_, text) in enumerate(sample):
-        windows[k, : len(text)] = np.frombuffer(text, np.uint8)
-    return train(windows, np.array([labels.index(lang) for lang, _ in sample]), labels)
+    offsets = np.r_[0, np.cumsum([len(text) for _, text in sample])]
+    windows, rows, _ = cut_windows(np.frombuffer(b"".join(text for _, text in sample), np.uint8), offsets)
+    return train(windows, np.array([labels.index(lang) for lang, _ in sample])[rows], labels)
 
 
 def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import keep, shuffle_partitions, small
+from pagerecs.llm.common import give_back, keep, shuffle_partitions, small
 from pagerecs.llm.tokens import encoder, vocabulary
 
 #: Rounds of multiplicative weights, how fast prices follow, and how far below
@@ -72,6 +72,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 20
                     ],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
+        give_back(keep_caches=True)
 
     return docs.select("doc_id", "text").mapInArrow(
         cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"

@@ -8,7 +8,7 @@ their codes. All weights are learned together in numpy on the driver from a
 bounded sample of labelled documents; scoring covers every passage.
 
 Results for odd input: a null or empty text is one passage without any byte;
-without labels every score is 0.5; repeated rows and null or repeated ids
+without labels every score is 0.5; a label given twice is learned twice; repeated rows and null or repeated ids
 each give their row; an empty table gives none.
 """
 
@@ -27,9 +27,8 @@ from pagerecs.llm.words import words
 
 #: Bytes of a passage, sizes of its code and of the attention's layer.
 PASSAGE, CODE, ATTENTION = 512, 16, 8
-#: Labelled documents in the training sample, at most about this many, and
-#: the passages (evenly spaced) that training takes of each.
-TRAIN_ROWS, TRAIN_PASSAGES = 6000, 32
+#: Labelled documents in the training sample, at most; all passages of each are learned.
+TRAIN_ROWS = 6000
 #: Passes over the sample, and steps at least, so that a small sample is learned too.
 EPOCHS, STEPS, BATCH, RATE = 30, 1000, 64, 0.01
 #: A score from here on predicts label 1.
@@ -152,12 +151,15 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """A model of ``labelled`` (text, quality 0 or 1); None without labels."""
-    labelled = labelled.where(F.col("quality").isin(0, 1)).select("text", "quality")
+    labelled = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", "text", "quality")
     n = labelled.count()
     if not n:
         return None
-    part = int(1e9 * min(1, rows / n))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000_000)) < part)
+    # chosen by a hash of id and text, so that a group of equal texts takes no more than its share;
+    # a share that gives more than ``rows`` but for odds beyond measure, the limit makes them exact
+    part = int(1e9 * min(1, (rows + 6 * rows**0.5) / n))
+    place = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(5)), F.lit(1_000_000_000))
+    chosen = labelled.withColumn("place", place).where(F.col("place") < part).orderBy("place").limit(rows)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +167,11 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
             for _, _, data, offsets in byte_runs(batch.column(0), 1 << 20):
                 of, features = passage_features(data, offsets)
                 for bag in np.split(features, np.flatnonzero(of[1:] != of[:-1]) + 1):
-                    even = np.linspace(0, len(bag) - 1, min(len(bag), TRAIN_PASSAGES)).astype(int)
-                    out.append(bag[even].tobytes())
+                    out.append(bag.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["bag", "quality"])
         give_back()
 
-    sample = sorted((bytes(r.bag), r.quality) for r in chosen.mapInArrow(bags, "bag binary, quality int").collect())
+    sample = sorted((bytes(r.bag), r.quality) for r in chosen.select("text", "quality").mapInArrow(bags, "bag binary, quality int").collect())
     if not sample:
         return None
     features = [np.frombuffer(bag, np.float32).reshape(-1, FEATURES) for bag, _ in sample]

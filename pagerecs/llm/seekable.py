@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import shuffle_partitions
+from pagerecs.llm.common import give_back, shuffle_partitions
 from pagerecs.llm.tokens import encoder, vocabulary
 
 #: Fixed values of the zstandard formats.
@@ -100,6 +100,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                         ids, frames, table = [], [], []
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([_file(part, number, ids, frames, table)])], ["file"])
+        give_back(keep_caches=True)
 
     files = in_id_order(docs).mapInArrow(pack, "file binary")
     (

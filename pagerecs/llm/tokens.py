@@ -5,6 +5,8 @@ between two other characters, so a text is cut there and every distinct chunk
 is encoded once per worker; the ids equal those of the whole text. A chunk of
 plain Latin letters is one piece for the pre-tokenizer, so it goes straight
 to the library's merge model; any other chunk takes the library's whole path.
+A worker keeps its encoders while it encodes; a task of another operator drops
+them (``common.give_back``).
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import os
 import re
 from array import array
 
+from pagerecs.llm.common import on_give_back
+
 #: Chunks a worker remembers; beyond that it forgets all and starts anew.
 CACHE_CHUNKS = 600_000
 _ADJACENT = re.compile(r"\s\s")
@@ -22,7 +26,7 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _PART = r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*"
 _PLAIN = re.compile(rf"{_PART}(?:\n{_PART})*")
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(.*)")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,12 +43,12 @@ _LETTERS = _byte_letters()
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.after_space: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -86,22 +90,32 @@ class Encoder:
             self.after_space.clear()
             self.pieces.clear()
         cut = [(_SAFE.split(t) if _ADJACENT.search(t) else t.split(" ")) if t else [] for t in texts]
-        known = self.after_space
-        new = {c for parts in cut for c in parts[1:] if c not in known}
+        known = self.after_space.get
+        found = [list(map(known, parts[1:])) for parts in cut]
+        new = set()
+        for parts, ids in zip(cut, found, strict=True):
+            if None in ids:
+                new.update(c for c, i in zip(parts[1:], ids, strict=True) if i is None)
         if new:
             self._learn(new)
+            found = [list(map(known, p[1:])) if None in ids else ids for p, ids in zip(cut, found, strict=True)]
         heads = iter(self.tokenizer.encode_batch_fast([p[0] for p in cut if p], add_special_tokens=False))
         return [
-            array("I", next(heads).ids).tobytes() + b"".join(map(known.__getitem__, parts[1:])) if parts else b""
-            for parts in cut
+            array("I", next(heads).ids).tobytes() + b"".join(ids) if parts else b""
+            for parts, ids in zip(cut, found, strict=True)
         ]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+on_give_back(_ENCODERS.clear)
+
+
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """The worker's encoder for a vocabulary file. ``plain``: the strings of
+    the vocabulary's own marks are ordinary text where they stand in a text."""
+    key = path, plain
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, plain)
+    return _ENCODERS[key]
 
 
 def vocabulary(name: str) -> str:

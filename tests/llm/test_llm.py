@@ -1,6 +1,8 @@
 """The training-data operators against brute force, on small and odd inputs."""
 
+import functools
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -9,10 +11,12 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
 from pagerecs.llm.tokens import encoder, vocabulary
 from pagerecs.sources.storage import fresh_path
+from tests.conftest import plan_text
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
 SF = "/root/testdata/sf0.001"
@@ -53,7 +57,15 @@ def set_of(text):
 
 
 def ids_of(text, name):
-    return encoder(vocabulary(name)).tokenizer.encode(text or "", add_special_tokens=False).ids
+    """By the library alone, with its own settings."""
+    return library(name).encode(text or "", add_special_tokens=False).ids
+
+
+@functools.cache
+def library(name, plain=False):
+    tokenizer = Tokenizer.from_file(vocabulary(name))
+    tokenizer.encode_special_tokens = plain
+    return tokenizer
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -62,6 +74,16 @@ def test_cached_ids_equal_the_librarys(name):
     assert encoder(vocabulary(name)).encode([*texts, None]) == [array("I", ids_of(t, name)).tobytes() for t in [*texts, None]]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("plain", [False, True])
+def test_ids_of_texts_that_hold_the_vocabularys_marks(name, plain):
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "a", "Word", "x.", "é", "don't", "\t", " the", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    want = [e.ids for e in library(name, plain).encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder(vocabulary(name), plain).encode(texts) == [array("I", ids).tobytes() for ids in want]
+
+
 def test_packing_is_gapless_and_whole(odd, empty):
     done = packing.pack(odd)
     rows = done.placement.collect()
@@ -132,7 +154,7 @@ def test_flat_scan_stitches_blocks(spark, odd, empty, monkeypatch):
     found = flat.scan_flat(spark, path, head_ids=flat.HEAD_IDS)
     rows = found.select(flat.head_doc_id(F.col("head")).alias("doc_id"), "n_tokens").collect()
     assert Counter((r.doc_id, r.n_tokens - flat.HEAD_IDS) for r in rows) == Counter(
-        (d, len(ids_of(t, "word_bpe_49k.json"))) for d, t, *_ in ODD
+        (d, len(library("word_bpe_49k.json", True).encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in ODD
     )
     nothing = fresh_path(spark, "flat")
     flat.write_flat(empty, nothing)
@@ -233,6 +255,101 @@ def test_exact_top_k(spark, monkeypatch):
     assert bitslice.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 2)
+    rows = [(100, [1.0, 0.0]), (100, [0.5, 2.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (9, []), (200, [])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("block", F.lit("x"))
+    got = bitslice.top_k(vectors, F.col("vec_id") % 100 == 0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    m = 1024 * 1024
+    assert found[200] == [(9, 0)]
+    # both rows of vec_id 100 are queries, each a candidate of the other
+    assert sorted(found[100], key=repr) == sorted(
+        [(7, m), (7, m), (None, m), (100, m // 2), (7, m * 5 // 2), (7, m * 5 // 2), (None, m * 5 // 2), (100, m // 2)], key=repr)
+    assert [r.vec_id for r in got if r["rank"] == 3 and r.query_id == 100] == [None, None]
+
+
+@pytest.mark.parametrize("x", [1e8, 1e17, 1e300])
+def test_scores_beyond_a_long_are_named(spark, x):
+    vectors = spark.createDataFrame([(0, [x, x]), (1, [x, x])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="score exceeds a long"):
+        bitslice.top_k(vectors, F.col("vec_id") == 0).collect()
+
+
+def test_every_block_meets_every_batch_in_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(bitslice, "BATCH_QUERIES", 10)
+    rows = spark.range(400).select(F.col("id").alias("row_id"), F.col("id").alias("vec_id"), F.array(F.col("id"), F.lit(1)).alias("v"))
+    plan = plan_text(bitslice.search(rows, bitslice.build(rows), F.col("vec_id") % 10 == 0), "simple")
+    assert "hashpartitioning(block#" in plan and ", batch#" in plan and "dims#" in plan
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, d int, h string, quality int, score double, " \
+    "predicted string, lang_pred int, text_hash string, stays int, words string, place int"
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    extra = (1, "h", 5, -7.0, "p", 3, "th", 4, "w", 9)
+    docs = spark.createDataFrame([(*d[:5], *extra) for d in ODD], CLASHING)
+    left = run(spark, docs, SF)
+    assert left.columns == docs.columns and left.schema["score"].dataType == docs.schema["score"].dataType
+    rows = left.collect()
+    assert all(tuple(r)[5:] == extra for r in rows) and {tuple(r) for r in rows} <= {tuple(r) for r in docs.collect()}
+    if name == "near_duplicates":
+        assert {r.doc_id for r in rows if r.doc_id in (1, 2, 3)} == {1, 2, 3}
+    assert run(spark, docs.limit(0), SF).count() == 0
+
+
+def test_training_samples_are_bounded_and_hold_whole_texts(spark):
+    copies = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("same words " * 200).alias("text"), F.lit("en").alias("lang"))
+    sample = langid.training_sample(copies, 100)
+    assert 50 < len(sample) <= 100 and {len(t) for _, t in sample} == {2200}
+    seen, real = [], quality.train
+    quality.train = lambda bags, labels: seen.append([len(b) for b in bags]) or real(bags, labels)
+    try:
+        quality.fit(copies.withColumn("quality", (F.col("doc_id") % 2).cast("int")), 100)
+    finally:
+        quality.train = real
+    assert seen[0] == [5] * 100
+
+
+def test_scores_equal_the_networks_by_their_definition(spark):
+    """Quality's attention and the language network, one document at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    labelled = docs.join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    model = quality.fit(labelled)
+    for r in quality.score(docs, model).collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        _, features = quality.passage_features(data, np.array([0, len(data)]))
+        code = [np.tanh((f - model.mean) / model.spread @ model.encode) for f in features]
+        raw = [sum(np.tanh(c @ model.value) / (1 + np.exp(-(c @ model.gate))) * model.weigh) for c in code]
+        weight = np.exp(raw) / np.exp(raw).sum()
+        logit = sum(w * (c @ model.out[:-1]) for w, c in zip(weight, code)) + model.out[-1]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+    net = langid.fit(docs)
+    for r in langid.identify(docs, net).collect():
+        data = r.text.encode()
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(data), langid.WINDOW):
+            part = list(data[at : at + langid.WINDOW])
+            x = net.embed[part + [langid.PAD] * (langid.WINDOW - len(part))]
+            pooled = []
+            for f in reversed(net.filters):  # widest first
+                places = range(langid.WINDOW - max(langid.WIDTHS) + 1)
+                pooled.append(np.max([np.einsum("we,wef->f", x[p : p + len(f)], f) for p in places], axis=0))
+            out = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.dense + net.dense_bias
+            total += np.exp(out - out.max()) / np.exp(out - out.max()).sum() * len(part)
+        total /= len(data)
+        assert r.score == pytest.approx(total.max(), abs=1e-3)
+        assert r.lang_pred == net.labels[int(total.argmax())]
+
+
 def test_decontamination(spark, odd, empty):
     item = [f"q{i}" for i in range(45)]
     edited = [*item[:20], "edit", *item[21:]]
