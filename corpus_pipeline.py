@@ -3,7 +3,13 @@
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``. None is
 expressible in SQL as a whole (trained models, an iterated graph, a
-tokenizer), so there is no oracle; the tests hold them against brute force.
+tokenizer), so there is no oracle; the tests check each stage on small tables.
+
+Columns beside doc_id, text and lang pass through whatever their names. A null
+or empty text is scored as an empty one by the quality classifier and dropped
+by language ID (it has no letter); texts without words are nobody's duplicates;
+repeated rows are duplicates of each other; rows with a null id pass like others
+and come last where an order of ids matters; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagerecs.llm import decontaminate, jaccard, langid, packing, quality
-from pagerecs.llm.common import held_out, keep, table
+from pagerecs.llm.common import held_out, keep, set_apart, table
 from pagerecs.session import prepare
 
 #: Share of the predicted language from which on a text counts as in a language.
@@ -21,16 +27,18 @@ LEAST_LANGUAGE = 0.4
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what attention-based multiple-instance learning rejects (operator 5)."""
+    docs, named = set_apart(docs, "doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     training = docs.where(~held_out(F.col("doc_id"), 0)).join(labels, "doc_id")
-    return quality.score(docs, quality.fit(training)).where("predicted = 1").select(*docs.columns)
+    return named(quality.score(docs, quality.fit(training)).where("predicted = 1"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or without a clear language (operator 3)."""
+    docs, named = set_apart(docs, "doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"), 0)))
     kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)
-    return langid.identify(docs, model).where(kept).select(*docs.columns)
+    return named(langid.identify(docs, model).where(kept))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
