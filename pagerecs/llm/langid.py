@@ -29,9 +29,9 @@ from pagerecs.llm.common import byte_runs, give_back
 #: Bytes of a window; filter widths, filters of each width, embedding size.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 8, 8
 #: Labelled rows in the training sample, at most; all windows of each are learned.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 2000
 #: Passes over the sample, and steps at least, so that a small sample is learned too.
-EPOCHS, STEPS, BATCH, RATE = 1, 750, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 2, 750, 64, 0.01
 PAD = 256
 UNDETERMINED = "und"
 

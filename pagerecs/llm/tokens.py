@@ -19,7 +19,7 @@ from array import array
 from pagerecs.llm.common import on_give_back
 
 #: Chunks a worker remembers; beyond that it forgets all and starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 450_000
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, then marks (no apostrophe: it may open a contraction), by line.
@@ -60,12 +60,22 @@ class Encoder:
         self.spaces = bytes_and_spaces
         self.direct = bytes_and_spaces or bytes_and_words
 
-    def _piece(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer, as it stands in the text."""
+        letters = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            letters = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_LETTERS)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            ids = self.pieces[piece] = self._ids(piece)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters after a space: it is a chunk of its own too."""
+        ids = self.after_space.get(word)
+        if ids is None:
+            ids = self.after_space[word] = self._ids(" " + word if self.spaces else word)
         return ids
 
     def _learn(self, chunks: set[str]) -> None:
@@ -76,10 +86,10 @@ class Encoder:
                 continue
             first, *others = chunk.split("\n")
             word, marks = _PARTS.fullmatch(first).groups()
-            ids = piece(" " + word if self.spaces else word) + (piece(marks) if marks else b"")
+            ids = self._word(word) + (piece(marks) if marks else b"")
             for line in others:
                 word, marks = _PARTS.fullmatch(line).groups()
-                ids += (piece("\n") if self.spaces else b"") + piece(word) + (piece(marks) if marks else b"")
+                ids += (piece("\n") + self._ids(word) if self.spaces else self._word(word)) + (piece(marks) if marks else b"")
             known[chunk] = ids
         found = self.tokenizer.encode_batch_fast([" " + c for c in rest], add_special_tokens=False)
         known.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, found, strict=True))
