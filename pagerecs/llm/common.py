@@ -70,7 +70,8 @@ def on_give_back(drop: Callable[[], object]) -> None:
 
 def give_back(keep_caches: bool = False) -> None:
     """Returns what this worker has freed to the system, as workers are kept
-    for later stages; first it drops the caches that earlier stages left."""
+    for later stages; first it drops the caches that earlier stages left.
+    Tasks that follow others in a pipeline begin with it, all end with it."""
     if not keep_caches:
         for drop in _DROPPED:
             drop()

@@ -77,6 +77,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             rows = len(batch)
             n, key1, key2 = (np.zeros(rows, np.int64) for _ in range(3))

@@ -167,6 +167,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     at = names.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tables = model.tables() if model else []
         for batch in batches:
             langs, scores = [], []

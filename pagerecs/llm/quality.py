@@ -162,6 +162,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     chosen = labelled.withColumn("place", place).where(F.col("place") < part).orderBy("place").limit(rows)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             out = []
             for _, _, data, offsets in byte_runs(batch.column(0), 1 << 20):
@@ -185,6 +186,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     at = names.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             found = [np.zeros(0)]
             for first, end, data, offsets in byte_runs(batch.column(at), 1 << 20):

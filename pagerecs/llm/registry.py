@@ -164,4 +164,48 @@ FROM (
 WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
+#: All inner products of queries and other rows; the given components' products are exact as doubles.
+TOP_K_SQL = """
+WITH given AS (
+  SELECT row_number() OVER () AS row_id, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+), scored AS (
+  SELECT q.row_id, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM given q JOIN given c ON q.row_id <> c.row_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+#: All pairs of sets that share a shingle, and what they reach.
+JACCARD_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN generate_series(1, len(words) - 4)]) END AS s
+  FROM worded
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reached GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN least l ON s.doc_id = l.a
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": JACCARD_SQL,
+    "op8_exact_top_k": TOP_K_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
+}
