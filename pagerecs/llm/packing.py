@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagerecs.llm.common import give_back, keep, shuffle_partitions, small
-from pagerecs.llm.tokens import encoder, vocabulary
+from pagerecs.llm.tokens import CACHE_CHUNKS, encoder, vocabulary
 
 #: Rounds of multiplicative weights, how fast prices follow, and how far below
 #: the best filling's worth a filling may be and still be used.
 ROUNDS, RATE, SLACK = 40, 2.0, 0.02
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, cache: int = CACHE_CHUNKS
+) -> DataFrame:
     """Documents (doc_id, text) as pieces of at most ``capacity`` tokens.
 
     Every document ends in ``end_id``. Only longer ones are cut: the first
@@ -48,7 +50,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 20
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer or vocabulary("byte_bpe_50k.json")).encode
+        encode = encoder(tokenizer or vocabulary("byte_bpe_50k.json"), most=cache).encode
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -188,10 +190,13 @@ class Packing:
         return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> Packing:
-    """Packs all documents into as few sequences as it can; see the module."""
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, cache: int = CACHE_CHUNKS
+) -> Packing:
+    """Packs all documents into as few sequences as it can; see the module.
+    ``cache``: chunks of text whose ids a worker remembers."""
     spark = docs.sparkSession
-    pieces = cut_pieces(docs, tokenizer, capacity, end_id).withColumn("row_id", F.monotonically_increasing_id())
+    pieces = cut_pieces(docs, tokenizer, capacity, end_id, cache).withColumn("row_id", F.monotonically_increasing_id())
     pieces = keep(pieces, "pieces")
     narrow = pieces.drop("ids").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(shuffle_partitions(spark))))
     counts = narrow.groupBy("length", "part").agg(F.count("*").alias("n"))

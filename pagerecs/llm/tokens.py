@@ -18,15 +18,15 @@ from array import array
 
 from pagerecs.llm.common import on_give_back
 
-#: Chunks a worker remembers; beyond that it forgets all and starts anew.
-CACHE_CHUNKS = 450_000
+#: Chunks a worker remembers (some 160 MB); beyond that it forgets all and starts anew.
+CACHE_CHUNKS = 900_000
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, then marks (no apostrophe: it may open a contraction), by line.
 _PART = r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*"
 _PLAIN = re.compile(rf"{_PART}(?:\n{_PART})*")
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(.*)")
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,13 +43,14 @@ _LETTERS = _byte_letters()
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, most: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
+        self.most = most
         self.after_space: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
@@ -96,7 +97,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
-        if len(self.after_space) > CACHE_CHUNKS:
+        if len(self.after_space) > self.most:
             self.after_space.clear()
             self.pieces.clear()
         cut = [(_SAFE.split(t) if _ADJACENT.search(t) else t.split(" ")) if t else [] for t in texts]
@@ -119,12 +120,13 @@ class Encoder:
 on_give_back(_ENCODERS.clear)
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, most: int = CACHE_CHUNKS) -> Encoder:
     """The worker's encoder for a vocabulary file. ``plain``: the strings of
-    the vocabulary's own marks are ordinary text where they stand in a text."""
-    key = path, plain
+    the vocabulary's own marks are ordinary text where they stand in a text.
+    ``most``: chunks it remembers; fewer take less memory and more time."""
+    key = path, plain, most
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, plain)
+        _ENCODERS[key] = Encoder(path, plain, most)
     return _ENCODERS[key]
 
 
