@@ -23,6 +23,8 @@ from pagerecs.session import prepare
 
 #: Share of the predicted language from which on a text counts as in a language.
 LEAST_LANGUAGE = 0.4
+#: Chunks that a worker remembers while packing: its executor has run four stages before.
+PACKING_CACHE = 300_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences (operator 1)."""
-    return packing.pack(docs).placement.drop("row_id")
+    return packing.pack(docs, cache=PACKING_CACHE).placement.drop("row_id")
 
 
 STAGES = [
