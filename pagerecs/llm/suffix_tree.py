@@ -1,30 +1,31 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is its lower-cased words with one space between and an end mark. The
-tree's symbols are that mark, the most common bytes, and one escape for all
-others (an escaped byte is then drawn by its frequency). Every context of up
-to ``DEPTH`` symbols is counted over the whole training corpus, however rare
-its share of it. A context is retained if it occurs ``LEAST`` times and its
-next-symbol distribution diverges from its parent's (the context without its
-oldest symbol) by ``LEAST_GAIN`` nats over its occurrences; distributions are
-smoothed towards the parent's. Each symbol is scored in the longest retained
-suffix of what precedes it, and nothing precedes a text but end marks.
-
-The contexts of up to ``DENSE`` symbols are bounded by the alphabet and stand
-in one array. All deeper ones grow with the corpus and stay distributed: each
-text's runs of DEPTH + 1 symbols (a context and its next symbol) are summed
-before they are dealt out by their ``GROUP`` latest context symbols, a group
-holds at most SYMBOLS ** (DEPTH - GROUP + 1) of them, and the chance of each
-is a row of a table. Only the ``COMMON_RUNS`` most frequent go to the
-executors, all other runs of a text meet their chances in a join.
-
-Beside it stands a unigram score over words. Word counts grow with the
-corpus and stay distributed: only the ``COMMON_WORDS`` most frequent go to
-the executors, all other words of a text meet their counts in a join.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+The tree's symbols are an end mark, the ``COMMON_WORDS`` most frequent words of
+the training texts and one escape for all others (an escaped word is then drawn
+by its frequency among them). Its root is the unigram base itself. A context of
+up to ``DEPTH`` symbols is retained if it occurs ``LEAST`` times in the training
+texts, however small its share, and its next-symbol distribution diverges from
+its parent's (the context without its oldest symbol) by ``LEAST_GAIN`` nats over
+its occurrences. A distribution is smoothed towards the parent's with a weight
+of ``SMOOTHING`` for every distinct next symbol (Witten and Bell). Each symbol
+is scored in the longest retained suffix of what precedes it; nothing precedes a
+text but end marks. So a text's score is its base plus what contexts add.
+
+The tree grows with the corpus and is never in one place. Every text's runs of
+DEPTH + 1 symbols, each once with its number, are dealt out by their latest
+context word and sorted, so all contexts ending in a word lie together. A task
+counts, tests and smooths them, and gives each row its sum. The contexts of one
+word with ``HOT`` or more of all symbols (so 1 / HOT words at most) are counted
+before and sent to the executors, so their runs are dealt out by two words. A
+task holds the runs of one such group at a time: those of a word with less than
+that share, or of a pair of words.
+
+Word counts grow with the corpus and stay distributed: only the most frequent
+go to the executors, all other words of a text meet their counts in a join.
 
 Results for odd input: a null or empty text is its end alone; repeated rows
 and repeated or null ids each give their row (a null id is never held out);
-without training texts the tree is uniform; an empty table gives no rows.
+without training texts the tree is its root; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,327 +39,244 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagerecs.llm.common import byte_runs, give_back, keep
-from pagerecs.llm.words import LOWERED, words
+from pagerecs.llm.words import words
 
-SYMBOLS = 32
+#: A symbol has 16 bits, so a run of DEPTH + 1 symbols is one number.
+BITS, DEPTH = 16, 3
+SYMBOLS = 1 << BITS
 END, OTHER = 0, SYMBOLS - 1
-#: Contexts of up to DENSE symbols have a table of their own; DEPTH at most.
-#: Deeper ones are dealt out by their GROUP latest symbols.
-DENSE, GROUP, DEPTH = 3, 4, 7
-BITS = 5
-LEAST, LEAST_GAIN, SMOOTHING = 2, 10.0, 5.0
-#: Most runs that go to the executors, runs a task sums at once, and rows of a group's chunk.
-COMMON_RUNS, SUM_RUNS, CHUNK = 1 << 22, 1 << 25, 1 << 19
-#: Bits of a digit of a run's counts; three digits hold SUM_RUNS.
-DIGIT, DIGITS = 10, (1 << 10) - 1
-COMMON_WORDS = 1 << 16
+COMMON_WORDS = SYMBOLS - 2
+LEAST, LEAST_GAIN, SMOOTHING = 2, 2.0, 1.0
+HOT = 1 / 512
+#: Runs that a task works on at once, if its groups are smaller.
+CHUNK = 1 << 20
 _RUN = 1 << 20
-_TABLE = bytes(LOWERED)
 
 
 @dataclass
-class Tree:
-    """The symbols, and the next-symbol distribution after every context of
-    DENSE symbols (most recent symbol in the highest digit)."""
-
-    symbol: np.ndarray  # of each byte
-    escape: np.ndarray  # log10 share of each byte among the escaped
-    chance: np.ndarray | None = None
-
-
-def stream_of(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of texts, each after DEPTH end marks; and of every symbol from
-    DEPTH on: its byte, whether it is to be predicted, and its text."""
-    plain = [b"\n" * DEPTH + b" ".join(t.translate(_TABLE).split()) + b"\n" for t in texts]
-    size = np.array([len(t) for t in plain], np.int64)
-    raw = np.frombuffer(b"".join(plain), np.uint8)
-    live = np.ones(len(raw), bool)
-    live[(np.cumsum(size) - size)[:, None] + np.arange(DEPTH)] = False
-    return symbol[raw], raw[DEPTH:], live[DEPTH:], np.repeat(np.arange(len(plain)), size)[DEPTH:]
-
-
-def runs_of(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For every symbol from DEPTH on, the code of the ``depth`` symbols before
-    it, the most recent in the highest digit, then the symbol itself."""
-    s = stream.astype(np.int64)
-    code = np.zeros(len(s) - DEPTH, np.int64)
-    for k in [*range(1, depth + 1), 0]:
-        code <<= BITS
-        code |= s[DEPTH - k : len(s) - k]
-    return code
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
-    for first, end, data, offsets in byte_runs(column, _RUN):
-        raw = data.tobytes()
-        yield first, end, [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], data, offsets
-
+class Root:
+    """Words in order of their hash with their symbols and log10(count + 0.5),
+    and the chance of every symbol."""
 
-def _counted(found: DataFrame) -> dict[str, np.ndarray]:
-    """Sums of n by key, of a bounded number of keys, on the driver."""
-    table = found.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    return {"key": table["key"].to_numpy(), "n": table["n"].to_numpy()}
+    keys: np.ndarray
+    symbol: np.ndarray
+    log: np.ndarray
+    chance: np.ndarray
 
 
-def _sparse(counts: np.ndarray) -> pa.RecordBatch:
-    keys = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts[keys], pa.int64())], ["key", "n"])
-
-
-def count_words(training: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(key, n), how often each word, by its hash, occurs in the training
-    texts; and how often each byte does."""
+def count_words(training: DataFrame) -> DataFrame:
+    """(key, n): how often each word, by its hash, occurs in the training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
         for batch in batches:
-            for _, _, data, offsets in byte_runs(batch.column(0), _RUN):
-                total += np.bincount(LOWERED[data], minlength=256)
+            for _, _, data, offsets in byte_runs(batch.column(0), 4 * _RUN):
                 keys, n = np.unique(words(data, offsets)[1].view(np.int64), return_counts=True)
-                yield _keyed(True, keys, n)
-        yield _keyed(False, np.arange(256), total)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["key", "n"])
+        give_back()
 
-    found = training.select("text").mapInArrow(count, "is_word boolean, key bigint, n bigint")
-    found = keep(found.groupBy("is_word", "key").agg(F.sum("n").alias("n")), "word-counts")
-    total = np.zeros(256, np.int64)
-    for row in found.where("not is_word").collect():  # 256 at most
-        total[row.key] = row.n
-    return found.where("is_word").select("key", "n"), total
+    found = training.select("text").mapInArrow(count, "key bigint, n bigint")
+    return keep(found.groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def _keyed(is_word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(keys), is_word)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["is_word", "key", "n"])
+def root(keys: np.ndarray, n: np.ndarray, ends: int, total: int, distinct: int) -> Root:
+    """From the most frequent words, and the number of ends, tokens and
+    distinct tokens of the training texts."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    chance = np.full(SYMBOLS, 0.5)  # symbols without a word are never drawn
+    chance[END] = ends + 0.5
+    chance[1 : len(keys) + 1] = n + 0.5
+    known = distinct - (ends > 0)
+    chance[OTHER] = total - ends - n.sum() + 0.5 * (known - len(keys)) + 0.5
+    return Root(keys, np.arange(1, len(keys) + 1, dtype=np.uint16), np.log10(n + 0.5), chance / (total + 0.5 * (distinct + 1)))
 
 
-def alphabet(total: np.ndarray) -> Tree:
-    """A tree without contexts: the symbols, by the bytes' counts."""
-    marks = [9, 10, 11, 12, 13]  # no word has them; 10 is the end mark
-    total = total.astype(float)
-    total[marks] = 0
-    total[32] = max(total[32], 1.0)
-    symbol = np.full(256, OTHER, np.uint8)
-    symbol[np.argsort(-total, kind="stable")[: SYMBOLS - 2]] = np.arange(1, SYMBOLS - 1)
-    symbol[marks] = END
-    escaped = np.where(symbol == OTHER, total + 0.5, 0)
-    return Tree(symbol, np.log10(np.where(symbol == OTHER, escaped / max(escaped.sum(), 1e-9), 1)))
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
 
 
-def count_dense(training: DataFrame, tree: Tree) -> np.ndarray:
-    """Next-symbol counts of every context of DENSE symbols, over all training texts."""
-    cells = SYMBOLS ** (DENSE + 1)
-    symbol = tree.symbol
+def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of (symbols, ...): for every symbol of its rows but the end
+    marks before them, its place in the first array, and its row."""
+    column = batch.column(0).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    stream = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16) if len(column) else np.zeros(0, np.uint16)
+    size = np.diff(offsets) // 2
+    live = np.ones(len(stream), bool)
+    live[((np.cumsum(size) - size)[:, None] + np.arange(DEPTH)).ravel()] = False
+    return stream, np.flatnonzero(live), np.repeat(np.arange(len(size)), size - DEPTH)
+
+
+def _runs(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The DEPTH symbols before each place, the latest in the highest digit, then its own."""
+    code = np.zeros(len(at), np.uint64)
+    for k in [*range(1, DEPTH + 1), 0]:
+        code = code << np.uint64(BITS) | stream[at - k]
+    return code
+
+
+def _refined(whole: np.ndarray, count: np.ndarray, parent: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Chances of seen and unseen next symbols, whose contexts begin at
+    ``head`` and occur ``whole`` times: smoothed, or the parent's where the
+    context isn't retained."""
+    size = np.diff(np.r_[head, len(count)])
+    seen = count > 0
+    weight = SMOOTHING * np.add.reduceat(seen.astype(float), head)
+    each, total = np.repeat(np.c_[weight, whole], size, axis=0).T
+    own = (count + each * parent) / np.maximum(total + each, 1)
+    gain = np.add.reduceat(np.where(seen, total * own * np.log(np.where(seen, own / parent, 1)), 0), head)
+    # all symbols that never follow have the same ratio to the parent's chance
+    ratio = np.where(weight > 0, weight / np.maximum(whole + weight, 1), 1)
+    gain += whole * ratio * np.log(ratio) * (1 - np.add.reduceat(np.where(seen, parent, 0), head))
+    retained = (gain >= LEAST_GAIN) & (whole >= LEAST)
+    return np.where(np.repeat(retained, size), own, parent)
+
+
+def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The distributions after each of the ``hot`` symbols, one row each."""
+    place = np.full(SYMBOLS, -1)
+    place[hot] = np.arange(len(hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(len(hot) * SYMBOLS, np.int32)  # of a task
         for batch in batches:
-            for _, _, texts, _, _ in _texts(batch.column(0)):
-                stream, _, live, _ = stream_of(texts, symbol)
-                total += np.bincount(runs_of(stream, DENSE)[live], minlength=cells)
-        yield _sparse(total)
-
-    found = _counted(training.select("text").mapInArrow(count, "key bigint, n bigint"))
-    counts = np.zeros(cells, np.int64)
-    counts[found["key"]] = found["n"]
-    return counts.reshape(-1, SYMBOLS)
-
-
-def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Log10 distributions; a context that does not diverge has its parent's."""
-    n = counts.sum(axis=1, keepdims=True)
-    chance = (counts + SMOOTHING * parent) / (n + SMOOTHING)
-    gain = (n * chance * np.log(chance / parent)).sum(axis=1, keepdims=True)
-    return np.where(gain >= LEAST_GAIN, chance, parent)
-
-
-def fit(training: DataFrame, total: np.ndarray) -> Tree:
-    """Learns the contexts of up to DENSE symbols from all texts of
-    ``training``; ``total``: its bytes' counts."""
-    tree = alphabet(total)
-    counts = count_dense(training, tree)
-    chance = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for d in range(DENSE + 1):
-        # contexts of the d most recent symbols: sum over the older ones
-        own = counts.reshape(SYMBOLS**d, -1, SYMBOLS).sum(axis=1)
-        chance = _smoothed(own, np.repeat(chance, SYMBOLS if d else 1, axis=0))
-    tree.chance = chance
-    return tree
-
+            stream, at, _ = _symbols(batch)
+            of = place[stream[at - 1]]
+            cells = np.sort(of[of >= 0] * SYMBOLS + stream[at[of >= 0]])
+            head = _heads(cells)
+            total[cells[head]] += np.diff(np.r_[head, len(cells)])
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells], pa.int64())], ["cell", "n"])
+        give_back()
 
-def _heads(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    counts = np.zeros((len(hot), SYMBOLS), np.float32)
+    if len(hot):
+        found = texts.where("not held_out").select("symbols").mapInArrow(count, "cell bigint, n bigint")
+        found = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS / HOT
+        counts.reshape(-1)[found["cell"].to_numpy()] = found["n"].to_numpy()
+    after = np.empty((len(hot), SYMBOLS), np.float32)
+    for i, c in enumerate(counts):
+        after[i] = _refined(c.sum(keepdims=True, dtype=float), c, chance, np.zeros(1, int))
+    return after
 
 
-def _count_runs(docs: DataFrame, tree: Tree, held_out: str) -> DataFrame:
-    """Partial counts of all texts' runs, one number each: the run, which digit
-    of its counts, this digit in the training texts and in the others."""
-    symbol = tree.symbol
-
-    def summed(codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes.sort()
-        at = 0
-        while at < len(codes):
-            last = codes[min(at + _RUN, len(codes)) - 1]
-            end = int(np.searchsorted(codes, (last >> 1) + 1 << 1))
-            keys, training = codes[at:end] >> 1, codes[at:end] & 1
-            head = _heads(keys)
-            times, n = np.diff(np.r_[head, len(keys)]), np.add.reduceat(training, head)
-            keys, times = keys[head], times - n
-            for e in range(3):
-                found = ((n >> DIGIT * e & DIGITS) << DIGIT) + (times >> DIGIT * e & DIGITS)
-                some = np.flatnonzero(found)
-                packed = (keys[some] << 2 | e) << 2 * DIGIT | found[some]
-                yield pa.RecordBatch.from_arrays([pa.array(packed)], ["packed"])
-            at = end
+def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(row_id, gain): what the contexts add to each row's log10 chance by the
+    root; of (row_id, held_out, symbols) rows."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast((chance, hot, hot_contexts(texts, hot, chance)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, used = np.empty(SUM_RUNS, np.int64), 0
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            training = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, end, texts, _, _ in _texts(batch.column(0)):
-                stream, _, live, row = stream_of(texts, symbol)
-                codes = (runs_of(stream) << 1 | training[first:end][row])[live]
-                while len(codes):
-                    part, codes = codes[: SUM_RUNS - used], codes[SUM_RUNS - used :]
-                    space[used : used + len(part)] = part
-                    used += len(part)
-                    if used == SUM_RUNS:
-                        yield from summed(space)
-                        used = 0
-        yield from summed(space[:used])
+            if not len(batch):
+                continue
+            stream, at, row = _symbols(batch)
+            code = _runs(stream, at).view(np.int64)
+            order = np.lexsort((code, row))
+            code, row = code[order], row[order]
+            head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+            times = np.diff(np.r_[head, len(code)])
+            row = row[head]
+            times = np.where(batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row], -times, times)
+            ids = batch.column(2).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code[head]), pa.array(ids), pa.array(times, pa.int32())], ["code", "row_id", "times"]
+            )
         give_back()
 
-    return docs.select("text", held_out).mapInArrow(count, "packed bigint")
-
-
-def _chances(keys: np.ndarray, n: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """The chance of each run's last symbol in the longest retained suffix of
-    its context, from the sorted ``keys`` of whole groups and how often each
-    run occurs in the training texts."""
-    symbol = keys & (SYMBOLS - 1)
-    chance = dense.reshape(-1)[(keys >> BITS * (DEPTH + 1 - DENSE)) * SYMBOLS + symbol]
-    for d in range(GROUP, DEPTH + 1):
-        cell, of = np.unique((keys >> BITS * (DEPTH + 1 - d)) * SYMBOLS + symbol, return_inverse=True)
-        count = np.bincount(of, n)
-        parent = np.empty(len(cell))
-        parent[of] = chance
-        head = _heads(cell // SYMBOLS)
-        whole = np.add.reduceat(count, head)
-        size = np.diff(np.r_[head, len(cell)])
-        total = np.repeat(whole, size)
-        own = (count + SMOOTHING * parent) / (total + SMOOTHING)
-        seen = count > 0
-        gain = np.add.reduceat(np.where(seen, total * own * np.log(own / parent), 0), head)
-        # all symbols that never follow have the same ratio to the parent's chance
-        ratio = SMOOTHING / (whole + SMOOTHING)
-        gain += whole * ratio * np.log(ratio) * (1 - np.add.reduceat(np.where(seen, parent, 0), head))
-        retained = np.repeat((gain >= LEAST_GAIN) & (whole >= LEAST), size)
-        chance = np.where(retained, own, parent)[of]
-    return chance
-
-
-def run_chances(docs: DataFrame, tree: Tree, held_out: str = "held_out") -> DataFrame:
-    """(key, times, value): every run of the texts, how often they have it, and
-    the log10 chance of its last symbol by all rows that aren't held out."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree.chance)  # bounded by the alphabet
-    shift = BITS * (DEPTH + 1 - GROUP)
-
-    def unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
-        by = DIGIT * (packed >> 2 * DIGIT & 3)
-        n = (packed >> DIGIT & DIGITS) << by
-        return summed(packed >> 2 * DIGIT + 2, n + ((packed & DIGITS) << by), n)
-
-    def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        head = _heads(keys)
-        return keys[head], *(np.add.reduceat(c, head) for c in counts)
-
-    def valued(keys: np.ndarray, times: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            value = np.log10(_chances(keys, n, sent.value)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times), pa.array(value)], ["key", "times", "value"])
-
-    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gained(code: np.ndarray, ids: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        chance, hot, after = sent.value
+        place = np.full(SYMBOLS, -1)
+        place[hot] = np.arange(len(hot))
+        first = _heads(code)
+        if not len(first):
+            return
+        size = np.diff(np.r_[first, len(code)])
+        n = np.add.reduceat(np.maximum(times, 0), first).astype(float)
+        code = code[first]
+        symbol = (code & np.uint64(SYMBOLS - 1)).astype(np.int64)
+        start = value = chance[symbol]
+        for d in range(1, DEPTH + 1):
+            context = code >> np.uint64(BITS * (DEPTH + 1 - d))
+            if d < DEPTH:
+                # order by (context, symbol) within what is already in order of context
+                order = np.lexsort((symbol, context))
+            else:
+                order = np.arange(len(code))
+            c, s = context[order], symbol[order]
+            cell = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
+            cells = np.diff(np.r_[cell, len(order)])
+            head = _heads(c[cell])
+            count = np.add.reduceat(n[order], cell)
+            own = _refined(np.add.reduceat(count, head), count, value[order[cell]], head)
+            if d == 1:
+                latest = place[c[cell].astype(np.int64)]
+                own = np.where(latest < 0, own, after[latest, s[cell]] if len(hot) else own)
+            refined = np.empty(len(code))
+            refined[order] = np.repeat(own, cells)
+            value = refined
+        gain = np.repeat(np.log10(value / start), size) * np.abs(times)
+        found, of = np.unique(ids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, gain))], ["row_id", "gain"])
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_hot = np.isin(np.arange(SYMBOLS), sent.value[1])
         parts, rows = [], 0
         for batch in batches:
-            if not len(batch):
-                continue
-            parts.append(unpacked(batch.column(0).to_numpy()))
-            rows += len(parts[-1][0])
+            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            rows += len(batch)
             if rows >= CHUNK:
-                whole = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-                cut = int(np.searchsorted(whole[0], whole[0][-1] >> shift << shift))  # the last group may go on
-                yield from valued(*(c[:cut] for c in whole))
-                parts, rows = [tuple(c[cut:] for c in whole)], 0
+                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                word = whole[0] >> np.uint64(BITS * DEPTH)
+                pair = whole[0] >> np.uint64(BITS * (DEPTH - 1))
+                cut = int(_heads(pair if is_hot[int(word[-1])] else word)[-1])  # the last group may go on
+                if cut:
+                    yield from gained(*(c[:cut] for c in whole))
+                # a group larger than a chunk is tried again when the rows have doubled
+                parts, rows = [tuple(c[cut:] for c in whole)], 0 if cut else -len(whole[0])
         if parts:
-            yield from valued(*summed(*(np.concatenate(c) for c in zip(*parts, strict=True))))
+            yield from gained(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         give_back()
 
-    counted = _count_runs(docs, tree, held_out)
-    dealt = counted.repartition(F.shiftright("packed", shift + 2 + 2 * DIGIT)).sortWithinPartitions("packed")
-    return keep(dealt.mapInArrow(chances, "key bigint, times bigint, value float"), "run-chances")
-
-
-def _most_common(chances: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, values) of the most frequent runs, at most ``most``."""
-    step = F.floor(F.log2("times") * 8)
-    least = None
-    for row in sorted(chances.groupBy(step.alias("step")).count().collect(), reverse=True):  # some 500 at most
-        most -= row["count"]
-        if most < 0:
-            break
-        least = row.step
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    found = chances.where(step >= least).select("key", "value").toArrow()
-    order = np.argsort(keys := found["key"].to_numpy())
-    return keys[order], found["value"].to_numpy()[order]
+    dealt = texts.select("symbols", "held_out", "row_id").mapInArrow(runs, "code bigint, row_id bigint, times int")
+    word = F.shiftrightunsigned("code", BITS * DEPTH)
+    pair = F.shiftrightunsigned("code", BITS * (DEPTH - 1))
+    group = F.when(word.isin([int(w) for w in hot]), pair).otherwise(word) if len(hot) else word
+    dealt = dealt.repartition(group).sortWithinPartitions("code")
+    return dealt.mapInArrow(gains, "row_id bigint, gain double").groupBy("row_id").agg(F.sum("gain").alias("gain"))
 
 
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     """``doc_id``, ``held_out``, n_tokens, n_known, train_tokens, base_score and
     score of every text, learned from the rows that aren't held out."""
-    docs = docs.select("doc_id", "text", held_out)
-    training = docs.where(~F.col(held_out))
-    counts, total = count_words(training)
-    tree = fit(training, total)
+    docs = docs.select("doc_id", "text", F.col(held_out).alias("held_out"))
+    training = docs.where("not held_out")
+    counts = count_words(training)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("distinct")).first()
     ends = training.count()
     n, distinct = totals.n + ends, totals.distinct + (ends > 0)
     common = counts.orderBy(F.col("n").desc(), "key").limit(COMMON_WORDS).toArrow()
-    order = np.argsort(keys := common["key"].to_numpy())
-    chances = run_chances(docs, tree, held_out)
-    symbol, escape = tree.symbol, tree.escape
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (keys[order], common["n"].to_numpy()[order], *_most_common(chances, COMMON_RUNS))
-    )
+    tree = root(common["key"].to_numpy(), common["n"].to_numpy(), ends, n, distinct)
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, often, runs, values = sent.value
-        chance = np.log10(often + 0.5)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value
+        keys = tree.keys
         for batch in batches:
-            for first, end, texts, data, offsets in _texts(batch.column(1)):
+            for first, end, data, offsets in byte_runs(batch.column(1), _RUN):
                 rows = end - first
-                stream, raw, live, row = stream_of(texts, symbol)
-                value = np.bincount(row, np.where(live, escape[raw], 0), rows)
-                # (run, row) pairs, each once with its number; a run of symbols leaves 23 bits for the row
-                pair = (runs_of(stream) << 63 - BITS * (DEPTH + 1) | row)[live]
-                pair.sort()
-                head = _heads(pair)
-                run_times = np.diff(np.r_[head, len(pair)])
-                run, run_of = pair[head] >> 63 - BITS * (DEPTH + 1), pair[head] & (1 << 63 - BITS * (DEPTH + 1)) - 1
-                k = np.minimum(np.searchsorted(runs, run), max(len(runs) - 1, 0))
-                is_common = runs[k] == run if len(runs) else np.zeros(len(run), bool)
-                if len(runs):
-                    value += np.bincount(run_of[is_common], values[k[is_common]] * run_times[is_common], rows)
-                pair = np.flatnonzero(~is_common)
-                pair = pair[np.argsort(run_of[pair], kind="stable")]
-                run, run_of, run_times = run[pair], run_of[pair], run_times[pair]
-                run_cuts = pa.array(np.searchsorted(run_of, np.arange(rows + 1)), pa.int32())
                 of, hashes = words(data, offsets)
                 hashes = hashes.view(np.int64)
                 k = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
                 is_common = keys[k] == hashes if len(keys) else np.zeros(len(hashes), bool)
+                # DEPTH end marks, the words' symbols and an end mark, text by text
+                many = np.bincount(of, minlength=rows)
+                starts = np.r_[0, np.cumsum(many + DEPTH + 1)]
+                symbols = np.full(starts[-1], END, np.uint16)
+                place = np.arange(len(of)) + of * (DEPTH + 1) + DEPTH
+                symbols[place] = np.where(is_common, tree.symbol[k], OTHER) if len(keys) else OTHER
                 rest, rest_of = hashes[~is_common], of[~is_common]
                 # (row, word) pairs of the rest, each once with its number
                 pair = np.lexsort((rest, rest_of))
@@ -366,28 +284,35 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
                 head = np.flatnonzero(np.r_[True, (rest[1:] != rest[:-1]) | (rest_of[1:] != rest_of[:-1])][: len(rest)])
                 times = np.diff(np.r_[head, len(rest)])
                 cuts = pa.array(np.searchsorted(rest_of[head], np.arange(rows + 1)), pa.int32())
+                known = tree.log[k[is_common]] if len(keys) else None
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, rows),
                         batch.column(2).slice(first, rows),
-                        pa.array(np.bincount(of, minlength=rows) + 1, pa.int64()),
+                        pa.array(many + 1, pa.int64()),
                         pa.array(np.bincount(of[is_common], minlength=rows), pa.int64()),
-                        pa.array(np.bincount(of[is_common], chance[k[is_common]] if len(keys) else None, rows), pa.float64()),
-                        pa.array(value, pa.float64()),
+                        pa.array(np.bincount(of[is_common], known, rows), pa.float64()),
+                        pa.Array.from_buffers(
+                            pa.binary(), rows, [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(symbols)]
+                        ),
                         pa.ListArray.from_arrays(cuts, pa.array(rest[head], pa.int64())),
                         pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
-                        pa.ListArray.from_arrays(run_cuts, pa.array(run, pa.int64())),
-                        pa.ListArray.from_arrays(run_cuts, pa.array(run_times, pa.int64())),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "common_known", "common_log", "common_score", "rest", "times", "runs", "run_times"],
+                    ["doc_id", "held_out", "n_tokens", "common_known", "common_log", "symbols", "rest", "times"],
                 )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens bigint, common_known bigint, common_log double, "
-        "common_score double, rest array<bigint>, times array<bigint>, runs array<bigint>, run_times array<bigint>"
+        "symbols binary, rest array<bigint>, times array<bigint>"
     )
-    rows = keep(docs.mapInArrow(scored, schema).withColumn("row_id", F.monotonically_increasing_id()), "scored-texts")
+    rows = keep(docs.mapInArrow(read, schema).withColumn("row_id", F.monotonically_increasing_id()), "read-texts")
+    share = n + ends * DEPTH  # end marks before a text are contexts too
+    often = tree.chance * (n + 0.5 * (distinct + 1))
+    often[END] = ends * (DEPTH + 1)
+    hot = np.flatnonzero(often >= max(HOT * share, 1))
+    gains = context_gains(rows.select("row_id", "held_out", "symbols"), tree.chance, hot)
     pairs = rows.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("w"))
     pairs = pairs.select("row_id", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
     seen = F.coalesce("n", F.lit(0))
@@ -399,18 +324,16 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rest_known"),
         )
     )
-    scores = rows.select("row_id", F.explode(F.arrays_zip("runs", "run_times")).alias("r"))
-    scores = scores.select("row_id", F.col("r.runs").alias("key"), F.col("r.run_times").alias("times"))
-    scores = scores.join(chances.select("key", "value"), "key").groupBy("row_id").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
     end_log = F.log10(F.lit(ends + 0.5))
     scale = F.log10(F.lit(n + 0.5 * (distinct + 1)))
     whole = F.col("common_log") + F.coalesce("rest_log", F.lit(0.0)) + end_log
-    return rows.join(rest, "row_id", "left").join(scores, "row_id", "left").select(
+    base = whole - F.col("n_tokens") * scale
+    return rows.drop("symbols", "rest", "times").join(rest, "row_id", "left").join(gains, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("common_known") + F.coalesce("rest_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (whole - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("common_score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
+        base.alias("base_score"),
+        (base + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

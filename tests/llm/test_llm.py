@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm.common import held_out
 from pagerecs.llm.tokens import encoder, vocabulary
 from pagerecs.sources.storage import fresh_path
 from tests.conftest import plan_text
@@ -401,51 +402,80 @@ def test_decontamination_finds_copies_with_a_repeated_word(spark):
     assert got == {(i, 100 + i): 0.75 for i in range(30)}
 
 
-def tree_scores(texts, times, scored):
-    """log10 chances by a suffix tree that holds every context, by plain dictionaries."""
-    depth, symbols = suffix_tree.DEPTH, suffix_tree.SYMBOLS
-    total = Counter()
+def tree_scores(texts, times, scored, common):
+    """log10 chances by a suffix tree over words, by plain dictionaries."""
+    depth, end, other = suffix_tree.DEPTH, 0, -1
+    words_n = Counter()
     for text, n in zip(texts, times, strict=True):
-        for b in (" ".join(words_of(text)) + "\n").encode():
-            total[b] += n
-    tree = suffix_tree.alphabet(np.array([total[b] for b in range(256)]))
-    read = lambda text: [0] * depth + [int(tree.symbol[b]) for b in (" ".join(words_of(text)) + "\n").encode()]
+        for w in words_of(text):
+            words_n[w] += n
+    ends, total = sum(times), sum(times) + sum(words_n.values())
+    distinct = len(words_n) + (ends > 0)
+    symbols = {w for w, _ in words_n.most_common(common)}
+    scale = total + 0.5 * (distinct + 1)
+    root = {w: (words_n[w] + 0.5) / scale for w in symbols} | {end: (ends + 0.5) / scale}
+    root[other] = (sum(n + 0.5 for w, n in words_n.items() if w not in symbols) + 0.5) / scale
+    assert sum(root.values()) == pytest.approx(1)
+    read = lambda text: [end] * depth + [w if w in symbols else other for w in words_of(text)] + [end]
     counts = {}
     for text, n in zip(texts, times, strict=True):
         s = read(text)
         for i in range(depth, len(s)):
-            for d in range(depth + 1):
-                counts.setdefault(tuple(s[i - d : i]), np.zeros(symbols))[s[i]] += n
+            for d in range(1, depth + 1):
+                counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += n
     known = {}
 
     def chance(context):
         if context not in known:
-            parent = chance(context[1:]) if context else np.full(symbols, 1 / symbols)
-            own = counts.get(context, np.zeros(symbols))
-            mixed = (own + 5 * parent) / (own.sum() + 5)
-            known[context] = mixed if own.sum() >= 2 and (own.sum() * mixed * np.log(mixed / parent)).sum() >= 10 else parent
+            parent = chance(context[1:]) if context else root
+            own = counts.get(context, Counter()) if context else Counter()
+            whole, weight = sum(own.values()), len(own)
+            mixed = {s: (own[s] + weight * p) / (whole + weight) for s, p in parent.items()} if whole else parent
+            gain = sum(whole * m * np.log(m / parent[s]) for s, m in mixed.items())
+            known[context] = mixed if whole >= 2 and gain >= 2 else parent
         return known[context]
 
     out = []
     for text in scored:
-        s, raw = read(text), (" ".join(words_of(text)) + "\n").encode()
-        out.append(sum(np.log10(chance(tuple(s[i - depth : i]))[s[i]]) + tree.escape[raw[i - depth]] for i in range(depth, len(s))))
+        s = read(text)
+        value = sum(np.log10(chance(tuple(s[i - depth : i]))[s[i]]) for i in range(depth, len(s)))
+        rare = [w for w in words_of(text) if w not in symbols]
+        out.append(value + sum(np.log10((words_n[w] + 0.5) / scale / root[other]) for w in rare))
     return out
 
 
-@pytest.mark.parametrize("common", [0, 300, 1 << 22])
-def test_suffix_tree_keeps_contexts_that_are_rare_in_a_large_corpus(spark, monkeypatch, common):
-    monkeypatch.setattr(suffix_tree, "COMMON_RUNS", common, raising=False)
-    monkeypatch.setattr(suffix_tree, "CHUNK", 64, raising=False)
-    filler = " ".join(["some filler"] * 900 + ["that", "repeats"] * 300)
-    rare = ["the quick zebra jumps", "a lazy vixen é dozes", "the quick vixen dozes"]
-    texts, times = [filler, *rare], [800, 9, 7, 5]  # a context of a rare text is under 2e-6 of all symbols
-    scored = [*rare, filler, "quick dozes zebra", ""]
+@pytest.mark.parametrize("common, hot, chunk", [(65534, 1 / 512, 1 << 20), (7, 1 / 512, 3), (65534, 2, 2), (7, 0.2, 5)])
+def test_suffix_tree_equals_dictionaries(spark, monkeypatch, common, hot, chunk):
+    monkeypatch.setattr(suffix_tree, "COMMON_WORDS", common)
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    filler = " ".join(["some filler"] * 90 + ["that", "repeats"] * 30)
+    rare = ["The quick zebra jumps over", "a lazy vixen é dozes", "the quick vixen dozes over", "over over over", ""]
+    texts, times = [filler, *rare, "seen once only"], [80, 9, 7, 5, 3, 2, 1]  # a context of a rare text is a small share of all
+    scored = [*rare, filler, "quick dozes zebra never seen", "seen once only"]
     docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, times))], "doc_id bigint, text string, n int")
     docs = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", "text", F.lit(False).alias("held_out"))
     held = spark.createDataFrame([(100 + i, t, True) for i, t in enumerate(scored)], "doc_id bigint, text string, held_out boolean")
     got = {r.doc_id: r.score for r in suffix_tree.score(docs.unionByName(held)).where("held_out").collect()}
-    assert [got[100 + i] for i in range(len(scored))] == pytest.approx(tree_scores(texts, times, scored), rel=1e-4)
+    assert [got[100 + i] for i in range(len(scored))] == pytest.approx(tree_scores(texts, times, scored, common), rel=1e-5)
+
+
+def test_suffix_tree_beats_its_base_and_knows_what_occurs_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.withColumn("held_out", held_out(F.col("doc_id"), 1))
+    pairs = [(10**9 + i, " ".join(f"u{i}q{k}" for k in range(200)), False) for i in range(20) for _ in range(1 + i % 2)]
+    rows = suffix_tree.score(docs.unionByName(spark.createDataFrame(pairs, docs.schema))).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+    planted = [(r.doc_id % 2, r.score) for r in rows if r.doc_id >= 10**9]
+    assert min(s for twice, s in planted if twice) > max(s for twice, s in planted if not twice) + 50
+
+
+def test_suffix_tree_leaves_out_other_columns(spark):
+    names = ["row_id", "gain", "symbols", "code", "n", "key", "times", "score"]
+    docs = spark.createDataFrame([(1, "a b a b", False), (2, None, True)], "doc_id bigint, text string, held_out boolean")
+    got = suffix_tree.score(docs.select("*", *[F.lit("x").alias(n) for n in names])).collect()
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, 5), (2, 1)}
 
 
 def test_pipeline_stages(spark, empty):
