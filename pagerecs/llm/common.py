@@ -82,12 +82,13 @@ def give_back(keep_caches: bool = False) -> None:
 
 
 def byte_runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of whole rows of about ``most`` bytes.
+    """Cuts a string or large binary column into runs of whole rows of about ``most`` bytes.
 
     Yields (first row, end row, bytes, offsets): the run's UTF-8 bytes and
     the place of each of its rows in them. Null texts are empty.
     """
-    column = column.fill_null("").cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -49,8 +49,10 @@ COMMON_WORDS = SYMBOLS - 2
 LEAST, LEAST_GAIN, SMOOTHING = 2, 2.0, 1.0
 HOT = 1 / 512
 #: Runs that a task works on at once, if its groups are smaller.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _RUN = 1 << 20
+#: Symbols of whole rows that are looked at together, if no row has more.
+_TOGETHER = 1 << 18
 
 
 @dataclass
@@ -96,17 +98,16 @@ def _heads(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
 
 
-def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of (symbols, ...): for every symbol of its rows but the end
-    marks before them, its place in the first array, and its row."""
+def _symbols(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch of (symbols, ...), run of rows by run of rows: the symbols; of
+    each but the end marks before a row, its place there, and its row of the batch."""
     column = batch.column(0).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    stream = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16) if len(column) else np.zeros(0, np.uint16)
-    size = np.diff(offsets) // 2
-    live = np.ones(len(stream), bool)
-    live[((np.cumsum(size) - size)[:, None] + np.arange(DEPTH)).ravel()] = False
-    return stream, np.flatnonzero(live), np.repeat(np.arange(len(size)), size - DEPTH)
+    for first, end, data, offsets in byte_runs(column, 2 * _TOGETHER):
+        size = np.diff(offsets) // 2
+        stream = np.frombuffer(data.tobytes(), np.uint16)
+        live = np.ones(len(stream), bool)
+        live[((np.cumsum(size) - size)[:, None] + np.arange(DEPTH)).ravel()] = False
+        yield stream, np.flatnonzero(live), np.repeat(np.arange(first, end), size - DEPTH)
 
 
 def _runs(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,11 +143,11 @@ def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray) -> np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(hot) * SYMBOLS, np.int32)  # of a task
         for batch in batches:
-            stream, at, _ = _symbols(batch)
-            of = place[stream[at - 1]]
-            cells = np.sort(of[of >= 0] * SYMBOLS + stream[at[of >= 0]])
-            head = _heads(cells)
-            total[cells[head]] += np.diff(np.r_[head, len(cells)])
+            for stream, at, _ in _symbols(batch):
+                of = place[stream[at - 1]]
+                cells = np.sort(of[of >= 0] * SYMBOLS + stream[at[of >= 0]])
+                head = _heads(cells)
+                total[cells[head]] += np.diff(np.r_[head, len(cells)]).astype(np.int32)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells], pa.int64())], ["cell", "n"])
         give_back()
@@ -170,20 +171,19 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray) -> Data
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            stream, at, row = _symbols(batch)
-            code = _runs(stream, at).view(np.int64)
-            order = np.lexsort((code, row))
-            code, row = code[order], row[order]
-            head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
-            times = np.diff(np.r_[head, len(code)])
-            row = row[head]
-            times = np.where(batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row], -times, times)
-            ids = batch.column(2).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code[head]), pa.array(ids), pa.array(times, pa.int32())], ["code", "row_id", "times"]
-            )
+            is_held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ids = batch.column(2).to_numpy()
+            for stream, at, row in _symbols(batch):
+                code = _runs(stream, at).view(np.int64)
+                order = np.lexsort((code, row))
+                code, row = code[order], row[order]
+                head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+                times = np.diff(np.r_[head, len(code)])
+                row = row[head]
+                times = np.where(is_held_out[row], -times, times)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code[head]), pa.array(ids[row]), pa.array(times, pa.int32())], ["code", "row_id", "times"]
+                )
         give_back()
 
     def gained(code: np.ndarray, ids: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -232,10 +232,12 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray) -> Data
                 word = whole[0] >> np.uint64(BITS * DEPTH)
                 pair = whole[0] >> np.uint64(BITS * (DEPTH - 1))
                 cut = int(_heads(pair if is_hot[int(word[-1])] else word)[-1])  # the last group may go on
+                # a group larger than a chunk is tried again when the rows have doubled
+                parts, rows = [tuple(c[cut:].copy() for c in whole)], 0 if cut else -len(whole[0])
+                del word, pair
                 if cut:
                     yield from gained(*(c[:cut] for c in whole))
-                # a group larger than a chunk is tried again when the rows have doubled
-                parts, rows = [tuple(c[cut:] for c in whole)], 0 if cut else -len(whole[0])
+                del whole
         if parts:
             yield from gained(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         give_back()
