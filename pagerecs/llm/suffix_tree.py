@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs, give_back, keep
+from pagerecs.llm.common import byte_runs, give_back, keep, shuffle_partitions
 from pagerecs.llm.words import words
 
 #: A symbol has 16 bits, so a run of DEPTH + 1 symbols is one number.
@@ -49,7 +49,9 @@ COMMON_WORDS = SYMBOLS - 2
 LEAST, LEAST_GAIN, SMOOTHING = 2, 2.0, 1.0
 HOT = 1 / 512
 #: Runs that a task works on at once, if its groups are smaller.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+#: Symbols for each part of the shuffle, so that its sort stays small.
+PART = 1 << 20
 _RUN = 1 << 20
 #: Symbols of whole rows that are looked at together, if no row has more.
 _TOGETHER = 1 << 18
@@ -163,9 +165,9 @@ def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray) -> np.nd
     return after
 
 
-def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray) -> DataFrame:
+def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens: int) -> DataFrame:
     """(row_id, gain): what the contexts add to each row's log10 chance by the
-    root; of (row_id, held_out, symbols) rows."""
+    root; of (row_id, held_out, symbols) rows with so many ``tokens``."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((chance, hot, hot_contexts(texts, hot, chance)))
 
@@ -246,8 +248,10 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray) -> Data
     word = F.shiftrightunsigned("code", BITS * DEPTH)
     pair = F.shiftrightunsigned("code", BITS * (DEPTH - 1))
     group = F.when(word.isin([int(w) for w in hot]), pair).otherwise(word) if len(hot) else word
-    dealt = dealt.repartition(group).sortWithinPartitions("code")
-    return dealt.mapInArrow(gains, "row_id bigint, gain double").groupBy("row_id").agg(F.sum("gain").alias("gain"))
+    parts = max(shuffle_partitions(spark), -(-tokens // PART))
+    dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
+    found = dealt.mapInArrow(gains, "row_id bigint, gain double")
+    return keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains")
 
 
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
@@ -314,7 +318,8 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     often = tree.chance * (n + 0.5 * (distinct + 1))
     often[END] = ends * (DEPTH + 1)
     hot = np.flatnonzero(often >= max(HOT * share, 1))
-    gains = context_gains(rows.select("row_id", "held_out", "symbols"), tree.chance, hot)
+    tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    gains = context_gains(rows.select("row_id", "held_out", "symbols"), tree.chance, hot, tokens)
     pairs = rows.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("w"))
     pairs = pairs.select("row_id", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
     seen = F.coalesce("n", F.lit(0))
