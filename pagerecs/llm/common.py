@@ -22,12 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, and
-    a lost executor costs no more than the tasks it was running."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    a lost executor costs no more than the tasks it was running.
+
+    With ``drop_shuffles`` Spark removes the write's shuffle files as it ends,
+    not when the driver happens to collect what refers to them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    if drop_shuffles:
+        spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

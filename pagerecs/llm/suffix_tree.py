@@ -79,7 +79,7 @@ def count_words(training: DataFrame) -> DataFrame:
         give_back()
 
     found = training.select("text").mapInArrow(count, "key bigint, n bigint")
-    return keep(found.groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
+    return keep(found.groupBy("key").agg(F.sum("n").alias("n")), "word-counts", drop_shuffles=True)
 
 
 def root(keys: np.ndarray, n: np.ndarray, ends: int, total: int, distinct: int) -> Root:
@@ -251,7 +251,7 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens:
     parts = max(shuffle_partitions(spark), -(-tokens // PART))
     dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
     found = dealt.mapInArrow(gains, "row_id bigint, gain double")
-    return keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains")
+    return keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains", drop_shuffles=True)
 
 
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
