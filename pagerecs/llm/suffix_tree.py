@@ -16,9 +16,10 @@ DEPTH + 1 symbols, each once with its number, are dealt out by their latest
 context word and sorted, so all contexts ending in a word lie together. A task
 counts, tests and smooths them, and gives each row its sum. The contexts of one
 word with ``HOT`` or more of all symbols (so 1 / HOT words at most) are counted
-before and sent to the executors, so their runs are dealt out by two words. A
-task holds the runs of one such group at a time: those of a word with less than
-that share, or of a pair of words.
+before and sent to the executors, so their runs are dealt out by two words; so
+are pairs and triples of words with that share, whose runs are dealt out by three
+words and by row. A task holds the runs of one such group at a time, of less than
+that share of the training texts.
 
 Word counts grow with the corpus and stay distributed: only the most frequent
 go to the executors, all other words of a text meet their counts in a join.
@@ -137,39 +138,66 @@ def _refined(whole: np.ndarray, count: np.ndarray, parent: np.ndarray, head: np.
     return np.where(np.repeat(retained, size), own, parent)
 
 
-def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """The distributions after each of the ``hot`` symbols, one row each."""
-    place = np.full(SYMBOLS, -1)
-    place[hot] = np.arange(len(hot))
+def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ``wanted`` are ``among`` (in order), and where."""
+    if not len(among):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), int)
+    at = np.minimum(np.searchsorted(among, wanted), len(among) - 1)
+    return among[at] == wanted, at
+
+
+def _next_counts(texts: DataFrame, hot: np.ndarray, depth: int) -> np.ndarray:
+    """How often each symbol follows each of the ``hot`` contexts in the training texts, one row each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(hot) * SYMBOLS, np.int32)  # of a task
         for batch in batches:
             for stream, at, _ in _symbols(batch):
-                of = place[stream[at - 1]]
-                cells = np.sort(of[of >= 0] * SYMBOLS + stream[at[of >= 0]])
+                context = np.zeros(len(at), np.uint64)
+                for k in range(1, depth + 1):
+                    context = context << np.uint64(BITS) | stream[at - k]
+                is_hot, of = _found(hot, context)
+                cells = np.sort(of[is_hot] * SYMBOLS + stream[at[is_hot]])
                 head = _heads(cells)
                 total[cells[head]] += np.diff(np.r_[head, len(cells)]).astype(np.int32)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells], pa.int64())], ["cell", "n"])
         give_back()
 
-    counts = np.zeros((len(hot), SYMBOLS), np.float32)
+    counts = np.zeros((len(hot), SYMBOLS))
     if len(hot):
         found = texts.where("not held_out").select("symbols").mapInArrow(count, "cell bigint, n bigint")
         found = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS / HOT
         counts.reshape(-1)[found["cell"].to_numpy()] = found["n"].to_numpy()
-    after = np.empty((len(hot), SYMBOLS), np.float32)
-    for i, c in enumerate(counts):
-        after[i] = _refined(c.sum(keepdims=True, dtype=float), c, chance, np.zeros(1, int))
-    return after
-
-
-def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens: int) -> DataFrame:
+    return counts
+
+
+def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to DEPTH symbols: the contexts that occur ``least`` times, in order,
+    and the distribution after each; ``hot`` are those of one symbol. A context
+    of one symbol more is a shorter one with a symbol that follows it often."""
+    hot, levels = hot.astype(np.uint64), []
+    for depth in range(1, DEPTH + 1):
+        counts = _next_counts(texts, hot, depth)
+        after = np.empty((len(hot), SYMBOLS), np.float32)
+        for i, c in enumerate(counts):
+            parent = levels[-1][1][_found(levels[-1][0], hot[i : i + 1] >> np.uint64(BITS))[1][0]] if levels else chance
+            after[i] = _refined(c.sum(keepdims=True), c, parent, np.zeros(1, int))
+        levels.append((hot, after))
+        of, then = np.nonzero(counts >= least)
+        longer = (then.astype(np.uint64) << np.uint64(BITS * depth) | hot[of])[then != END]
+        # an end follows nothing but the end marks before a text
+        hot = np.sort(np.r_[hot[hot == END], longer])
+    return levels
+
+
+def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least: float, tokens: int) -> DataFrame:
     """(row_id, gain): what the contexts add to each row's log10 chance by the
-    root; of (row_id, held_out, symbols) rows with so many ``tokens``."""
+    root; of (row_id, held_out, symbols) rows with so many ``tokens``; ``hot``
+    symbols occur ``least`` times."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((chance, hot, hot_contexts(texts, hot, chance)))
+    levels = hot_contexts(texts, hot, chance, least)
+    sent = spark.sparkContext.broadcast((chance, levels))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +217,7 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens:
         give_back()
 
     def gained(code: np.ndarray, ids: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-        chance, hot, after = sent.value
-        place = np.full(SYMBOLS, -1)
-        place[hot] = np.arange(len(hot))
+        chance, levels = sent.value
         first = _heads(code)
         if not len(first):
             return
@@ -213,9 +239,9 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens:
             head = _heads(c[cell])
             count = np.add.reduceat(n[order], cell)
             own = _refined(np.add.reduceat(count, head), count, value[order[cell]], head)
-            if d == 1:
-                latest = place[c[cell].astype(np.int64)]
-                own = np.where(latest < 0, own, after[latest, s[cell]] if len(hot) else own)
+            hot, after = levels[d - 1]
+            is_hot, place = _found(hot, c[cell])
+            own[is_hot] = after[place[is_hot], s[cell[is_hot]]]
             refined = np.empty(len(code))
             refined[order] = np.repeat(own, cells)
             value = refined
@@ -224,19 +250,22 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, gain))], ["row_id", "gain"])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_hot = np.isin(np.arange(SYMBOLS), sent.value[1])
+        levels = sent.value[1]
         parts, rows = [], 0
         for batch in batches:
             parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
             rows += len(batch)
             if rows >= CHUNK:
                 whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                word = whole[0] >> np.uint64(BITS * DEPTH)
-                pair = whole[0] >> np.uint64(BITS * (DEPTH - 1))
-                cut = int(_heads(pair if is_hot[int(word[-1])] else word)[-1])  # the last group may go on
+                cut = rows = len(whole[0])
+                for d, (hot, _) in enumerate(levels, 1):
+                    context = whole[0] >> np.uint64(BITS * (DEPTH + 1 - d))
+                    if not _found(hot, context[-1:])[0][0]:
+                        cut = int(_heads(context)[-1])  # the last group may go on
+                        break
                 # a group larger than a chunk is tried again when the rows have doubled
-                parts, rows = [tuple(c[cut:].copy() for c in whole)], 0 if cut else -len(whole[0])
-                del word, pair
+                parts, rows = [tuple(c[cut:].copy() for c in whole)], 0 if cut else -rows
+                del context
                 if cut:
                     yield from gained(*(c[:cut] for c in whole))
                 del whole
@@ -245,9 +274,10 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, tokens:
         give_back()
 
     dealt = texts.select("symbols", "held_out", "row_id").mapInArrow(runs, "code bigint, row_id bigint, times int")
-    word = F.shiftrightunsigned("code", BITS * DEPTH)
-    pair = F.shiftrightunsigned("code", BITS * (DEPTH - 1))
-    group = F.when(word.isin([int(w) for w in hot]), pair).otherwise(word) if len(hot) else word
+    group = F.col("row_id")  # what follows hot contexts of DEPTH symbols is known
+    for d, (hot, _) in reversed(list(enumerate(levels, 1))):
+        context = F.shiftrightunsigned("code", BITS * (DEPTH + 1 - d))
+        group = F.when(context.isin(hot.tolist()), group).otherwise(context) if len(hot) else context
     parts = max(shuffle_partitions(spark), -(-tokens // PART))
     dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
     found = dealt.mapInArrow(gains, "row_id bigint, gain double")
@@ -317,9 +347,10 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     share = n + ends * DEPTH  # end marks before a text are contexts too
     often = tree.chance * (n + 0.5 * (distinct + 1))
     often[END] = ends * (DEPTH + 1)
-    hot = np.flatnonzero(often >= max(HOT * share, 1))
+    least = max(HOT * share, 1)
+    hot = np.flatnonzero(often >= least)
     tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
-    gains = context_gains(rows.select("row_id", "held_out", "symbols"), tree.chance, hot, tokens)
+    gains = context_gains(rows.select("row_id", "held_out", "symbols"), tree.chance, hot, least, tokens)
     pairs = rows.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("w"))
     pairs = pairs.select("row_id", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
     seen = F.coalesce("n", F.lit(0))
