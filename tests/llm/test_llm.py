@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
-from pagerecs.llm.common import held_out
+from pagerecs.llm.common import held_out, keep
 from pagerecs.llm.tokens import encoder, vocabulary
 from pagerecs.sources.storage import fresh_path
 from tests.conftest import plan_text
@@ -471,6 +471,34 @@ def test_suffix_tree_beats_its_base_and_knows_what_occurs_twice(spark):
     assert min(s for twice, s in planted if twice) > max(s for twice, s in planted if not twice) + 50
 
 
+def test_hot_contexts_are_those_counted_often(spark):
+    draw = random.Random(5)
+    rows = [[draw.choice([1, 1, 1, 2, 2, 3, 65535]) for _ in range(draw.randrange(40))] for _ in range(30)]
+    depth, least, counts = suffix_tree.DEPTH, 8, Counter()
+    for row in rows:
+        read = [0] * depth + row
+        for i in range(depth - 1, len(read)):  # the contexts that something follows
+            for d in range(1, depth + 1):
+                counts[tuple(read[i - d + 1 : i + 1][::-1])] += 1
+    code = lambda context: sum(s << 16 * k for k, s in enumerate(context[::-1]))
+    wanted = [sorted(code(c) for c, n in counts.items() if n >= least and len(c) == d) for d in range(1, depth + 1)]
+    data = [(i, False, bytearray(np.array([0] * depth + r + [0], np.uint16).tobytes())) for i, r in enumerate(rows)]
+    texts = spark.createDataFrame(data, "row_id bigint, held_out boolean, symbols binary")
+    chance = np.full(suffix_tree.SYMBOLS, 1 / suffix_tree.SYMBOLS)
+    levels = suffix_tree.hot_contexts(texts, np.array(wanted[0]), chance, least)
+    assert [hot.tolist() for hot, _ in levels] == wanted and all(wanted)
+    assert all(after.sum(axis=1) == pytest.approx(1, rel=1e-3) for _, after in levels)
+
+
+def test_a_write_that_drops_its_shuffle_files_changes_no_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "dropped", drop_shuffles=True)
+    assert spark.conf.get(name) == before
+    assert sorted(r["count"] for r in kept.collect()) == [142] * 1 + [143] * 6
+    assert kept.count() == 7
+
+
 def test_suffix_tree_leaves_out_other_columns(spark):
     names = ["row_id", "gain", "symbols", "code", "n", "key", "times", "score"]
     docs = spark.createDataFrame([(1, "a b a b", False), (2, None, True)], "doc_id bigint, text string, held_out boolean")
