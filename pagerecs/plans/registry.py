@@ -126,11 +126,7 @@ def write_derived_raw(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Derive the raw table from the sf tables and write it partitioned by
     (wiki_db, snapshot)."""
     orders, lineitem = load_tables(spark, sf_dir, "orders", "lineitem")
-    raw = derive_raw(orders, lineitem)
-    # Range-cluster by partition keys (page_id splits a hot partition across
-    # tasks) so each task writes few, contiguous files.
-    raw = raw.repartitionByRange(*RAW_PARTITION_COLUMNS, "page_id")
-    raw.write.partitionBy(*RAW_PARTITION_COLUMNS).parquet(path)
+    derive_raw(orders, lineitem).write.partitionBy(*RAW_PARTITION_COLUMNS).parquet(path)
 
 
 def raw_path(spark: SparkSession, sf_dir: str) -> str:
