@@ -56,12 +56,13 @@ def publish_prod(
     With ``profile`` the write's own tasks count its rows; the result gives the
     count reports (``ProfileWrite.reports``) without reading the table.
     """
-    rows = prod_rows_for_write(raw, snapshot, dataset_id, insertion_ts, sort=sort, global_order=global_order)
     counts = None
     if profile:  # the wikis are partition values of a production raw table
         wikis = [r.wiki_db for r in raw.select("wiki_db").distinct().collect()]
         counts = ProfileWrite(month_of(snapshot), wikis)
-        rows = counts.observe(rows)
+    rows = prod_rows_for_write(
+        raw, snapshot, dataset_id, insertion_ts, sort=sort, global_order=global_order, counts=counts
+    )
     write_prod(rows, path, sort=False, max_records_per_file=max_records_per_file)
     return counts
 
@@ -74,10 +75,12 @@ def prod_rows_for_write(
     *,
     sort: bool = True,
     global_order: bool = False,
+    counts: ProfileWrite | None = None,
 ) -> DataFrame:
     """The rows ``publish_prod`` writes, in table column order; with ``sort``
     clustered by wiki and ordered by ``prod_order()`` within each partition
-    (see ``publish_prod``)."""
+    (see ``publish_prod``). ``counts`` observes them below the sort: above it
+    the writer would not see their order and would sort them a second time."""
     month = month_of(snapshot)
     pages = candidate_pages(raw)
     if sort and not global_order:
@@ -86,6 +89,8 @@ def prod_rows_for_write(
         pages = pages.repartitionByRange(F.col("wiki_db"), F.desc_nulls_last("page_title"), F.asc("page_id"))
     rows = stamp_run(explode_pages(pages), dataset_id, insertion_ts, month)
     rows = rows.select(*[f.name for f in PROD_SCHEMA.fields])
+    if counts is not None:
+        rows = counts.observe(rows)
     return rows.sortWithinPartitions(*prod_order()) if sort else rows
 
 

@@ -3,6 +3,8 @@
 import datetime
 
 import pagerecs.sources.derived as derived
+from pagerecs.operators.profile import ProfileWrite
+from pagerecs.plans.jobs import prod_rows_for_write, publish_prod
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_SCHEMA
 from tests.conftest import plan_text
 
@@ -71,3 +73,15 @@ def test_derived_raw_deals_large_inputs_over_more_tasks(spark, monkeypatch):
     plan = plan_text(derived.gather_pages(orders, many), "simple")
     assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2
     assert plan.count("Exchange") == 2
+
+
+def test_profiled_write_sorts_once(spark, raw_data, tmp_path):
+    counts = ProfileWrite("2023-09", ["svwiki", "cswiki"])
+    rows = prod_rows_for_write(raw_data, "2023-09-12", "ds", 1.0, counts=counts)
+    lines = plan_text(rows, "simple").splitlines()
+    sort = next(i for i, line in enumerate(lines) if "Sort [" in line)
+    observe = next(i for i, line in enumerate(lines) if "CollectMetrics" in line)
+    assert sort < observe  # the sort is the writer's input, and the rows are counted below it
+    reports = publish_prod(raw_data, str(tmp_path / "prod"), "2023-09-12", "ds", 1.0, profile=True).reports(spark)
+    found = {tuple(r) for r in reports["partition_counts"].collect()}
+    assert found == {("2023-09", "svwiki", 3), ("2023-09", "cswiki", 3)}
