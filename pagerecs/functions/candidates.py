@@ -22,7 +22,8 @@ SOURCE_PREFIXES = (
 )
 
 # The list of wikis follows this marker in a note.
-FOUND_ON_PATTERN = r"Wikis:\s+(.*)$"
+FOUND_ON_MARKER = "Wikis:"
+FOUND_ON_PATTERN = FOUND_ON_MARKER + r"\s+(.*)$"
 
 # Integral part of a plain decimal numeral ("2", "2.0", " 3 ", "+1.", "-4.75").
 # Anything else ("1e0", "abc", "", "NaN") yields no match. This reproduces the
@@ -42,12 +43,8 @@ def rating_value(rating: Column | str = "rating") -> Column:
 
 def confidence_rating(rating: Column | str = "rating") -> Column:
     """1/2/3 -> high/medium/low; any other value or NULL -> NULL."""
-    value = rating_value(rating)
-    expr = None
-    for number, label in CONFIDENCE_LABELS:
-        cond = value == F.lit(number)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
+    labels = F.create_map(*[F.lit(x) for pair in CONFIDENCE_LABELS for x in pair])
+    return labels[rating_value(rating)]  # a lookup, so that the text is parsed once
 
 
 def candidate_source(note: Column | str = "note") -> Column:
@@ -67,9 +64,12 @@ source_of = candidate_source
 def found_on(note: Column | str = "note") -> Column:
     """Wikis listed after ``Wikis:`` in the note, whitespace removed, split
     on commas. A note without the marker gives ``[""]``; NULL gives NULL
-    (every step below propagates NULL)."""
-    listed = F.regexp_extract(_col(note), FOUND_ON_PATTERN, 1)
-    return F.split(F.regexp_replace(listed, r"\s+", ""), ",")
+    (every step below propagates NULL). Most notes have no marker and meet no
+    regular expression."""
+    note = _col(note)
+    listed = F.regexp_extract(note, FOUND_ON_PATTERN, 1)
+    split = F.split(F.regexp_replace(listed, r"\s+", ""), ",")
+    return F.when(note.contains(FOUND_ON_MARKER), split).when(note.isNotNull(), F.array(F.lit("")))
 
 
 def instance_of_id(instance_of: Column | str = "instance_of") -> Column:

@@ -4,6 +4,7 @@ import datetime
 
 import pagerecs.sources.derived as derived
 from pagerecs.operators.profile import ProfileWrite
+from pagerecs.operators.candidates import transform_candidates
 from pagerecs.plans.jobs import prod_rows_for_write, publish_prod
 from pagerecs.schemas import NON_ARTICLE_INSTANCES, RAW_SCHEMA
 from tests.conftest import plan_text
@@ -85,3 +86,8 @@ def test_profiled_write_sorts_once(spark, raw_data, tmp_path):
     reports = publish_prod(raw_data, str(tmp_path / "prod"), "2023-09-12", "ds", 1.0, profile=True).reports(spark)
     found = {tuple(r) for r in reports["partition_counts"].collect()}
     assert found == {("2023-09", "svwiki", 3), ("2023-09", "cswiki", 3)}
+
+
+def test_transform_parses_a_rating_once(spark, raw_data):
+    plan = next(p for p in plan_text(transform_candidates(raw_data), "simple").splitlines() if "[0-9]+" in p)
+    assert plan.count("[0-9]+") == 1
