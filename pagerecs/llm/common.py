@@ -44,6 +44,11 @@ def keep(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_dropping(df: DataFrame, name: str) -> DataFrame:
+    """``keep`` for the many small tables of one operator, whose shuffle files would add up."""
+    return keep(df, name, drop_shuffles=True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import keep
+from pagerecs.llm.common import keep_dropping as keep
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ sets that have it among their smallest, with position and size:
   outside the largest component do so again with other sets of it. Entries
   of one component
   then skip one another, and in long lists only the entries outside the
-  list's largest component go on to meet the others. What is left is
+  list's largest component go on to meet the others, a pair in the first
+  of its common lists alone. What is left is
   resolved between families: from the overlap of the two leading sets and
   the members' known differences to them follows a bound on every pair's
   overlap, and only pairs that it leaves open are verified themselves.
@@ -42,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import byte_runs, give_back, keep, set_apart, small
+from pagerecs.llm.common import byte_runs, give_back, set_apart, small
+from pagerecs.llm.common import keep_dropping as keep
 from pagerecs.llm.graph import components
 from pagerecs.llm.words import shingles, words
 
@@ -176,6 +178,27 @@ def _links(pairs: DataFrame, percent: int) -> Column:
     return F.col("overlap") * (100 + percent) >= needed(pairs["n"], pairs["m"], percent)
 
 
+def crossed(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, of sets with different labels in long lists
+    (shingle, node, n, pos, la, parity); each pair once, from the first list of both."""
+    of_set = long.groupBy("node").agg(F.sort_array(F.collect_list("shingle")).alias("lists"))  # LONG_DEPTH at most
+    long = long.join(of_set, "node").withColumn("before", F.filter("lists", lambda s: s < F.col("shingle"))).drop("lists")
+    count = long.groupBy("shingle", "la").agg(F.count("*").alias("c")).groupBy("shingle")
+    largest = count.agg(F.max_by("la", F.struct("c", -F.col("la"))).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = long.join(largest.drop("labels"), "shingle")
+    minor = mixed.where("la != largest").drop("largest")
+    others = mixed.select(
+        "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("other_pos"),
+        F.col("la").alias("lb"), F.col("parity").alias("other_parity"), F.col("before").alias("other_before"),
+        F.col("la").eqNullSafe(F.col("largest")).alias("major"),
+    )
+    meets = (F.col("la") != F.col("lb")) & (F.col("major") | (F.col("node") < F.col("b")))
+    near = F.col("pos") + F.col("other_pos") < LONG_DEPTH  # their first shared shingle lies among so many of the union
+    first = ~F.arrays_overlap("before", "other_before")
+    found = minor.join(others, "shingle").where(meets & near & _possible(percent) & first)
+    return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, stays) for every row; see
     the module. One row of each component ``stays``, and every empty set."""
@@ -248,18 +271,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     # what is left between components: short lists' pairs, and in long lists all but the largest component against the rest
     rest = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la != lb").select("a", "b")
     long = keep(labelled(long, "node", "la").join(reps.select("node", "parity"), "node"), "long-lists-labelled")
-    count = long.groupBy("shingle", "la").agg(F.count("*").alias("c")).groupBy("shingle")
-    largest = count.agg(F.max_by("la", F.struct("c", -F.col("la"))).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = long.join(largest.drop("labels"), "shingle")
-    minor = mixed.where("la != largest").drop("largest")
-    others = mixed.select(
-        "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("other_pos"),
-        F.col("la").alias("lb"), F.col("parity").alias("other_parity"), F.col("la").eqNullSafe(F.col("largest")).alias("major"),
-    )
-    meets = (F.col("la") != F.col("lb")) & (F.col("major") | (F.col("node") < F.col("b")))
-    near = F.col("pos") + F.col("other_pos") < LONG_DEPTH  # their first shared shingle lies among so many of the union
-    crossed = minor.join(others, "shingle").where(meets & near & _possible(percent))
-    rest = rest.unionByName(crossed.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))).distinct()
+    rest = rest.unionByName(crossed(long, percent)).distinct()
     rest = keep(_alike(rest, reps, percent), "candidates-between")
 
     # families: a linked set's differences to its leading set bound its overlaps with others

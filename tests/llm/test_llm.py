@@ -218,6 +218,21 @@ def test_jaccard_components(spark, odd, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_sets_that_share_many_long_lists_meet_once(spark):
+    """Twenty sets of 20 shingles, all but one or none alike: in every list the first twelve
+    are one component, the others alone; a pair comes out once, however many lists it shares."""
+    rows = []
+    for node in range(20):
+        own = [10**6 + 50 * node + k for k in range(node % 2)]
+        shingles = sorted([*range(100, 120 - len(own)), *own])
+        odd = np.bincount(np.array(shingles) % (64 * jaccard.PARITY), minlength=64 * jaccard.PARITY).astype(np.uint8) & 1
+        parity = [int(x) for x in np.packbits(odd).view(np.int64)]
+        rows += [(s, node, 20, pos, max(0, node - 11), parity) for pos, s in enumerate(shingles) if s < 10**6 and pos < 12]
+    long = spark.createDataFrame(rows, "shingle bigint, node bigint, n bigint, pos int, la bigint, parity array<bigint>")
+    found = Counter((r.a, r.b) for r in jaccard.crossed(long, 75).collect())
+    assert found == Counter((a, b) for b in range(12, 20) for a in range(b))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a bigint, b bigint")
     assert {r.node: r.label for r in graph.components(edges).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
