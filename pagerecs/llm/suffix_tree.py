@@ -19,7 +19,11 @@ word with ``HOT`` or more of all symbols (so 1 / HOT words at most) are counted
 before and sent to the executors, so their runs are dealt out by two words; so
 are pairs and triples of words with that share, whose runs are dealt out by three
 words and by row. A task holds the runs of one such group at a time, of less than
-that share of the training texts.
+that share of the training texts. Runs are dealt out in ``PASSES`` shares, by the
+latest word (and the one before, where that is frequent), and a share's shuffle
+files go before the next, so the disk holds one share. What comes back is one sum
+for each row and latest context word, as many as the texts have, however the runs
+are cut into tasks; Spark adds up a row's within a task before they are sent.
 
 Word counts grow with the corpus and stay distributed: only the most frequent
 go to the executors, all other words of a text meet their counts in a join.
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,8 @@ LEAST, LEAST_GAIN, SMOOTHING = 2, 2.0, 1.0
 HOT = 1 / 512
 #: Runs that a task works on at once, if its groups are smaller.
 CHUNK = 1 << 18
+#: Shares of the runs that are dealt out one after another.
+PASSES = 4
 #: Symbols for each part of the shuffle, so that its sort stays small.
 PART = 1 << 20
 _RUN = 1 << 20
@@ -191,6 +198,12 @@ def hot_contexts(texts: DataFrame, hot: np.ndarray, chance: np.ndarray, least: f
     return levels
 
 
+def _share(stream: np.ndarray, at: np.ndarray, is_hot: np.ndarray, passes: int) -> np.ndarray:
+    """The pass of each place's run, of so many; runs of one group are in one pass."""
+    latest = stream[at - 1].astype(np.int64)
+    return (latest + np.where(is_hot[latest], stream[at - 2], 0)) % passes
+
+
 def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least: float, tokens: int) -> DataFrame:
     """(row_id, gain): what the contexts add to each row's log10 chance by the
     root; of (row_id, held_out, symbols) rows with so many ``tokens``; ``hot``
@@ -199,11 +212,17 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least:
     levels = hot_contexts(texts, hot, chance, least)
     sent = spark.sparkContext.broadcast((chance, levels))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+        is_hot = np.zeros(SYMBOLS, bool)
+        is_hot[hot] = True
         for batch in batches:
             is_held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             ids = batch.column(2).to_numpy()
             for stream, at, row in _symbols(batch):
+                mine = _share(stream, at, is_hot, PASSES) == share
+                at, row = at[mine], row[mine]
+                if not len(at):
+                    continue
                 code = _runs(stream, at).view(np.int64)
                 order = np.lexsort((code, row))
                 code, row = code[order], row[order]
@@ -246,8 +265,12 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least:
             refined[order] = np.repeat(own, cells)
             value = refined
         gain = np.repeat(np.log10(value / start), size) * np.abs(times)
-        found, of = np.unique(ids, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, gain))], ["row_id", "gain"])
+        latest = np.repeat(code >> np.uint64(BITS * DEPTH), size)  # in order
+        order = np.lexsort((ids, latest))
+        latest, ids = latest[order], ids[order]
+        head = np.flatnonzero(np.r_[True, (latest[1:] != latest[:-1]) | (ids[1:] != ids[:-1])])
+        gain = np.add.reduceat(gain[order], head)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(gain)], ["row_id", "gain"])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value[1]
@@ -273,15 +296,18 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least:
             yield from gained(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         give_back()
 
-    dealt = texts.select("symbols", "held_out", "row_id").mapInArrow(runs, "code bigint, row_id bigint, times int")
     group = F.col("row_id")  # what follows hot contexts of DEPTH symbols is known
     for d, (hot, _) in reversed(list(enumerate(levels, 1))):
         context = F.shiftrightunsigned("code", BITS * (DEPTH + 1 - d))
         group = F.when(context.isin(hot.tolist()), group).otherwise(context) if len(hot) else context
-    parts = max(shuffle_partitions(spark), -(-tokens // PART))
-    dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
-    found = dealt.mapInArrow(gains, "row_id bigint, gain double")
-    return keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains", drop_shuffles=True)
+    parts = max(shuffle_partitions(spark), -(-tokens // (PART * PASSES)))
+    given, sums = texts.select("symbols", "held_out", "row_id"), []
+    for share in range(PASSES):
+        dealt = given.mapInArrow(lambda batches, share=share: runs(batches, share), "code bigint, row_id bigint, times int")
+        dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
+        found = dealt.mapInArrow(gains, "row_id bigint, gain double")
+        sums.append(keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains", drop_shuffles=True))
+    return reduce(DataFrame.unionByName, sums).groupBy("row_id").agg(F.sum("gain").alias("gain"))
 
 
 def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:

@@ -514,6 +514,30 @@ def test_a_write_that_drops_its_shuffle_files_changes_no_setting(spark):
     assert kept.count() == 7
 
 
+def test_context_gains_are_dealt_in_shares_whose_files_go(spark, monkeypatch):
+    """Every pass writes its sums by itself, dropping its shuffle; together they are the gains of one pass."""
+    draw = random.Random(9)
+    rows = [[draw.choice([1, 1, 2, 3, 4, 5, 6, 65535]) for _ in range(60)] for _ in range(20)]
+    data = [(i, i % 5 == 0, bytearray(np.array([0] * 3 + r + [0], np.uint16).tobytes())) for i, r in enumerate(rows)]
+    texts = spark.createDataFrame(data, "row_id bigint, held_out boolean, symbols binary")
+    chance = np.full(suffix_tree.SYMBOLS, 1 / suffix_tree.SYMBOLS)
+    written = []
+
+    def kept(df, name, **given):
+        written.append((name, given))
+        return keep(df, name, **given)
+
+    monkeypatch.setattr(suffix_tree, "keep", kept)
+    got = {}
+    for passes in (1, 3):
+        monkeypatch.setattr(suffix_tree, "PASSES", passes)
+        found = suffix_tree.context_gains(texts, chance, np.array([1, 65535]), 150, 1300)
+        got[passes] = {r.row_id: r.gain for r in found.collect()}
+    assert written == [("context-gains", {"drop_shuffles": True})] * 4
+    assert got[3] == pytest.approx(got[1]) and len(got[1]) == 20
+    assert any(abs(gain) > 1 for gain in got[1].values())
+
+
 def test_suffix_tree_leaves_out_other_columns(spark):
     names = ["row_id", "gain", "symbols", "code", "n", "key", "times", "score"]
     docs = spark.createDataFrame([(1, "a b a b", False), (2, None, True)], "doc_id bigint, text string, held_out boolean")
