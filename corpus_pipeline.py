@@ -10,6 +10,9 @@ or empty text is scored as an empty one by the quality classifier and dropped
 by language ID (it has no letter); texts without words are nobody's duplicates;
 repeated rows are duplicates of each other; rows with a null id pass like others
 and come last where an order of ids matters; an empty table gives an empty one.
+
+The stages share their executors, and their plans run after they have returned,
+so a stage with Python workers leaves the session with small batches for them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagerecs.llm import decontaminate, jaccard, langid, packing, quality
-from pagerecs.llm.common import held_out, keep, set_apart, table
+from pagerecs.llm.common import held_out, keep, set_apart, small_batches, table
 from pagerecs.session import prepare
 
 #: Share of the predicted language from which on a text counts as in a language.
@@ -29,6 +32,7 @@ PACKING_CACHE = 300_000
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what attention-based multiple-instance learning rejects (operator 5)."""
+    small_batches(spark)
     docs, named = set_apart(docs, "doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     training = docs.where(~held_out(F.col("doc_id"), 0)).join(labels, "doc_id")
@@ -37,6 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or without a clear language (operator 3)."""
+    small_batches(spark)
     docs, named = set_apart(docs, "doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"), 0)))
     kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)
@@ -45,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of the n-gram Jaccard join (operator 6)."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 

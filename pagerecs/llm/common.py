@@ -23,24 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most texts that a worker gets at once where its executor's memory is short.
+BATCH_ROWS = 256
 
 
-def keep(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+def _at_most(spark: SparkSession, rows: int) -> str:
+    given = int(spark.conf.get(_BATCH_ROWS))  # no limit from 0 down
+    return str(min(given, rows) if given > 0 else rows)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Python workers of this session get ``rows`` rows at once at most, from
+    now on: executor and worker each hold a whole batch, on its way in and out,
+    and a plan reads the setting when it runs."""
+    spark.conf.set(_BATCH_ROWS, _at_most(spark, rows))
+
+
+def keep(df: DataFrame, name: str, drop_shuffles: bool = False, batch_rows: int = 0) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, and
     a lost executor costs no more than the tasks it was running.
 
     With ``drop_shuffles`` Spark removes the write's shuffle files as it ends,
-    not when the driver happens to collect what refers to them.
+    not when the driver happens to collect what refers to them. ``batch_rows``:
+    as ``small_batches``, for this write alone (0: as the session says).
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_DROP_SHUFFLES)
+    settings = {}
     if drop_shuffles:
-        spark.conf.set(_DROP_SHUFFLES, "true")
+        settings[_DROP_SHUFFLES] = "true"
+    if batch_rows:
+        settings[_BATCH_ROWS] = _at_most(spark, batch_rows)
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

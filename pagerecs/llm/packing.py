@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagerecs.llm.common import give_back, keep, shuffle_partitions, small
+from pagerecs.llm.common import BATCH_ROWS, give_back, keep, shuffle_partitions, small
 from pagerecs.llm.tokens import CACHE_CHUNKS, encoder, vocabulary
 
 #: Rounds of multiplicative weights, how fast prices follow, and how far below
@@ -52,8 +52,8 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or vocabulary("byte_bpe_50k.json"), most=cache).encode
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 row, piece, start, ids = [], [], [], []
                 for i, doc in enumerate(encode(part.column(1).to_pylist())):
                     doc += end
@@ -197,7 +197,7 @@ def pack(
     ``cache``: chunks of text whose ids a worker remembers."""
     spark = docs.sparkSession
     pieces = cut_pieces(docs, tokenizer, capacity, end_id, cache).withColumn("row_id", F.monotonically_increasing_id())
-    pieces = keep(pieces, "pieces")
+    pieces = keep(pieces, "pieces", batch_rows=BATCH_ROWS)
     narrow = pieces.drop("ids").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(shuffle_partitions(spark))))
     counts = narrow.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram: Counter = Counter()

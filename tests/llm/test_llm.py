@@ -9,12 +9,13 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
-from pagerecs.llm.common import held_out, keep
+from pagerecs.llm.common import BATCH_ROWS, held_out, keep, small_batches
 from pagerecs.llm.tokens import encoder, vocabulary
 from pagerecs.sources.storage import fresh_path
 from tests.conftest import plan_text
@@ -559,3 +560,45 @@ def test_pipeline_stages(spark, empty):
         kept = left
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in kept.collect()}
     assert corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
+
+
+@pytest.fixture()
+def batch_setting(spark):
+    """The session's setting, as it was before and is again after the test."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    yield lambda: spark.conf.get(key)
+    spark.conf.set(key, before)
+
+
+def batch_sizes(spark, rows):
+    """(doc_id, text): the rows of each batch that a worker gets as this frame is run, as its id."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array(["a text"])], ["doc_id", "text"])
+
+    return spark.range(rows, numPartitions=1).mapInArrow(sizes, "doc_id bigint, text string")
+
+
+def test_packing_gets_its_texts_in_small_batches(spark, batch_setting):
+    before = batch_setting()
+    found = [r.doc_id for r in packing.pack(batch_sizes(spark, 1000)).placement.collect()]
+    assert max(found) <= BATCH_ROWS and sum(found) == 1000
+    assert batch_setting() == before
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "language_id", "near_duplicates"])
+def test_stages_run_in_small_batches_after_they_have_returned(spark, odd, batch_setting, stage):
+    import corpus_pipeline
+
+    dict(corpus_pipeline.STAGES)[stage](spark, odd, SF)
+    found = [r.doc_id for r in batch_sizes(spark, 1000).collect()]
+    assert max(found) <= BATCH_ROWS and sum(found) == 1000
+
+
+def test_small_batches_raise_no_smaller_limit(spark, batch_setting):
+    for given, then in (("100", "100"), ("0", str(BATCH_ROWS)), ("10000", str(BATCH_ROWS))):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+        small_batches(spark)
+        assert batch_setting() == then
