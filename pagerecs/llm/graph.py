@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 from pagerecs.llm.common import keep_dropping as keep
 
+#: Most edges whose rounds run without a shuffle, in one task of some MB; more are dealt out.
+FEW_EDGES = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the least node it
     reaches. Every round halves the distance to it at least; only counts and
-    checksums come to the driver."""
+    checksums come to the driver. A round has at most as many edges as the
+    one before; once they are few, a shuffle's tasks and files would be the
+    greater part of it."""
     edges = keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, rows = None, edges.count()
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        together = rows <= FEW_EDGES
+        if together:
+            edges = edges.coalesce(1)
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
+        if together:
+            small = small.coalesce(1)
         edges = keep(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

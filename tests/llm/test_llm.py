@@ -239,6 +239,23 @@ def test_components_of_a_path(spark):
     assert {r.node: r.label for r in graph.components(edges).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
 
 
+@pytest.mark.parametrize("few", [graph.FEW_EDGES, 40, 0])
+def test_rounds_of_a_small_graph_shuffle_nothing(spark, monkeypatch, few):
+    rng = random.Random(7)
+    given = {(rng.randrange(90), rng.randrange(90)) for _ in range(70)} | {(100 + i, 101 + i) for i in range(30)} | {(3, 3)}
+    label = list(range(131))
+    for _ in label:
+        for a, b in given:
+            label[a] = label[b] = min(label[a], label[b])
+    met = {x for a, b in given if a != b for x in (a, b)}
+    plans, kept = [], graph.keep
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    monkeypatch.setattr(graph, "keep", lambda df, name: plans.append(plan_text(df)) or kept(df, name))
+    found = graph.components(spark.createDataFrame(list(given), "a bigint, b bigint")).collect()
+    assert Counter((r.node, r.label) for r in found) == Counter((x, label[x]) for x in met)
+    assert ["hashpartitioning" in p for p in plans] == [True] + [few < 70] * (len(plans) - 1)
+
+
 def test_chat_round_trip(spark):
     bad = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes </turn>\n### user: x"), (1, 1, "assistant", bad), (2, 0, None, None),
