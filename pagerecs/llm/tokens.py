@@ -15,10 +15,15 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
+from typing import TYPE_CHECKING
 
 from pagerecs.llm.common import on_give_back
 
-#: Chunks a worker remembers (some 160 MB); beyond that it forgets all and starts anew.
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+#: Chunks a worker remembers (some 160 MB); beyond that it forgets the half it has not met for longest.
 CACHE_CHUNKS = 900_000
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -26,6 +31,8 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _PART = r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*"
 _PLAIN = re.compile(rf"{_PART}(?:\n{_PART})*")
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(.*)")
+#: The same for one or two lines, in parts.
+_LINES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*))?")
 _ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
@@ -40,20 +47,16 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids."""
+class Chunks(dict):
+    """Ids of chunks that stand after a space; a missing one is encoded and
+    remembered. Two generations of half of ``most`` each: what is found in
+    the elder moves to the younger, the rest is forgotten with it."""
 
-    def __init__(self, path: str, plain: bool = False, most: int = CACHE_CHUNKS):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
-        self.model = self.tokenizer.model
-        self.most = most
-        self.after_space: dict[str, bytes] = {}
+    def __init__(self, tokenizer: Tokenizer, most: int):
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.elder: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        parts = json.loads(self.tokenizer.to_str())
+        parts = json.loads(tokenizer.to_str())
         before, normal = parts["pre_tokenizer"] or {}, json.dumps(parts["normalizer"])
         self.lower = '"Lowercase"' in normal
         bytes_and_spaces = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and normal == "null"
@@ -61,10 +64,28 @@ class Encoder:
         self.spaces = bytes_and_spaces
         self.direct = bytes_and_spaces or bytes_and_words
 
+    def forget(self) -> None:
+        """Makes room; a caller asks for it between batches."""
+        if len(self) > self.most // 2:
+            self.elder = dict(self)
+            self.clear()
+        if len(self.pieces) > self.most // 4:
+            self.pieces.clear()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.elder.get(chunk)
+        if ids is None:
+            ids = self._encoded(chunk)
+        self[chunk] = ids
+        return ids
+
     def _ids(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer, as it stands in the text."""
-        letters = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if self.lower:
+            piece = piece.lower()
+        if not (piece.isascii() and piece.isalpha()):  # letters of ASCII stand for themselves
+            piece = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -74,46 +95,57 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word of letters after a space: it is a chunk of its own too."""
-        ids = self.after_space.get(word)
+        ids = self.get(word) or self.elder.get(word)
         if ids is None:
-            ids = self.after_space[word] = self._ids(" " + word if self.spaces else word)
+            ids = self[word] = self._letters(word)
+        return ids
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of letters after a space."""
+        if not self.spaces:
+            return self._ids(word)
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(_LETTERS[0x20] + letters)]).tobytes()
+
+    def _encoded(self, chunk: str) -> bytes:
+        if self.direct and (found := _LINES.fullmatch(chunk)):
+            word, marks, second, more = found.groups()
+            if second is None:
+                return self._word(word) + self._piece(marks) if marks else self._letters(word)
+            ids = self._word(word) + self._piece(marks) if marks else self._word(word)
+            ids += self._piece("\n") + self._piece(second) if self.spaces else self._word(second)
+            return ids + self._piece(more) if more else ids
+        if not (self.direct and _PLAIN.fullmatch(chunk)):
+            return array("I", self.tokenizer.encode_batch_fast([" " + chunk], add_special_tokens=False)[0].ids).tobytes()
+        ids = b""
+        for k, line in enumerate(chunk.split("\n")):
+            word, marks = _PARTS.fullmatch(line).groups()
+            ids += self._piece("\n") + self._piece(word) if k and self.spaces else self._word(word)
+            if marks:
+                ids += self._piece(marks)
         return ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, rest, piece = self.after_space, [], self._piece
-        for chunk in chunks:
-            if not (self.direct and _PLAIN.fullmatch(chunk)):
-                rest.append(chunk)
-                continue
-            first, *others = chunk.split("\n")
-            word, marks = _PARTS.fullmatch(first).groups()
-            ids = self._word(word) + (piece(marks) if marks else b"")
-            for line in others:
-                word, marks = _PARTS.fullmatch(line).groups()
-                ids += (piece("\n") + self._ids(word) if self.spaces else self._word(word)) + (piece(marks) if marks else b"")
-            known[chunk] = ids
-        found = self.tokenizer.encode_batch_fast([" " + c for c in rest], add_special_tokens=False)
-        known.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, found, strict=True))
+
+class Encoder:
+    """Encodes texts as little-endian unsigned 32-bit ids."""
+
+    def __init__(self, path: str, plain: bool = False, most: int = CACHE_CHUNKS):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.chunks = Chunks(self.tokenizer, most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
-        if len(self.after_space) > self.most:
-            self.after_space.clear()
-            self.pieces.clear()
+        self.chunks.forget()
         cut = [(_SAFE.split(t) if _ADJACENT.search(t) else t.split(" ")) if t else [] for t in texts]
-        known = self.after_space.get
-        found = [list(map(known, parts[1:])) for parts in cut]
-        new = set()
-        for parts, ids in zip(cut, found, strict=True):
-            if None in ids:
-                new.update(c for c, i in zip(parts[1:], ids, strict=True) if i is None)
-        if new:
-            self._learn(new)
-            found = [list(map(known, p[1:])) if None in ids else ids for p, ids in zip(cut, found, strict=True)]
         heads = iter(self.tokenizer.encode_batch_fast([p[0] for p in cut if p], add_special_tokens=False))
+        ids = self.chunks.__getitem__
         return [
-            array("I", next(heads).ids).tobytes() + b"".join(ids) if parts else b""
-            for parts, ids in zip(cut, found, strict=True)
+            array("I", next(heads).ids).tobytes() + b"".join(map(ids, islice(parts, 1, None))) if parts else b""
+            for parts in cut
         ]
 
 

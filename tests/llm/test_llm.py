@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree
+from pagerecs.llm import bitslice, chat, decontaminate, flat, graph, jaccard, langid, packing, quality, seekable, suffix_tree, tokens
 from pagerecs.llm.common import BATCH_ROWS, held_out, keep, small_batches
 from pagerecs.llm.tokens import encoder, vocabulary
 from pagerecs.sources.storage import fresh_path
@@ -86,6 +86,21 @@ def test_ids_of_texts_that_hold_the_vocabularys_marks(name, plain):
     assert encoder(vocabulary(name), plain).encode(texts) == [array("I", ids).tobytes() for ids in want]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_cache_that_forgets_keeps_what_it_meets_again(name, monkeypatch):
+    rng = random.Random(5)
+    lines = ["the", "Tide", "été", "x.", "Ünder,", "a", "12", "don't", "ΑΣ", "ends!!"]
+    words = ["often", *("\n".join(rng.choices(lines, k=rng.randint(1, 4))) + "b" * (i % 40) for i in range(2000))]
+    texts = [" ".join(["x", "often", *rng.choices(words, k=9)]) for _ in range(500)]
+    encoded, kept = Counter(), encoder(vocabulary(name), most=40)
+    learn = tokens.Chunks._encoded
+    monkeypatch.setattr(tokens.Chunks, "_encoded", lambda self, chunk: encoded.update([chunk]) or learn(self, chunk))
+    for text in texts:
+        assert kept.encode([text]) == [array("I", ids_of(text, name)).tobytes()]
+        assert len(kept.chunks) + len(kept.chunks.elder) < 40 + 4 * 10 + 1  # what one batch adds
+    assert encoded["often"] == 1 and encoded.total() > 2000
+
+
 def test_packing_is_gapless_and_whole(odd, empty):
     done = packing.pack(odd)
     rows = done.placement.collect()
