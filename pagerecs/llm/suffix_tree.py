@@ -13,17 +13,20 @@ text but end marks. So a text's score is its base plus what contexts add.
 
 The tree grows with the corpus and is never in one place. Every text's runs of
 DEPTH + 1 symbols, each once with its number, are dealt out by their latest
-context word and sorted, so all contexts ending in a word lie together. A task
-counts, tests and smooths them, and gives each row its sum. The contexts of one
-word with ``HOT`` or more of all symbols (so 1 / HOT words at most) are counted
+context word, so all contexts ending in a word meet in one task. They travel as
+bytes, one row of a shuffle for each task and part it deals to: a row for every
+run would cost more than all that is done with it. A task sorts, counts, tests
+and smooths its contexts, and gives each row its sum. The contexts of one word
+with ``HOT`` or more of all symbols (so 1 / HOT words at most) are counted
 before and sent to the executors, so their runs are dealt out by two words; so
 are pairs and triples of words with that share, whose runs are dealt out by three
-words and by row. A task holds the runs of one such group at a time, of less than
-that share of the training texts. Runs are dealt out in ``PASSES`` shares, by the
-latest word (and the one before, where that is frequent), and a share's shuffle
-files go before the next, so the disk holds one share. What comes back is one sum
-for each row and latest context word, as many as the texts have, however the runs
-are cut into tasks; Spark adds up a row's within a task before they are sent.
+words and by row. A task holds the runs of its part: of about ``PART`` symbols,
+or of the largest such group, of less than that share of the training texts. Runs
+are dealt out in ``PASSES`` shares, by the latest word (and the one before, where
+that is frequent), and a share's shuffle files go before the next, so the disk
+holds one share. What comes back is one sum for each row and part, as bytes for
+``ROWS`` row numbers: with a corpus so large that a part has most rows once only,
+as many as the runs, and no more than that however it grows.
 
 Word counts grow with the corpus and stay distributed: only the most frequent
 go to the executors, all other words of a text meet their counts in a join.
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagerecs.llm.common import byte_runs, give_back, keep, shuffle_partitions
-from pagerecs.llm.words import words
+from pagerecs.llm.words import mixed, words
 
 #: A symbol has 16 bits, so a run of DEPTH + 1 symbols is one number.
 BITS, DEPTH = 16, 3
@@ -58,8 +61,10 @@ HOT = 1 / 512
 CHUNK = 1 << 18
 #: Shares of the runs that are dealt out one after another.
 PASSES = 4
-#: Symbols for each part of the shuffle, so that its sort stays small.
+#: Symbols for each part of the shuffle, all of which a task holds.
 PART = 1 << 20
+#: Runs that a task deals out at once, and row numbers whose sums go together.
+PACK, ROWS = 1 << 20, 1 << 12
 _RUN = 1 << 20
 #: Symbols of whole rows that are looked at together, if no row has more.
 _TOGETHER = 1 << 18
@@ -145,6 +150,15 @@ def _refined(whole: np.ndarray, count: np.ndarray, parent: np.ndarray, head: np.
     return np.where(np.repeat(retained, size), own, parent)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """The order of numbers from 0 up: key and place sorted as one number where both have room."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 64:
+        return np.argsort(key)
+    both = np.sort(key.astype(np.uint64) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
 def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the ``wanted`` are ``among`` (in order), and where."""
     if not len(among):
@@ -204,6 +218,112 @@ def _share(stream: np.ndarray, at: np.ndarray, is_hot: np.ndarray, passes: int)
     return (latest + np.where(is_hot[latest], stream[at - 2], 0)) % passes
 
 
+def _dealt(
+    code: np.ndarray, row: np.ndarray, ids: np.ndarray, held_out: np.ndarray, hot: list[np.ndarray], parts: int
+) -> Iterator[pa.RecordBatch]:
+    """(part, runs): the runs of some rows, each the ``row``'s in ``ids``, in bytes
+    for each of the ``parts`` that has any. Runs of one group go to one part, but
+    those of a ``hot`` group of DEPTH symbols are dealt out by row. A row's equal
+    runs become one with its number (but for a few, if hashes agree)."""
+    group = code >> np.uint64(BITS * DEPTH)
+    rest = np.arange(len(code))
+    for d in range(1, DEPTH + 1):
+        context = code[rest] >> np.uint64(BITS * (DEPTH + 1 - d))
+        group[rest] = context
+        rest = rest[_found(hot[d - 1], context)[0]]
+    group[rest] = ids[row[rest]]  # what follows hot contexts of DEPTH symbols is known
+    part = mixed(group) % np.uint64(parts)
+    # by part, latest word, what little of a hash of the run has room, and place
+    bits, wide = len(code).bit_length(), parts.bit_length()
+    key = part << np.uint64(BITS) | code >> np.uint64(BITS * DEPTH)
+    key = key << np.uint64(64 - BITS - wide) | mixed(code) >> np.uint64(BITS + wide)
+    key = np.sort(key >> np.uint64(bits) << np.uint64(bits) | np.arange(len(code), dtype=np.uint64))
+    place = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+    part, code, row = (key >> np.uint64(64 - wide)).astype(np.int32), code[place], row[place]
+    other = np.r_[True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])]
+    head = np.flatnonzero(other | np.r_[True, row[1:] != row[:-1]])
+    times = np.diff(np.r_[head, len(code)]).astype(np.int32)
+    part, code, row = part[head], code[head], row[head]
+    entry = np.flatnonzero(other[head])
+    size = np.diff(np.r_[entry, len(code)]).astype(np.uint32)
+    # digits and halves apart: those that change little take little room once compressed
+    digits = code[entry].view(np.uint16).reshape(-1, DEPTH + 1).T.copy()
+    halves = ids[row].view(np.uint32).reshape(-1, 2).T.copy()
+    times = np.where(held_out[row], -times, times)
+    cut = _heads(part)
+    of, ends = part[cut], np.r_[cut, len(part)]
+    entry_ends = np.searchsorted(entry, ends)
+    blobs, numbers, held = [], [], 0
+    for i, (a, b, c, d) in enumerate(zip(ends[:-1], ends[1:], entry_ends[:-1], entry_ends[1:], strict=True)):
+        given = [np.array([d - c, b - a], np.uint32), size[c:d], *halves[:, a:b], times[a:b], *digits[:, c:d]]
+        blobs.append(b"".join([x.tobytes() for x in given]))
+        numbers.append(of[i])
+        held += len(blobs[-1])
+        if held >= _RUN or b == len(part):
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["part", "runs"])
+            blobs, numbers, held = [], [], 0
+
+
+def _read(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of bytes that ``_dealt`` made: runs, how many rows have each, and these
+    rows and how often they have it (less than none: held out)."""
+    n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
+    size = np.frombuffer(blob, np.uint32, n, 8)
+    low, high = np.frombuffer(blob, np.uint32, 2 * m, 8 + 4 * n).reshape(2, m)
+    times = np.frombuffer(blob, np.int32, m, 8 + 4 * n + 8 * m)
+    digits = np.frombuffer(blob, np.uint16, (DEPTH + 1) * n, 8 + 4 * n + 12 * m).reshape(DEPTH + 1, n)
+    code = np.ascontiguousarray(digits.T).view(np.uint64).reshape(n)
+    return code, size, (high.astype(np.int64) << 32) | low, times
+
+
+def _group_end(code: np.ndarray, end: int, hot: list[np.ndarray]) -> int:
+    """Where the group of the run before ``end`` ends, of runs in order."""
+    last = code[end - 1]
+    for d in range(1, DEPTH + 1):
+        rest = np.uint64(BITS * (DEPTH + 1 - d))
+        if not _found(hot[d - 1], np.array([last >> rest]))[0][0]:
+            last |= (np.uint64(1) << rest) - np.uint64(1)
+            break
+    return int(np.searchsorted(code, last, side="right"))
+
+
+def _gains(code: np.ndarray, n: np.ndarray, chance: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What the contexts add to log10 of the chance of each run, of whole groups of
+    runs in order that occur ``n`` times in the training texts, together if equal."""
+    first = _heads(code)
+    size = np.diff(np.r_[first, len(code)])
+    n = np.add.reduceat(n, first).astype(float)
+    code = code[first]
+    symbol = (code & np.uint64(SYMBOLS - 1)).astype(np.int64)
+    start = value = chance[symbol]
+    for d in range(1, DEPTH + 1):
+        context = code >> np.uint64(BITS * (DEPTH + 1 - d))
+        # by context and symbol within what is already in order of context
+        new = np.r_[False, context[1:] != context[:-1]]
+        order = _order(np.cumsum(new) << BITS | symbol) if d < DEPTH else np.arange(len(code))
+        c, s = context[order], symbol[order]
+        cell = np.flatnonzero(new | np.r_[True, s[1:] != s[:-1]])
+        cells = np.diff(np.r_[cell, len(order)])
+        head = _heads(c[cell])
+        count = np.add.reduceat(n[order], cell)
+        own = _refined(np.add.reduceat(count, head), count, value[order[cell]], head)
+        hot, after = levels[d - 1]
+        is_hot, place = _found(hot, c[cell])
+        own[is_hot] = after[place[is_hot], s[cell[is_hot]]]
+        refined = np.empty(len(code))
+        refined[order] = np.repeat(own, cells)
+        value = refined
+    return np.repeat(np.log10(value / start), size)
+
+
+def _summed(rows: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, in order and each once, with their sums."""
+    order = _order(rows)
+    rows = rows[order]
+    head = _heads(rows)
+    return rows[head], np.add.reduceat(gain[order], head)
+
+
 def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least: float, tokens: int) -> DataFrame:
     """(row_id, gain): what the contexts add to each row's log10 chance by the
     root; of (row_id, held_out, symbols) rows with so many ``tokens``; ``hot``
@@ -211,102 +331,83 @@ def context_gains(texts: DataFrame, chance: np.ndarray, hot: np.ndarray, least:
     spark = texts.sparkSession
     levels = hot_contexts(texts, hot, chance, least)
     sent = spark.sparkContext.broadcast((chance, levels))
+    parts = max(shuffle_partitions(spark), -(-tokens // (PART * PASSES)))
 
     def runs(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+        among = [hot for hot, _ in sent.value[1]]
         is_hot = np.zeros(SYMBOLS, bool)
         is_hot[hot] = True
+        found, given, many, base = [], [], 0, 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            code, row = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield from _dealt(code, row, *(np.concatenate(c) for c in zip(*given, strict=True)), among, parts)
+
         for batch in batches:
-            is_held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            ids = batch.column(2).to_numpy()
+            rows = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            given.append(rows)
             for stream, at, row in _symbols(batch):
                 mine = _share(stream, at, is_hot, PASSES) == share
                 at, row = at[mine], row[mine]
                 if not len(at):
                     continue
-                code = _runs(stream, at).view(np.int64)
-                order = np.lexsort((code, row))
-                code, row = code[order], row[order]
-                head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
-                times = np.diff(np.r_[head, len(code)])
-                row = row[head]
-                times = np.where(is_held_out[row], -times, times)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[head]), pa.array(ids[row]), pa.array(times, pa.int32())], ["code", "row_id", "times"]
-                )
+                found.append((_runs(stream, at), row + base))
+                many += len(at)
+                if many >= PACK:
+                    yield from dealt()
+                    found, given, many, base = [], [rows], 0, 0
+            base += len(batch)
+        if many:
+            yield from dealt()
         give_back()
 
-    def gained(code: np.ndarray, ids: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance, levels = sent.value
-        first = _heads(code)
-        if not len(first):
-            return
-        size = np.diff(np.r_[first, len(code)])
-        n = np.add.reduceat(np.maximum(times, 0), first).astype(float)
-        code = code[first]
-        symbol = (code & np.uint64(SYMBOLS - 1)).astype(np.int64)
-        start = value = chance[symbol]
-        for d in range(1, DEPTH + 1):
-            context = code >> np.uint64(BITS * (DEPTH + 1 - d))
-            if d < DEPTH:
-                # order by (context, symbol) within what is already in order of context
-                order = np.lexsort((symbol, context))
-            else:
-                order = np.arange(len(code))
-            c, s = context[order], symbol[order]
-            cell = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
-            cells = np.diff(np.r_[cell, len(order)])
-            head = _heads(c[cell])
-            count = np.add.reduceat(n[order], cell)
-            own = _refined(np.add.reduceat(count, head), count, value[order[cell]], head)
-            hot, after = levels[d - 1]
-            is_hot, place = _found(hot, c[cell])
-            own[is_hot] = after[place[is_hot], s[cell[is_hot]]]
-            refined = np.empty(len(code))
-            refined[order] = np.repeat(own, cells)
-            value = refined
-        gain = np.repeat(np.log10(value / start), size) * np.abs(times)
-        latest = np.repeat(code >> np.uint64(BITS * DEPTH), size)  # in order
-        order = np.lexsort((ids, latest))
-        latest, ids = latest[order], ids[order]
-        head = np.flatnonzero(np.r_[True, (latest[1:] != latest[:-1]) | (ids[1:] != ids[:-1])])
-        gain = np.add.reduceat(gain[order], head)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(gain)], ["row_id", "gain"])
+        among = [hot for hot, _ in levels]
+        read = [_read(blob.as_buffer()) for batch in batches for blob in batch.column(1)]
+        if read:
+            code, size, rows, times = (np.concatenate(c) for c in zip(*read, strict=True))
+            del read
+            n = np.add.reduceat(np.maximum(times, 0), np.r_[0, np.cumsum(size[:-1], dtype=np.int64)], dtype=np.int64)
+            order = np.argsort(code)
+            code, gain, start = code[order], np.empty(len(code)), 0
+            while start < len(code):
+                end = _group_end(code, min(start + CHUNK, len(code)), among)
+                of = order[start:end]
+                gain[of] = _gains(code[start:end], n[of], chance, levels)
+                start = end
+            del code, order, n
+            rows, gain = _summed(rows, np.repeat(gain, size) * np.abs(times))
+            of = rows // ROWS
+            cut = _heads(of)
+            low = (rows % ROWS).astype(np.uint16)
+            blobs = [low[a:b].tobytes() + gain[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(of)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[cut]), pa.array(blobs, pa.binary())], ["rows", "sums"])
+        give_back()
 
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = sent.value[1]
-        parts, rows = [], 0
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, many, most = [], 0, PACK
         for batch in batches:
-            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
-            rows += len(batch)
-            if rows >= CHUNK:
-                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                cut = rows = len(whole[0])
-                for d, (hot, _) in enumerate(levels, 1):
-                    context = whole[0] >> np.uint64(BITS * (DEPTH + 1 - d))
-                    if not _found(hot, context[-1:])[0][0]:
-                        cut = int(_heads(context)[-1])  # the last group may go on
-                        break
-                # a group larger than a chunk is tried again when the rows have doubled
-                parts, rows = [tuple(c[cut:].copy() for c in whole)], 0 if cut else -rows
-                del context
-                if cut:
-                    yield from gained(*(c[:cut] for c in whole))
-                del whole
-        if parts:
-            yield from gained(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            for of, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = len(blob.as_buffer()) // 10
+                low = np.frombuffer(blob.as_buffer(), np.uint16, n)
+                found.append((low.astype(np.int64) + of * ROWS, np.frombuffer(blob.as_buffer(), np.float64, n, 2 * n)))
+                many += n
+                if many >= most:
+                    found = [_summed(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+                    many = len(found[0][0])
+                    most = 2 * many + PACK
+        if found:
+            rows, gain = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], ["row_id", "gain"])
         give_back()
 
-    group = F.col("row_id")  # what follows hot contexts of DEPTH symbols is known
-    for d, (hot, _) in reversed(list(enumerate(levels, 1))):
-        context = F.shiftrightunsigned("code", BITS * (DEPTH + 1 - d))
-        group = F.when(context.isin(hot.tolist()), group).otherwise(context) if len(hot) else context
-    parts = max(shuffle_partitions(spark), -(-tokens // (PART * PASSES)))
     given, sums = texts.select("symbols", "held_out", "row_id"), []
     for share in range(PASSES):
-        dealt = given.mapInArrow(lambda batches, share=share: runs(batches, share), "code bigint, row_id bigint, times int")
-        dealt = dealt.repartition(parts, group).sortWithinPartitions("code")
-        found = dealt.mapInArrow(gains, "row_id bigint, gain double")
-        sums.append(keep(found.groupBy("row_id").agg(F.sum("gain").alias("gain")), "context-gains", drop_shuffles=True))
+        dealt = given.mapInArrow(lambda batches, share=share: runs(batches, share), "part int, runs binary")
+        found = dealt.repartitionById(parts, F.col("part")).mapInArrow(gains, "rows bigint, sums binary")
+        found = found.repartition("rows").mapInArrow(added, "row_id bigint, gain double")
+        sums.append(keep(found, "context-gains", drop_shuffles=True))
     return reduce(DataFrame.unionByName, sums).groupBy("row_id").agg(F.sum("gain").alias("gain"))
 
 

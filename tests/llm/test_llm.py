@@ -571,6 +571,42 @@ def test_context_gains_are_dealt_in_shares_whose_files_go(spark, monkeypatch):
     assert any(abs(gain) > 1 for gain in got[1].values())
 
 
+def rows_shuffled(plan):
+    """By the shuffles of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(rows_shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_context_gains_deal_out_runs_in_packs(spark, monkeypatch):
+    """A shuffle's rows are as many as its parts, not as the runs or as the rows that have them."""
+    draw = random.Random(13)
+    rows = [[draw.choice([1, 1, 2, 3, 4, 5, 6, *range(20, 2000), 65535]) for _ in range(100)] for _ in range(200)]
+    rows += [[1, 2] * 50] * 3  # each run many times in a row
+    data = [((i % 3 << 33) + i, i % 5 == 0, bytearray(np.array([0] * 3 + r + [0], np.uint16).tobytes())) for i, r in enumerate(rows)]
+    texts = spark.createDataFrame(data, "row_id bigint, held_out boolean, symbols binary").coalesce(1)
+    chance = np.full(suffix_tree.SYMBOLS, 1 / suffix_tree.SYMBOLS)
+    sums = []
+    monkeypatch.setattr(suffix_tree, "keep", lambda df, *given, **more: sums.append(df) or df)
+    monkeypatch.setattr(suffix_tree, "PASSES", 1)
+    got = []
+    for pack, together in ((1 << 20, 1 << 12), (1000, 7)):
+        monkeypatch.setattr(suffix_tree, "PACK", pack)
+        monkeypatch.setattr(suffix_tree, "ROWS", together)
+        found = suffix_tree.context_gains(texts, chance, np.array([1, 2, 65535]), 150, 20000)
+        got.append({r.row_id: r.gain for r in found.collect()})
+    assert got[1] == pytest.approx(got[0]) and set(got[0]) == {row_id for row_id, _, _ in data}
+    assert got[0][data[200][0]] == pytest.approx(got[0][data[201][0]]) and abs(got[0][data[201][0]]) > 1
+    assert len(sums[0].collect()) == len(data)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < rows_shuffled(sums[0]._jdf.queryExecution().executedPlan()) <= 4 * parts
+
+
 def test_suffix_tree_leaves_out_other_columns(spark):
     names = ["row_id", "gain", "symbols", "code", "n", "key", "times", "score"]
     docs = spark.createDataFrame([(1, "a b a b", False), (2, None, True)], "doc_id bigint, text string, held_out boolean")
